@@ -74,8 +74,8 @@ def slices(texts: pa.LargeStringArray, limit: int = CHUNK_BYTES) -> Iterator[tup
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(hash, document, start byte, end byte) of every word, in order."""
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """(hash, document, start byte, end byte) of every word, in order, and the hash of its first ``prefix`` bytes."""
     n = len(data)
     w = WORD[data] if is_word is None else is_word
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -89,6 +89,9 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = No
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * q[starts])
     doc = np.searchsorted(offsets, starts, side="right") - 1
+    if prefix:
+        cut = np.minimum(starts + prefix, ends)
+        return hashes, doc, starts, ends, mix((sums[cut] - sums[starts]) * q[starts])
     return hashes, doc, starts, ends
 
 

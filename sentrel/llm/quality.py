@@ -20,20 +20,21 @@ SAMPLE_ROWS = 10_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-CAPS, REPEAT, MARKS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+STEM_BYTES = 4
+CAPS, REPEAT, MARKS, STEM = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x369DEA0F31A53F85)
 
 
 def features(texts: pa.LargeStringArray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, document, value): presence of words, shares of capitals, repetition and marks.
+    """(bucket, document, value): presence of words and stems, shares of capitals, repetition and marks.
 
-    Words and runs of marks are hashed; three more features hold the share of words in capitals, of
+    Words, their first bytes and runs of marks are hashed; three more features hold the share of words in capitals, of
     words equal to the one before, and of marks by kind. Shares are counted as ten times their
     square root, so that a few odd words in a long text still show.
     """
     n = len(texts)
     cased, offsets = raw(texts)
     low = np.where((cased >= 65) & (cased <= 90), cased + 32, cased).astype(np.uint8)
-    h, doc, start, end = words(low, offsets)
+    h, doc, start, end, ph = words(low, offsets, prefix=STEM_BYTES)
     total = np.maximum(np.bincount(doc, minlength=n), 1)
     is_mark = ~WORD[cased] & ~SPACE[cased]
     mh, mdoc, mstart, mend = words(cased, offsets, is_mark)
@@ -42,12 +43,13 @@ def features(texts: pa.LargeStringArray, bits: int = BITS) -> tuple[np.ndarray,
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     key, kdoc, _ = distinct(h, doc)
+    stem, sdoc, _ = distinct(mix(ph ^ STEM), doc)
     mkey, mkdoc, count = distinct(mix(mh ^ MARKS), mdoc)
     share = lambda flag: 10 * np.sqrt(np.bincount(doc[flag], minlength=n) / total)
     every, mask = np.arange(n), (1 << bits) - 1
-    bucket = np.concatenate([key.astype(np.int64) & mask, mkey.astype(np.int64) & mask, np.full(n, int(CAPS) & mask), np.full(n, int(REPEAT) & mask)])
-    value = np.concatenate([np.ones(len(key)), 10 * np.sqrt(count / (total[mkdoc] + count)), share(caps), share(same)])
-    return bucket, np.concatenate([kdoc, mkdoc, every, every]), value.astype(np.float32)
+    bucket = np.concatenate([key.astype(np.int64) & mask, stem.astype(np.int64) & mask, mkey.astype(np.int64) & mask, np.full(n, int(CAPS) & mask), np.full(n, int(REPEAT) & mask)])
+    value = np.concatenate([np.ones(len(key) + len(stem)), 10 * np.sqrt(count / (total[mkdoc] + count)), share(caps), share(same)])
+    return bucket, np.concatenate([kdoc, sdoc, mkdoc, every, every]), value.astype(np.float32)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -67,15 +69,21 @@ def tails(latent: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _sigmoid(latent[:, None] - thresholds[None, :])
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], bits: int = BITS, grades: int = 3, ridge: float = 3.0, rounds: int = 120, rate: float = 0.15) -> dict:
-    """Maximum penalised likelihood of the cumulative logit model by full-batch Adam."""
+def fit(rows: list[tuple[int, bytes, bytes]], bits: int = BITS, grades: int = 3, ridge: float = 5.0, rounds: int = 160, rate: float = 0.2, min_rows: int = 20) -> dict:
+    """Maximum penalised likelihood of the cumulative logit model by full-batch Adam.
+
+    Buckets that fewer than ``min_rows`` sampled rows fill keep weight zero.
+    """
     y = np.array([r[0] for r in rows], np.int64)
     if not len(y):
         return {"bits": bits, "weights": np.zeros(1 << bits, np.float32), "thresholds": np.linspace(-2, -1, grades - 1)}
     idx = [np.frombuffer(r[1], np.int32) for r in rows]
     val = np.concatenate([np.frombuffer(r[2], np.float32) for r in rows])
     doc = np.repeat(np.arange(len(y)), [len(i) for i in idx])
-    used, col = np.unique(np.concatenate(idx), return_inverse=True)
+    idx = np.concatenate(idx)
+    common = np.bincount(idx, minlength=1 << bits)[idx] >= min(min_rows, len(y))
+    idx, val, doc = idx[common], val[common], doc[common]
+    used, col = np.unique(idx, return_inverse=True)
     share = np.array([(np.sum(y > j) + 0.5) / (len(y) + 1) for j in range(grades - 1)])
     cuts = -np.log(share / (1 - share))
     # thresholds: the first, then logarithms of the gaps, so that they stay ordered
@@ -122,7 +130,7 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
     return fit(sorted((r.grade, bytes(r.idx), bytes(r.val)) for r in got), bits, levels, **options)
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
     """doc_id, expected_grade, tail_probability, accepted for every row, from the whole text.
 
     ``tail_probability`` is that of the top grade; a row is accepted where it reaches ``cut``. Null

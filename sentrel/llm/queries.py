@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, quality
+from . import exact_dedup, language_id, packing, quality, sentencepiece_codec
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def byte_tokenizer() -> tuple[str, str, str]:
+    """Files and pattern of the byte-level tokenizer that packing counts in."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +28,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECE_MODEL)
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~language_id.held_out()))
@@ -33,6 +51,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
