@@ -8,15 +8,16 @@ that a task has met before come from a bounded memo.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import re
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ._text import strings
 
@@ -162,5 +163,5 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
                 texts = [None if ids is None else codec.decode(ids) for ids in part.column(ids_at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
     return encoded.mapInArrow(decoded, schema)
