@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality, sentencepiece_codec
+from . import chat_format, exact_dedup, language_id, license_scan, packing, quality, sentencepiece_codec
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -28,6 +28,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECE_MODEL)
     both = sentencepiece_codec.decode(sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), model), model)
@@ -49,15 +53,35 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_chat_format": op4_chat_format,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_chat_format": """
+        WITH placed AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+            FROM conversations),
+        prefix AS (
+            SELECT conv_id, pos, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS seen,
+                   max(pos) OVER (PARTITION BY conv_id) AS turns
+            FROM placed),
+        whole AS (SELECT seen, min(conv_id) AS conv_id, max(turns) AS turns, count(*) AS copies FROM prefix WHERE pos = turns GROUP BY seen),
+        kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM prefix p WHERE p.pos < p.turns AND p.pos = whole.turns AND p.seen = whole.seen))
+        SELECT conv_id, (pos - 1) // 64 AS part, max(turns) AS turns, max(copies) AS copies,
+               string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+        FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, (pos - 1) // 64
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
