@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, packing, quality, secret_scan, sentencepiece_codec
+from . import ann, chat_format, exact_dedup, language_id, license_scan, packing, quality, secret_scan, sentencepiece_codec
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -28,6 +28,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"), secret_scan.train())
 
@@ -63,6 +68,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_nearest": op2_nearest,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
     "op5_sentencepiece": op5_sentencepiece,
