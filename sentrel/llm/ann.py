@@ -24,7 +24,7 @@ TREES = 8
 LEAF_VECTORS = 64
 MOST_LEVELS = 12
 SAMPLE_VECTORS = 16_384
-SEARCH_SHARE = 0.9
+SEARCH_SHARE = 0.95
 
 
 def _valid(column: pa.Array) -> list[bytes | None]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, license_scan, packing, quality, secret_scan, sentencepiece_codec
+from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sentencepiece_codec
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -51,6 +51,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), byte_tokenizer())
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~language_id.held_out()))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
+    "op7_near_dedup": op7_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
