@@ -125,8 +125,8 @@ def deduplicated(docs: DataFrame, keep: str = "smallest", **options) -> DataFram
     told apart. Rows with a null identifier are kept only where no other row has their text.
     """
     id_col, text_col, normalise = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("normalise")
-    kept = exact_dedup(docs, keep, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    named = lambda column: F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+    kept = exact_dedup(docs, keep, **options).where("kept").select(named("doc_id").alias("_id"), F.col("text_sha256").alias("_key"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_key", F.sha2(normalise(text) if normalise else text, 256))
-    matched = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
-    return matched.dropDuplicates([id_col, "_key"]).drop("_key")
+    keyed = docs.withColumns({"_id": named(id_col), "_key": F.sha2(normalise(text) if normalise else text, 256)})
+    return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)

@@ -17,6 +17,7 @@ from ._text import WORD, distinct, mix, raw, slices, strings, words
 
 BITS = 18
 SAMPLE_ROWS = 10_000
+CUT = 0.7
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -130,7 +131,16 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
     return fit(sorted((r.grade, bytes(r.idx), bytes(r.val)) for r in got), bits, levels, **options)
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
+def _tail_probabilities(column: pa.Array, model: dict) -> np.ndarray:
+    """P(grade > j) of every text for every cut j."""
+    above = [np.zeros((0, len(model["thresholds"])))]
+    for _, piece in slices(strings(column, lower=False)):
+        bucket, doc, value = features(piece, model["bits"])
+        above.append(tails(np.bincount(doc, value * model["weights"][bucket], minlength=len(piece)), model["thresholds"]))
+    return np.concatenate(above)
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """doc_id, expected_grade, tail_probability, accepted for every row, from the whole text.
 
     ``tail_probability`` is that of the top grade; a row is accepted where it reaches ``cut``. Null
@@ -139,13 +149,20 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            above = [np.zeros((0, len(m["thresholds"])))]
-            for _, piece in slices(strings(batch.column(1), lower=False)):
-                bucket, doc, value = features(piece, m["bits"])
-                above.append(tails(np.bincount(doc, value * m["weights"][bucket], minlength=len(piece)), m["thresholds"]))
-            p = np.concatenate(above)
+            p = _tail_probabilities(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, -1]), pa.array(p[:, -1] >= cut)], names=["doc_id", "expected_grade", "tail_probability", "accepted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(scored, "doc_id long, expected_grade double, tail_probability double, accepted boolean")
+
+
+def accepted(docs: DataFrame, model: dict, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` accepts; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_tail_probabilities(batch.column(at), shared.value)[:, -1] >= cut))
+
+    return docs.mapInArrow(filtered, docs.schema)
