@@ -149,7 +149,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     lengths = [len(v) for v in drawn]
     size = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
     stored, asked = stored.where(F.length("key") == 8 * size), asked.where(F.length("asked") == 8 * size)
-    drawn = np.array([v for v in drawn if len(v) == size]).reshape(-1, size)
+    drawn = [v for v in drawn if len(v) == size]
+    drawn = np.array(drawn, float).reshape(len(drawn), size)
     shared = spark.sparkContext.broadcast(grow(drawn, stored.count()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
