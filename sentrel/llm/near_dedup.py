@@ -5,8 +5,9 @@ inside the region below its weight count. The earliest dart of each coordinate i
 two weighted sets agree in a coordinate with the probability of their weighted Jaccard similarity.
 Work per document is about k ln k darts and one look at each element, whatever the weights.
 
-Buckets of equal bands are joined as stars around their smallest member, never as all pairs; members
-that stay apart from their star's component are then compared with the rest of their bucket.
+Buckets of equal bands are joined as stars around their smallest member. Only members that stay apart
+from their star's component are then compared with the rest of their bucket: pair by pair in small
+buckets, and in large ones block against block, so that no pairs are emitted but links.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ._text import BASE, distinct, mix, raw, shingles, slices, strings, words
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 MARGIN = 4.0
+#: Buckets of up to so many members are compared pair by pair, larger ones by blocks of about so many.
+SMALL, BLOCK = 32, 256
 #: Distribution function of a Poisson variable with mean 1.
 POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, n + 1)) for n in range(16)])
 C1, C2, C3, C4 = (np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -142,10 +145,13 @@ def jaccard(a: bytes, b: bytes, weighted: bool) -> float:
     return least / max(int(cx.sum() + cy.sum()) - least, 1)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, weighted: bool) -> DataFrame:
+def _sets_of(named: DataFrame, docs: DataFrame, size: int, weighted: bool) -> DataFrame:
+    """Sets of the documents that ``named`` (doc_id) lists; a merge join, so that the plan is the same at every size."""
+    return written(_sets(docs.join(named.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted), "near-sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold, compared exactly."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, weighted), "near-sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
 
@@ -154,7 +160,57 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, wei
             ok = [jaccard(x.as_buffer(), y.as_buffer(), weighted) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "near-links")
+    return written(pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "near-links")
+
+
+def _overlaps(rows: list[bytes], columns: list[bytes], weighted: bool) -> np.ndarray:
+    """Similarity of every set of ``rows`` with every one of ``columns``, by one matrix product.
+
+    Shingles that a single set holds can't be shared and are left out of the product.
+    """
+    if weighted:
+        return np.array([[jaccard(x, y, True) for y in columns] for x in rows]).reshape(len(rows), len(columns))
+    sets = [np.frombuffer(x, np.uint64) for x in (*rows, *columns)]
+    size = np.array([len(x) for x in sets], float)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), size.astype(int)), count > 1
+    place, keep = np.cumsum(shared) - 1, shared[at]
+    held = np.zeros((len(sets), int(shared.sum())), np.float32)
+    held[owner[keep], place[at[keep]]] = 1
+    both = held[: len(rows)] @ held[len(rows) :].T
+    return both / np.maximum(size[: len(rows), None] + size[None, len(rows) :] - both, 1)
+
+
+def _block_links(apart: DataFrame, rest: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """Links between members apart and the rest of their large buckets, block against block.
+
+    Blocks hold about ``BLOCK`` members, so a task sees two blocks at a time. Of a member's links into one
+    component one is returned, which connects as much as all.
+    """
+    blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("rows")).join(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("columns")), "key")
+    own = lambda df, mine, other: (
+        df.join(blocks, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), mine))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    )
+    one = own(apart, "rows", "columns").select("key", F.col("mine").cast("long").alias("i"), F.col("other").cast("long").alias("j"), "rep", "own", F.lit(True).alias("row"))
+    two = own(rest, "columns", "rows").select("key", F.col("other").cast("long").alias("i"), F.col("mine").cast("long").alias("j"), "rep", "own", F.lit(False).alias("row"))
+    cells = one.unionByName(two).join(sets.hint("merge"), F.col("rep") == F.col("doc_id"))
+
+    def compared(cell: pa.Table) -> pa.Table:
+        row = cell.column("row").to_numpy()
+        rep, own, held = cell.column("rep").to_numpy(), cell.column("own").to_numpy(), cell.column("set").to_pylist()
+        x, y = np.flatnonzero(row), np.flatnonzero(~row)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(x) and len(y):
+            near = _overlaps([held[i] for i in x], [held[j] for j in y], weighted) >= similarity
+            for i, j in zip(*np.nonzero(near & (own[x][:, None] != own[y][None, :])), strict=True):
+                a, b = int(rep[x[i]]), int(rep[y[j]])
+                found.setdefault((a, int(own[y[j]])), (min(a, b), max(a, b)))
+        pairs = list(found.values())
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return written(cells.select("key", "i", "j", "rep", "own", "row", "set").groupBy("key", "i", "j").applyInArrow(compared, "a long, b long").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,27 +254,33 @@ def near_classes(docs: DataFrame, size: int = WORDS, similarity: float = SIMILAR
     # a bit of a coordinate agrees with probability (1 + similarity) / 2
     k, same = bands * rows, (1 + similarity) / 2
     most = int(np.ceil(k * (1 - same) + 5 * np.sqrt(k * same * (1 - same))))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1").select("key", "leader")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
     members = written(keys.join(buckets, "key"), "near-buckets")
     alike = lambda p, q: F.bit_count(F.col(f"{p}.b1").bitwiseXOR(F.col(f"{q}.b1"))) + F.bit_count(F.col(f"{p}.b2").bitwiseXOR(F.col(f"{q}.b2"))) <= most
     bits = live.select(F.col("rep").alias("other"), F.col("s.b1").alias("b1"), F.col("s.b2").alias("b2"))
     stars = members.where("rep <> leader").select("rep", "leader", "b1", "b2").distinct().alias("m").join(bits.alias("o"), F.col("leader") == F.col("other")).where(alike("m", "o"))
     pairs = written(stars.select(F.col("leader").alias("a"), F.col("rep").alias("b")), "near-pairs")
-    links = _linked(pairs, rows_in, size, similarity, weighted)
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), rows_in, size, weighted)
+    links = _linked(pairs, sets, similarity, weighted)
     found = components(links)
 
     def component(df: DataFrame, column: str, name: str) -> DataFrame:
         side = found.select(F.col("node").alias(f"_{name}"), F.col("label").alias(f"_{name}_label"))
         return df.join(side, F.col(column) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(f"_{name}_label", column)).drop(f"_{name}", f"_{name}_label")
 
+    # what is left: members apart from their star's component, against the rest of their bucket
     placed = written(component(component(members, "rep", "own"), "leader", "star"), "near-members")
-    apart = placed.where("own <> star").select("key", "rep", "own", "b1", "b2").alias("p")
-    rest = placed.where("rep <> leader").alias("q")
+    apart, rest = placed.where("own <> star"), placed.where("rep <> leader")
+    few, many = F.col("members") <= SMALL, F.col("members") > SMALL
     # both apart: once, from the smaller; against members of the star's component: from the one apart
     across = (F.col("p.key") == F.col("q.key")) & (F.col("p.own") != F.col("q.own")) & ((F.col("q.own") == F.col("q.star")) | (F.col("p.rep") < F.col("q.rep"))) & alike("p", "q")
-    more = apart.join(rest, across).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
+    more = apart.where(few).alias("p").join(rest.where(few).alias("q"), across).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.union(_linked(more, rows_in, size, similarity, weighted))
+    crowded = rest.where(many).join(apart.where(many).select("key").distinct(), "key", "left_semi")
+    named = more.select(F.col("a").alias("doc_id")).union(more.select("b")).union(crowded.select("rep"))
+    sets = _sets_of(named, rows_in, size, weighted)
+    links = links.union(_linked(more, sets, similarity, weighted)).union(_block_links(apart.where(many), crowded, sets, similarity, weighted))
+    links = written(links.distinct(), "near-links")
     found = components(links)
     degree = links.select(F.col("a").alias("end")).union(links.select("b")).groupBy("end").agg(F.count("*").alias("links"))
     resolved = component(nodes.select("d1", "d2", "rep"), "rep", "class_id").join(degree, F.col("rep") == F.col("end"), "left")

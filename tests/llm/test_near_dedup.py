@@ -93,3 +93,19 @@ def test_weighted_classes_use_counts(spark):
     assert sum((bag(rows[0][1]) & bag(rows[1][1])).values()) >= 0.8 * sum((bag(rows[0][1]) | bag(rows[1][1])).values())
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(df, weighted=True).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.class_id for r in near_dedup.near_classes(df).collect()} == {1}
+
+
+def test_large_buckets_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(140)], []
+    for i in range(60):  # edits of one text: some copies link, many do not
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = f"e{rng.random()}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert 1 < len(set(want.values())) < 60
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()} == want
