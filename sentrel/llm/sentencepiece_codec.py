@@ -9,6 +9,7 @@ that a task has met before come from a bounded memo.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,6 +24,8 @@ from ._text import strings
 
 SPACE = "▁"
 MEMO_UNITS = 400_000
+#: Stands where a character that is no piece was stepped over: size, piece, score.
+SKIPPED = (1, -1, 0.0)
 UNIT = re.compile(r" +[^ ]*")
 
 _codecs: dict[str, Codec] = {}
@@ -69,36 +72,35 @@ class Codec:
         Of equal scores the piece that is longest at the position wins.
         """
         n, low = len(unit), float("-inf")
-        best, back = [0.0] + [low] * n, [(0, -1)] * (n + 1)
-        odd = [i for i, c in enumerate(unit) if c not in self.single] if not self.single.issuperset(unit) else []
-        at = 0
-
-        def skip(i: int) -> None:
-            if best[i] + self.penalty > best[i + 1]:
-                best[i + 1], back[i + 1] = best[i] + self.penalty, (i, -1)
-
-        for end, (size, piece, score) in self.trie.iter(unit):
-            while at < len(odd) and odd[at] < end:
-                skip(odd[at])
-                at += 1
-            start = end + 1 - size
-            total = best[start] + score
-            if total > best[end + 1]:
-                best[end + 1], back[end + 1] = total, (start, piece)
-        for i in odd[at:]:
-            skip(i)
+        best, back = [low] * (n + 1), [SKIPPED] * (n + 1)
+        best[0] = 0.0
+        if self.single.issuperset(unit):
+            for end, found in self.trie.iter(unit):
+                end += 1
+                total = best[end - found[0]] + found[2]
+                if total > best[end]:
+                    best[end], back[end] = total, found
+        else:
+            at = 0
+            for end, found in [*self.trie.iter(unit), (n, SKIPPED)]:
+                for i in range(at, end):  # all that ends here is known: step over what is no piece
+                    if unit[i] not in self.single and best[i] + self.penalty > best[i + 1]:
+                        best[i + 1], back[i + 1] = best[i] + self.penalty, SKIPPED
+                at = max(at, end)
+                if end < n and best[end + 1 - found[0]] + found[2] > best[end + 1]:
+                    best[end + 1], back[end + 1] = best[end + 1 - found[0]] + found[2], found
         ids: list[int] = []
         while n:
-            start, piece = back[n]
+            size, piece, _ = back[n]
             if piece >= 0:
                 ids.append(piece)
             else:
-                ids += [self.byte.get(b, self.unknown) for b in reversed(unit[start:n].encode("utf-8", "surrogatepass"))]
-            n = start
+                ids += [self.byte.get(b, self.unknown) for b in reversed(unit[n - 1].encode("utf-8", "surrogatepass"))]
+            n -= size
         return ids[::-1]
 
     def unit(self, unit: str) -> bytes:
-        found = np.array(self.viterbi(unit), np.int32).tobytes()
+        found = array("i", self.viterbi(unit)).tobytes()
         if len(self.memo) < self.memo_units and len(unit) < 64:
             self.memo[unit[1:]] = found
         return found
@@ -119,7 +121,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space before it goes, and broken bytes are replaced."""
-        return b"".join([self.out[i] for i in ids])[1:].decode("utf-8", "replace") if ids else ""
+        return b"".join(map(self.out.__getitem__, ids))[1:].decode("utf-8", "replace") if ids else ""
 
 
 def _codec(vocab: dict) -> Codec:
@@ -160,7 +162,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if ids is None else codec.decode(ids) for ids in part.column(ids_at).to_pylist()]
+                lists = part.column(ids_at)
+                ids, sizes = lists.flatten().to_numpy().tolist(), lists.value_lengths().to_pylist()
+                cut = np.cumsum([0, *(s or 0 for s in sizes)]).tolist()
+                texts = [None if s is None else codec.decode(ids[a:b]) for s, a, b in zip(sizes, cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
