@@ -17,7 +17,7 @@ def contingency(obs: DataFrame, by: list[str] | None = None, pairs: DataFrame |
     """
     by = by or []
     keys = [*by, "report_id", "drug", "event"]
-    obs = obs.select(*keys).dropna(subset=keys).distinct()
+    obs = obs.select(*keys).dropna(subset=keys)
     drugs, events = obs.select(*by, "report_id", "drug").distinct(), obs.select(*by, "report_id", "event").distinct()
     both = drugs.join(events, [*by, "report_id"]).groupBy(*by, "drug", "event").agg(F.count("*").alias("a"))
     per_drug = drugs.groupBy(*by, "drug").agg(F.count("*").alias("nd"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import statistics as st
@@ -13,38 +13,40 @@ COLUMNS = ["detector", "drug", "event", "score", "lower_bound", "upper_bound", "
 MINIMUM_REPORTS, STABLE_REPORTS, MINIMUM_PRR, MINIMUM_CHI_SQUARE = 3, 5, 2.0, 4.0
 
 
-def _valid(cells: DataFrame) -> DataFrame:
-    """Cells as they are; a negative one raises when the row is computed."""
-    checked = F.when(F.least("a", "b", "c", "d") < 0, F.raise_error(F.lit("contingency cells must be non-negative")).cast("long"))
-    return cells.withColumn("a", F.coalesce(checked, F.col("a")))
+def _signal(name: str, score: Column, error: Column, chi_square: Column, potential: Callable[[Column, Column], Column]) -> Column:
+    """A detector's result for a row of cells as a struct of ``COLUMNS``; negative cells raise."""
+    lower, upper = st.bounds(score, error)
+    a = F.col("a")
+    bad = F.when(F.least("a", "b", "c", "d") < 0, F.raise_error(F.lit("contingency cells must be non-negative")).cast("double"))
+    values = [F.lit(name), F.col("drug"), F.col("event"), F.coalesce(bad, score), lower, upper, a, F.col("b"), F.col("c"), F.col("d"), chi_square, potential(score, lower) & (a >= MINIMUM_REPORTS), (a >= STABLE_REPORTS) & (lower > 1)]
+    return F.struct(*[v.alias(n) for v, n in zip(values, COLUMNS, strict=True)])
 
 
-def reporting_odds_ratio(cells: DataFrame) -> DataFrame:
+def ror_signal() -> Column:
     """ROR: potential from 3 reports with the lower bound above 1, stable from 5."""
-    lower, upper = st.bounds(st.ror(), st.ror_error())
-    out = _valid(cells).select("drug", "event", "a", "b", "c", "d", F.lit("ror").alias("detector"), st.ror().alias("score"), lower.alias("lower_bound"), upper.alias("upper_bound"), F.lit(None).cast("double").alias("chi_square"))
-    above = F.col("lower_bound") > 1
-    return out.select("*", ((F.col("a") >= MINIMUM_REPORTS) & above).alias("is_potential_signal"), ((F.col("a") >= STABLE_REPORTS) & above).alias("passes_stability_rule")).select(*COLUMNS)
+    return _signal("ror", st.ror(), st.ror_error(), F.lit(None).cast("double"), lambda score, lower: lower > 1)
 
 
-def proportional_reporting_ratio(cells: DataFrame) -> DataFrame:
+def prr_signal() -> Column:
     """PRR: potential from 3 reports, a ratio of 2 and a chi-square of 4; stable from 5 with the lower bound above 1."""
-    lower, upper = st.bounds(st.prr(), st.prr_error())
-    out = _valid(cells).select("drug", "event", "a", "b", "c", "d", F.lit("prr").alias("detector"), st.prr().alias("score"), lower.alias("lower_bound"), upper.alias("upper_bound"), st.chi_square().alias("chi_square"))
-    potential = (F.col("a") >= MINIMUM_REPORTS) & (F.col("score") >= MINIMUM_PRR) & (F.col("chi_square") >= MINIMUM_CHI_SQUARE)
-    return out.select("*", potential.alias("is_potential_signal"), ((F.col("a") >= STABLE_REPORTS) & (F.col("lower_bound") > 1)).alias("passes_stability_rule")).select(*COLUMNS)
+    return _signal("prr", st.prr(), st.prr_error(), st.chi_square(), lambda score, lower: (score >= MINIMUM_PRR) & (st.chi_square() >= MINIMUM_CHI_SQUARE))
+
+
+#: Detectors by name: each gives a struct Column over drug, event and the cells. Add others here or pass them to ``score``.
+DETECTORS: dict[str, Callable[[], Column]] = {"ror": ror_signal, "prr": prr_signal}
 
 
-DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"ror": reporting_odds_ratio, "prr": proportional_reporting_ratio}
+def score(cells: DataFrame, detectors: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """All detectors' scores of all pairs, in one pass over the cells."""
+    return cells.select(F.inline(F.array(*[f() for f in (detectors or DETECTORS).values()])))
 
 
-def score(cells: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """All detectors' scores of all pairs."""
-    parts = [f(cells) for f in (detectors or DETECTORS).values()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def reporting_odds_ratio(cells: DataFrame) -> DataFrame:
+    return score(cells, {"ror": ror_signal})
+
+
+def proportional_reporting_ratio(cells: DataFrame) -> DataFrame:
+    return score(cells, {"prr": prr_signal})
 
 
 def ranked(scores: DataFrame) -> DataFrame:
