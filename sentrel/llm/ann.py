@@ -12,23 +12,27 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ._store import written
+from ._text import mix
 
-TREES = 8
-LEAF_VECTORS = 64
-MOST_LEVELS = 12
+TREES = 4
+LEAF_VECTORS = 16
+#: A forest has at most 64 leaves a tree: leaves grow with the table and are dealt out in blocks.
+MOST_LEVELS = 6
 SAMPLE_VECTORS = 16_384
-SEARCH_SHARE = 0.95
+SEARCH_SHARE = 0.8
+#: Vectors and queries that meet in one task at most (about).
+VECTOR_BLOCK, QUERY_BLOCK = 32_768, 16_384
 
 
-def _valid(column: pa.Array) -> list[bytes | None]:
-    """Each vector as 64-bit floats, None where it is null, zero, or holds a null or non-finite component."""
+def _valid(column: pa.Array, kind: str = "<f8") -> list[bytes | None]:
+    """Each vector as floats of ``kind``, None where it is null, zero, or holds a null or non-finite component."""
     out: list[bytes | None] = []
     flat = column.flatten()
     bad = flat.is_null().to_numpy(zero_copy_only=False)
@@ -39,12 +43,12 @@ def _valid(column: pa.Array) -> list[bytes | None]:
         v, b = values[at : at + size], bad[at : at + size]
         with np.errstate(over="ignore", invalid="ignore"):
             ok = size and not b.any() and np.isfinite(v).all() and 0 < np.dot(v, v) < np.inf
-        out.append((v + 0.0).tobytes() if ok else None)
+        out.append((v + 0.0).astype(kind).tobytes() if ok else None)
         at += size
     return out
 
 
-def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+def distinct_vectors(rows: DataFrame, most: int, kind: str = "<f8") -> DataFrame:
     """key (the vector's bytes), ids (its ``most`` smallest identifiers): one row per different vector.
 
     Each task reduces its own rows first, so a vector that many rows share arrives as a few
@@ -54,7 +58,7 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         for batch in batches:
-            for key, name in zip(_valid(batch.column(1)), batch.column(0).to_pylist(), strict=True):
+            for key, name in zip(_valid(batch.column(1), kind), batch.column(0).to_pylist(), strict=True):
                 if key is not None and name is not None:
                     own = held.setdefault(key, [])
                     own.append(name)
@@ -66,12 +70,12 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return parts.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
-def keyed_rows(rows: DataFrame) -> DataFrame:
+def keyed_rows(rows: DataFrame, kind: str = "<f8") -> DataFrame:
     """query_id, asked (the vector's bytes) of every valid row; repeated rows appear once."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, k) for k, n in zip(_valid(batch.column(1)), batch.column(0).to_pylist(), strict=True) if k is not None and n is not None]
+            found = [(n, k) for k, n in zip(_valid(batch.column(1), kind), batch.column(0).to_pylist(), strict=True) if k is not None and n is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["query_id", "asked"])
 
     return rows.mapInArrow(keyed, "query_id long, asked binary").distinct()
@@ -80,7 +84,7 @@ def keyed_rows(rows: DataFrame) -> DataFrame:
 def grow(sample: np.ndarray, vectors: int, trees: int = TREES, leaf_vectors: int = LEAF_VECTORS, seed: int = 3) -> dict:
     """A forest from a sample: a random direction per tree and level, a median threshold per node.
 
-    The number of leaves (4,096 a tree at most) bounds what is broadcast; beyond that leaves grow.
+    The number of leaves (64 a tree at most) bounds what is broadcast; beyond that leaves grow.
     Nodes that no sampled vector reaches split at the level's median.
     """
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(vectors, 1) / leaf_vectors)))))
@@ -131,75 +135,123 @@ def visit(forest: dict, sizes: np.ndarray, vector: np.ndarray, share: float) ->
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SEARCH_SHARE, sample: int = SAMPLE_VECTORS) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Vectors of equal length, a row each, in double precision."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(float)
+
+
+def _spread(vectors: np.ndarray) -> np.ndarray:
+    """A hash of each vector, which deals out the vectors of a large leaf."""
+    parts = vectors.view(np.uint64)
+    return mix((parts * (2 * np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1))).sum(axis=1))
+
+
+def rerank(x: np.ndarray, ids: list[list[int]], q: np.ndarray, names: np.ndarray, most: int, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query name, identifier, cosine) of the ``most`` nearest of one leaf for each query.
+
+    Sums of a pair run in a fixed order, so a score does not depend on the block it is made in. All
+    vectors within rounding of the last place are compared exactly, so no tie is lost.
+    """
+    xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    held = np.array([len(i) for i in ids], np.int64)
+    first, flat = np.cumsum(held) - held, np.array([n for i in ids for n in i], np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for lo in range(0, len(q), chunk):
+        mine, length = q[lo : lo + chunk], qn[lo : lo + chunk]
+        rough = (mine @ x.T) / length[:, None] / xn[None, :]
+        place = max(len(x) - most, 0)
+        i, j = np.nonzero(rough >= np.partition(rough, place, axis=1)[:, place, None] - 1e-9)
+        score = (x[j] * mine[i]).sum(axis=1) / (xn[j] * length[i])
+        at = np.repeat(np.arange(len(j)), held[j])
+        name = flat[first[j][at] + np.arange(len(at)) - np.repeat(np.cumsum(held[j]) - held[j], held[j])]
+        i, score = i[at], score[at]
+        order = np.lexsort((name, -score, i))
+        i, name, score = i[order], name[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+        out.append((names[lo : lo + chunk][i[keep]], name[keep], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SEARCH_SHARE, sample: int = SAMPLE_VECTORS, trees: int = TREES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest found, nearest first.
 
     Score is the cosine in double precision, ties go to the smaller identifier, and a row is never
     its own neighbour. Vectors that are null, zero, or hold a null or non-finite component take no
     part, nor do rows with a null identifier or vectors of another length than most of the sample.
     Repeated rows count once. All vectors are indexed; splits come from at most ``sample`` of them
-    (the smallest hashes). ``share`` of the vectors is looked at for each query, 1.0 is exact. Work
-    is dealt out by leaf, so no task holds all vectors or all queries.
+    (the smallest hashes). ``share`` of the vectors is looked at for each query, 1.0 is exact.
+
+    Work is dealt out by leaf, block of the leaf's vectors and block of queries, so no task holds
+    all vectors or all queries; a query meets a leaf's block once.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vector_col].dataType == queries.schema[vector_col].dataType == ArrayType(FloatType()) else "<f8"
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>"))
-    stored = written(distinct_vectors(pick(vectors), k + 1), "ann-vectors")
-    asked = written(keyed_rows(pick(queries)), "ann-queries")
-    drawn = [np.frombuffer(bytes(r.key)) for r in stored.select("key").orderBy(F.xxhash64("key"), "key").limit(sample).collect()]
+    stored = written(distinct_vectors(pick(vectors), k + 1, kind), "ann-vectors")
+    drawn = [np.frombuffer(bytes(r.key), kind).astype(float) for r in stored.select("key").orderBy(F.xxhash64("key"), "key").limit(sample).collect()]
     lengths = [len(v) for v in drawn]
     size = max(sorted(set(lengths)), key=lengths.count) if lengths else 0
-    stored, asked = stored.where(F.length("key") == 8 * size), asked.where(F.length("asked") == 8 * size)
+    width = np.dtype(kind).itemsize * size
+    stored = stored.where(F.length("key") == width)
+    named = keyed_rows(pick(queries), kind).where(F.length("asked") == width)
+    named = written(named.groupBy("asked").agg(F.min("query_id").alias("name")).join(named, "asked"), "ann-queries")
+    asked = written(named.where("query_id = name").select("name", "asked"), "ann-asked")
     drawn = [v for v in drawn if len(v) == size]
     drawn = np.array(drawn, float).reshape(len(drawn), size)
-    shared = spark.sparkContext.broadcast(grow(drawn, stored.count()))
+    forest = grow(drawn, stored.count(), trees)
+    shared = spark.sparkContext.broadcast(forest)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((trees, 2 << shared.value["levels"]), np.int64)
         for batch in batches:
             if batch.num_rows:
-                leaves = route(shared.value, np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(batch.num_rows, -1))
-                for t in range(leaves.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t)), pa.array(leaves[:, t]), *batch.columns], names=["tree", "leaf", "key", "ids"])
+                leaves = route(shared.value, _matrix(batch.column(0), kind))
+                for t in range(trees):
+                    total[t] += np.bincount(leaves[:, t], minlength=total.shape[1])
+        t, leaf = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(total[t, leaf])], names=["tree", "leaf", "n"])
+
+    sizes = np.zeros((trees, 2 << forest["levels"]), np.int64)
+    for r in stored.select("key").mapInArrow(counted, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+        sizes[r.tree, r.leaf] = r.n
+    blocks = -(-sizes // VECTOR_BLOCK)
+    sides = max(-(-asked.count() // QUERY_BLOCK), 1)
+    counts = spark.sparkContext.broadcast((sizes, blocks))
 
-    index = stored.mapInArrow(placed, "tree long, leaf long, key binary, ids array<long>")
-    forest = shared.value
-    sizes = np.zeros((len(forest["planes"]), 2 << forest["levels"]), np.int64)
-    for r in index.groupBy("tree", "leaf").count().collect():
-        sizes[r.tree, r.leaf] = r["count"]
-    counted = spark.sparkContext.broadcast(sizes)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0), kind)
+                leaves, spread = route(shared.value, x), _spread(x)
+                for t in range(trees):
+                    block = (spread % counts.value[1][t, leaves[:, t]].astype(np.uint64)).astype(np.int64)
+                    for side in range(sides):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(leaves[:, t]), pa.array(block), pa.array(np.full(len(x), side)), *batch.columns], names=["tree", "leaf", "block", "side", "key", "ids"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                leaves = visit(shared.value, counted.value, np.frombuffer(key), share)
-                if leaves:
-                    t, leaf = zip(*leaves, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(leaf, pa.int64()), pa.array([key] * len(t), pa.binary())], names=["tree", "leaf", "asked"])
-
-    visits = asked.select("asked").distinct().mapInArrow(searched, "tree long, leaf long, asked binary")
-
-    def reranked(held: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
-        names = ["asked", "vec_id", "score"]
-        if held.empty or sought.empty:
-            return pd.DataFrame({n: [] for n in names})
-        x = np.frombuffer(b"".join(held.key)).reshape(len(held), -1)
-        xn = np.sqrt((x * x).sum(axis=1))
-        out = []
-        for lo in range(0, len(sought), 512):
-            block = sought.asked.iloc[lo : lo + 512]
-            q = np.frombuffer(b"".join(block)).reshape(len(block), -1)
-            qn = np.sqrt((q * q).sum(axis=1))
-            rough = (q @ x.T) / qn[:, None] / xn[None, :]
-            top = np.argsort(-rough, axis=1, kind="stable")[:, : k + 4]
-            for i, key in enumerate(block):
-                # sums in a fixed order, so that a pair's score doesn't depend on its block
-                score = (x[top[i]] * q[i]).sum(axis=1) / (xn[top[i]] * qn[i])
-                own = sorted((-s, n) for s, j in zip(score, top[i], strict=True) for n in held.ids.iloc[j])[: k + 1]
-                out += [(key, n, -s) for s, n in own]
-        return pd.DataFrame(out, columns=names)
-
-    hits = index.groupBy("tree", "leaf").cogroup(visits.groupBy("tree", "leaf")).applyInPandas(reranked, "asked binary, vec_id long, score double")
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    few = hits.groupBy("asked", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+            name, vectors = batch.column(0), _matrix(batch.column(1), kind) if batch.num_rows else []
+            for i, vector in enumerate(vectors):
+                cells = [(t, leaf, b) for t, leaf in visit(shared.value, counts.value[0], vector, share) for b in range(counts.value[1][t, leaf])]
+                if cells:
+                    side = int(mix(np.array([name[i].as_py()], np.int64).view(np.uint64))[0] % np.uint64(sides))
+                    columns = [pa.array(c, pa.int64()) for c in zip(*cells, strict=True)]
+                    at = pa.array(np.full(len(cells), i))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(cells), side)), name.take(at), batch.column(1).take(at)], names=["tree", "leaf", "block", "side", "name", "asked"])
+
+    def reranked(held: pa.Table, sought: pa.Table) -> pa.Table:
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if held.num_rows and sought.num_rows:
+            found = rerank(_matrix(held.column("key"), kind), held.column("ids").to_pylist(), _matrix(sought.column("asked"), kind), sought.column("name").to_numpy(), k + 1)
+        return pa.table(dict(zip(("name", "vec_id", "score"), map(pa.array, found), strict=True)))
+
+    cell = ("tree", "leaf", "block", "side")
+    index = stored.mapInArrow(placed, "tree long, leaf long, block long, side long, key binary, ids array<long>")
+    visits = asked.mapInArrow(searched, "tree long, leaf long, block long, side long, name long, asked binary")
+    hits = index.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(reranked, "name long, vec_id long, score double")
+    best = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
+    few = hits.groupBy("name", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = asked.join(few, "asked").where("query_id <> vec_id")
+    pairs = named.select("query_id", "name").join(few, "name").where("query_id <> vec_id")
     return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
