@@ -10,6 +10,7 @@ are powers of two, so that nothing is padded.
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 END = b"\0\0"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 SPECIAL = "<|endoftext|>"
 #: A space beside other white space, where words can't be told apart at single spaces.
 GAPS = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -57,7 +58,8 @@ class Words:
     def text(self, text: str) -> bytes:
         if SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
+        ids = self.fast.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def word(self, word: str) -> bytes:
         ids = self.text(" " + word)
@@ -74,8 +76,10 @@ class Words:
                 continue
             first, *rest = text.split(" ")
             ids = list(map(self.memo.get, rest))
-            if None in ids:
-                ids = [self.word(w) if i is None else i for w, i in zip(rest, ids, strict=True)]
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = self.word(rest[at])
             out.append(self.text(first) + b"".join(ids) if first else b"".join(ids))
         return out
 
