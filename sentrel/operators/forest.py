@@ -102,13 +102,14 @@ def scores(scaled: DataFrame, forest: tuple[list, int]) -> DataFrame:
     return scaled.mapInPandas(scored, "drug string, event string, quarter string, isolation double")
 
 
-def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED) -> DataFrame:
+def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED, grown: tuple[list, int] | None = None) -> DataFrame:
     """drug, event, quarter, anomaly_score (above 0: anomaly), is_anomaly over a whole snapshot.
 
-    The threshold is the score that about ``contamination`` of the rows exceed.
+    The threshold is the score that about ``contamination`` of the rows exceed. A forest that
+    ``grow`` has made of these features can be given.
     """
     scaled = robust_scale(features)
-    found = scores(scaled, grow(scaled, trees, seed))
+    found = scores(scaled, grown or grow(scaled, trees, seed))
     cut = found.agg(F.percentile("isolation", 1 - contamination).alias("cut"))
     score = F.col("isolation") - F.col("cut")
     return found.crossJoin(F.broadcast(cut)).select("drug", "event", "quarter", score.alias("anomaly_score"), (score > 0).alias("is_anomaly"))
