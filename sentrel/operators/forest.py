@@ -61,13 +61,12 @@ def grow(scaled: DataFrame, trees: int = TREES, seed: int = SEED) -> tuple[list,
     """
     columns = [f"scaled_{x}" for x in FEATURES]
     pool = scaled.select("drug", "event", "quarter", *columns)
-    n = pool.count()
-    size = min(SUBSAMPLE, n)
-    if n < 2:
-        raise ValueError("an isolation forest needs at least two rows")
     # a pool of hash-smallest rows, bounded whatever the table, from which trees draw
     most = SUBSAMPLE * 64
     sample = pool.orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter").limit(most).select(*columns).toPandas().to_numpy(float)
+    size = min(SUBSAMPLE, len(sample))
+    if size < 2:
+        raise ValueError("an isolation forest needs at least two rows")
     depth = int(np.ceil(np.log2(max(size, 2))))
     spark = scaled.sparkSession
     shared = spark.sparkContext.broadcast(sample)
