@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import FEATURES, robust_scale
+from .temporal import FEATURES, quartiles, robust_scale, scaled_by, vector_columns
 
 TREES, SUBSAMPLE, SEED, CONTAMINATION, OFFSET = 200, 256, 42, 0.05, 0.5
 MINIMUM_TRAINING_ROWS = 8
@@ -43,7 +43,10 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, nodes: list) -> i
 
 
 def _depths(nodes: list, x: np.ndarray) -> np.ndarray:
-    f, cut, low, high, size = (np.array(c) for c in zip(*nodes, strict=True))
+    return _walked(*(np.array(c) for c in zip(*nodes, strict=True)), x)
+
+
+def _walked(f: np.ndarray, cut: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
     at, steps = np.zeros(len(x), int), np.zeros(len(x))
     while (inner := f[at] >= 0).any():
         rows = np.flatnonzero(inner)
@@ -117,18 +120,53 @@ def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION,
 def walk_forward(features: DataFrame, minimum_rows: int = MINIMUM_TRAINING_ROWS, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """quarter, drug, event, score: each quarter scored by a forest of strictly earlier rows.
 
-    Quarters with too little history have no rows. One round per quarter; features should be
-    persisted by the caller.
+    Quarters with too little history have no rows. Scores are those of ``robust_scale``, ``grow`` and
+    ``scores`` round by round; all quarters share one job for the quartiles, one for the pools, one
+    for the trees and one for the scores. The features are read four times: the caller writes or
+    persists them.
     """
-    quarters = sorted(r.quarter for r in features.select("quarter").distinct().collect())
-    parts = []
-    for quarter in quarters:
-        history, current = features.where(F.col("quarter") < quarter), features.where(F.col("quarter") == quarter)
-        if history.limit(minimum_rows).count() < max(minimum_rows, 2):
-            continue
-        found = scores(robust_scale(current, fitted_on=history), grow(robust_scale(history), trees, seed))
-        parts.append(found.select("quarter", "drug", "event", (F.col("isolation") - OFFSET).alias("score")))
-    out = features.select("quarter", "drug", "event", F.lit(0.0).alias("score")).where("false")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    spark = features.sparkSession
+    names, seen, at = [f"scaled_{x}" for x in FEATURES], 0, []
+    for quarter, n in sorted((r[0], r[1]) for r in features.groupBy("quarter").count().collect()):
+        if seen >= max(minimum_rows, 2):
+            at.append(quarter)
+        seen += n
+    if not at:
+        return features.select("quarter", "drug", "event", F.lit(0.0).alias("score")).where("false")
+    rows = features.select("drug", "event", "quarter", *vector_columns())
+    targets = spark.createDataFrame([(q,) for q in at], "at string")
+    fits = rows.join(F.broadcast(targets), F.col("quarter") < F.col("at")).groupBy("at").agg(*quartiles())
+    fits = spark.createDataFrame(fits.collect(), fits.schema)  # one row a quarter
+    history = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") < F.col("at")), "at")
+    order = Window.partitionBy("at").orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter")
+    pooled = history.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBSAMPLE * 64).select("at", "place", *names).toPandas()
+    pools = {q: g.sort_values("place")[names].to_numpy(float) for q, g in pooled.groupby("at")}
+    shared = spark.sparkContext.broadcast([pools[q] for q in at])
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            out = []
+            for i in g.id:
+                pool, tree = shared.value[int(i) // trees], int(i) % trees
+                rng, size = np.random.default_rng([seed, tree]), min(SUBSAMPLE, len(pool))
+                nodes: list = []
+                _grow(pool[rng.choice(len(pool), size, replace=False)], rng, int(np.ceil(np.log2(size))), nodes)
+                out.append((int(i), np.array(nodes, float).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "nodes"])
+
+    table = spark.range(len(at) * trees).mapInPandas(grown, "id long, nodes binary").toPandas().sort_values("id")
+    forests = {q: (list(table.nodes[table.id // trees == i]), min(SUBSAMPLE, len(pools[q]))) for i, q in enumerate(at)}
+    known = spark.sparkContext.broadcast(forests)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for quarter, part in g.groupby("quarter"):
+                cells, size = known.value[quarter]
+                x, depth = part[names].to_numpy(float), np.zeros(len(part))
+                for cell in cells:
+                    f, cut, low, high, leaf = np.frombuffer(cell).reshape(-1, 5).T
+                    depth = depth + _walked(f.astype(int), cut, low.astype(int), high.astype(int), leaf, x)
+                yield part[["quarter", "drug", "event"]].assign(score=2.0 ** (-depth / len(cells) / float(path_length(size))) - OFFSET)
+
+    current = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") == F.col("at")))
+    return current.mapInPandas(scored, "quarter string, drug string, event string, score double")

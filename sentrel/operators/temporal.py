@@ -66,10 +66,18 @@ def robust_scale(features: DataFrame, fitted_on: DataFrame | None = None) -> Dat
     Exact, interpolated quartiles of ``fitted_on`` (by default the rows themselves).
     """
     base = (features if fitted_on is None else fitted_on).select(*vector_columns())
-    quarters = base.agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in FEATURES])
-    rows = features.select("drug", "event", "quarter", *vector_columns()).crossJoin(F.broadcast(quarters))
+    return scaled_by(features.select("drug", "event", "quarter", *vector_columns()).crossJoin(F.broadcast(base.agg(*quartiles()))))
+
+
+def quartiles() -> list[Column]:
+    """Exact, interpolated quartiles of each feature, as q_<name>."""
+    return [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in FEATURES]
+
+
+def scaled_by(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of features with the quartiles to use, scaled by them."""
     spread = lambda x: F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]
-    return rows.select("drug", "event", "quarter", *[((F.col(x) - F.col(f"q_{x}")[1]) / F.when(spread(x) == 0, 1.0).otherwise(spread(x))).alias(f"scaled_{x}") for x in FEATURES])
+    return rows.select("drug", "event", "quarter", *keep, *[((F.col(x) - F.col(f"q_{x}")[1]) / F.when(spread(x) == 0, 1.0).otherwise(spread(x))).alias(f"scaled_{x}") for x in FEATURES])
 
 
 def contributions(scaled: DataFrame) -> DataFrame:

@@ -299,8 +299,7 @@ def isolation_forest(spark, sf):
 
 @query("walk_forward_forest")
 def walk_forward_forest(spark, sf):
-    features = temporal.quarterly_features(observations(spark, sf)).where("quarter < '1997-Q1'")
-    return forest.walk_forward(features.persist(), trees=50)
+    return forest.walk_forward(temporal.quarterly_features(observations(spark, sf)).persist())
 
 
 # ---- backtest -----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrel.operators import adjusted, backtest, contingency, detectors, forest, serve, temporal
+from sentrel.plans import queries
 
 
 def rows_of(counts, day="2025-01-04"):
@@ -111,6 +112,29 @@ def test_walk_forward_sees_only_the_past(quarters):
     assert forest.walk_forward(features, minimum_rows=8, trees=5).where("quarter < '2024-Q4'").count() == 0
 
 
+def test_walk_forward_equals_one_forest_a_quarter(quarters):
+    features = temporal.quarterly_features(quarters).persist()
+    got = {(r.quarter, r.drug, r.event): r.score for r in forest.walk_forward(features, minimum_rows=4, trees=7).collect()}
+    want = {}
+    for quarter in ["2024-Q2", "2024-Q3", "2024-Q4"]:
+        past, now = features.where(F.col("quarter") < quarter), features.where(F.col("quarter") == quarter)
+        if past.count() >= 4:
+            for r in forest.scores(temporal.robust_scale(now, fitted_on=past), forest.grow(temporal.robust_scale(past), 7)).collect():
+                want[r.quarter, r.drug, r.event] = r.isolation - forest.OFFSET
+    assert got == pytest.approx(want, abs=1e-12) and got
+
+
+def test_registered_walk_forward_scores_every_quarter(spark):
+    """All quarters but those with fewer than eight earlier rows, by the default trees."""
+    sf = "/root/testdata/sf0.001"
+    rows = queries.quarter_features(spark, sf).groupBy("quarter").count().collect()
+    n = {r[0]: r[1] for r in rows}
+    want = {q: n[q] for q in n if sum(n[p] for p in n if p < q) >= forest.MINIMUM_TRAINING_ROWS}
+    found = queries.walk_forward_forest(spark, sf)
+    assert {r[0]: r[1] for r in found.groupBy("quarter").count().collect()} == want
+    assert max(want) > "2001" and len(want) > 20
+
+
 def test_backtest_counts_references_and_nulls(spark, quarters):
     features = temporal.quarterly_features(quarters)
     refs = spark.createDataFrame(
