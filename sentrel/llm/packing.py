@@ -29,7 +29,8 @@ from ._text import strings
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 12
+#: How many of a seed's strongest terms score (None: all of them).
+QUERY_TERMS: int | None = None
 K1, B = 1.2, 0.75
 END = b"\0\0"
 MEMO_WORDS = 700_000
@@ -146,17 +147,18 @@ class Index:
         self.docs, self.impact = doc[order], impact[order]
         self.at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> list[int]:
-        """The best ``most`` unused documents for the seed's strongest terms, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
+        """The best ``most`` (by default all) unused documents that score above 0 for the seed's terms, best first."""
         lo, hi = self.cut[seed], self.cut[seed + 1]
-        strong = self.terms[lo:hi][np.argsort(-self.weight[lo:hi], kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for t in strong:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.docs[a:b]] += self.impact[a:b]
-        score *= unused
-        best = np.argsort(-score, kind="stable")[:most]
-        return best[score[best] > 0].tolist()
+        strong = self.terms[lo:hi]
+        if QUERY_TERMS:
+            strong = strong[np.argsort(-self.weight[lo:hi], kind="stable")[:QUERY_TERMS]]
+        a, n = self.at[strong], self.at[strong + 1] - self.at[strong]
+        a, n = a[n > 1], n[n > 1]  # the seed alone holds the others
+        pick = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.docs[pick], self.impact[pick], minlength=self.n) * unused
+        able = np.flatnonzero(score > 0)
+        return able[np.argsort(-score[able], kind="stable")[:most]].tolist()
 
 
 def _layout(cells: list[bytes], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -182,7 +184,7 @@ def _layout(cells: list[bytes], index: Index, window: int) -> Iterator[tuple[int
             if offset == window:
                 number, offset, seeds = number + 1, 0, True
         if offset and seeds:
-            found, at = index.neighbours(doc, unused, 32), 0
+            found, at = index.neighbours(doc, unused), 0
 
 
 def _tail(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -215,7 +217,10 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
     nothing is shuffled but the 65,536 term counts.
     """
     tokens = written(tokenized(docs, tokenizer, id_col, text_col), "packing-ids")
-    shared = docs.sparkSession.sparkContext.broadcast(term_counts(tokens))
+    holding, count, size = term_counts(tokens)
+    holding = holding.astype(float)
+    holding[0] = count + 0.5  # the closing id is everywhere and weighs nothing
+    shared = docs.sparkSession.sparkContext.broadcast((holding, count, size))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
         names: list = []

@@ -70,6 +70,23 @@ def test_neighbours_are_the_best_by_bm25():
     assert [round(score[d], 9) for d in index.neighbours(0, unused, 10)] == [round(score[d], 9) for d in want]
 
 
+def test_windows_take_every_neighbour_before_a_fresh_seed():
+    """Sixty short texts of each of two kinds, interleaved: the first window takes all of one kind."""
+    cells = [np.array([1 + i % 2, 3 + i % 2, 0], "<u2").tobytes() for i in range(120)]
+    holding = np.bincount(np.concatenate([np.frombuffer(c, "<u2") for c in cells]), minlength=1 << 16).astype(float)
+    holding[0] = 120.5
+    order = [p[0] for p in packing._layout(cells, packing.Index(cells, holding, 120, 360), 1024)]
+    assert [d % 2 for d in order] == [0] * 60 + [1] * 60
+
+
+def test_all_terms_of_a_seed_score():
+    """A seed of twenty terms finds a text that shares only its weakest one."""
+    cells = [np.array([*range(1, 21), 0], "<u2").tobytes(), np.array([20, 20, 0], "<u2").tobytes(), np.array([99, 0], "<u2").tobytes()]
+    holding = np.full(1 << 16, 2.0)
+    holding[[0, 20]] = 1000.5, 900
+    assert packing.Index(cells, holding, 1000, 9000).neighbours(0, np.array([False, True, True])) == [1]
+
+
 def brute(vocab, text):
     """Best total over all segmentations, by trying every piece at every position."""
     pieces = {p.replace("▁", " "): (i, s) for i, (p, s, k) in enumerate(zip(vocab["pieces"], vocab["scores"], vocab["kinds"], strict=True)) if k == "text"}
