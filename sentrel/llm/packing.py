@@ -1,7 +1,8 @@
 """Packing by lexical retrieval.
 
-Documents that one task reads together form a shard with a BM25 inverted index of its own; the
-statistics behind the scores cover the corpus. Each window starts with a seed document and asks the
+Documents are dealt by a sketch of their strongest terms, so that likely neighbours meet. Neighbours
+in that order form a shard with a BM25 inverted index of its own; the statistics behind the scores
+cover the corpus. Each window starts with a seed document and asks the
 index for unused neighbours, which fill it greedily; the last is cut at the window's end and its
 rest seeds the next window. What a shard has left at the end is laid out in sequences whose lengths
 are powers of two, so that nothing is padded.
@@ -31,6 +32,9 @@ SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
 #: How many of a seed's strongest terms score (None: all of them).
 QUERY_TERMS: int | None = None
+#: A sketch term occurs in this many documents at least, where a document has such terms: rarer ones gather too few.
+SKETCH_HOLDING = 256
+PART_SHARDS = 4
 K1, B = 1.2, 0.75
 END = b"\0\0"
 MEMO_WORDS = 700_000
@@ -161,6 +165,51 @@ class Index:
         return able[np.argsort(-score[able], kind="stable")[:most]].tolist()
 
 
+def _keys(cells: list[bytes], holding: np.ndarray, corpus_docs: int, corpus_tokens: int) -> np.ndarray:
+    """A 63-bit place for every document: the set of its three strongest terms, five bits of its text, ten of its row.
+
+    The last ten let a crowd of equal documents be cut into parts.
+    """
+    index = Index(cells, holding, corpus_docs, corpus_tokens)
+    doc = np.repeat(np.arange(len(cells)), np.diff(index.cut))
+    known = np.flatnonzero((holding[index.terms] > 1) & (index.terms > 0))
+    order = known[np.lexsort((index.terms[known], -index.weight[known], holding[index.terms[known]] < SKETCH_HOLDING, doc[known]))]
+    place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    top = np.zeros((len(cells), 3), np.int64)
+    for i in range(3):
+        at = order[place == i]
+        top[doc[at], i] = index.terms[at]
+    top.sort(axis=1)
+    crc = np.array([zlib.crc32(c) & 31 for c in cells], np.int64)
+    return (top[:, 2] << 47) | (top[:, 1] << 31) | (top[:, 0] << 15) | (crc << 10) | (np.arange(len(cells)) * 617 & 1023)
+
+
+def gathered(tokens: DataFrame, statistics: tuple[np.ndarray, int, int]) -> DataFrame:
+    """doc_id and ids, ordered by sketch: each partition holds a range of sketches, in order.
+
+    Ranges are cut at quantiles of a sample of about 400 documents a partition. Rows are shuffled once.
+    """
+    _, docs, size = statistics
+    parts = max(1, -(-docs // (SHARD_DOCS * PART_SHARDS)), -(-size // (SHARD_TOKENS * PART_SHARDS)))
+    shared = tokens.sparkSession.sparkContext.broadcast(statistics)
+    cuts = np.zeros(0, np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                key = _keys(part.column(1).to_pylist(), *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, side="right").astype(np.int32)), pa.array(key), *part.columns], names=["part", "key", "doc_id", "ids"])
+
+    schema = "part int, key long, doc_id long, ids binary"
+    if parts > 1:
+        sample = tokens.sample(min(1.0, 400 * parts / docs), seed=7).mapInArrow(placed, schema).select("key").toPandas().key.to_numpy()
+        if len(sample):
+            cuts = np.sort(sample)[np.arange(1, parts) * len(sample) // parts]
+    rows = tokens.mapInArrow(placed, schema)
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
+
+
 def _layout(cells: list[bytes], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, window, offset) for all ids of a shard, in order."""
     size = [len(c) // 2 for c in cells]
@@ -212,9 +261,9 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
     Every row is tokenised whole and closed with id 0; null text counts as empty, so it is that id
     alone. Each id lies in exactly one piece, each sequence holds ``window`` ids or a power of two,
     and offsets leave no gap. Identifiers may be null or repeat: each row is placed by itself. An
-    empty table gives an empty result. The tokens are written once to the shared folder; a shard (at
-    most 1,024 documents and about two million ids read by one task) bounds the memory of a task, and
-    nothing is shuffled but the 65,536 term counts.
+    empty table gives an empty result. The tokens are written once to the shared folder; the ids
+    are shuffled once, by sketch; a shard (at most 1,024 documents and about two million ids in that
+    order) bounds the memory of a task.
     """
     tokens = written(tokenized(docs, tokenizer, id_col, text_col), "packing-ids")
     holding, count, size = term_counts(tokens)
@@ -251,4 +300,4 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
             )
             sequence += int(number[-1]) + 1
 
-    return tokens.mapInArrow(packed, PIECES)
+    return gathered(tokens, (holding, count, size)).mapInArrow(packed, PIECES)

@@ -87,6 +87,19 @@ def test_all_terms_of_a_seed_score():
     assert packing.Index(cells, holding, 1000, 9000).neighbours(0, np.array([False, True, True])) == [1]
 
 
+def test_copies_far_apart_in_the_file_share_a_window(spark):
+    """Texts whose copies are 1,500 rows away, in another run of 1,024 rows: the ids' order brings most together."""
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=25)) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").coalesce(1)
+    held = defaultdict(set)
+    for r in packing.pack(docs, byte_tokenizer()).collect():
+        held[r.doc_id].add(r.sequence_id)
+    assert len(held) == 3000
+    assert np.mean([bool(held[i] & held[i + 1500]) for i in range(1500)]) > 0.9
+
+
 def brute(vocab, text):
     """Best total over all segmentations, by trying every piece at every position."""
     pieces = {p.replace("▁", " "): (i, s) for i, (p, s, k) in enumerate(zip(vocab["pieces"], vocab["scores"], vocab["kinds"], strict=True)) if k == "text"}
