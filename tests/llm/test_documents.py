@@ -173,6 +173,22 @@ def test_secrets_found_and_removed(spark):
     assert secret_scan.scan(df.drop("source").where("false"), secret_scan.train()).count() == 0
 
 
+def test_secrets_under_compound_names_and_before_full_stops():
+    rng = random.Random(4)
+    of = lambda chars, n: "".join(rng.choices(chars, k=n))
+    hexes, alnum = "0123456789abcdef", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    key = of(hexes, 32)
+    values = {"AWS_SECRET_ACCESS_KEY=": of(alnum, 40), "SECRET_KEY=": key, "db_root_password: ": of(alnum, 20), "authToken=": key, "private_key = ": key[:20], "secret2=": key}
+    forest = secret_scan.train()
+    for name, value in values.items():
+        text = f"x {name}{value} y"
+        assert secret_scan._searched(strings(pa.array([text]), lower=False)) == [0]
+        found = secret_scan._spans(text, "", forest)
+        assert [text[a:b] for a, b, *_ in found] == [value], name
+        assert found[0][3] >= secret_scan.CUT or name == "private_key = ", name  # the forest turns 20 hexadecimal digits down
+    assert [k for *_, k in secret_scan.candidates(f"the key {key}. Then")] == ["opaque"] == [k for *_, k in secret_scan.candidates(f"id={key}")]
+
+
 # licences
 
 
