@@ -26,9 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; rows without an identifier pass."""
-    going = near_dedup.near_classes(docs).where("not kept").select("doc_id")
-    return docs.join(going, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate class."""
+    return near_dedup.deduplicated(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
