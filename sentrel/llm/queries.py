@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op4_chat_format": """
         WITH placed AS (
-            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos
             FROM conversations),
         prefix AS (
             SELECT conv_id, pos, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS seen,

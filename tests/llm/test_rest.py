@@ -1,5 +1,6 @@
 """Chats, neighbours and the pipeline."""
 
+import hashlib
 import random
 
 import duckdb
@@ -13,7 +14,7 @@ from sentrel.llm import ann, chat_format, near_dedup, queries
 def chats(rows):
     """conv_id: rendered text of the maximal conversations, by comparing all lists of turns."""
     seen = {}
-    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, hashlib.md5((r[3] or "").encode()).hexdigest())):
         seen.setdefault(conv, []).append((role, text))
     out = {}
     for conv, turns in seen.items():
@@ -32,7 +33,7 @@ def test_snapshots_collapse(spark):
         rows += [(conv, t, "user" if t % 2 == 0 else "bot", f"{base}-{t}") for t in range(rng.randint(1, 6))]
     rows += [(100, t * 7, "user", f"long {t}") for t in range(300)] + [(101, t * 7, "user", f"long {t}") for t in range(200)] + [(102, t * 7, "user", f"long {t}" if t else "other") for t in range(5)]
     rows += [(200, None, None, None), (200, 1, None, ""), (201, 1, "", None), (None, 1, "user", "no name"), (202, 1, "u", "same"), (202, 1, "u", "same"), (203, 1, "u", "same"), (204, 1, "u", ""), (204, 2, "u", "é" * 50_000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    df = spark.createDataFrame([(*r, 1, 2, True, 3) for r in rows], "conv_id long, turn long, role string, text string, pos int, cid int, none boolean, h1 int").repartition(5)
     got = {}
     for r in chat_format.format_chats(df).collect():
         got.setdefault(r.conv_id, {})[r.part] = r.rendered
@@ -41,6 +42,22 @@ def test_snapshots_collapse(spark):
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("turn", [None, 7, "own"])
+def test_hot_conversations(spark, monkeypatch, turn):
+    """One conversation without a name and a copy of it with one, longer by a turn, with one turn number or many."""
+    monkeypatch.setattr(chat_format, "HOT_TURNS", 500)
+    rng = random.Random(1)
+    body = [(i if turn == "own" else turn, "user", f"{rng.randint(0, 99)} x") for i in range(3000)]
+    last = (10**6, "user", "end")
+    rows = [(None, *r) for r in body] + [(5, *r) for r in [*body, last]] + [(6, *r) for r in [*body, last]] + [(9, 1, "a", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {}
+    for r in chat_format.format_chats(df).collect():
+        got.setdefault(r.conv_id, {})[r.part] = r
+    assert {c: "".join(p[i].rendered for i in sorted(p)) for c, p in got.items()} == chats(rows)
+    assert set(got) == {5, 9} and {r.copies for r in got[5].values()} == {2} and len(got[5]) == 47
+
+
 def test_chat_query_equals_sql(spark):
     con = duckdb.connect()
     con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
