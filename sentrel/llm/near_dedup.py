@@ -306,7 +306,8 @@ def classes(docs: DataFrame, size: int, similarity: float, bands: int, rows: int
     def starred(rim: DataFrame) -> DataFrame:
         """Links (u, v) between leaders and members of ``rim`` (node, own, n, b1, b2, leader, leader_own)."""
         pairs = rim.alias("m").hint("merge").join(seen.alias("o"), F.col("leader") == F.col("other")).where(alike("m", "o"))
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_own").alias("u"), F.col("own").alias("v"))
+        # written, so that the next join stands alone and Spark can split a leader with many members
+        pairs = store.written(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader_own").alias("u"), F.col("own").alias("v")), "near-pairs")
         return store.written(_linked(pairs, sets, similarity, weighted), "near-links")
 
     rim = members.where("node <> leader").select("node", F.col("node").alias("own"), "n", "b1", "b2", "leader", F.col("leader").alias("leader_own")).distinct()
