@@ -34,7 +34,8 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_read(spark, sf_dir, "documents"), secret_scan.train())
+    docs = _read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(words=secret_scan.dictionary(docs)))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

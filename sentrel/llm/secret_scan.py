@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Patterns find strings that may be credentials. A forest trained on labelled findings then looks at
-length, character transitions, dictionary coverage, path and neighbouring words.
+length, character transitions, dictionary coverage, path and neighbouring words. The dictionary is
+counted from all documents.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ import math
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +23,11 @@ from pyspark.sql import functions as F
 
 from ._text import raw, slices, strings
 
-TREES, DEPTH, CUT = 40, 9, 0.5
+TREES, DEPTH, CUT = 60, 12, 0.5
+#: Words that the dictionary keeps, documents that hold a kept word at least, and words that a task counts before it passes its sums on.
+DICTIONARY_WORDS, DICTIONARY_HOLDING, COUNTED_WORDS = 20_000, 3, 200_000
+WORD = re.compile(r"\b[a-z]{4,20}\b")
+TEXT_PIECE = 1 << 20
 
 #: Fixed patterns: kinds of candidates, tried in this order; the group holds the secret.
 PATTERNS: dict[str, str] = {
@@ -46,87 +53,146 @@ NEAR_HARMLESS = "example sample dummy placeholder test fake checksum sha sha1 sh
 HARMLESS_PATH = "test tests example examples sample samples fixture fixtures doc docs mock spec readme lock changelog".split()
 COMMON = "the and for you your this that with from have are not was but all can has user admin name value change changeme example sample test password secret token key access default string here insert none null true false config local host server client demo dummy placeholder foo bar baz qwerty letmein welcome enter please replace data file path http https www com org net".split()
 
-FEATURES = ("length", "entropy", "transitions", "digits", "upper", "lower", "marks", "hexadecimal", "distinct", "longest_run", "dictionary", "path", "near_secret", "near_harmless", "assignment", "opaque", "known_format")
+FEATURES = (
+    "length", "entropy", "transitions", "digits", "upper", "lower", "marks", "hexadecimal", "distinct", "longest_run", "dictionary", "path", "near_secret", "near_harmless", "key_secret", "key_harmless", "reference", "uuid", "separators",
+    "assignment", "opaque", "known_format",
+)
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
-def features(value: str, kind: str, left: str, right: str, path: str) -> list[float]:
+def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> list[str]:
+    """The ``most`` words of 4 to 20 ASCII letters that most documents hold (three at least); ties go to the first in order.
+
+    Every row is counted, each word once a text; ``most`` bounds what the driver receives. A task sends
+    the sums of at most ``COUNTED_WORDS`` different words at a time, so its memory is bounded too.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[str] = Counter()
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for text in strings(batch.column(0)).to_pylist():
+                held: set[str] = set()
+                at = 0
+                while at < len(text):  # a piece ends at a space
+                    end = text.find(" ", at + TEXT_PIECE)
+                    end = len(text) if end < 0 else end
+                    held.update(WORD.findall(text[at:end]))
+                    at = end
+                sums.update(held)
+                if len(sums) > COUNTED_WORDS:
+                    yield packed()
+                    sums.clear()
+        yield packed()
+
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in parts.where(F.col("n") >= DICTIONARY_HOLDING).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def automaton(words: Sequence[str]) -> ahocorasick.Automaton:
+    """Finds the words of the dictionary, and the common ones, in a string."""
+    found = ahocorasick.Automaton()
+    for w in (*COMMON, *words):
+        if len(w) > 2:
+            found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def features(value: str, kind: str, left: str, right: str, path: str, words: ahocorasick.Automaton) -> list[float]:
     """Numbers that describe a candidate, its path and the words on either side (20 characters or more are given)."""
     n = max(len(value), 1)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in value]
     count = {k: kinds.count(k) / n for k in "dulm"}
-    freq = [value.count(c) / n for c in set(value)]
+    freq = [c / n for c in Counter(value).values()]
     run = longest = 1
     for a, b in zip(value, value[1:], strict=False):
         run = run + 1 if a == b or abs(ord(a) - ord(b)) == 1 else 1
         longest = max(longest, run)
-    low = value.lower()
     covered = np.zeros(n, bool)
-    for w in COMMON:
-        if len(w) > 2:
-            at = low.find(w)
-            while at >= 0:
-                covered[at : at + len(w)] = True
-                at = low.find(w, at + 1)
-    near = re.findall(r"[a-z0-9]+", f"{left[-40:]} {right[:40]}".lower())
+    for end, size in words.iter(value.lower()[:n]):
+        covered[end + 1 - size : end + 1] = True
+    before, after = (re.findall(r"[a-z0-9]+", t) for t in (left[-40:].lower(), right[:40].lower()))
+    near = [*before, *after]
+    key = "".join(before[-3:])
     parts = re.findall(r"[a-z0-9]+", path.lower())
     return [
         float(n), -sum(f * math.log2(f) for f in freq), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, count["d"], count["u"], count["l"], count["m"],
         float(all(c in string.hexdigits for c in value)), len(set(value)) / n, longest / n, float(covered.mean()), float(any(p in HARMLESS_PATH for p in parts)),
-        float(sum(w in NEAR_SECRET for w in near)), float(sum(w in NEAR_HARMLESS for w in near)), float(kind == "assignment"), float(kind == "opaque"), float(kind not in ("assignment", "opaque")),
+        float(sum(any(k in w for k in NEAR_SECRET) for w in near)), float(sum(w in NEAR_HARMLESS for w in near)), float(any(k in key for k in NEAR_SECRET)), float(any(w in NEAR_HARMLESS for w in before[-3:])),
+        float(value[:1] in "$<{[%(") + float("(" in value), float(UUID.fullmatch(value) is not None), float(value.count("/") + value.count(".")) / n, float(kind == "assignment"), float(kind == "opaque"), float(kind not in ("assignment", "opaque")),
     ]
 
 
-def labelled_findings(rows: int = 3000, seed: int = 7) -> list[tuple[str, str, str, str, str, int]]:
+def labelled_findings(rows: int = 6000, seed: int = 7, words: Sequence[str] = ()) -> list[tuple[str, str, str, str, str, int]]:
     """(value, kind, left, right, path, is secret): labelled findings made by rule from a seed.
 
-    The tables hold no labelled findings, so these stand in; ``train`` takes any others. Real
-    secrets are random strings in assignments and known formats. Harmless ones are placeholders,
-    words joined by marks, references to variables, checksums, identifiers and counting strings.
+    The tables hold no labelled findings, so these stand in; ``train`` takes any others. Secrets are
+    random strings beside key words and in known formats. Harmless are random strings that are no
+    secrets (checksums, revisions, UUIDs, cache names, even where a key word is near) and values of key
+    words that are not random (placeholders, references to variables, calls, phrases, identifiers,
+    paths, counting and repeated characters). ``words`` (the dictionary) are what phrases are made of.
     """
     rng = random.Random(seed)
     of = lambda chars, lo, hi: "".join(rng.choices(chars, k=rng.randint(lo, hi)))
     alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
-    words = lambda lo, hi: [rng.choice(["the", "river", "moved", "under", "old", "stone", "and", "Anna", "über", "cloud", "north", "en", "la", "value"]) for _ in range(rng.randint(lo, hi))]
+    pool = [*("the river moved under old stone and cloud north value result error handler service account update".split()), *list(words)[:2000]]
+    some = lambda lo, hi: [rng.choice(pool) for _ in range(rng.randint(lo, hi))]
+    given = lambda: rng.choice([" = ", ": ", "=", ' = "', '": "', ":", " := ", "='"])
+    key_words = ["token", "secret", "password", "api_key", "TOKEN", "access_key", "client_secret", "DB_PASSWORD", "authToken", "private_key", "passwd", "SECRET_KEY", "credential"]
+    random_values = [
+        lambda: of(hexes, 32, 64), lambda: of(hexes, 20, 32), lambda: of(alnum, 16, 48), lambda: of(hexes.upper(), 40, 40), lambda: of(alnum + "!@#$%^&*", 10, 24), lambda: of(alnum + "+/", 40, 88), lambda: of(alnum + "-_", 20, 64),
+        lambda: of(string.ascii_uppercase + string.digits, 16, 32), lambda: "-".join(of(alnum, 4, 6) for _ in range(rng.randint(3, 6))), lambda: rng.choice(["sk", "pk", "rk"]) + "_" + rng.choice(["live", "prod"]) + "_" + of(alnum, 20, 32),
+    ]
+    plain_values = [
+        lambda: rng.choice(["changeme", "your_token_here", "EXAMPLEKEY", "placeholder", "password123", "insert-key-here", "none_value", "default_password", "<your-api-key>", "REPLACE_ME", "xxxxxxxx", "not-a-secret", "mysecretpassword"]) + of("0123456789x", 0, 3),
+        lambda: rng.choice("xX*0.-") * rng.randint(8, 40), lambda: "-".join(w.lower() for w in some(2, 5)) + of(string.digits, 0, 2), lambda: "${" + "_".join(w.upper() for w in some(2, 3)) + "}", lambda: "{{" + ".".join(some(2, 3)) + "}}",
+        lambda: "0123456789abcdef"[: rng.randint(8, 16)] * rng.randint(1, 3), lambda: "abcdefghijklmnopqrstuvwxyz"[: rng.randint(8, 26)], lambda: rng.choice(["os.environ[", "getenv(", "config.get(", "process.env.", "settings.", "self._"]) + "_".join(some(1, 2)),
+        lambda: "_".join(some(2, 7)) + rng.choice(["", "_v2", "_id"]), lambda: "".join(w.capitalize() for w in some(2, 5)), lambda: "/".join(["", *some(2, 4)]) + rng.choice(["", ".txt", ".pem"]), lambda: "https://" + ".".join(some(2, 3)) + "/" + some(1, 1)[0],
+    ]
+    digests = [lambda: of(hexes, 40, 40), lambda: of(hexes, 64, 64), lambda: of(hexes, 32, 32), lambda: f"{of(hexes, 8, 8)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 12, 12)}", lambda: of(alnum + "+/", 43, 43) + "="]
+    harmless_keys = ["commit", "sha256", "sha1", "checksum", "md5", "uuid", "etag", "digest", "revision", "build", "hash", "integrity", "nonce", "guid", "version"]
+    paths = ["core/io.c", "web/app.js", "app/settings.py", "deploy/prod.env", "lib/main.go", "", "blog/post", "site7"]
     out = []
     for i in range(rows):
-        left, right, path = " ".join(words(2, 6)), " ".join(words(2, 6)), rng.choice(["core/io.c", "web/app.js", "app/settings.py", "deploy/prod.env", "lib/main.go", ""])
+        left, right, path = " ".join(some(0, 6)), " ".join(some(0, 6)), rng.choice(paths)
         if i % 2:
             kind = rng.choice(["assignment", "assignment", "assignment", "opaque", "known"])
             if kind == "assignment":
-                value = rng.choice([lambda: of(hexes, 32, 64), lambda: of(alnum, 16, 48), lambda: of(hexes.upper(), 40, 40), lambda: of(alnum + "!@#$%^&*", 10, 24), lambda: of(alnum + "+/", 40, 88)])()
-                if rng.random() < 0.25:
-                    value += rng.choice(["!!", "??", ")", "]", "."])
-                left += " " + rng.choice(["token", "secret", "password", "api_key", "TOKEN", "access_key", "client_secret"]) + rng.choice([" = ", ": ", "=", ' = "'])
+                value = rng.choice(random_values)()
+                left += " " + rng.choice(key_words) + given()
             elif kind == "opaque":
-                value, left = of(alnum + "_-", 28, 60), left + " " + rng.choice(["bearer ", "key ", "token ", "secret is "])
+                value, left = rng.choice([lambda: of(alnum + "_-", 28, 60), lambda: of(hexes, 32, 64), lambda: of(alnum, 24, 40)])(), left + " " + rng.choice(["bearer ", "key ", "token ", "secret is ", "Authorization: Bearer ", "password "])
             else:
                 kind, value = rng.choice([("aws_key_id", "AKIA" + of(string.ascii_uppercase + string.digits, 16, 16)), ("github_token", "ghp_" + of(alnum, 36, 36)), ("slack_token", "xoxb-" + of(string.digits, 10, 12) + "-" + of(alnum, 24, 24)), ("google_key", "AIza" + of(alnum, 35, 35)), ("jwt", f"eyJ{of(alnum, 20, 40)}.eyJ{of(alnum, 30, 80)}.{of(alnum, 30, 43)}")])
             if rng.random() < 0.03:
-                path = "tests/fixtures/keys.txt"
+                path = rng.choice(["tests/fixtures/keys.txt", "docs/setup.md"])
         else:
-            kind = rng.choice(["assignment", "opaque"])
-            value = rng.choice([
-                lambda: rng.choice(["changeme", "your_token_here", "EXAMPLEKEY", "placeholder", "password123", "insert-key-here", "none_value", "default_password"]) + of("0123456789x", 0, 3), lambda: rng.choice("xX*0.-") * rng.randint(8, 40),
-                lambda: "-".join(w.lower() for w in words(3, 5)) + of(string.digits, 1, 2), lambda: "${" + "_".join(w.upper() for w in words(2, 3)) + "}", lambda: "0123456789abcdef"[: rng.randint(8, 16)] * rng.randint(1, 3), lambda: "os.environ[" + words(1, 1)[0], lambda: "_".join(words(4, 7)) + "_v2",
-            ])()
-            if rng.random() < 0.5:
-                kind, value = "opaque", rng.choice([lambda: of(hexes, 40, 40), lambda: of(hexes, 64, 64), lambda: of(hexes, 32, 32), lambda: f"{of(hexes, 8, 8)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 12, 12)}"])()
-                left += " " + rng.choice(["commit ", "sha256 ", "checksum ", "md5 ", "uuid ", "etag ", "digest ", "", "build "])
-            elif kind == "assignment":
-                left += " " + rng.choice(["token", "secret", "password", "api_key"]) + rng.choice([" = ", ": ", "="])
+            draw = rng.random()
+            if draw < 0.45:
+                kind, value = "assignment", rng.choice(plain_values)()
+                left += " " + rng.choice(key_words) + given()
+            elif draw < 0.85:
+                kind, value = "opaque", rng.choice(digests)()
+                left += " " + rng.choice([*harmless_keys, ""]) + rng.choice([" ", ": ", "=", ' = "'])
+            elif draw < 0.93:
+                kind, value = "opaque", rng.choice(plain_values[2:])() + "-".join(some(3, 5)) + of(string.digits, 1, 2)
+            else:  # a key word is near, the value belongs to a harmless one
+                kind, value = "assignment", rng.choice(digests)()
+                left += " " + rng.choice(["token", "secret", "key"]) + rng.choice(["_", "-", " "]) + rng.choice(harmless_keys) + given()
             if rng.random() < 0.3:
                 path = rng.choice(["tests/fixtures/keys.txt", "docs/example.md", "package.lock", "samples/config.ini"])
+        if rng.random() < 0.1:
+            value += rng.choice([")", "]", ".", "!"])
         out.append((value, kind, left, right, path, i % 2))
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> list:
-    """A tree as nested lists: [share] for a leaf, [feature, threshold, low, high] for a split by Gini impurity."""
-    if depth == 0 or len(y) < 6 or y.min() == y.max():
-        return [float(y.mean())]
+def split(x: np.ndarray, y: np.ndarray, able: Sequence[int]) -> tuple[float, int, float]:
+    """(gain in Gini impurity, feature, threshold) of the best split of rows among the features ``able``; gain 0 if there is none."""
     best = (0.0, 0, 0.0)
     parent = y.mean() * (1 - y.mean())
-    for f in rng.choice(x.shape[1], max(1, int(math.sqrt(x.shape[1])) + 1), replace=False):
+    for f in able:
         order = np.argsort(x[:, f], kind="stable")
         v, ones = x[order, f], np.cumsum(y[order])
         at = np.flatnonzero(v[1:] > v[:-1]) + 1
@@ -137,22 +203,31 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
         k = int(gain.argmax())
         if gain[k] > best[0] + 1e-12:
             best = (float(gain[k]), int(f), float((v[at[k]] + v[at[k] - 1]) / 2))
-    if not best[0]:
+    return best
+
+
+def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> list:
+    """A tree as nested lists: [share] for a leaf, [feature, threshold, low, high] for a split by Gini impurity."""
+    if depth == 0 or len(y) < 6 or y.min() == y.max():
+        return [float(y.mean())]
+    gain, feature, threshold = split(x, y, rng.choice(x.shape[1], max(1, int(math.sqrt(x.shape[1])) + 1), replace=False))
+    if not gain:
         return [float(y.mean())]
-    side = x[:, best[1]] <= best[2]
-    return [best[1], best[2], _grow(x[side], y[side], rng, depth - 1), _grow(x[~side], y[~side], rng, depth - 1)]
+    side = x[:, feature] <= threshold
+    return [feature, threshold, _grow(x[side], y[side], rng, depth - 1), _grow(x[~side], y[~side], rng, depth - 1)]
 
 
-def train(findings: list[tuple] | None = None, trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> list:
-    """A random forest from labelled findings (bootstrap rows, random features at every split)."""
-    rows = labelled_findings() if findings is None else findings
-    x, y = np.array([features(*r[:5]) for r in rows]), np.array([float(r[5]) for r in rows])
+def train(findings: list[tuple] | None = None, words: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> dict:
+    """A random forest from labelled findings (bootstrap rows, random features at every split) and the words it knows."""
+    rows = labelled_findings(words=words) if findings is None else findings
+    known = automaton(words)
+    x, y = np.array([features(*r[:5], known) for r in rows]), np.array([float(r[5]) for r in rows])
     forest = []
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
         pick = rng.integers(0, len(y), len(y))
         forest.append(_grow(x[pick], y[pick], rng, depth))
-    return forest
+    return {"forest": forest, "words": list(words)}
 
 
 def probability(forest: list, x: list[float]) -> float:
@@ -178,8 +253,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _spans(text: str, path: str, forest: list) -> list[tuple[int, int, str, float]]:
-    return [(a, b, kind, probability(forest, features(text[a:b], kind, text[max(0, a - 60) : a], text[b : b + 60], path))) for a, b, kind in candidates(text)]
+_known: list[tuple] = []
+
+
+def _words_of(model: dict) -> ahocorasick.Automaton:
+    """The model's automaton, built once a process."""
+    if not _known or _known[0][0] != (len(model["words"]), hash(tuple(model["words"]))):
+        _known[:] = [((len(model["words"]), hash(tuple(model["words"]))), automaton(model["words"]))]
+    return _known[0][1]
+
+
+def _spans(text: str, path: str, model: dict, known: ahocorasick.Automaton) -> list[tuple[int, int, str, float]]:
+    return [(a, b, kind, probability(model["forest"], features(text[a:b], kind, text[max(0, a - 60) : a], text[b : b + 60], path, known))) for a, b, kind in candidates(text)]
 
 
 def _searched(texts: pa.LargeStringArray) -> list[int]:
@@ -198,20 +283,21 @@ def _searched(texts: pa.LargeStringArray) -> list[int]:
     return np.flatnonzero(some).tolist()
 
 
-def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
+def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
     """One row per candidate: doc_id, start, end (characters), kind, score, secret.
 
     Whole texts are searched. ``secret`` is whether the forest's probability reaches ``cut``. Null
     texts have no candidates; a null or missing path counts as empty. Rows with null or repeated
     identifiers are searched like others. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _words_of(shared.value)
         for batch in batches:
             texts, rows = strings(batch.column(1), lower=False), []
             for i in _searched(texts):
-                rows += [(batch.column(0)[i].as_py(), *s) for s in _spans(texts[i].as_py(), batch.column(2)[i].as_py() or "", shared.value)]
+                rows += [(batch.column(0)[i].as_py(), *s) for s in _spans(texts[i].as_py(), batch.column(2)[i].as_py() or "", shared.value, known)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 score = np.array(cols[4])
@@ -221,19 +307,20 @@ def scan(docs: DataFrame, forest: list, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), path.alias("path")).mapInArrow(scanned, "doc_id long, start long, end long, kind string, score double, secret boolean")
 
 
-def redact(docs: DataFrame, forest: list, text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
+def redact(docs: DataFrame, model: dict, text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET:kind]``; rows and other columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at, path_at = names.index(text_col), names.index(path_col) if path_col in names else None
 
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _words_of(shared.value)
         for batch in batches:
             texts, new = strings(batch.column(at), lower=False), {}
             for i in _searched(texts):
                 text = texts[i].as_py()
                 path = batch.column(path_at)[i].as_py() if path_at is not None else None
-                for a, b, kind, score in reversed(_spans(text, str(path or ""), shared.value)):
+                for a, b, kind, score in reversed(_spans(text, str(path or ""), shared.value, known)):
                     if score >= cut:
                         text = f"{text[:a]}[SECRET:{kind}]{text[b:]}"
                         new[i] = text
