@@ -30,13 +30,10 @@ from ._text import strings
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
-#: How many of a seed's strongest terms score (None: all of them).
-QUERY_TERMS: int | None = None
 #: A sketch term occurs in this many documents at least, where a document has such terms: rarer ones gather too few.
 SKETCH_HOLDING = 256
 PART_SHARDS = 4
 K1, B = 1.2, 0.75
-END = b"\0\0"
 MEMO_WORDS = 700_000
 SPECIAL = "<|endoftext|>"
 #: A space beside other white space, where words can't be told apart at single spaces.
@@ -46,6 +43,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _encoders: dict[tuple, Words] = {}
 
 
+def width(vocabulary: int) -> int:
+    """Bytes that an id takes."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
 class Words:
     """Byte-level BPE ids of whole texts, with a memo of words.
 
@@ -59,12 +61,13 @@ class Words:
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(json_path)
         self.memo: dict[str, bytes] = {}
+        self.width = width(self.whole.get_vocab_size())
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.end = bytes(self.width)
 
     def text(self, text: str) -> bytes:
-        if SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        ids = self.fast.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}H", *ids)
+        ids = self.whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def word(self, word: str) -> bytes:
         ids = self.text(" " + word)
@@ -90,7 +93,7 @@ class Words:
 
 
 def tokenized(docs: DataFrame, tokenizer: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian unsigned 16-bit, closed by id 0) of every row; null text is empty.
+    """doc_id and ids (little-endian unsigned, two bytes each or four where the vocabulary needs them, closed by id 0) of every row; null text is empty.
 
     ``tokenizer`` names the tokenizer's JSON file, its ranks file and its pattern.
     """
@@ -101,63 +104,68 @@ def tokenized(docs: DataFrame, tokenizer: tuple[str, str, str], id_col: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [i + END for i in _encoders[tokenizer].encode(strings(part.column(1), lower=False))]
+                ids = [i + _encoders[tokenizer].end for i in _encoders[tokenizer].encode(strings(part.column(1), lower=False))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(encoded, "doc_id long, ids binary")
 
 
-def _distinct_terms(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct_terms(cells: list[bytes], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count) of a list of id strings, and tokens per document."""
-    size = np.array([len(c) // 2 for c in cells], np.int64)
-    ids = np.frombuffer(b"".join(cells), "<u2").astype(np.int64)
-    key, count = np.unique((np.repeat(np.arange(len(cells)), size) << 16) | ids, return_counts=True)
-    return key >> 16, key & 0xFFFF, count, size
+    size = np.array([len(c) for c in cells], np.int64) // width(vocabulary)
+    kind = np.uint32 if len(cells) * vocabulary < 1 << 32 else np.uint64
+    ids = np.frombuffer(b"".join(cells), f"<u{width(vocabulary)}").astype(kind)
+    ids += np.repeat(np.arange(len(cells), dtype=kind) * kind(vocabulary), size)
+    ids.sort()
+    first = np.flatnonzero(np.concatenate((ids[:1] == ids[:1], ids[1:] != ids[:-1])))
+    doc, term = np.divmod(ids[first], kind(vocabulary))
+    return doc.astype(np.int64), term.astype(np.int64), np.diff(np.append(first, len(ids))), size
 
 
-def term_counts(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each id, documents and tokens in all: 65,536 sums, whatever the corpus."""
+def term_counts(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each id, documents and tokens in all: as many sums as there are ids, whatever the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs, size = np.zeros(1 << 16, np.int64), 0, 0
+        total, docs, size = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                _, term, _, n = _distinct_terms(batch.column(0).slice(at, 1000).to_pylist())
-                total += np.bincount(term, minlength=1 << 16)
+                _, term, _, n = _distinct_terms(batch.column(0).slice(at, 1000).to_pylist(), vocabulary)
+                total += np.bincount(term, minlength=vocabulary)
                 docs, size = docs + len(n), size + int(n.sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [docs, size]))], names=["term", "n"])
 
     got = tokens.select("ids").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     sums = dict(zip(got.term, got.n, strict=True))
-    table = np.zeros(1 << 16, np.int64)
+    table = np.zeros(vocabulary, np.int64)
     for t, n in sums.items():
         if t >= 0:
             table[t] = n
     return table, int(sums.get(-1, 0)), int(sums.get(-2, 0))
 
 
+def _impact(term: np.ndarray, count: np.ndarray, length: np.ndarray, holding: np.ndarray, corpus_docs: int, corpus_tokens: int) -> np.ndarray:
+    """BM25 score of a term that occurs ``count`` times in a text of ``length`` tokens."""
+    idf = np.log1p((corpus_docs - holding + 0.5) / (holding + 0.5))
+    mean = max(corpus_tokens / max(corpus_docs, 1), 1)
+    return idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
+
+
 class Index:
     """BM25 inverted index of one shard: the documents that hold each term, with their scores."""
 
     def __init__(self, cells: list[bytes], holding: np.ndarray, corpus_docs: int, corpus_tokens: int):
-        doc, term, count, size = _distinct_terms(cells)
-        idf = np.log1p((corpus_docs - holding + 0.5) / (holding + 0.5))
-        length = size / max(corpus_tokens / max(corpus_docs, 1), 1)
-        impact = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[doc]))
+        doc, self.terms, count, size = _distinct_terms(cells, len(holding))
+        impact = _impact(self.terms, count, size[doc], holding, corpus_docs, corpus_tokens)
         self.n, self.cut = len(cells), np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(cells)))))
-        self.terms, self.weight = term, impact
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(self.terms.astype(np.uint16 if len(holding) <= 1 << 16 else np.uint32), kind="stable")
         self.docs, self.impact = doc[order], impact[order]
-        self.at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(holding)))))
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
         """The best ``most`` (by default all) unused documents that score above 0 for the seed's terms, best first."""
-        lo, hi = self.cut[seed], self.cut[seed + 1]
-        strong = self.terms[lo:hi]
-        if QUERY_TERMS:
-            strong = strong[np.argsort(-self.weight[lo:hi], kind="stable")[:QUERY_TERMS]]
-        a, n = self.at[strong], self.at[strong + 1] - self.at[strong]
+        own = self.terms[self.cut[seed] : self.cut[seed + 1]]
+        a, n = self.at[own], self.at[own + 1] - self.at[own]
         a, n = a[n > 1], n[n > 1]  # the seed alone holds the others
         pick = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
         score = np.bincount(self.docs[pick], self.impact[pick], minlength=self.n) * unused
@@ -170,15 +178,22 @@ def _keys(cells: list[bytes], holding: np.ndarray, corpus_docs: int, corpus_toke
 
     The last ten let a crowd of equal documents be cut into parts.
     """
-    index = Index(cells, holding, corpus_docs, corpus_tokens)
-    doc = np.repeat(np.arange(len(cells)), np.diff(index.cut))
-    known = np.flatnonzero((holding[index.terms] > 1) & (index.terms > 0))
-    order = known[np.lexsort((index.terms[known], -index.weight[known], holding[index.terms[known]] < SKETCH_HOLDING, doc[known]))]
-    place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+    doc, term, count, size = _distinct_terms(cells, len(holding))
+    known = (holding[term] > 1) & (term > 0)
+    doc, term, count = doc[known], term[known], count[known]
+    score = _impact(term, count, size[doc], holding, corpus_docs, corpus_tokens)
+    score -= 1e6 * (holding[term] < SKETCH_HOLDING)  # behind the others, however strong
     top = np.zeros((len(cells), 3), np.int64)
     for i in range(3):
-        at = order[place == i]
-        top[doc[at], i] = index.terms[at]
+        first = np.flatnonzero(np.concatenate((doc[:1] == doc[:1], doc[1:] != doc[:-1])))
+        if len(first):
+            best = np.repeat(np.maximum.reduceat(score, first), np.diff(np.append(first, len(doc))))
+            won = np.flatnonzero(score == best)
+            won = won[np.concatenate(([True], doc[won[1:]] != doc[won[:-1]]))]
+            top[doc[won], i] = term[won] & 0xFFFF
+            rest = np.ones(len(doc), bool)
+            rest[won] = False
+            doc, term, score = doc[rest], term[rest], score[rest]
     top.sort(axis=1)
     crc = np.array([zlib.crc32(c) & 31 for c in cells], np.int64)
     return (top[:, 2] << 47) | (top[:, 1] << 31) | (top[:, 0] << 15) | (crc << 10) | (np.arange(len(cells)) * 617 & 1023)
@@ -210,14 +225,13 @@ def gathered(tokens: DataFrame, statistics: tuple[np.ndarray, int, int]) -> Data
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
 
 
-def _layout(cells: list[bytes], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) for all ids of a shard, in order."""
-    size = [len(c) // 2 for c in cells]
-    unused = np.ones(len(cells), bool)
+def _layout(size: list[int], index: Index, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, window, offset) for all ids of a shard, given its documents' tokens, in order."""
+    unused = np.ones(len(size), bool)
     number = offset = fresh = 0
     found: list[int] = []
     at = 0
-    for _ in range(len(cells)):
+    for _ in range(len(size)):
         while at < len(found) and not unused[found[at]]:
             at += 1
         seeds, start = not offset or at == len(found), 0
@@ -265,8 +279,10 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
     are shuffled once, by sketch; a shard (at most 1,024 documents and about two million ids in that
     order) bounds the memory of a task.
     """
+    vocabulary = Tokenizer.from_file(tokenizer[0]).get_vocab_size()
+    each = width(vocabulary)
     tokens = written(tokenized(docs, tokenizer, id_col, text_col), "packing-ids")
-    holding, count, size = term_counts(tokens)
+    holding, count, size = term_counts(tokens, vocabulary)
     holding = holding.astype(float)
     holding[0] = count + 0.5  # the closing id is everywhere and weighs nothing
     shared = docs.sparkSession.sparkContext.broadcast((holding, count, size))
@@ -277,25 +293,25 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], window: int = WINDOW,
         held = 0
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if cells and (len(cells) == SHARD_DOCS or held + len(ids) // 2 > SHARD_TOKENS):
+                if cells and (len(cells) == SHARD_DOCS or held + len(ids) // each > SHARD_TOKENS):
                     yield names, cells
                     names, cells, held = [], [], 0
                 names.append(name)
                 cells.append(ids)
-                held += len(ids) // 2
+                held += len(ids) // each
         if cells:
             yield names, cells
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         for names, cells in shards(batches):
-            pieces = _tail(list(_layout(cells, Index(cells, *shared.value), window)), window)
+            lengths = [len(c) // each for c in cells]
+            pieces = _tail(list(_layout(lengths, Index(cells, *shared.value), window)), window)
             doc, start, length, number, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-            wide = [np.frombuffer(c, "<u2").astype("<u4") for c in cells]
-            crc = [zlib.crc32(wide[d][s : s + n].tobytes()) for d, s, n, _, _ in pieces]
-            size = np.array([len(w) for w in wide])[doc]
+            wide = [np.frombuffer(c, f"<u{each}").astype("<u4").tobytes() for c in cells]
+            crc = [zlib.crc32(wide[d] if n == lengths[d] else wide[d][4 * s : 4 * (s + n)]) for d, s, n, _, _ in pieces]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size), pa.array(sequence + number), pa.array(offset)],
+                [pa.array([names[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.array(lengths)[doc]), pa.array(sequence + number), pa.array(offset)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
             sequence += int(number[-1]) + 1

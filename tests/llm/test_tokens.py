@@ -64,8 +64,7 @@ def test_neighbours_are_the_best_by_bm25():
     impact = lambda d, t: idf[t] * (n := int((ids[d] == t).sum())) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids[d]) / (tokens / 50)))
     unused = np.ones(50, bool)
     unused[[0, 7, 9]] = False
-    strong = sorted(set(ids[0].tolist()), key=lambda t: (-impact(0, t), t))[: packing.QUERY_TERMS]
-    score = {d: sum(impact(d, t) for t in strong) for d in range(50) if unused[d]}
+    score = {d: sum(impact(d, t) for t in set(ids[0].tolist())) for d in range(50) if unused[d]}
     want = sorted((d for d in score if score[d] > 0), key=lambda d: (-round(score[d], 9), d))[:10]
     assert [round(score[d], 9) for d in index.neighbours(0, unused, 10)] == [round(score[d], 9) for d in want]
 
@@ -75,10 +74,58 @@ def test_windows_take_every_neighbour_before_a_fresh_seed():
     cells = [np.array([1 + i % 2, 3 + i % 2, 0], "<u2").tobytes() for i in range(120)]
     holding = np.bincount(np.concatenate([np.frombuffer(c, "<u2") for c in cells]), minlength=1 << 16).astype(float)
     holding[0] = 120.5
-    order = [p[0] for p in packing._layout(cells, packing.Index(cells, holding, 120, 360), 1024)]
+    order = [p[0] for p in packing._layout([3] * 120, packing.Index(cells, holding, 120, 360), 1024)]
     assert [d % 2 for d in order] == [0] * 60 + [1] * 60
 
 
+def plain_layout(ids, impact, window):
+    """Greedy windows by the definition: a seed, its best unused neighbours while there are any, else the next unused in order."""
+    unused, pieces, number, offset, queue = list(range(len(ids))), [], 0, 0, []
+    while unused:
+        queue = [d for d in queue if d in unused]
+        doc, seeded = (queue[0], False) if queue and offset else (unused[0], True)
+        unused.remove(doc)
+        start = 0
+        while start < len(ids[doc]):
+            take = min(window - offset, len(ids[doc]) - start)
+            pieces.append((doc, start, take, number, offset))
+            start, offset = start + take, offset + take
+            if offset == window:
+                number, offset, seeded = number + 1, 0, True
+        if seeded and offset:
+            score = {d: sum(impact(d, t) for t in set(ids[doc])) for d in unused}
+            queue = sorted((d for d in unused if score[d] > 1e-12), key=lambda d: (-round(score[d], 9), d))
+    return pieces
+
+
+@pytest.mark.parametrize("vocabulary", [64, 70_000])
+def test_layout_equals_plain_greedy_windows(vocabulary):
+    rng = random.Random(2)
+    ids = [[rng.randint(1, 40) for _ in range(rng.choice([1, 3, 10, 60, 150]))] + [0] for _ in range(60)]
+    cells = [np.array(i, f"<u{packing.width(vocabulary)}").tobytes() for i in ids]
+    holding = np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=vocabulary).astype(float)
+    holding[0] = 60.5
+    total = sum(map(len, ids))
+    impact = lambda d, t: np.log1p((60 - holding[t] + 0.5) / (holding[t] + 0.5)) * (n := ids[d].count(t)) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids[d]) / (total / 60)))
+    got = list(packing._layout([len(i) for i in ids], packing.Index(cells, holding, 60, total), 128))
+    assert got == plain_layout(ids, impact, 128)
+    tail = packing._tail(got, 128)
+    assert sum(p[2] for p in tail) == total and tail[: len(got) - 9] == got[: len(got) - 9]
+
+
+def test_place_is_the_set_of_strongest_terms():
+    rng = random.Random(8)
+    ids = [[rng.randint(1, 50) for _ in range(rng.randint(0, 30))] + [0] for _ in range(80)]
+    holding = np.array([0.0, *[rng.choice([1, 5, 300, 900]) for _ in range(63)]])
+    holding[0] = 1000.5
+    total = sum(map(len, ids))
+    keys = packing._keys([np.array(i, "<u2").tobytes() for i in ids], holding, 1000, total)
+    for own, key in zip(ids, keys, strict=True):
+        score = {t: np.log1p((1000 - holding[t] + 0.5) / (holding[t] + 0.5)) * (n := own.count(t)) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / max(total / 1000, 1))) for t in set(own) if t and holding[t] > 1}
+        best = sorted(score, key=lambda t: (holding[t] < packing.SKETCH_HOLDING, -score[t], t))[:3]
+        assert sorted([*best, 0, 0, 0][:3]) == [int(key) >> shift & 0xFFFF for shift in (15, 31, 47)]
+
+
 def test_all_terms_of_a_seed_score():
     """A seed of twenty terms finds a text that shares only its weakest one."""
     cells = [np.array([*range(1, 21), 0], "<u2").tobytes(), np.array([20, 20, 0], "<u2").tobytes(), np.array([99, 0], "<u2").tobytes()]
