@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._text import WORD, distinct, mix, raw, slices, strings, words
 
 BITS = 18
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS, ROW_VALUES = 10_000, 16_384
 CUT = 0.7
 
 SPACE = np.zeros(256, bool)
@@ -109,11 +109,13 @@ def fit(rows: list[tuple[int, bytes, bytes]], bits: int = BITS, grades: int = 3,
     return {"bits": bits, "weights": weights, "thresholds": np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])]))}
 
 
-def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, levels: int = 3, **options) -> dict:
+def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, row_values: int = ROW_VALUES, bits: int = BITS, levels: int = 3, **options) -> dict:
     """Fit on at most ``sample_rows`` graded documents (the smallest hashes of the identifier).
 
-    ``sample_rows`` bounds what the driver receives (about 4 KB a row). The sample does not depend
-    on partitioning. Null texts count as empty. Without graded rows every weight is zero.
+    ``sample_rows`` rows of at most ``row_values`` different features (8 bytes each, about 4 KB in all for
+    most texts) bound what the driver receives; a text with more features does not train. Of rows that
+    share an identifier one trains, the text with the smallest hash. The sample does not depend on
+    partitioning. Null texts count as empty. Without graded rows every weight is zero.
     """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +128,10 @@ def train(docs: DataFrame, grades: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["grade", "idx", "val"])
 
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", F.col("text").cast("string"))
-    got = rows.mapInArrow(extracted, "grade int, idx binary, val binary").collect()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = named.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("grade", "one.text")
+    got = rows.mapInArrow(extracted, "grade int, idx binary, val binary").where(F.length("idx") <= 4 * row_values).collect()
     return fit(sorted((r.grade, bytes(r.idx), bytes(r.val)) for r in got), bits, levels, **options)
 
 
