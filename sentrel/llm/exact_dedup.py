@@ -4,7 +4,7 @@ Sampled splitters range-partition the normalised texts, Spark's external sort pu
 to each other, and neighbouring rows are compared in full. A group that is larger than a partition
 simply spans several: the splitters order rows by text prefix, digest of the whole text and
 identifier, so a hot text never lands in one task. Fragments of a text at partition edges (at most
-two a partition, which bounds what is broadcast) are put together afterwards.
+two a partition, which bounds what is broadcast) are put together afterwards, by comparing whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ._store import written
 
-OUT = "doc_id long, text_sha256 string, fragment_id long, fragment_keep long, fragment_size long, first boolean, edge boolean"
+OUT = "doc_id long, text_sha256 string, fragment_id long, fragment_keep long, fragment_size long, first boolean, edge boolean, edge_text string"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 SPLITTER_CHARS = 64
 
 
@@ -32,6 +33,10 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text = sha = None
     number = 0
 
+    def only(value: str | None, rows: int) -> pa.Array:
+        """The text of an edge fragment, in its first row."""
+        return pa.concat_arrays([pa.array([value], pa.string()), pa.nulls(rows - 1, pa.string())])
+
     def closed(edge: bool) -> pa.RecordBatch:
         nonlocal number
         doc, null = np.concatenate(ids), np.concatenate(nulls)
@@ -40,8 +45,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if null[0] else int(doc[0])
         number += 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc, mask=null), pa.array([sha] * len(doc), pa.string()), pa.array(np.full(len(doc), part + number - 1)), pa.array([keep] * len(doc), pa.int64()), pa.array(np.full(len(doc), len(doc))), pa.array(first), pa.array(np.full(len(doc), edge))],
-            names=["doc_id", "text_sha256", "fragment_id", "fragment_keep", "fragment_size", "first", "edge"],
+            [pa.array(doc, mask=null), pa.array([sha] * len(doc), pa.string()), pa.array(np.full(len(doc), part + number - 1)), pa.array([keep] * len(doc), pa.int64()), pa.array(np.full(len(doc), len(doc))), pa.array(first), pa.array(np.full(len(doc), edge)), only(text if edge else None, len(doc))],
+            names=NAMES,
         )
 
     for batch in batches:
@@ -71,8 +76,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep, no_keep = doc[at[:last]][run], null[at[:last]][run]
             edge = (run == 0) & (number == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[lo:hi], mask=null[lo:hi]), shas.slice(lo, hi - lo).cast(pa.string()), pa.array(part + number + run), pa.array(keep, mask=no_keep), pa.array(size[:last][run]), pa.array(new[lo:hi]), pa.array(edge)],
-                names=["doc_id", "text_sha256", "fragment_id", "fragment_keep", "fragment_size", "first", "edge"],
+                [pa.array(doc[lo:hi], mask=null[lo:hi]), shas.slice(lo, hi - lo).cast(pa.string()), pa.array(part + number + run), pa.array(keep, mask=no_keep), pa.array(size[:last][run]), pa.array(new[lo:hi]), pa.array(edge), only(texts[lo].as_py() if number == 0 else None, hi - lo)],
+                names=NAMES,
             )
             number += last
         ids, nulls = [doc[at[last] :]], [null[at[last] :]]
@@ -103,12 +108,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Co
     ordered = parted.sortWithinPartitions(F.col("prefix"), F.col("sha"), F.col("t"), order)
     fragments = written(ordered.select("doc_id", "t", "sha").mapInArrow(_fragments, OUT), "content-sort")
     best = (F.min if keep == "smallest" else F.max)("fragment_keep")
-    edges = (
-        fragments.where("edge and first")
-        .groupBy(F.col("text_sha256").alias("group_sha"))
-        .agg(best.alias("group_keep"), F.sum("fragment_size").alias("group_size"), F.min("fragment_id").alias("group_first"))
-    )
-    whole = fragments.join(F.broadcast(edges), F.col("edge") & (F.col("text_sha256") == F.col("group_sha")), "left")
+    # the fragments of one text that lie at partition edges: no more rows than twice the partitions
+    groups = fragments.where("edge and first").groupBy("text_sha256", "edge_text").agg(best.alias("group_keep"), F.sum("fragment_size").alias("group_size"), F.min("fragment_id").alias("group_first"), F.collect_list("fragment_id").alias("fragments"))
+    edges = groups.select("group_keep", "group_size", "group_first", F.explode("fragments").alias("group_fragment"))
+    whole = fragments.join(F.broadcast(edges), F.col("edge") & (F.col("fragment_id") == F.col("group_fragment")), "left")
     return whole.select(
         "doc_id",
         F.when(F.col("edge"), F.col("group_keep")).otherwise(F.col("fragment_keep")).alias("keep_id"),
