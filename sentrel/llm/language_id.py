@@ -31,14 +31,14 @@ def grams(texts: pa.LargeStringArray, orders: tuple[int, ...], buckets: int) ->
     """
     joined = np.frombuffer("\n".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts.to_pylist()), np.int64, len(texts))
-    # the separator after text i belongs to text i
+    # the separator after text i belongs to text i; the gap before a text is the last one kept
     doc = np.repeat(np.arange(len(texts) + 1), np.append(1, lengths + 1)) - 1
     letter = _letter_table()[joined]
     keep = letter.copy()
-    keep[1:] |= letter[:-1] | (doc[1:] != doc[:-1])
+    keep[1:] |= letter[:-1]
     keep[0] = True
     code, doc, letter = np.where(letter, joined, 32)[keep].astype(np.uint64), doc[keep], letter[keep]
-    out, docs = [], []
+    out, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in orders:
         if len(code) < n:
             continue
