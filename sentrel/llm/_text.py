@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, SEGMENT_BYTES = 2 << 20, 4 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -75,24 +75,41 @@ def slices(texts: pa.LargeStringArray, limit: int = CHUNK_BYTES) -> Iterator[tup
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None, prefix: int = 0) -> tuple[np.ndarray, ...]:
-    """(hash, document, start byte, end byte) of every word, in order, and the hash of its first ``prefix`` bytes."""
+    """(hash, document, start byte, end byte) of every word, in order, and the hash of its first ``prefix`` bytes.
+
+    Hashes are made a few megabytes at a time, cut between words, so only what is kept of each word grows with a text.
+    """
     n = len(data)
     w = WORD[data] if is_word is None else is_word
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    parts, lo = [], 0
+    while lo < n or not parts:
+        hi = min(lo + SEGMENT_BYTES, n)
+        while hi < n and w[hi] and not edge[hi]:
+            more = np.flatnonzero(~w[hi : hi + SEGMENT_BYTES] | edge[hi : min(hi + SEGMENT_BYTES, n)])
+            hi = hi + int(more[0]) if len(more) else min(hi + SEGMENT_BYTES, n)
+        parts.append(_words(data[lo:hi], w[lo:hi], edge[lo : hi + 1], lo, prefix))
+        lo = hi
+    hashes, starts, ends, *more = (np.concatenate(p) for p in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+    return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, ends, *more
+
+
+def _words(data: np.ndarray, w: np.ndarray, edge: np.ndarray, lo: int, prefix: int) -> tuple[np.ndarray, ...]:
+    n = len(data)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = w[:-1], w[1:]
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    before[inner] = False
-    after[inner - 1] = False
+    before[edge[:n]] = False
+    after[edge[1:]] = False
     starts, ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
     p, q = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * q[starts])
-    doc = np.searchsorted(offsets, starts, side="right") - 1
     if prefix:
         cut = np.minimum(starts + prefix, ends)
-        return hashes, doc, starts, ends, mix((sums[cut] - sums[starts]) * q[starts])
-    return hashes, doc, starts, ends
+        return hashes, starts + lo, ends + lo, mix((sums[cut] - sums[starts]) * q[starts])
+    return hashes, starts + lo, ends + lo
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,13 @@
-"""Licence scan: Dice coefficient over word bigrams against licence templates."""
+"""Licence scan: Dice coefficient over word bigrams against licence templates.
+
+A text's bigrams that occur in a template are its hits. Windows between hits are compared with the
+template, wherever lines, sentences and paragraphs end, so wrapped and commented notices are found.
+Size bounds that follow from the Dice threshold decide which windows and templates can match.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +18,13 @@ from pyspark.sql import functions as F
 from ._text import BASE, mix, raw, slices, strings, words
 
 THRESHOLD = 0.75
+#: Window ends are tried at so many places a template length; templates of no more words are tried at every hit.
+PLACES = 32
 
 #: Licence names and the notices that stand for them.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
+        "MIT License",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -25,6 +34,8 @@ TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
@@ -32,6 +43,11 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the GNU General Public License v3.0.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "GPL": [
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    ],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -43,6 +59,11 @@ TEMPLATES: dict[str, list[str]] = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "BSD": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
@@ -54,95 +75,99 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
-def _bigrams(h: np.ndarray) -> np.ndarray:
-    """48-bit hashes of neighbouring words (of the word alone, if there is one)."""
-    if len(h) < 2:
-        return mix(h) >> np.uint64(16)
-    return mix(h[:-1] * np.uint64(BASE) + h[1:]) >> np.uint64(16)
-
-
-def templates(notices: dict[str, list[str]] | None = None) -> list[tuple[str, int, np.ndarray]]:
-    """(licence, notice number, sorted different bigrams) of every template."""
+def templates(notices: dict[str, list[str]] | None = None) -> list[tuple[str, int, int, np.ndarray]]:
+    """(licence, notice number, bigrams in its text, sorted different bigrams) of every template of two words or more."""
     out = []
     for name, texts in (notices or TEMPLATES).items():
         for i, text in enumerate(texts):
             data, offsets = raw(strings(pa.array([text])))
-            out.append((name, i, np.unique(_bigrams(words(data, offsets)[0]))))
+            h = words(data, offsets)[0]
+            if len(h) > 1:
+                bigrams = mix(h[:-1] * np.uint64(BASE) + h[1:]) >> np.uint64(16)
+                out.append((name, i, len(bigrams), np.unique(bigrams)))
     return out
 
 
-def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans that are compared: sentences, lines, paragraphs and whole texts.
+def _best(pairs: np.ndarray, hits: np.ndarray, size: int, template: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(first bigram, last bigram, Dice) of the best windows of a run of hits, without overlaps, best first.
 
-    A sentence ends at . ! ? or : before white space, a paragraph at an empty line. A span of two
-    kinds at once appears once.
+    A window starts and ends at a hit (moving an end to the next hit inwards only raises Dice). The
+    template has ``size`` bigrams in its text. Ends lie on a grid of ``PLACES`` a template.
     """
-    n = len(data)
-    nl = data == 10
-    space = nl | (data == 32) | (data == 13) | (data == 9)
-    stop = np.zeros(n, bool)
-    stop[:-1] = ((data == 46) | (data == 33) | (data == 63) | (data == 58))[:-1] & space[1:]
-    blank = np.zeros(n, bool)
-    blank[1:] = nl[1:] & nl[:-1]
-    spans = set()
-    for ends in (np.flatnonzero(stop | nl) + 1, np.flatnonzero(nl) + 1, np.flatnonzero(blank) + 1, np.zeros(0, np.int64)):
-        cuts = np.unique(np.concatenate([ends, offsets]))
-        spans.update(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    both = np.array(sorted(spans), np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def find(texts: pa.LargeStringArray, library: list[tuple[str, int, np.ndarray]], threshold: float) -> list[tuple]:
-    """(text number, first word, last word + 1, licence, notice, Dice) of the best template of every unit that reaches the threshold.
-
-    A unit is looked at only if enough of its bigrams occur in some template at all: Dice >= t
-    needs at least t / (2 - t) of them. Templates are compared only within the size bounds that the
-    same inequality gives. Both prunings are exact.
+    share, step = threshold / (2 - threshold), max(1, size // PLACES)
+    grid = np.unique(np.append(np.searchsorted(hits, np.arange(hits[0], hits[-1] + 1, step)), len(hits) - 1)) if step > 1 else np.arange(len(hits))
+    need, most, found = share * len(template), size / share, []
+    for i in grid:
+        for j in grid[np.searchsorted(grid, i) :]:
+            a, b = int(hits[i]), int(hits[j])
+            if j - i + 1 < need:
+                continue
+            if b - a + 1 > 2 * most:
+                break
+            window = np.unique(pairs[a : b + 1])
+            if not need <= len(window) <= len(template) / share:
+                continue
+            dice = 2 * len(np.intersect1d(window, template, assume_unique=True)) / (len(window) + len(template))
+            if dice >= threshold:
+                found.append((a, b, dice))
+    return apart(found)
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of overlapping findings (first, last, Dice, ...) the one with the largest Dice stays, then the longest, then the first."""
+    out: list[tuple] = []
+    taken: list[tuple[int, int]] = []
+    for f in sorted(found, key=lambda f: (-f[2], f[0] - f[1], *f[:1], *f[3:])):
+        at = bisect_left(taken, (f[0], -1))
+        if (at == len(taken) or taken[at][0] > f[1]) and (not at or taken[at - 1][1] < f[0]):
+            insort(taken, (f[0], f[1]))
+            out.append(f)
+    return out
+
+
+def find(texts: pa.LargeStringArray, library: list[tuple[str, int, int, np.ndarray]], threshold: float) -> list[tuple]:
+    """(text number, first word, last word + 1, licence, notice, Dice) of the windows whose Dice with a template reaches the threshold.
+
+    A window with Dice >= t has between t / (2 - t) and (2 - t) / t times as many bigrams as the
+    template, so a run of hits is looked at only if it has enough of them, and its gaps are no longer
+    than such a window's surplus. Both prunings are exact.
     """
-    data, offsets = raw(texts)
-    h, doc, starts, ends = words(data, offsets)
-    if not len(h):
+    h, doc, *_ = words(*raw(texts))
+    if len(h) < 2:
         return []
+    pairs = mix(h[:-1] * np.uint64(BASE) + h[1:]) >> np.uint64(16)
+    known = np.unique(np.concatenate([b for *_, b in library]))
+    hit = np.flatnonzero((known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs) & (doc[:-1] == doc[1:]))
+    held, owner = pairs[hit], doc[hit]
     share = threshold / (2 - threshold)
-    pairs = np.append(mix(h[:-1] * np.uint64(BASE) + h[1:]) >> np.uint64(16), np.uint64(0))
-    known = np.unique(np.concatenate([b for _, _, b in library]))
-    hit = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
-    seen = np.concatenate(([0], np.cumsum(hit)))
-    lo, hi = _units(data, offsets)
-    a, b = np.searchsorted(starts, lo), np.searchsorted(ends, hi, side="right")
-    inside = np.maximum(b - 1, a)
-    able = (b - a >= 2) & (seen[inside] - seen[a] > 0)
-    found: dict[tuple, tuple] = {}
-    for i in np.flatnonzero(able):
-        unit = np.unique(_bigrams(h[a[i] : b[i]]))
-        if np.isin(unit, known).sum() < share * len(unit):
+    found: dict[int, list[tuple]] = {}
+    for order, (_, _, size, template) in enumerate(library):
+        own = np.flatnonzero(template[np.minimum(np.searchsorted(template, held), len(template) - 1)] == held)
+        if len(own) < share * len(template):
             continue
-        best = None
-        for name, number, other in library:
-            if not share * len(other) <= len(unit) <= len(other) / share:
-                continue
-            dice = 2 * len(np.intersect1d(unit, other, assume_unique=True)) / (len(unit) + len(other))
-            if dice >= threshold and (best is None or dice > best[2]):
-                best = (name, number, dice)
-        if best:
-            first = int(np.searchsorted(doc, doc[a[i]]))
-            found[(int(doc[a[i]]), int(a[i]) - first, int(b[i]) - first)] = best
-    # of overlapping units (a line and its sentence) the best stays, then the longest
-    out: dict[int, list[tuple]] = {}
-    for (d, x, y), best in sorted(found.items(), key=lambda f: (f[0][0], -f[1][2], f[0][1] - f[0][2], f[0][1])):
-        if not any(x < o[2] and o[1] < y for o in out.setdefault(d, [])):
-            out[d].append((d, x, y, *best))
-    return [o for own in out.values() for o in own]
+        at, whose = hit[own], owner[own]
+        cut = np.flatnonzero((np.diff(at) > size * (1 / share - 1) + 1) | (whose[1:] != whose[:-1])) + 1
+        first, last = np.append(0, cut), np.append(cut, len(at))
+        for i in np.flatnonzero(last - first >= share * len(template)):
+            run = at[first[i] : last[i]]
+            if len(np.unique(pairs[run])) >= share * len(template):
+                found.setdefault(int(whose[first[i]]), []).extend((*w, order) for w in _best(pairs, run, size, template, threshold))
+    out = []
+    for d, own in sorted(found.items()):
+        start = int(np.searchsorted(doc, d))
+        out += [(d, a - start, b + 2 - start, *library[order][:2], dice) for a, b, dice, order in apart(own)]
+    return out
 
 
 def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per licence notice found: doc_id, first_word, end_word, license, notice, dice.
 
-    Sentences, lines, paragraphs and the whole text are compared; positions count words from 0. Of
-    overlapping findings the one with the largest Dice coefficient stays (then the longest, then the
-    first); of equal templates the first in the library. Null and empty texts have no finding, and a
-    notice of fewer than two words can't be found. Repeated rows and null identifiers give findings
-    of their own. Nothing is shuffled; the broadcast library is as large as its notices.
+    Whole texts are searched; positions count words from 0. Of overlapping findings the one with the
+    largest Dice coefficient stays (then the longest, then the first); of equal templates the first in
+    the library. Window ends are exact for templates of up to ``PLACES`` words and lie on a grid of that
+    part of the template's length beyond. Null and empty texts have no finding, and a notice of fewer
+    than two words can't be found. Repeated rows and null identifiers give findings of their own.
+    Nothing is shuffled; the broadcast library is as large as its notices.
     """
     shared = docs.sparkSession.sparkContext.broadcast(templates(notices))
 
