@@ -32,7 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts and n_chars to match."""
-    clean = secret_scan.redact(docs, secret_scan.train())
+    clean = secret_scan.redact(docs, secret_scan.train(words=secret_scan.dictionary(docs)))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
