@@ -32,6 +32,10 @@ SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
 #: A sketch term occurs in this many documents at least, where a document has such terms: rarer ones gather too few.
 SKETCH_HOLDING = 256
+#: From so many documents of a shard on, a term counts as crowded.
+CROWDED = 24
+#: Crowded terms that are multiplied at a time.
+PRODUCT = 2048
 PART_SHARDS = 4
 K1, B = 1.2, 0.75
 MEMO_WORDS = 700_000
@@ -157,18 +161,34 @@ class Index:
     def __init__(self, cells: list[bytes], holding: np.ndarray, corpus_docs: int, corpus_tokens: int):
         doc, self.terms, count, size = _distinct_terms(cells, len(holding))
         impact = _impact(self.terms, count, size[doc], holding, corpus_docs, corpus_tokens)
-        self.n, self.cut = len(cells), np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(cells)))))
-        order = np.argsort(self.terms.astype(np.uint16 if len(holding) <= 1 << 16 else np.uint32), kind="stable")
+        self.n = len(cells)
+        own = np.bincount(self.terms, minlength=len(holding))
+        # what terms of many documents add is one matrix product; the others are looked up
+        crowded = np.flatnonzero(own >= CROWDED)
+        place = np.full(len(holding), -1)
+        place[crowded] = np.arange(len(crowded))
+        many = place[self.terms] >= 0
+        self.common = np.zeros((self.n, self.n))
+        for lo in range(0, len(crowded), PRODUCT):
+            some = np.flatnonzero((place[self.terms] >= lo) & (place[self.terms] < lo + PRODUCT))
+            weight, held = np.zeros((2, self.n, min(PRODUCT, len(crowded) - lo)))
+            weight[doc[some], place[self.terms[some]] - lo] = impact[some]
+            held[doc[some], place[self.terms[some]] - lo] = 1
+            self.common += held @ weight.T
+        rare = ~many & (own[self.terms] > 1)  # a document alone holds the others
+        doc, term, impact = doc[rare], self.terms[rare], impact[rare]
+        order = np.argsort(term.astype(np.uint16 if len(holding) <= 1 << 16 else np.uint32), kind="stable")
         self.docs, self.impact = doc[order], impact[order]
-        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(holding)))))
+        self.cut = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
+        self.terms, sizes = term, np.bincount(term, minlength=len(holding))
+        self.at, self.size = np.cumsum(sizes) - sizes, sizes
 
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
         """The best ``most`` (by default all) unused documents that score above 0 for the seed's terms, best first."""
         own = self.terms[self.cut[seed] : self.cut[seed + 1]]
-        a, n = self.at[own], self.at[own + 1] - self.at[own]
-        a, n = a[n > 1], n[n > 1]  # the seed alone holds the others
+        a, n = self.at[own], self.size[own]
         pick = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.docs[pick], self.impact[pick], minlength=self.n) * unused
+        score = (self.common[seed] + np.bincount(self.docs[pick], self.impact[pick], minlength=self.n)) * unused
         able = np.flatnonzero(score > 0)
         return able[np.argsort(-score[able], kind="stable")[:most]].tolist()
 
