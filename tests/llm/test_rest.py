@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from sentrel.llm import ann, chat_format, near_dedup, queries
+from sentrel.llm import ann, chat_format, near_dedup, quality, queries
 
 
 def chats(rows):
@@ -113,6 +114,53 @@ def test_search_of_everything_is_exact(vectors):
     assert {i: [g[1], g[2], g[3]] for i, g in got.items()} == {i: exact(x, i, 3)[0].tolist() for i in (0, 7, 600)}
 
 
+def test_many_blocks_and_a_queue_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    rows = ann.nearest(df, df.where("vec_id % 9 = 0"), 4, share=0.7).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, {})[r["rank"]] = r
+    # the same search without Spark: leaves in the queue's order, then every vector in them
+    forest = ann.grow(x[np.argsort(rng.random(900))], 900)
+    leaves = ann.route(forest, x)
+    sizes = ann.leaf_sizes(leaves, forest["levels"])
+    assert (sizes.sum(axis=1) == 900).all()
+    order = [(t, leaf, held) for t, leaf, held in ann.visits(forest, sizes, x[3])]
+    assert len(order) == len({o[:2] for o in order}) == ann.TREES << forest["levels"] and order[-1][2] == pytest.approx(1)
+    unit = x[3] / np.sqrt(x[3] @ x[3])
+
+    def miss(t, leaf):  # sum of squares over the planes that the leaf lies beyond
+        node, total = 1, 0.0
+        for level in range(forest["levels"]):
+            side = (leaf >> (forest["levels"] - 1 - level)) & 1
+            gap = forest["planes"][t][level] @ unit - forest["cuts"][t, node]
+            total += gap * gap * (side != (gap > 0))
+            node = 2 * node + side
+        return total
+
+    costs = [miss(t, leaf) for t, leaf, _ in order]
+    assert costs == pytest.approx(sorted(costs))
+    assert [held for *_, held in order] == sorted(held for *_, held in order)
+    hits = [len({r.vec_id for r in own.values()} & set(exact(x, i, 4)[0].tolist())) / 4 for i, own in got.items()]
+    assert len(got) == 100 and np.mean(hits) > 0.9
+    reached = np.array([t * (2 << forest["levels"]) + leaf for t, leaf, _ in order[:9]])
+    block = ann.Block([v.tobytes() for v in x], [[i] for i in range(900)], "<f8", forest)
+    assert set(block.candidates(reached).tolist()) == {i for i in range(900) for t, leaf, _ in order[:9] if leaves[i, t] == leaf}
+
+
+def test_other_lengths_and_extreme_vectors(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e199]), (3, [1e-300, 1e-300]), (4, [0.0, 5e-324]), (5, [1.0, 2.0]), (6, [1.0, 2.0, 3.0]), (7, [3.0, 2.0, 1.0]), (8, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df, 9, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and len(got[1]) == 4
+    assert sorted(got[6]) == [(1, 7, round(10 / 14, 9))] and sorted(got[4])[0] == (1, 5, round(2 / 5**0.5, 9)) and sorted(got[1])[0] == (1, 2, round(1 / 1.01**0.5, 9))
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (9, []), (None, [1.0, 1.0]), (10, [-0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -139,3 +187,49 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("[SECRET" in r.text or r.text == texts[r.doc_id] for r in kept[4].collect())
     assert {r.doc_id: sum(p.length for p in kept[5].where(f"doc_id = {r.doc_id}").collect()) for r in kept[4].limit(3).collect()} == {r.doc_id: kept[5].where(f"doc_id = {r.doc_id}").first().doc_tokens for r in kept[4].limit(3).collect()}
     assert sorted(corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()) == sorted(kept[5].select("doc_id").distinct().collect())
+
+
+def plain_shingles(text):
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls, empty and long texts, repeated identifiers, copies and clashing columns, against plain rules; then an empty table."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice(["stone", "river", "green", "house", "under", "light", "paper", "winter", "small", "early"]) + str(rng.randint(0, 9)) for _ in range(n))
+    base = prose(60)
+    rows = [(1, base), (2, base), (2, prose(40)), (3, base + " end"), (None, prose(30)), (None, base), (4, None), (5, ""), (5, ""), (6, prose(30_000)), (7, f"{prose(20)} api_key = 'x9Kd82LmQpZ4vT7cW1bN' {prose(5)}"), (8, "?!")]
+    table = spark.createDataFrame([(i, t, "en", "src", 0, 1, 2, "k", True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id int, node int, _key string, kept boolean")
+    for name, df in (("some", table), ("none", table.where("false"))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (1, None, 0), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    monkeypatch.setattr(quality, "CUT", 0.0)
+    monkeypatch.setattr(quality.accepted, "__defaults__", ("text", 0.0))
+    docs, kept = spark.read.parquet(str(tmp_path / "some" / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(docs)
+    assert all(df.columns == table.columns for df in kept[:-1])
+    assert kept[0].count() == len(rows)
+    # the largest identifier of each text, null last
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t or "", []).append(i)
+    exact_kept = {(max((i for i in ids if i is not None), default=None), t) for t, ids in texts.items()}
+    assert {(r.doc_id, r.text or "") for r in kept[1].collect()} == exact_kept and kept[1].count() == len(exact_kept)
+    # the smallest identifier of near-duplicates
+    near = set(exact_kept)
+    for a in exact_kept:
+        for b in exact_kept:
+            x, y = plain_shingles(a[1]), plain_shingles(b[1])
+            if a != b and x and y and len(x & y) >= 0.8 * len(x | y) and b[0] is not None and (a[0] is None or b[0] < a[0]):
+                near.discard(a)
+    assert {(r.doc_id, r.text or "") for r in kept[2].collect()} == near
+    clean = {r.doc_id: r for r in kept[3].collect() if r.doc_id}
+    assert "[SECRET:assignment]" in clean[7].text and clean[7].n_chars == len(clean[7].text) and kept[3].count() == kept[2].count()
+    ids = {i: sorted((p.start, p.length) for p in kept[4].collect() if p.doc_id == i) for i in clean}
+    assert all(own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) for own in ids.values())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
