@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Scratch
 from ._text import raw, slices, strings
 
 TREES, DEPTH, CUT = 60, 12, 0.5
@@ -61,11 +62,13 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> list[str]:
-    """The ``most`` words of 4 to 20 ASCII letters that most documents hold (three at least); ties go to the first in order.
+    """Words of 4 to 20 ASCII letters that most documents hold (three at least), at most ``most``, by how many and in order.
 
-    Every row is counted, each word once a text; ``most`` bounds what the driver receives. A task sends
-    the sums of at most ``COUNTED_WORDS`` different words at a time, so its memory is bounded too.
+    Every row is counted, each word once a text; words that tie where ``most`` would be passed are left
+    out together. ``most`` bounds what the driver receives, beside a row for each different count. A
+    task sends the sums of about ``COUNTED_WORDS`` different words at a time, so its memory is bounded.
     """
+    store = Scratch(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter[str] = Counter()
@@ -86,7 +89,16 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "t
         yield packed()
 
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in parts.where(F.col("n") >= DICTIONARY_HOLDING).orderBy(F.desc("n"), "word").limit(most).collect()]
+    sums = store.written(parts.where(F.col("n") >= DICTIONARY_HOLDING), "dictionary")
+    cut = total = 0
+    for n, words in sorted(((r.n, r.words) for r in sums.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
+        total += words
+        if total > most:
+            cut = n
+            break
+    found = sums.where(F.col("n") > cut).collect()
+    store.clear()
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 def automaton(words: Sequence[str]) -> ahocorasick.Automaton:
