@@ -6,25 +6,30 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import stratum
 
-from .contingency import contingency, report_pairs
+from .contingency import tables, whole
 
 MINIMUM_STRATUM, PRIOR, DRAWS, SEED = 4, 10.0, 10_000, 42
 
 
 def profiles(obs: DataFrame) -> DataFrame:
-    """Rows (report_id, drug, event, age_group, sex, year, stratum), drug and event in upper case.
+    """One row a report: report_id, drugs, events, shown (in upper case), age_group, sex, year, stratum.
 
-    A report's first row (by ``position``) gives its covariates; missing ones count as unknown.
+    A report's first row (by ``position``) gives its covariates; missing ones count as unknown. Rows
+    without a drug or an event show none.
     """
-    first = lambda c: F.first(c).over(Window.partitionBy("report_id").orderBy("position"))
-    rows = obs.select("report_id", F.upper("drug").alias("drug"), F.upper("event").alias("event"), F.coalesce(first("age_group"), F.lit("unknown")).alias("age_group"), F.coalesce(first("sex"), F.lit("unknown")).alias("sex"), first("year").alias("year"))
-    return rows.withColumn("stratum", stratum(F.col("age_group"), F.col("sex"), F.col("year")))
+    pair = F.struct(F.upper("drug").alias("drug"), F.upper("event").alias("event"))
+    full = lambda x: F.when(F.col("drug").isNotNull() & F.col("event").isNotNull(), x)
+    first = F.min(F.struct("position", "age_group", "sex", "year")).alias("first")
+    rows = obs.where("report_id is not null").groupBy("report_id").agg(F.collect_set(full(pair["drug"])).alias("drugs"), F.collect_set(full(pair["event"])).alias("events"), F.collect_set(full(pair)).alias("shown"), first)
+    known = lambda c: F.coalesce(f"first.{c}", F.lit("unknown")).alias(c)
+    rows = rows.select("report_id", "drugs", "events", "shown", known("age_group"), known("sex"), "first.year")
+    return whole(rows.withColumn("stratum", stratum(F.col("age_group"), F.col("sex"), F.col("year"))))
 
 
 def crude(cells: DataFrame) -> DataFrame:
@@ -32,18 +37,18 @@ def crude(cells: DataFrame) -> DataFrame:
     return cells.select("drug", "event", "a", "b", "c", "d", st.ror().alias("ror"), lower.alias("lower_bound"), upper.alias("upper_bound"))
 
 
-def stratum_tables(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """stratum, drug, event, cells, n of every pair in every stratum of at least four reports."""
-    return contingency(rows, by=["stratum"], pairs=report_pairs(rows) if pairs is None else pairs).where(F.col("n") >= MINIMUM_STRATUM)
+def stratum_tables(reports: DataFrame) -> DataFrame:
+    """stratum, drug, event, cells, n of every pair of ``profiles`` in every stratum of at least four reports."""
+    return tables(reports, by=["stratum"], pairs="report", minimum=MINIMUM_STRATUM)
 
 
-def mantel_haenszel(tables: DataFrame) -> DataFrame:
+def mantel_haenszel(cells: DataFrame) -> DataFrame:
     """drug, event, estimate, lower_bound, upper_bound: common odds ratio with Robins-Breslow-Greenland bounds.
 
     Cells of a stratum get 0.5 if any is 0. Without information the estimate is 1 from 0 to infinity.
     """
     a, b, c, d = st.corrected()
-    rows = tables.select("drug", "event", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).withColumn("t", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
+    rows = cells.select("drug", "event", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).withColumn("t", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
     a, b, c, d, t = (F.col(x) for x in "abcdt")
     r, s, tt = a * d, b * c, t * t
     sums = rows.groupBy("drug", "event").agg(F.sum(r / t).alias("r"), F.sum(s / t).alias("s"), F.sum((a + d) * r / tt).alias("x"), F.sum(((a + d) * s + (b + c) * r) / tt).alias("y"), F.sum((b + c) * s / tt).alias("z"))
@@ -54,10 +59,10 @@ def mantel_haenszel(tables: DataFrame) -> DataFrame:
     return sums.select("drug", "event", F.when(known, r / s).otherwise(1.0).alias("estimate"), F.when(known, lower).otherwise(0.0).alias("lower_bound"), F.when(known, upper).otherwise(F.lit(math.inf)).alias("upper_bound"))
 
 
-def stratum_estimates(tables: DataFrame) -> DataFrame:
+def stratum_estimates(cells: DataFrame) -> DataFrame:
     """stratum, drug, event, reports, cases, ror, lower_bound, upper_bound, prr."""
     lower, upper = st.bounds(st.ror(), st.ror_error())
-    return tables.select("stratum", "drug", "event", F.col("n").alias("reports"), F.col("a").alias("cases"), st.ror().alias("ror"), lower.alias("lower_bound"), upper.alias("upper_bound"), st.prr().alias("prr"))
+    return cells.select("stratum", "drug", "event", F.col("n").alias("reports"), F.col("a").alias("cases"), st.ror().alias("ror"), lower.alias("lower_bound"), upper.alias("upper_bound"), st.prr().alias("prr"))
 
 
 def heterogeneity(estimates: DataFrame) -> DataFrame:
@@ -83,23 +88,19 @@ def heterogeneity_p(spread: DataFrame) -> DataFrame:
     return spread.withColumn("p", F.pandas_udf(_upper_tail, "double")("q", "df"))
 
 
-def active_comparator(rows: DataFrame, comparators: DataFrame) -> DataFrame:
+def active_comparator(reports: DataFrame, comparators: DataFrame) -> DataFrame:
     """Odds ratio of a drug against reports of its comparator drugs (rows drug, comparator).
 
-    drug, event, cells, estimate, bounds, reports_used; only drugs that have comparators. A report
-    of both counts for the drug.
+    drug, event, cells, estimate, bounds, reports_used; only drugs that have comparators, with the
+    events of their own reports. A report of both counts for the drug.
     """
-    wanted = comparators.select(F.upper("drug").alias("drug"), F.upper("comparator").alias("comparator")).distinct()
-    taken = rows.select("report_id", F.col("drug").alias("comparator")).distinct()
-    targets = taken.select("report_id", F.col("comparator").alias("drug")).join(F.broadcast(wanted.select("drug").distinct()), "drug", "left_semi")
-    others = taken.join(F.broadcast(wanted), "comparator").select("report_id", "drug").distinct().join(targets, ["report_id", "drug"], "left_anti")
-    arms = targets.select("report_id", "drug", F.lit(1).alias("exposed")).unionByName(others.select("report_id", "drug", F.lit(0).alias("exposed")))
+    wanted = comparators.select(F.upper("drug").alias("drug"), F.upper("comparator").alias("comparator"))
+    roles = wanted.select("drug", F.col("drug").alias("name"), F.lit(1).alias("exposed")).union(wanted.select("drug", "comparator", F.lit(0))).distinct()
+    taken = reports.select("report_id", "events", F.explode("drugs").alias("name"))
+    arms = taken.join(roles, "name").groupBy("report_id", "drug").agg(F.max("exposed").alias("exposed"), F.first("events").alias("events"))
     sizes = arms.groupBy("drug").agg(F.sum("exposed").alias("n1"), F.count("*").alias("n"))
-    events = rows.select("report_id", "event").distinct()
-    cases = arms.join(events, "report_id").groupBy("drug", "event").agg(F.sum("exposed").alias("a"), F.sum(1 - F.col("exposed")).alias("c"))
-    pairs = report_pairs(rows).join(F.broadcast(wanted.select("drug").distinct()), "drug", "left_semi")
-    cells = pairs.join(cases, ["drug", "event"], "left").join(sizes, "drug").na.fill(0, ["a", "c"])
-    cells = cells.select("drug", "event", "a", (F.col("n1") - F.col("a")).alias("b"), "c", (F.col("n") - F.col("n1") - F.col("c")).alias("d"), F.col("n").alias("reports_used"))
+    cases = arms.select("drug", "exposed", F.explode("events").alias("event")).groupBy("drug", "event").agg(F.sum("exposed").alias("a"), F.sum(1 - F.col("exposed")).alias("c")).where("a > 0")
+    cells = cases.join(sizes, "drug").select("drug", "event", "a", (F.col("n1") - F.col("a")).alias("b"), "c", (F.col("n") - F.col("n1") - F.col("c")).alias("d"), F.col("n").alias("reports_used"))
     lower, upper = st.bounds(st.ror(), st.ror_error())
     return cells.select("*", st.ror().alias("estimate"), lower.alias("lower_bound"), upper.alias("upper_bound"))
 
@@ -124,32 +125,48 @@ def logistic_fit(exposed: np.ndarray, groups: list[np.ndarray], cases: np.ndarra
     return float(np.exp(w[0]))
 
 
-def penalized_logistic(rows: DataFrame) -> DataFrame:
-    """drug, event, estimate, reports_used: the adjusted odds ratio of every pair.
+def penalized_logistic(reports: DataFrame) -> DataFrame:
+    """drug, event, estimate, reports_used: the adjusted odds ratio of every pair of the same report.
 
-    Spark sums reports and cases by covariates, so what a drug's fit gets is at most the number of
-    covariate combinations times its events, however many reports there are.
+    Spark counts reports and cases by covariates. A fit gets one row: the counts of its drug, its event
+    and both in the groups where they occur, so it depends on the number of covariate combinations
+    (bands, sexes and years: a few hundred, broadcast), not on reports.
     """
-    keys = ["age_group", "sex", "year"]
-    reports = rows.select("report_id", *keys).distinct()
-    size = reports.groupBy(*keys).agg(F.count("*").alias("n"))
-    drugs, events = rows.select("report_id", "drug").distinct(), rows.select("report_id", "event").distinct()
-    with_drug = drugs.join(reports, "report_id").groupBy("drug", *keys).agg(F.count("*").alias("nd"))
-    with_event = events.join(reports, "report_id").groupBy("event", *keys).agg(F.count("*").alias("ne"))
-    both = drugs.join(events, "report_id").join(reports, "report_id").groupBy("drug", "event", *keys).agg(F.count("*").alias("a"))
-    grid = report_pairs(rows).crossJoin(F.broadcast(size)).join(with_drug, ["drug", *keys], "left").join(with_event, ["event", *keys], "left").join(both, ["drug", "event", *keys], "left").na.fill(0, ["nd", "ne", "a"])
-
-    def fitted(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for event, part in g.groupby("event"):
-            cov = [np.tile(part[k].to_numpy(), 2) for k in keys]
-            exposed = np.repeat([1, 0], len(part))
-            n = np.concatenate([part["nd"], part.n - part["nd"]]).astype(float)
-            y = np.concatenate([part["a"], part["ne"] - part.a]).astype(float)
-            out.append((part.drug.iloc[0], event, logistic_fit(exposed, cov, y, n), int(part.n.sum())))
-        return pd.DataFrame(out, columns=["drug", "event", "estimate", "reports_used"])
-
-    return grid.groupBy("drug").applyInPandas(fitted, "drug string, event string, estimate double, reports_used long")
+    spark, keys = reports.sparkSession, ["age_group", "sex", "year"]
+    label = F.to_json(F.struct(*keys)).alias("label")
+    groups = sorted((r.label, r.age_group, r.sex, str(r.year), r.n) for r in reports.groupBy(*keys).agg(F.count("*").alias("n")).select("*", label).collect())
+    shared = spark.sparkContext.broadcast(groups)
+    told = reports.select("drugs", "events", label)
+    drugs, events = told.select("label", F.explode("drugs").alias("drug"), "events", "drugs"), told.select("label", F.explode("events").alias("event"), "events", "drugs")
+    pairs = drugs.select("label", "drug", F.explode("events").alias("event"))
+
+    def counted(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        sums = df.groupBy(*by, "label").agg(F.count("*").alias("k"))
+        return sums.groupBy(*by).agg(F.collect_list(F.struct("label", "k")).alias(name))
+
+    rows = counted(pairs, ["drug", "event"], "both").join(counted(drugs, ["drug"], "with_drug"), "drug").join(counted(events, ["event"], "with_event"), "event")
+
+    def fitted(batches):
+        labels, *columns, n = zip(*shared.value, strict=True)
+        place, n = {x: i for i, x in enumerate(labels)}, np.array(n, float)
+        cov = [np.tile(np.array(c, object), 2) for c in columns]
+        exposed = np.repeat([1, 0], len(n))
+
+        def spread(cells) -> np.ndarray:
+            out = np.zeros(len(n))
+            for c in cells:
+                out[place[c["label"]]] = c["k"]
+            return out
+
+        for g in batches:
+            out = []
+            for r in g.itertuples():
+                nd, ne, a = spread(r.with_drug), spread(r.with_event), spread(r.both)
+                estimate = logistic_fit(exposed, cov, np.concatenate([a, ne - a]), np.concatenate([nd, n - nd]))
+                out.append((r.drug, r.event, estimate, int(n.sum())))
+            yield pd.DataFrame(out, columns=["drug", "event", "estimate", "reports_used"])
+
+    return rows.mapInPandas(fitted, "drug string, event string, estimate double, reports_used long")
 
 
 def beta_binomial(cells: DataFrame, seed: int = SEED) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DECISIONS = ("accept", "reject", "needs_more_evidence")
 
@@ -16,12 +21,48 @@ def event_id(occurred_at: Column, actor: Column, source: Column, snapshot: Colum
 def chained(events: DataFrame, log: str, order: list[str], line: str) -> DataFrame:
     """``events`` with previous_digest: SHA-256 of all earlier lines of the log, null for its first.
 
-    Every digest covers everything before it, so work grows with the square of a log's length; logs
-    of reviews are short, and each is computed apart.
+    A digest covers everything before it, so a log is one sequence: its rows go to one task, sorted,
+    and one running digest is carried through them. Rows with a null log form one log.
+    """
+    kept = [c for c in events.columns if c != "previous_digest"]
+    at, key = kept.index(line), kept.index(log)
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, running, some = object(), hashlib.sha256(), False
+        for batch in batches:
+            out: list[str | None] = []
+            for own, text in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if own != name:
+                    name, running, some = own, hashlib.sha256(), False
+                out.append(running.hexdigest() if some else None)
+                running.update((text or "").encode())
+                some = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*kept, "previous_digest"])
+
+    rows = events.select(*kept)
+    schema = StructType([*rows.schema.fields, StructField("previous_digest", StringType())])
+    return rows.repartition(F.col(log)).sortWithinPartitions(log, *order).mapInArrow(digested, schema)
+
+
+def appended(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Events to append to a log (events in order ``sequence``), with identifier, sequence and previous digest.
+
+    ``new`` has occurred_at, actor, source, snapshot_id, drug, event, decision and rationale (strings);
+    the log also event_id, sequence and line (a closed line of JSON text). New events are ordered by time and
+    content. A decision that is unknown, or an actor or rationale that is blank, is refused. One writer appends at a time.
     """
-    before = Window.partitionBy(log).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("_lines", F.collect_list(line).over(before))
-    return rows.withColumn("previous_digest", F.when(F.size("_lines") > 0, F.sha2(F.array_join("_lines", ""), 256))).drop("_lines")
+    fields = ["occurred_at", "actor", "source", "snapshot_id", "drug", "event", "decision", "rationale"]
+    bad = new.where(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)) | (F.trim(F.coalesce("actor", F.lit(""))) == "") | (F.trim(F.coalesce("rationale", F.lit(""))) == ""))
+    if not bad.isEmpty():
+        raise ValueError("a review needs a known decision, an actor and a rationale")
+    last = log.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+    rows = new.select(*[F.upper(c).alias(c) if c in ("drug", "event") else F.col(c) for c in fields])
+    rows = rows.withColumn("event_id", event_id(*[F.col(c) for c in ("occurred_at", "actor", "source", "snapshot_id", "drug", "event", "decision")]))
+    rows = rows.withColumn("sequence", F.row_number().over(Window.orderBy("occurred_at", "event_id", "rationale")) + F.lit(last))  # a few reviews
+    rows = rows.withColumn("line", F.concat(F.to_json(F.struct(*sorted([*fields, "event_id"]))), F.lit("\n")))
+    columns = [*fields, "event_id", "sequence", "line"]
+    both = log.select(*columns).unionByName(rows.select(*columns)).withColumn("_log", F.lit(0))
+    return chained(both, "_log", ["sequence"], "line").where(F.col("sequence") > last).drop("_log")
 
 
 def broken_links(events: DataFrame, log: str, order: list[str], line: str) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions.normalize import quarter_ordinal
+from sentrel.sources.scratch import Scratch
+
+from .order import placed
 
 STATISTICS = ("report_count", "ror", "prr")
 
@@ -22,10 +25,13 @@ def in_window(references: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def rankings(scores: DataFrame, references: DataFrame) -> DataFrame:
-    """Ranks from 1 within quarter and detector (score, then drug and event), with the references of the same quarter in entry order."""
-    place = Window.partitionBy("quarter", "detector").orderBy(F.desc("score"), "drug", "event")
+    """Ranks from 1 within quarter and detector (score, then drug and event), with the references of the same quarter in entry order.
+
+    All pairs of a quarter are ranked across partitions, so no task sorts them alone.
+    """
     known = references.groupBy(F.col("signal_quarter").alias("quarter"), "drug", "event").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry", "reference_id"))), lambda e: e["reference_id"]).alias("matched"))
-    return scores.withColumn("rank", F.row_number().over(place)).join(F.broadcast(known), ["quarter", "drug", "event"], "left").select("quarter", "detector", "rank", "drug", "event", "score", F.col("matched").isNotNull().alias("is_reference_signal"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched_reference_ids"))
+    ranked = placed(scores, ["quarter", "detector"], [F.desc("score"), "drug", "event"], Scratch(scores.sparkSession), "rank")
+    return ranked.join(known, ["quarter", "drug", "event"], "left").select("quarter", "detector", F.col("rank").cast("int").alias("rank"), "drug", "event", "score", F.col("matched").isNotNull().alias("is_reference_signal"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched_reference_ids"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -46,7 +52,7 @@ def quarter_metrics(features: DataFrame, scores: DataFrame, references: DataFram
     wanted = references.select(F.col("signal_quarter").alias("quarter"), "drug", "event", "reference_id")
     eligible = wanted.groupBy("quarter").agg(F.count("*").alias("eligible"))
     raised = alerts.groupBy("quarter", "detector").agg(F.count("*").alias("alerts"))
-    hits = alerts.join(F.broadcast(wanted), ["quarter", "drug", "event"]).groupBy("quarter", "detector").agg(F.count("*").alias("hits"))
+    hits = alerts.join(wanted, ["quarter", "drug", "event"]).groupBy("quarter", "detector").agg(F.count("*").alias("hits"))
     rows = _groups(features, scores, detectors).join(eligible, "quarter", "left").join(raised, ["quarter", "detector"], "left").join(hits, ["quarter", "detector"], "left").na.fill(0, ["eligible", "alerts", "hits"])
     recall, precision = F.try_divide(F.col("hits").cast("double"), F.col("eligible")), F.when(F.col("eligible") > 0, F.try_divide(F.col("hits").cast("double"), F.col("alerts")))
     return rows.select("quarter", "detector", "available", F.lit(k).alias("k"), "eligible", "hits", "alerts", recall.alias("recall_at_k"), precision.alias("precision_at_k"))
@@ -55,7 +61,7 @@ def quarter_metrics(features: DataFrame, scores: DataFrame, references: DataFram
 def lead_times(scores: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """detector, reference_id, lead_quarters: from the first alert at or before the reference's quarter."""
     alerts = top_k(scores, k).select("detector", "drug", "event", F.col("quarter").alias("alert_quarter"))
-    joined = alerts.join(F.broadcast(references), ["drug", "event"]).where("alert_quarter <= signal_quarter")
+    joined = alerts.join(references, ["drug", "event"]).where("alert_quarter <= signal_quarter")
     first = joined.groupBy("detector", "reference_id", "signal_quarter").agg(F.min("alert_quarter").alias("alert_quarter"))
     return first.select("detector", "reference_id", (quarter_ordinal(F.col("signal_quarter")) - quarter_ordinal(F.col("alert_quarter"))).alias("lead_quarters"))
 
@@ -75,5 +81,5 @@ def detector_summary(features: DataFrame, scores: DataFrame, references: DataFra
 def coverage(references: DataFrame, features: DataFrame) -> DataFrame:
     """match_method, entries, out_of_window of a reference set."""
     quarters = features.select(F.col("quarter").alias("signal_quarter")).distinct().withColumn("covered", F.lit(True))
-    rows = references.join(F.broadcast(quarters), "signal_quarter", "left")
+    rows = references.join(quarters, "signal_quarter", "left")
     return rows.groupBy("match_method").agg(F.count("*").alias("entries"), F.count_if(F.col("covered").isNull() & (F.col("match_method") != "unmatched")).alias("out_of_window"))

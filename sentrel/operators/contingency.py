@@ -2,37 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contingency(obs: DataFrame, by: list[str] | None = None, pairs: DataFrame | None = None, dense: bool = False) -> DataFrame:
-    """[by...], drug, event, a, b, c, d, n from rows (report_id, drug, event, [by...]).
+def whole(reports: DataFrame) -> DataFrame:
+    """Reports with their sets, read together: a condition on all sets keeps Spark from planning each use of one apart.
 
-    ``a`` counts reports that hold the drug and the event anywhere, not rows that hold both, so the
-    different (report, drug) and (report, event) rows meet on the report; the marginals give the
-    other cells. The pairs are ``pairs``, or those that rows show. A pair is listed for each group in
-    which rows show it, or for every group if ``dense``. Reports, drugs and events that are null are
-    left out, as are groups whose key is null.
+    All tables of the same reports then share one shuffle of the observations.
+    """
+    sets = [c for c in ("drugs", "events", "shown", "marked") if c in reports.columns]
+    return reports.where(sum((F.size(c) for c in sets), F.lit(0)) > 0)
+
+
+def gathered(obs: DataFrame, by: list[str] | None = None, marked: Column | None = None) -> DataFrame:
+    """[by...], report_id, drugs, events, shown[, marked]: one row a report with the sets that its rows show.
+
+    ``shown`` holds the pairs of its rows, ``marked`` those of its rows that meet a condition. Rows
+    with a null report, drug, event or group are left out.
+    """
+    keys = [*(by or []), "report_id", "drug", "event"]
+    rows = obs.select(*keys, *([] if marked is None else [marked.alias("_marked")])).dropna(subset=keys)
+    pair = F.struct("drug", "event")
+    sets = [F.collect_set("drug").alias("drugs"), F.collect_set("event").alias("events"), F.collect_set(pair).alias("shown")]
+    sets += [] if marked is None else [F.collect_set(F.when(F.col("_marked"), pair)).alias("marked")]
+    return whole(rows.groupBy(*(by or []), "report_id").agg(*sets))
+
+
+def _pairs(reports: DataFrame, *keep: str) -> DataFrame:
+    """Every drug with every event of the same report."""
+    return reports.select(*keep, F.explode("drugs").alias("drug"), "events").select(*keep, "drug", F.explode("events").alias("event"))
+
+
+def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False, minimum: int = 0) -> DataFrame:
+    """[by...], drug, event, a, b, c, d, n[, marked] from the rows of ``gathered``.
+
+    ``a`` counts reports that hold the drug and the event anywhere, not rows that hold both; the
+    marginals give the other cells. The pairs are those that rows show ("shown"), those of the same
+    report ("report") or a table. Shown pairs are listed for each group in which rows show them, or
+    for every group if ``dense``; other pairs for every group. Groups of fewer than ``minimum``
+    reports, or with a null key, are left out before pairs are listed.
     """
     by = by or []
-    keys = [*by, "report_id", "drug", "event"]
-    obs = obs.select(*keys).dropna(subset=keys)
-    drugs, events = obs.select(*by, "report_id", "drug").distinct(), obs.select(*by, "report_id", "event").distinct()
-    both = drugs.join(events, [*by, "report_id"]).groupBy(*by, "drug", "event").agg(F.count("*").alias("a"))
-    per_drug = drugs.groupBy(*by, "drug").agg(F.count("*").alias("nd"))
-    per_event = events.groupBy(*by, "event").agg(F.count("*").alias("ne"))
-    reports = obs.select(*by, "report_id").distinct()
-    total = reports.groupBy(*by).agg(F.count("*").alias("n")) if by else reports.agg(F.count("*").alias("n"))
-    universe = pairs.select("drug", "event").distinct() if pairs is not None else obs.select(*([] if dense else by), "drug", "event").distinct()
-    if by and (dense or pairs is not None):
-        universe = universe.crossJoin(total.select(*by))
+    grouped = reports.dropna(subset=by) if by else reports
+    both = _pairs(grouped, *by).groupBy(*by, "drug", "event").agg(F.count("*").alias("a"))
+    per_drug = grouped.select(*by, F.explode("drugs").alias("drug")).groupBy(*by, "drug").agg(F.count("*").alias("nd"))
+    per_event = grouped.select(*by, F.explode("events").alias("event")).groupBy(*by, "event").agg(F.count("*").alias("ne"))
+    total = grouped.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= minimum) if by else grouped.agg(F.count("*").alias("n"))
+    if isinstance(pairs, DataFrame):
+        universe = pairs.select("drug", "event").distinct()
+    elif pairs == "report":
+        universe = _pairs(reports).distinct()
+    else:
+        universe = grouped.select(*([] if dense else by), F.explode("shown").alias("p")).select(*([] if dense else by), "p.drug", "p.event").distinct()
+    if by and (dense or not isinstance(pairs, str) or pairs == "report"):
+        universe = universe.crossJoin(total.select(*by))  # with the few groups
     out = universe.join(both, [*by, "drug", "event"], "left").join(per_drug, [*by, "drug"], "left").join(per_event, [*by, "event"], "left")
     out = (out.join(total, by) if by else out.crossJoin(total)).na.fill(0, ["a", "nd", "ne"])
-    return out.select(*by, "drug", "event", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n")
+    extra = []
+    if "marked" in reports.columns:
+        marked = grouped.select(*by, F.explode("marked").alias("p")).groupBy(*by, "p.drug", "p.event").agg(F.count("*").alias("marked"))
+        out, extra = out.join(marked, [*by, "drug", "event"], "left").na.fill(0, ["marked"]), ["marked"]
+    return out.select(*by, "drug", "event", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n", *extra)
+
+
+def contingency(obs: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False) -> DataFrame:
+    """``tables`` of rows (report_id, drug, event, [by...])."""
+    return tables(gathered(obs, by), by, pairs, dense)
 
 
-def report_pairs(obs: DataFrame) -> DataFrame:
-    """Every drug with every event of the same report: the pairs of the adjusted estimates."""
-    obs = obs.dropna(subset=["report_id", "drug", "event"])
-    return obs.select("report_id", "drug").distinct().join(obs.select("report_id", "event").distinct(), "report_id").select("drug", "event").distinct()
+def report_pairs(reports: DataFrame) -> DataFrame:
+    """The different pairs of a drug and an event of the same report."""
+    return _pairs(reports).distinct()

@@ -22,7 +22,7 @@ def retrieve(documents: DataFrame, pairs: DataFrame, limit: int = TOP) -> DataFr
     queries = pairs.select("drug", "event").distinct().withColumn("words", tokens(F.concat_ws(" ", "drug", "event")))
     wanted = queries.select("drug", "event", F.size("words").alias("n"), F.explode("words").alias("word"))
     held = documents.select("document_id", F.explode(tokens(F.concat_ws(" ", "title", "content"))).alias("word"))
-    known = held.join(F.broadcast(wanted.select("word").distinct()), "word", "left_semi")
+    known = held.join(wanted.select("word").distinct(), "word", "left_semi")
     found = known.join(wanted, "word").groupBy("drug", "event", "document_id").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("relevance"))
     place = Window.partitionBy("drug", "event").orderBy(F.desc("relevance"), "document_id")
     best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)

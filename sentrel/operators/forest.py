@@ -14,7 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import FEATURES, quartiles, robust_scale, scaled_by, vector_columns
+from sentrel.sources.scratch import Scratch
+
+from .order import quantiles
+from .temporal import FEATURES, QUARTILES, robust_scale, scaled_by, vector_columns
 
 TREES, SUBSAMPLE, SEED, CONTAMINATION, OFFSET = 200, 256, 42, 0.05, 0.5
 MINIMUM_TRAINING_ROWS = 8
@@ -110,11 +113,12 @@ def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION,
     The threshold is the score that about ``contamination`` of the rows exceed. A forest that
     ``grow`` has made of these features can be given.
     """
+    store = Scratch(features.sparkSession)
     scaled = robust_scale(features)
-    found = scores(scaled, grown or grow(scaled, trees, seed))
-    cut = found.agg(F.percentile("isolation", 1 - contamination).alias("cut"))
-    score = F.col("isolation") - F.col("cut")
-    return found.crossJoin(F.broadcast(cut)).select("drug", "event", "quarter", score.alias("anomaly_score"), (score > 0).alias("is_anomaly"))
+    found = store.written(scores(scaled, grown or grow(scaled, trees, seed)), "forest-scores")
+    cut = quantiles(found, ["isolation"], [1 - contamination]).get((), {}).get("isolation", [0.0])[0]
+    score = F.col("isolation") - F.lit(cut)
+    return found.select("drug", "event", "quarter", score.alias("anomaly_score"), (score > 0).alias("is_anomaly"))
 
 
 def walk_forward(features: DataFrame, minimum_rows: int = MINIMUM_TRAINING_ROWS, trees: int = TREES, seed: int = SEED) -> DataFrame:
@@ -135,9 +139,10 @@ def walk_forward(features: DataFrame, minimum_rows: int = MINIMUM_TRAINING_ROWS,
         return features.select("quarter", "drug", "event", F.lit(0.0).alias("score")).where("false")
     rows = features.select("drug", "event", "quarter", *vector_columns())
     targets = spark.createDataFrame([(q,) for q in at], "at string")
-    fits = rows.join(F.broadcast(targets), F.col("quarter") < F.col("at")).groupBy("at").agg(*quartiles())
-    fits = spark.createDataFrame(fits.collect(), fits.schema)  # one row a quarter
-    history = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") < F.col("at")), "at")
+    found = quantiles(rows.join(F.broadcast(targets), F.col("quarter") < F.col("at")), FEATURES, QUARTILES, ["at"])
+    fits = spark.createDataFrame([(q, *[found[(q,)][x] for x in FEATURES]) for q in at], "at string, " + ", ".join(f"q_{x} array<double>" for x in FEATURES))  # one row a quarter
+    each = {x: [F.col(f"q_{x}")[i] for i in range(3)] for x in FEATURES}
+    history = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") < F.col("at")), each, "at")
     order = Window.partitionBy("at").orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter")
     pooled = history.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBSAMPLE * 64).select("at", "place", *names).toPandas()
     pools = {q: g.sort_values("place")[names].to_numpy(float) for q, g in pooled.groupby("at")}
@@ -168,5 +173,5 @@ def walk_forward(features: DataFrame, minimum_rows: int = MINIMUM_TRAINING_ROWS,
                     depth = depth + _walked(f.astype(int), cut, low.astype(int), high.astype(int), leaf, x)
                 yield part[["quarter", "drug", "event"]].assign(score=2.0 ** (-depth / len(cells) / float(path_length(size))) - OFFSET)
 
-    current = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") == F.col("at")))
+    current = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") == F.col("at")), each)
     return current.mapInPandas(scored, "quarter string, drug string, event string, score double")

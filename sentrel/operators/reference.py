@@ -24,6 +24,14 @@ def eligibility_counts(entries: DataFrame, quarter: str) -> DataFrame:
     return entries.groupBy(eligibility(quarter).alias("reason")).agg(F.count("*").alias("entries"))
 
 
+def unfit(entries: DataFrame) -> DataFrame:
+    """Entries of a backtest set (drug, event, match_method, signal_quarter) whose pair contradicts their match, or without a quarter."""
+    paired = F.col("drug").isNotNull() & F.col("event").isNotNull()
+    loose = F.col("drug").isNull() & F.col("event").isNull()
+    fine = F.when(F.col("match_method") == "unmatched", loose).otherwise(paired) & F.col("signal_quarter").rlike(r"^[0-9]{4}-Q[1-4]$")
+    return entries.where(~F.coalesce(fine, F.lit(False)))
+
+
 def inconsistencies(entries: DataFrame) -> DataFrame:
     """reference_id, problem: repeated identifiers, and mappings or reviews that contradict the status."""
     mapped = (F.size(F.coalesce("normalized_drugs", F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce("normalized_events", F.array().cast("array<string>"))) > 0)

@@ -7,6 +7,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.functions.normalize import brief_key
+
+from .detectors import ranked
+
 IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9_-]{2,63}")
 MOST_ROWS = 1000
 
@@ -18,40 +22,46 @@ def safe_identifier(value: str) -> str:
     return value
 
 
-def _limited(df: DataFrame, limit: int) -> DataFrame:
-    if not 1 <= limit <= MOST_ROWS:
-        raise ValueError(f"limit must be between 1 and {MOST_ROWS}")
-    return df.limit(limit)
+def _is(column: str):
+    return lambda value: F.col(column) == value
 
 
-def _pair(df: DataFrame, drug: str | None, event: str | None) -> DataFrame:
-    for name, value in (("drug", drug), ("event", event)):
-        if value is not None:
-            df = df.where(F.col(name) == value.upper())
-    return df
+def _term(column: str):
+    return lambda value: F.col(column) == value.upper()
 
 
-def signals(scores: DataFrame, detector: str | None = None, drug: str | None = None, event: str | None = None, potential_only: bool = False, stable_only: bool = False, limit: int = 100) -> DataFrame:
-    """Scores that match, in rank order."""
-    from .detectors import ranked
+def _flag(column: str):
+    return lambda value: F.col(column) if value else F.lit(True)
 
-    df = _pair(scores, drug, event)
-    df = df.where(F.col("detector") == detector) if detector else df
-    df = df.where("is_potential_signal") if potential_only else df
-    df = df.where("passes_stability_rule") if stable_only else df
-    return _limited(ranked(df), limit)
 
+PAIR = {"drug": _term("drug"), "event": _term("event")}
+#: What each kind of table can be asked for, and the order of its answers.
+QUESTIONS = {
+    "signals": (PAIR | {"detector": _is("detector"), "potential": _flag("is_potential_signal"), "stable": _flag("passes_stability_rule")}, ranked),
+    "temporal": (PAIR | {"anomalies": _flag("is_anomaly"), "changes": _flag("is_change_point")}, lambda df: df.orderBy("quarter", "drug", "event")),
+    "adjusted": (PAIR, lambda df: df.orderBy("drug", "event")),
+}
 
-def temporal_signals(rows: DataFrame, drug: str | None = None, event: str | None = None, anomalies_only: bool = False, changes_only: bool = False, limit: int = 100) -> DataFrame:
-    """Temporal rows that match, by quarter, drug and event."""
-    df = _pair(rows, drug, event)
-    df = df.where("is_anomaly") if anomalies_only else df
-    df = df.where("is_change_point") if changes_only else df
-    return _limited(df.orderBy("quarter", "drug", "event"), limit)
+
+def answers(kind: str, rows: DataFrame, limit: int = 100, **wanted) -> DataFrame:
+    """The first ``limit`` rows of a finished table that meet all conditions (None: no condition), in its order.
+
+    signals: drug, event, detector, potential, stable; temporal: drug, event, anomalies, changes;
+    adjusted: drug, event.
+    """
+    if not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"limit must be between 1 and {MOST_ROWS}")
+    conditions, order = QUESTIONS[kind]
+    for name, value in wanted.items():
+        if value is not None:
+            rows = rows.where(conditions[name](value))
+    return order(rows).limit(limit)
 
 
-def adjusted_results(rows: DataFrame, drug: str | None = None, event: str | None = None, limit: int = 100) -> DataFrame:
-    return _limited(_pair(rows, drug, event).orderBy("drug", "event"), limit)
+def brief(briefs: DataFrame, drug: str, event: str) -> DataFrame:
+    """The brief of a pair, whatever its case: found by its key, and only if it is really of that pair."""
+    key = brief_key(F.lit(drug), F.lit(event))
+    return briefs.where((F.col("brief_key") == key) & (F.upper("drug") == drug.upper()) & (F.upper("event") == event.upper()))
 
 
 def queue(scores: DataFrame, term: str = "", status: str | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import quarter_end, quarter_label
 
-from .contingency import contingency
+from .contingency import gathered, tables
+from .order import quantiles
 
 MINIMUM_HISTORY, CHANGE_CUT, MAD_SCALE = 3, 3.5, 1.4826
+QUARTILES = (0.25, 0.5, 0.75)
 FEATURES = ("report_count", "reporting_share", "growth", "serious_proportion", "log_ror", "log_prr")
 
 
@@ -21,16 +23,14 @@ def quarterly_features(obs: DataFrame) -> DataFrame:
     growth is against the quarter before among those with reports (from 0 in the first).
     """
     obs = obs.where("received_date is not null").withColumn("quarter", quarter_label(F.col("received_date")))
-    cells = contingency(obs, by=["quarter"], dense=True)
-    grave = obs.where("serious").groupBy("quarter", "drug", "event").agg(F.count_distinct("report_id").alias("grave"))
-    rows = cells.join(grave, ["quarter", "drug", "event"], "left")
+    rows = tables(gathered(obs, ["quarter"], F.col("serious")), ["quarter"], dense=True)
     history = Window.partitionBy("drug", "event").orderBy("quarter")
     before = F.lag("a", 1, 0).over(history)
     first_day = F.make_date(F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", -1, 1).cast("int") * 3, F.lit(1))
     return rows.select(
         "drug", "event", "quarter", quarter_end(first_day).alias("quarter_end"), F.col("a").alias("report_count"), F.col("n").alias("total_reports"),
         (F.col("a") / F.col("n")).alias("reporting_share"), ((F.col("a") - before) / F.greatest(before, F.lit(1))).cast("double").alias("growth"),
-        F.when(F.col("a") > 0, F.coalesce("grave", F.lit(0)) / F.nullif("a", F.lit(0))).otherwise(0.0).alias("serious_proportion"), st.ror().alias("ror"), st.prr().alias("prr"),
+        F.when(F.col("a") > 0, F.col("marked") / F.nullif("a", F.lit(0))).otherwise(0.0).alias("serious_proportion"), st.ror().alias("ror"), st.prr().alias("prr"),
     )
 
 
@@ -63,21 +63,17 @@ def vector_columns() -> list[Column]:
 def robust_scale(features: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """The features less their median, over their interquartile range (1 if that is 0), as scaled_<name>.
 
-    Exact, interpolated quartiles of ``fitted_on`` (by default the rows themselves).
+    Exact, interpolated quartiles of ``fitted_on`` (by default the rows themselves), which are found
+    here: both are read at once, so the caller writes what is costly to make again.
     """
-    base = (features if fitted_on is None else fitted_on).select(*vector_columns())
-    return scaled_by(features.select("drug", "event", "quarter", *vector_columns()).crossJoin(F.broadcast(base.agg(*quartiles()))))
+    found = quantiles((features if fitted_on is None else fitted_on).select(*vector_columns()), FEATURES, QUARTILES).get((), {})
+    return scaled_by(features.select("drug", "event", "quarter", *vector_columns()), {x: [F.lit(v) for v in found.get(x, [0.0] * 3)] for x in FEATURES})
 
 
-def quartiles() -> list[Column]:
-    """Exact, interpolated quartiles of each feature, as q_<name>."""
-    return [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in FEATURES]
-
-
-def scaled_by(rows: DataFrame, *keep: str) -> DataFrame:
-    """Rows of features with the quartiles to use, scaled by them."""
-    spread = lambda x: F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]
-    return rows.select("drug", "event", "quarter", *keep, *[((F.col(x) - F.col(f"q_{x}")[1]) / F.when(spread(x) == 0, 1.0).otherwise(spread(x))).alias(f"scaled_{x}") for x in FEATURES])
+def scaled_by(rows: DataFrame, quartiles: dict[str, list[Column]], *keep: str) -> DataFrame:
+    """Rows of features scaled by the quartiles of each."""
+    spread = lambda x: quartiles[x][2] - quartiles[x][0]
+    return rows.select("drug", "event", "quarter", *keep, *[((F.col(x) - quartiles[x][1]) / F.when(spread(x) == 0, 1.0).otherwise(spread(x))).alias(f"scaled_{x}") for x in FEATURES])
 
 
 def contributions(scaled: DataFrame) -> DataFrame:

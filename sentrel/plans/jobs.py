@@ -83,6 +83,8 @@ def evaluate(spark: SparkSession, root: str, snapshot: str, reference_set: str,
     store = Store(spark, root, snapshot)
     features = store.read("analytics", "features")
     entries = snapshots.reference_entries(spark, reference_set).withColumnsRenamed({"normalized_drug": "drug", "normalized_event": "event"})
+    if not reference.unfit(entries).isEmpty():
+        raise ValueError("a reference's pair contradicts its match, or its quarter is missing")
     known = backtest.in_window(entries, features)
     scores = backtest.detector_scores(features, forest.walk_forward(features))
     counts = store.write("analytics", {"detector_scores": scores})
@@ -100,8 +102,10 @@ def adjust(spark: SparkSession, root: str, snapshot: str, comparator_set: str |
     """
     store = Store(spark, root, snapshot)
     rows = adjusted.profiles(curated_observations(store))
-    cells = contingency.contingency(rows, pairs=contingency.report_pairs(rows))
-    counts = store.write("analytics", {"strata": adjusted.stratum_estimates(adjusted.stratum_tables(rows))})
+    store.write("analytics", {"profiles": rows, "stratum_cells": adjusted.stratum_tables(rows)})
+    rows, tables = contingency.whole(store.read("analytics", "profiles")), store.read("analytics", "stratum_cells")
+    cells = contingency.tables(rows, pairs="report")
+    counts = store.write("analytics", {"strata": adjusted.stratum_estimates(tables)})
     strata = store.read("analytics", "strata")
 
     def named(df: DataFrame, name: str, estimate: str = "estimate") -> DataFrame:
@@ -109,7 +113,7 @@ def adjust(spark: SparkSession, root: str, snapshot: str, comparator_set: str |
 
     sets = snapshots.comparators(spark, comparator_set) if comparator_set else spark.createDataFrame([], "drug string, comparator string")
     parts = [
-        named(adjusted.mantel_haenszel(adjusted.stratum_tables(rows)), "mantel_haenszel"), named(adjusted.active_comparator(rows, sets), "active_comparator"), named(adjusted.penalized_logistic(rows), "logistic"),
+        named(adjusted.mantel_haenszel(tables), "mantel_haenszel"), named(adjusted.active_comparator(rows, sets), "active_comparator"), named(adjusted.penalized_logistic(rows), "logistic"),
         named(adjusted.beta_binomial(cells), "beta_binomial"), adjusted.heterogeneity_p(adjusted.heterogeneity(strata)),
     ]
     out = named(adjusted.crude(cells), "crude", "ror")

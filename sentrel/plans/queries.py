@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sentrel.functions import normalize as nz
 from sentrel.operators import adjusted, audit, backtest, cohort, contingency, detectors, evidence, forest, quality, reference, serve, temporal
 
+from sentrel.sources.scratch import written
+
 from .mapping import observations, observations_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +103,7 @@ def signals_ranked(spark, sf):
 @query("signals_filtered_topn", f"WITH {cells_sql(observations_sql('part'))}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM (SELECT * FROM signals WHERE detector = 'ror' AND event = 'BUILDING' AND is_potential_signal ORDER BY {SIGNAL_ORDER} LIMIT 20)")
 def signals_filtered_topn(spark, sf):
     scores = detectors.score(contingency.contingency(observations(spark, sf, "part")))
-    return rounded(serve.signals(scores, detector="ror", event="building", potential_only=True, limit=20), "score", "lower_bound", "upper_bound", "chi_square")
+    return rounded(serve.answers("signals", scores, 20, detector="ror", event="building", potential=True), "score", "lower_bound", "upper_bound", "chi_square")
 
 
 @query("signal_totals", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT count(*) AS scores, count(DISTINCT (drug, event)) AS pairs, count_if(is_potential_signal) AS potential_signals, count_if(passes_stability_rule) AS stable_signals FROM signals")
@@ -276,6 +278,17 @@ def change_points(spark, sf):
     return rounded(temporal.change_points(temporal.quarterly_features(observations(spark, sf))), "change_score")
 
 
+def _features(spark, sf):
+    """Quarterly features, made once: what scales, scores and ranks them reads them several times."""
+    return written(temporal.quarterly_features(observations(spark, sf)), "features")
+
+
+@query("temporal_filtered", f"WITH {features_sql()}, {CHANGES} SELECT drug, event, quarter, round(change_score, 6) AS change_score, baseline_quarters FROM changes WHERE drug = 'BRAND#11' AND change_score >= 3.5 ORDER BY quarter, drug, event LIMIT 50")
+def temporal_filtered(spark, sf):
+    rows = serve.answers("temporal", temporal.change_points(temporal.quarterly_features(observations(spark, sf))), 50, drug="brand#11", changes=True)
+    return rounded(rows, "change_score").select("drug", "event", "quarter", "change_score", "baseline_quarters")
+
+
 VECTOR = "report_count::DOUBLE AS report_count, reporting_share, growth, serious_proportion, ln(1 + ror) AS log_ror, ln(1 + prr) AS log_prr"
 
 
@@ -283,23 +296,29 @@ VECTOR = "report_count::DOUBLE AS report_count, reporting_share, growth, serious
     q AS (SELECT {', '.join(f'quantile_cont({x}, [0.25, 0.5, 0.75]) AS q_{x}' for x in temporal.FEATURES)} FROM v)
     SELECT drug, event, quarter, {', '.join(f'round(({x} - q_{x}[2]) / CASE WHEN q_{x}[3] = q_{x}[1] THEN 1 ELSE q_{x}[3] - q_{x}[1] END, 6) AS scaled_{x}' for x in temporal.FEATURES)} FROM v CROSS JOIN q""")
 def robust_scale(spark, sf):
-    return rounded(temporal.robust_scale(temporal.quarterly_features(observations(spark, sf))), *[f"scaled_{x}" for x in temporal.FEATURES])
+    return rounded(temporal.robust_scale(_features(spark, sf)), *[f"scaled_{x}" for x in temporal.FEATURES])
+
 
+SCALED = f"""{features_sql()}, v AS (SELECT drug, event, quarter, {VECTOR} FROM features),
+    q AS (SELECT {', '.join(f'quantile_cont({x}, [0.25, 0.5, 0.75]) AS q_{x}' for x in temporal.FEATURES)} FROM v)"""
 
-@query("feature_contributions")
+
+@query("feature_contributions", f"""WITH {SCALED}, e AS (
+    {' UNION ALL '.join(f"SELECT drug, event, quarter, {i} AS feature, '{x}' AS name, round(abs(({x} - q_{x}[2]) / CASE WHEN q_{x}[3] = q_{x}[1] THEN 1 ELSE q_{x}[3] - q_{x}[1] END), 6) AS value FROM v CROSS JOIN q" for i, x in enumerate(temporal.FEATURES))})
+    SELECT drug, event, quarter, (row_number() OVER (PARTITION BY drug, event, quarter ORDER BY value DESC, feature) - 1)::INT AS place, name, value FROM e""")
 def feature_contributions(spark, sf):
-    rows = temporal.contributions(temporal.robust_scale(temporal.quarterly_features(observations(spark, sf))))
+    rows = temporal.contributions(temporal.robust_scale(_features(spark, sf)))
     return rows.select("drug", "event", "quarter", F.posexplode("contributions").alias("place", "c")).select("drug", "event", "quarter", "place", "c.name", "c.value")
 
 
 @query("isolation_forest")
 def isolation_forest(spark, sf):
-    return forest.isolation_forest(temporal.quarterly_features(observations(spark, sf)))
+    return forest.isolation_forest(_features(spark, sf))
 
 
 @query("walk_forward_forest")
 def walk_forward_forest(spark, sf):
-    return forest.walk_forward(temporal.quarterly_features(observations(spark, sf)).persist())
+    return forest.walk_forward(_features(spark, sf))
 
 
 # ---- backtest -----------------------------------------------------------------------------------
@@ -324,7 +343,7 @@ BACKTEST = f"""{features_sql()}, {REFERENCE_SQL},
 
 
 def _scored(spark, sf):
-    features = temporal.quarterly_features(observations(spark, sf))
+    features = _features(spark, sf)
     # ranks are by nine places, so that ties don't depend on the last bit of a float
     scores = backtest.detector_scores(features).withColumn("score", F.round("score", 9))
     return features, scores, backtest.in_window(references(spark), features)
@@ -355,7 +374,7 @@ def detector_summary(spark, sf):
 
 @query("match_coverage", f"WITH {features_sql()}, {REFERENCE_SQL} SELECT match_method, count(*) AS entries, count_if(match_method <> 'unmatched' AND signal_quarter NOT IN (SELECT quarter FROM features)) AS out_of_window FROM refs GROUP BY match_method")
 def match_coverage(spark, sf):
-    return backtest.coverage(references(spark), temporal.quarterly_features(observations(spark, sf)))
+    return backtest.coverage(references(spark), _features(spark, sf))
 
 
 # ---- adjusted -----------------------------------------------------------------------------------
@@ -372,8 +391,7 @@ def _profiles(spark, sf):
 
 @query("crude_ror", f"WITH {cells_sql(PROFILE_SQL)} SELECT drug, event, a, b, c, d, round({ROR}, 6) AS ror, {BOUNDS.format(ROR, ROR_SE)} FROM {FIXED.format('t')}")
 def crude_ror(spark, sf):
-    rows = _profiles(spark, sf)
-    return rounded(adjusted.crude(contingency.contingency(rows, pairs=contingency.report_pairs(rows))), "ror", "lower_bound", "upper_bound")
+    return rounded(adjusted.crude(contingency.tables(_profiles(spark, sf), pairs="report")), "ror", "lower_bound", "upper_bound")
 
 
 @query("stratum_tables", f"WITH {STRATA} SELECT stratum, drug, event, n AS reports, a AS cases, round({ROR}, 6) AS ror, {BOUNDS.format(ROR, ROR_SE)}, round({PRR}, 6) AS prr FROM {FIXED.format('t')}")
@@ -388,6 +406,11 @@ def mantel_haenszel(spark, sf):
     return rounded(adjusted.mantel_haenszel(adjusted.stratum_tables(_profiles(spark, sf))), "estimate", "lower_bound", "upper_bound")
 
 
+@query("adjusted_filtered", f"WITH {cells_sql(PROFILE_SQL)}, p AS (SELECT drug, event, round({ROR}, 6) AS ror FROM {FIXED.format('t')}) SELECT * FROM p WHERE drug = 'BRAND#23' ORDER BY drug, event LIMIT 10")
+def adjusted_filtered(spark, sf):
+    return rounded(serve.answers("adjusted", adjusted.crude(contingency.tables(_profiles(spark, sf), pairs="report")), 10, drug="Brand#23").select("drug", "event", "ror"), "ror")
+
+
 HETEROGENEITY = f"""{STRATA}, w AS (SELECT drug, event, ln({ROR}) AS x, 1 / ({ROR_SE} * {ROR_SE}) AS w FROM {FIXED.format('t')}),
     mm AS (SELECT drug, event, sum(x * w) / sum(w) AS mean, count(*) - 1 AS df FROM w GROUP BY ALL),
     het AS (SELECT drug, event, sum(w * (x - mean) * (x - mean)) AS q, any_value(df) AS df FROM w JOIN mm USING (drug, event) GROUP BY ALL)"""
@@ -398,9 +421,13 @@ def heterogeneity_q(spark, sf):
     return adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf)))).withColumn("q", F.round("q", 5))
 
 
-@query("heterogeneity_p")
+# the normal distribution's tail by Simpson's rule over 2,000 steps, which is exact to more places than are compared
+@query("heterogeneity_p", f"""WITH {HETEROGENEITY}, zz AS (SELECT drug, event, q, df, (pow(q / df, 1 / 3::DOUBLE) - (1 - 2 / (9::DOUBLE * df))) / sqrt(2 / (9::DOUBLE * df)) AS z FROM het WHERE df >= 1),
+    pp AS (SELECT drug, event, 0.5 - z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * z / 2000) * (i * z / 2000) / 2))) / sqrt(2 * pi()) AS p FROM zz)
+    SELECT drug, event, CASE WHEN df >= 1 THEN round(q, 5) ELSE 0 END AS q, CASE WHEN df >= 1 THEN df ELSE 0 END AS df, round(least(greatest(p, 0), 1), 6) AS p FROM het LEFT JOIN pp USING (drug, event)""")
 def heterogeneity_p(spark, sf):
-    return adjusted.heterogeneity_p(adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf)))))
+    rows = adjusted.heterogeneity_p(adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf)))))
+    return rows.withColumns({"q": F.round("q", 5), "p": F.round("p", 6)})
 
 
 @query("active_comparator", f"""WITH obs AS ({PROFILE_SQL}), cmp AS (SELECT * FROM (VALUES ('BRAND#11', 'BRAND#12'), ('BRAND#11', 'BRAND#13'), ('BRAND#23', 'BRAND#24')) AS x(drug, comparator)),
@@ -423,8 +450,7 @@ def penalized_logistic(spark, sf):
 
 @query("beta_binomial")
 def beta_binomial(spark, sf):
-    rows = _profiles(spark, sf)
-    return adjusted.beta_binomial(contingency.contingency(rows, pairs=contingency.report_pairs(rows)))
+    return adjusted.beta_binomial(contingency.tables(_profiles(spark, sf), pairs="report"))
 
 
 # ---- evidence, references, cohorts, audit -------------------------------------------------------
@@ -459,6 +485,12 @@ def brief_status(spark, sf):
     return rows.select("drug", "event", "status", F.size("claims").cast("long").alias("claims"), "brief_key")
 
 
+@query("brief_lookup", f"WITH {EVIDENCE} SELECT p.drug, p.event, least(count(rank), 5) AS claims FROM {PROMPTS} LEFT JOIN top USING (drug, event) WHERE upper(p.drug) = 'RELEASED UNDER' AND upper(p.event) = 'MIT LICENSE' GROUP BY p.drug, p.event")
+def brief_lookup(spark, sf):
+    briefs = evidence.template_briefs(_prompts(spark), evidence.retrieve(_documents(spark, sf), _prompts(spark)))
+    return serve.brief(briefs, "Released Under", "mit license").select("drug", "event", F.size("claims").cast("long").alias("claims"))
+
+
 @query("brief_validation", r"SELECT item_id, regexp_matches(text || CASE item_id % 6 WHEN 0 THEN ' It Causes harm.' WHEN 1 THEN ' proven' WHEN 2 THEN ' change your dose' WHEN 3 THEN ' they are unsafe' ELSE '' END, '(?i)\bcauses?\b|\bproves?\b|\bstop taking\b|\b(start|change) (a |your )?(dose|treatment)\b|\b(is|are) (safe|unsafe)\b') AS unsafe, item_id % 5 = 0 AS unknown_citation FROM benchmark")
 def brief_validation(spark, sf):
     k = F.col("item_id")

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 OBSERVATION = "report_id string, received_date date, drug_name string, drug_role string, reaction string, serious boolean, patient_age_group string, patient_sex string"
 
+REFERENCES = (
+    "reference_set_id string, entries array<struct<reference_id: string, signal_quarter: string, publication_quarter: string, normalized_drug: string, normalized_event: string, normalized_drugs: array<string>, "
+    "normalized_events: array<string>, match_method: string, review_status: string, reviewed_by: string, reviewed_at: string>>"
+)
+
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """page, index, payload of every record of page-*.json files (response.results), in a stable order.
@@ -26,8 +31,8 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reference_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a reference set, numbered in file order."""
-    return spark.read.option("multiLine", True).json(path).select("reference_set_id", F.posexplode("entries").alias("entry", "e")).select("reference_set_id", "entry", "e.*")
+    """Entries of a reference set, numbered in file order; fields that a file lacks are null."""
+    return spark.read.schema(REFERENCES).option("multiLine", True).option("mode", "FAILFAST").json(path).select("reference_set_id", F.posexplode("entries").alias("entry", "e")).select("reference_set_id", "entry", "e.*")
 
 
 def evidence_documents(spark: SparkSession, path: str) -> DataFrame:

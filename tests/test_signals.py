@@ -37,7 +37,7 @@ def test_scores_of_twenty_reports(twenty):
     assert p.is_potential_signal and not p.passes_stability_rule
     totals = detectors.totals(scores).first()
     assert (totals.scores, totals.pairs, totals.potential_signals, totals.stable_signals) == (8, 4, 4, 3)
-    assert [r.drug for r in serve.signals(scores, potential_only=True, limit=2).collect()] == ["A", "B"]
+    assert [r.drug for r in serve.answers("signals", scores, 2, potential=True).collect()] == ["A", "B"]
 
 
 @pytest.mark.parametrize(
@@ -167,7 +167,7 @@ def first(df):
 
 
 def test_adjusted_estimates(spark, strata):
-    cells = contingency.contingency(strata, pairs=contingency.report_pairs(strata))
+    cells = contingency.tables(strata, pairs="report")
     want = (6.666667, 2.410231, 18.439914)
     crude = first(adjusted.crude(cells))
     assert (crude.ror, crude.lower_bound, crude.upper_bound) == pytest.approx(want, abs=1e-5)
@@ -193,7 +193,7 @@ def test_small_strata_are_left_out(spark):
 
 def test_limits_and_identifiers(twenty):
     with pytest.raises(ValueError):
-        serve.signals(detectors.score(contingency.contingency(twenty)), limit=0)
+        serve.answers("signals", detectors.score(contingency.contingency(twenty)), limit=0)
     with pytest.raises(ValueError):
         serve.safe_identifier("../up")
     assert serve.safe_identifier("demo-2024") == "demo-2024"
