@@ -81,6 +81,29 @@ def test_grams_equal_plain_strings():
     assert counts(got) == counts(want)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 40])
+def test_grams_of_a_text_in_pieces(size):
+    rng = random.Random(size)
+    for text in ["", "a", "?!", "Ab", "x1y", "x" * 40, *("".join(rng.choices("abcé ,.1", k=rng.randint(1, 99))) for _ in range(40))]:
+        bucket, _, letters = language_id.grams(strings(pa.array([text])), (1, 2, 3), 1 << 50)
+        got = list(language_id.pieces(text.lower(), (1, 2, 3), 1 << 50, size))
+        assert sorted(np.concatenate([g[0] for g in got]).tolist()) == sorted(bucket.tolist()) and sum(g[1] for g in got) == letters[0]
+
+
+def test_language_of_very_long_texts(spark, monkeypatch):
+    rows = [(i, " ".join(random.Random(i).choices(["der", "und", "nicht", "haus"] if i % 2 else ["the", "and", "not", "house"], k=300)), "de" if i % 2 else "en") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    told = lambda: (language_id.train(df), sorted(language_id.identify(df, language_id.train(df)).collect()))
+    one, whole = told()
+    texts = pa.array([r[1] for r in rows]).cast(pa.large_string())
+    short = list(language_id._pieced(texts, (2, 3), 1 << 15))
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(language_id, "slices", lambda t: ((i, t.slice(i, 1)) for i in range(len(t))))
+    long = list(language_id._pieced(texts, (2, 3), 1 << 15))
+    assert len(short) < len(long) and sorted(np.concatenate([p[2] for p in short]).tolist()) == sorted(np.concatenate([p[2] for p in long]).tolist())
+    assert [r.lang_pred for r in whole] == [r[2] for r in rows] and one["prior"] == pytest.approx(np.log([0.5, 0.5]))
+
+
 def test_language_ties_go_to_the_first_name(spark):
     model = language_id.train(spark.createDataFrame([("same words here", "y"), ("same words here", "x")], "text string, lang string"))
     row = language_id.identify(spark.createDataFrame([(1, "words")], "doc_id long, text string"), model).first()
