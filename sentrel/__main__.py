@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from sentrel.plans import jobs
+from sentrel.sources import ingest, manifests
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,6 +42,16 @@ def parser() -> argparse.ArgumentParser:
     p = job("check-references", snapshot=False)
     p.add_argument("--reference-set", required=True)
     p.add_argument("--quarter", required=True)
+    p.add_argument("--output")
+    p = job("export")
+    p.add_argument("--layer", required=True)
+    p.add_argument("--table", required=True)
+    p.add_argument("--source", choices=sorted(jobs.quality.PROCESSORS), default="reports")
+    p = job("ingest", snapshot=False)
+    p.add_argument("--root", required=True)
+    p.add_argument("--kind", choices=sorted(manifests.KINDS), required=True)
+    p.add_argument("--manifest", required=True)
+    p.add_argument("--url", required=True)
     job("demo")
     return top
 
@@ -51,7 +62,8 @@ def run(arguments: Sequence[str] | None, spark: SparkSession) -> dict:
         "process": lambda: jobs.process(spark, a.root, a.snapshot, a.as_of, a.source), "score": lambda: jobs.score(spark, a.root, a.snapshot, a.require_checks),
         "temporal": lambda: jobs.find_changes(spark, a.root, a.snapshot, a.contamination, a.minimum_history), "backtest": lambda: jobs.evaluate(spark, a.root, a.snapshot, a.reference_set, a.k),
         "adjust": lambda: jobs.adjust(spark, a.root, a.snapshot, a.comparator_set), "brief": lambda: jobs.brief(spark, a.root, a.snapshot, [(a.drug, a.event)], a.evidence_set),
-        "check-references": lambda: jobs.check_references(spark, a.reference_set, a.quarter), "demo": lambda: jobs.demo(spark, a.root, a.snapshot),
+        "check-references": lambda: jobs.check_references(spark, a.reference_set, a.quarter, a.output), "export": lambda: jobs.export(spark, a.root, a.snapshot, a.layer, a.table, a.source),
+        "ingest": lambda: ingest.ingest(spark, a.root, manifests.load(a.kind, a.manifest), a.url), "demo": lambda: jobs.demo(spark, a.root, a.snapshot),
     }
     return {"job": a.job, "rows": calls[a.job]()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,9 @@ def set_violations(people: DataFrame, baseline_days: int = BASELINE_DAYS) -> Dat
     row = lambda bad, name, found: F.when(bad, F.struct(F.lit(name).alias("violation"), found.cast("long").alias("found")))
     rows = F.array(row(F.col("n") == 0, "empty cohort", F.col("n")), row(F.col("people") < F.col("n"), "repeated person", F.col("n") - F.col("people")), row((F.col("n") > 0) & (F.col("cohorts") != 2), "not two cohorts", F.col("cohorts")), row(F.col("short") > 0, "short baseline", F.col("short")))
     return sums.select(F.inline(F.filter(rows, lambda r: r.isNotNull())))
+
+
+class LongitudinalEstimator(Protocol):
+    """Estimates of a cohort that has neither timeline nor set violations; none ships with the library."""
+
+    def __call__(self, people: DataFrame) -> DataFrame: ...

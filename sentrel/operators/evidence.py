@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions.normalize import brief_key, tokens
 
 TOP, EXCERPT = 5, 600
+
+
+class BriefProvider(Protocol):
+    """Makes briefs (as ``template_briefs`` does) of pairs and their retrieved evidence; a model behind it runs where its caller says."""
+
+    def __call__(self, pairs: DataFrame, evidence: DataFrame) -> DataFrame: ...
+
+
 #: Fixed patterns: wording that no brief may hold.
 UNSAFE = [r"\bcauses?\b", r"\bproves?\b", r"\bstop taking\b", r"\b(start|change) (a |your )?(dose|treatment)\b", r"\b(is|are) (safe|unsafe)\b"]
 

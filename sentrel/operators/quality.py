@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions import normalize as nz
+from sentrel.sources.scratch import Scratch
 
 REPORT = (
     "safetyreportid string, receivedate string, serious string, patient struct<patientonsetage: string, patientonsetageunit: string, patientsex: string, "
@@ -21,6 +22,7 @@ SAMPLE = (
     "county_fips string, population_served string, pcr_target_avg_conc string, pcr_target_units string, pcr_target_detect string"
 )
 SAMPLE_TEXTS = ("record_id", "site", "state_territory", "source", "sample_id", "pcr_target")
+SAMPLE_FIELDS = ("record_id", "site", "state_territory", "source", "sample_id", "sample_collect_date", "pcr_target", "date_updated")
 NO_PAIR = "no_usable_pair"
 THRESHOLD = 0.95
 
@@ -49,8 +51,17 @@ def _whole(path: str, least: int, absent: bool) -> Column:
     return ~fine & (_kind(path).isNotNull() if absent else F.lit(True))
 
 
+def _present(fields: dict[str, Column]) -> Column:
+    return F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in fields.items()]).alias("present")
+
+
+def _shares(told: DataFrame) -> DataFrame:
+    """``completeness`` of the fields that validation has marked as present."""
+    return completeness(told, {n: F.col("present").getField(n) for n in told.schema["present"].dataType.names})
+
+
 def validate_reports(raw: DataFrame) -> DataFrame:
-    """``raw`` (page, index, payload) with reasons (empty: valid), report_id, version and the typed report.
+    """``raw`` (page, index, payload) with reasons (empty: valid), report_id, version, the typed report and which fields are present.
 
     Reasons are stable codes and all that apply are listed. A version may be missing (1) but not null.
     """
@@ -69,7 +80,7 @@ def validate_reports(raw: DataFrame) -> DataFrame:
         (F.coalesce((F.size(reactions) < 1) | bad_reaction, F.lit(True)), "patient.reaction: no entry or a blank one"),
     ))
     version = F.coalesce(F.when(_kind("$.safetyreportversion") == "BOOLEAN", F.lit(1)), F.trim(_text("$.safetyreportversion")).try_cast("double").cast("long"), F.lit(1))
-    return rows.select(*raw.columns, "reasons", _text("$.safetyreportid").alias("report_id"), F.when(F.size("reasons") == 0, version).cast("long").alias("version"), nested.alias("report"))
+    return rows.select(*raw.columns, "reasons", _text("$.safetyreportid").alias("report_id"), F.when(F.size("reasons") == 0, version).cast("long").alias("version"), nested.alias("report"), _present(report_fields()))
 
 
 def validate_samples(raw: DataFrame) -> DataFrame:
@@ -86,7 +97,7 @@ def validate_samples(raw: DataFrame) -> DataFrame:
         (number(people) & _whole(people, 1, absent=True), "population_served: not a whole number from 1"),
         (number("$.pcr_target_avg_conc") & ~F.coalesce((concentration >= 0) & ~F.isnan(concentration), F.lit(False)), "pcr_target_avg_conc: not a number from 0"),
     ))
-    return rows.select(*raw.columns, "reasons", _text("$.record_id").alias("record_id"), F.try_to_timestamp(_text("$.date_updated")).alias("updated"), F.from_json("payload", SAMPLE).alias("sample"))
+    return rows.select(*raw.columns, "reasons", _text("$.record_id").alias("record_id"), F.try_to_timestamp(_text("$.date_updated")).alias("updated"), F.from_json("payload", SAMPLE).alias("sample"), _present({x: _kind(f"$.{x}").isNotNull() & (_kind(f"$.{x}") != "VOID") & (_text(f"$.{x}") != "") for x in SAMPLE_FIELDS}))
 
 
 def classified(rows: DataFrame, key: str, version: str, order: list[str]) -> DataFrame:
@@ -167,15 +178,17 @@ def process_reports(raw: DataFrame, as_of) -> dict[str, DataFrame]:
 
     A selected report that yields no pair is rejected late. ``as_of`` (a date) dates the snapshot.
     """
-    told = validate_reports(raw)
-    valid = classified(told.where("size(reasons) = 0"), "report_id", "version", ["page", "index"])
+    # every record is parsed once, versions are told apart once: the tables below read what was written
+    store = Scratch(raw.sparkSession)
+    told = store.written(validate_reports(raw), "validated")
+    valid = store.written(classified(told.where("size(reasons) = 0").drop("present"), "report_id", "version", ["page", "index"]), "classified")
     chosen = valid.where("winner")
-    curated = curate_reports(chosen)
+    curated = store.written(curate_reports(chosen), "curated")
     yielding = curated.select("report_id").distinct()
     accepted = chosen.join(yielding, "report_id", "left_semi").drop("kind", "winner")
     late = chosen.join(yielding, "report_id", "left_anti").select("page", "index", "report_id", F.array(F.lit(NO_PAIR)).alias("reasons"), F.sha2("payload", 256).alias("payload_sha256"))
     rejected = told.where("size(reasons) > 0").select("page", "index", "report_id", "reasons", F.sha2("payload", 256).alias("payload_sha256")).unionByName(late)
-    shares = completeness(raw.withColumn("v", F.try_parse_json("payload")), report_fields())
+    shares = _shares(told)
     one = lambda df, *aggregates: df.agg(*aggregates)
     metrics = (
         one(told, F.count("*").alias("input_records"), F.count_if(F.size("reasons") == 0).alias("valid_records"))
@@ -192,13 +205,13 @@ def process_reports(raw: DataFrame, as_of) -> dict[str, DataFrame]:
 
 def process_samples(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     """accepted, rejected, curated, metrics and checks of a raw snapshot of environmental samples."""
-    told = validate_samples(raw)
-    valid = classified(told.where("size(reasons) = 0"), "record_id", "updated", ["page", "index"])
+    store = Scratch(raw.sparkSession)
+    told = store.written(validate_samples(raw), "validated")
+    valid = store.written(classified(told.where("size(reasons) = 0").drop("present"), "record_id", "updated", ["page", "index"]), "classified")
     accepted = valid.where("winner").drop("kind", "winner")
     curated = curate_samples(accepted)
     rejected = told.where("size(reasons) > 0").select("page", "index", "record_id", "reasons", F.sha2("payload", 256).alias("payload_sha256"))
-    fields = ["record_id", "site", "state_territory", "source", "sample_id", "sample_collect_date", "pcr_target", "date_updated"]
-    shares = completeness(raw.withColumn("v", F.try_parse_json("payload")), {x: _kind(f"$.{x}").isNotNull() & (_kind(f"$.{x}") != "VOID") & (_text(f"$.{x}") != "") for x in fields})
+    shares = _shares(told)
     metrics = (
         told.agg(F.count("*").alias("input_records"), F.count_if(F.size("reasons") == 0).alias("valid_records"), F.count_if(F.size("reasons") > 0).alias("rejected_records"))
         .crossJoin(valid.agg(F.count_if(F.col("kind") == "followup").alias("superseded_removed"), F.count_if(F.col("kind") == "duplicate").alias("duplicates_removed")))

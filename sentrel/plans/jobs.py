@@ -19,6 +19,12 @@ KEY = ["drug", "event"]
 #: The detectors of a backtest: the statistics and the walk-forward forest.
 DETECTORS = [*backtest.STATISTICS, "isolation_forest"]
 
+#: In what order the rows of a table are exported.
+ORDERS = {
+    "accepted": ("report_id", "version"), "pairs": ("report_id", "drug", "event"), "features": ("quarter", "drug", "event"), "temporal_signals": ("quarter", "drug", "event"), "profiles": ("report_id",), "stratum_cells": ("drug", "event", "stratum"),
+    "strata": ("drug", "event", "stratum"), "adjusted": ("drug", "event"), "rankings": ("quarter", "detector", "rank"), "quarter_metrics": ("quarter", "detector"), "detector_summary": ("detector",), "briefs": ("drug", "event"),
+}
+
 
 class Store:
     """Paths of one source's snapshot; identifiers that could leave the folder are refused."""
@@ -131,13 +137,25 @@ def brief(spark: SparkSession, root: str, snapshot: str, pairs: list[tuple[str,
     return store.write("analytics", {"briefs": evidence.fail_closed(evidence.template_briefs(asked, found))})
 
 
-def check_references(spark: SparkSession, reference_set: str, quarter: str) -> dict[str, int]:
-    """Entries by eligibility at a quarter; a set that contradicts itself is refused."""
+def export(spark: SparkSession, root: str, snapshot: str, layer: str, table: str, source: str = "reports") -> dict[str, int]:
+    """A finished table as JSON lines in its own order, under export/<source>/<snapshot>/<table>; signals in rank order."""
+    store = Store(spark, root, snapshot, source)
+    rows = store.read(safe_identifier(layer), safe_identifier(table))
+    rows = detectors.ranked(rows) if table == "signals" else rows
+    snapshots.write_lines(rows, store.path("export", table), [c for c in ORDERS.get(table, ()) if c in rows.columns])
+    return {table: rows.count()}
+
+
+def check_references(spark: SparkSession, reference_set: str, quarter: str, output: str | None = None) -> dict[str, int]:
+    """Entries by eligibility at a quarter, also as a file on request; a set that contradicts itself is refused."""
     entries = snapshots.reference_entries(spark, reference_set)
     bad = reference.inconsistencies(entries).limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r.reference_id}: {r.problem}" for r in bad))
-    return {r.reason: r.entries for r in reference.eligibility_counts(entries, quarter).collect()}
+    counts = reference.eligibility_counts(entries, quarter)
+    if output:
+        snapshots.write_lines(counts, output, ["reason"])
+    return {r.reason: r.entries for r in counts.collect()}
 
 
 def demonstration(spark: SparkSession) -> DataFrame:

@@ -48,3 +48,10 @@ def comparators(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Write a table once; a snapshot that exists is never overwritten."""
     df.write.mode("errorifexists").parquet(path)
+
+
+def write_lines(df: DataFrame, path: str, order: list[str] | tuple[str, ...] = ()) -> None:
+    """Write a table once as JSON lines, in order: keys sorted, no spaces, nulls kept, infinities as null."""
+    whole = df.orderBy(*order) if order else df
+    finite = [F.when(F.abs(F.col(f.name)) < float("inf"), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    whole.select(F.to_json(F.struct(*finite), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)

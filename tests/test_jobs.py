@@ -26,6 +26,15 @@ def test_demo_backtest_and_brief(spark, tmp_path):
     pair = store.read("analytics", "adjusted").where("drug = 'DRUG A' and event = 'EVENT X'").first()
     assert pair.crude_estimate == pytest.approx(8.666667, abs=1e-5) and pair.mantel_haenszel_estimate > 1 and pair.beta_binomial_lower > 1 and pair.active_comparator_estimate is None
 
+    assert run(["export", "--root", root, "--snapshot", "demo", "--layer", "analytics", "--table", "strata"], spark)["rows"]["strata"] == store.read("analytics", "strata").count()
+    for table in ("strata", "signals"):
+        if table == "signals":
+            run(["export", "--root", root, "--snapshot", "demo", "--layer", "analytics", "--table", table], spark)
+        lines = [json.loads(x) for f in sorted((tmp_path / "export" / "reports" / "demo" / table).glob("part-*")) for x in f.read_text().splitlines()]
+        assert all(list(x) == sorted(x) for x in lines)
+        keys = [(x["drug"], x["event"], x["stratum"]) if table == "strata" else (not x["is_potential_signal"], not x["passes_stability_rule"], -x["score"], x["detector"], x["drug"], x["event"]) for x in lines]
+        assert keys == sorted(keys) and keys
+
     (tmp_path / "set.json").write_text(json.dumps({"reference_set_id": "s", "entries": [{"reference_id": "a", "signal_quarter": "2025-Q4", "normalized_drug": "DRUG A", "normalized_event": "EVENT X", "match_method": "exact"}]}))
     rows = run(["backtest", "--root", root, "--snapshot", "demo", "--reference-set", str(tmp_path / "set.json"), "--k", "1"], spark)["rows"]
     assert rows["quarter_metrics"] == 16 and rows["detector_summary"] == 4

@@ -152,7 +152,12 @@ def test_stream_keeps_the_latest(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     table = str(tmp_path / "out")
-    for i, records in enumerate([REPORTS[:1], REPORTS[1:3]]):
+    for i, records in enumerate([REPORTS[:1], REPORTS[1:3], [report("200", "3")], REPORTS[:1]]):
         (tmp_path / "in" / f"page-{i}.json").write_text(json.dumps({"response": {"results": records}}))
-        upsert.upsert_latest(upsert.stream_pages(spark, str(tmp_path / "in")), table, str(tmp_path / "check")).awaitTermination()
-    assert {(r.report_id, r.version) for r in spark.read.parquet(f"{table}/v=1").collect()} == {("100", 2), ("200", 1)}
+        upsert.upsert_latest(upsert.stream_pages(spark, str(tmp_path / "in")), table, str(tmp_path / "check"), compact_every=3).awaitTermination()
+        if i == 1:
+            assert {(r.report_id, r.version) for r in upsert.current(spark, table).collect()} == {("100", 2), ("200", 1)}
+    assert upsert._parts(spark, f"{table}/base") == [2] and upsert._parts(spark, f"{table}/delta") == [0, 1, 2, 3]
+    (tmp_path / "out" / "delta" / "n=4").mkdir()  # a batch that was not finished
+    assert {(r.report_id, r.version) for r in upsert.current(spark, table).collect()} == {("100", 2), ("200", 3)}
+    assert {(r.report_id, r.version) for r in upsert.current(spark, table, upto=1).collect()} == {("100", 2), ("200", 1)}
