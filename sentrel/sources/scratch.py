@@ -32,7 +32,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, []
+        self.spark, self.tables, self.catalog = spark, [], {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
@@ -42,11 +42,23 @@ class Scratch:
         self.tables.append((table, path))
         return table
 
+    def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """Like ``written``, dealt by ``column`` into ``buckets`` files a task, so that later groups and joins on it move nothing."""
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{table}"
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+        self.catalog[path] = table
+        found = self.spark.table(table)
+        self.tables.append((found, path))
+        return found
+
     def clear(self, *keep: DataFrame) -> None:
         """Delete all tables but those that a result still reads."""
         held = [(t, p) for t, p in self.tables if any(t is k for k in keep)]
         for table, path in self.tables:
             if not any(table is k for k in keep):
+                if path in self.catalog:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.catalog.pop(path)}")
                 target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
         self.tables = held
