@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sentencepiece_codec
+from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sentencepiece_codec, suffix_dedup
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -71,6 +71,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_nearest": op2_nearest,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
