@@ -33,7 +33,7 @@ LENGTH, ANCHOR = 50, 24
 #: Anchors in a string of LENGTH, which is also the most strings a piece has.
 SPAN = LENGTH - ANCHOR + 1
 WIDTH = 80  # bytes a piece takes in a matrix: LENGTH + SPAN - 1, padded
-CHUNK_BYTES, BLOCK = 4 << 20, 1 << 17
+CHUNK_BYTES, BLOCK = 4 << 20, 1 << 15
 #: Anchors a bucket, pieces a collection, and further contents of an anchor from which its strings are dealt out singly.
 BUCKET_KEYS, COLLECTION, HOT = 1 << 20, 1 << 13, 4096
 KEY_BITS = 48
@@ -266,6 +266,15 @@ def _ask_pieces(buckets: int):
     return ask
 
 
+def _ordered(bwt: np.ndarray) -> np.ndarray:
+    """Places by symbol and place."""
+    if bwt.dtype != np.uint8 or len(bwt) >> 24:
+        return np.argsort(bwt, kind="stable")
+    both = (bwt.astype(np.uint32) << np.uint32(24)) | np.arange(len(bwt), dtype=np.uint32)
+    both.sort()
+    return both & np.uint32((1 << 24) - 1)
+
+
 def sorted_collection(rows: np.ndarray, sizes: np.ndarray, limit: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, common prefix with the suffix before, up to ``limit``) of all suffixes, in order.
 
@@ -283,19 +292,22 @@ def sorted_collection(rows: np.ndarray, sizes: np.ndarray, limit: int = LENGTH)
     reverse = sizes[:, None] - 1 - np.arange(longest)
     by_round = np.zeros((longest + 1, m), kind)
     by_round[:longest] = np.where(reverse >= 0, np.take_along_axis(ranked, np.maximum(reverse, 0), 1), 0).T
-    bwt, lcp, suffix = by_round[0].copy(), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) << 8
+    bwt, lcp, suffix = by_round[0].copy(), np.zeros(m, np.uint8), np.arange(m, dtype=np.int32 if m < 1 << 23 else np.int64) << 8
     last = np.arange(m)  # places of the suffixes of the round before
     for j in range(1, longest + 1):
-        last = last[bwt[last] != 0]
         n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
+        order = _ordered(bwt)
         ended = n - np.count_nonzero(bwt)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        last = last[::-1]  # from the back, so that reduceat reads no more than the ranges
-        k = place[last]
+        fresh = np.zeros(n, bool)
+        fresh[last] = bwt[last] != 0
+        k = np.flatnonzero(fresh[order])
+        last = order[k].astype(np.int64)
+        down = np.argsort(-last)  # from the back, so that reduceat reads no more than the ranges
+        k, last = k[down], last[down]
+        if not len(last):
+            break
         symbol, string = bwt[last], suffix[last] >> 8
-        before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, n - 1)]
+        before, after = (order[np.clip(k + d, 0, n - 1)].astype(np.int64) for d in (-1, 1))
         has_before, has_after = (k > 0) & (bwt[before] == symbol), (k < n - 1) & (bwt[after] == symbol)
         padded = np.append(lcp, np.uint8(0))
         lowest = lambda lo, hi: np.minimum.reduceat(padded, np.stack([lo, hi], 1).ravel())[::2]
