@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, sentencepiece_codec, suffix_dedup
+from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, resampling, secret_scan, sentencepiece_codec, suffix_dedup
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -71,6 +71,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, n=1, buckets=10_000, least_words=20, seed=2024)
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -104,6 +109,30 @@ ORACLE: dict[str, str] = {
                string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
         FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, (pos - 1) // 64
     """,
+    # crc32 of the UTF-8 bytes of every different word, by a table of 256 entries
+    "op12_importance_resampling": r"""
+        WITH step AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b)),
+        tab AS (SELECT list(v ORDER BY b) AS v FROM step),
+        found AS (
+            SELECT 's' AS side, row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+            UNION ALL
+            SELECT 't', 0, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        used AS (SELECT side, n, unnest(ws) AS w FROM found),
+        per AS (SELECT side, n, w, count(*) AS k FROM used GROUP BY ALL),
+        hashed AS (
+            SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+                                      lambda c, x: xor(c >> 8, v[CAST((xor(c, x) & 255) + 1 AS INT)])), 4294967295) % 10000 AS b
+            FROM (SELECT DISTINCT w FROM per), tab),
+        counted AS (SELECT b, sum(CASE side WHEN 's' THEN k ELSE 0 END)::DOUBLE AS s, sum(CASE side WHEN 't' THEN k ELSE 0 END)::DOUBLE AS t FROM per JOIN hashed USING (w) GROUP BY b),
+        gains AS (SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS g FROM counted),
+        weights AS (SELECT n, sum(k * g) AS weight FROM per JOIN hashed USING (w) JOIN gains USING (b) WHERE side = 's' GROUP BY n),
+        scored AS (
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+            FROM found LEFT JOIN weights USING (n) WHERE side = 's'),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS total FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= total * 10 // 100 THEN place END AS rank FROM placed
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
