@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, resampling, secret_scan, sentencepiece_codec, suffix_dedup
+from . import alignment, ann, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, quality, resampling, secret_scan, sentencepiece_codec, suffix_dedup
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -71,6 +71,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, n=1, buckets=10_000, least_words=20, seed=2024)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
