@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import free, written
 
 OUT = "doc_id long, text_sha256 string, fragment_id long, fragment_keep long, fragment_size long, first boolean, edge boolean, edge_text string"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
@@ -125,11 +125,13 @@ def deduplicated(docs: DataFrame, keep: str = "smallest", **options) -> DataFram
     """The kept rows of ``docs`` with all their columns; of repeated rows one stays.
 
     Rows are matched on identifier and digest, so rows that share an identifier but not a text are
-    told apart. Rows with a null identifier are kept only where no other row has their text.
+    told apart. Rows with a null identifier are kept only where no other row has their text. Columns
+    of any name come back as they were.
     """
     id_col, text_col, normalise = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("normalise")
+    own = free(docs, "id", "key")
     named = lambda column: F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
-    kept = exact_dedup(docs, keep, **options).where("kept").select(named("doc_id").alias("_id"), F.col("text_sha256").alias("_key"))
+    kept = exact_dedup(docs, keep, **options).where("kept").select(named("doc_id").alias(own[0]), F.col("text_sha256").alias(own[1]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": named(id_col), "_key": F.sha2(normalise(text) if normalise else text, 256)})
-    return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    keyed = docs.withColumns({own[0]: named(id_col), own[1]: F.sha2(normalise(text) if normalise else text, 256)})
+    return keyed.join(kept, own, "left_semi").dropDuplicates(own).select(*docs.columns)

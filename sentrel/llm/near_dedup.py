@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, free
 from ._text import BASE, distinct, mix, raw, shingles, slices, strings, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -386,12 +386,13 @@ def deduplicated(docs: DataFrame, size: int = WORDS, similarity: float = SIMILAR
     """The rows of ``docs`` that ``near_classes`` keeps, with all their columns; of repeated rows one stays.
 
     Rows are matched on identifier and text, so a row that only shares its identifier with one that
-    goes stays.
+    goes stays. Columns of any name come back as they were.
     """
     found = classes(_keyed(docs, id_col, text_col), size, similarity, bands, rows, weighted)
     none = F.lit(-(1 << 63))
+    own = free(docs, "id", "t1", "t2")
     stays = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
-    going = found.where(~stays).select(F.coalesce("doc_id", none).alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    going = found.where(~stays).select(*[c.alias(name) for c, name in zip((F.coalesce("doc_id", none), F.col("t1"), F.col("t2")), own, strict=True)])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), none), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
-    return keyed.hint("merge").join(going, ["_id", "_t1", "_t2"], "left_anti").dropDuplicates(["_id", "_t1", "_t2"]).select(*docs.columns)
+    keyed = docs.withColumns(dict(zip(own, (F.coalesce(F.col(id_col).cast("long"), none), F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+    return keyed.hint("merge").join(going, own, "left_anti").dropDuplicates(own).select(*docs.columns)

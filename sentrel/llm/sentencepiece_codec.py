@@ -153,7 +153,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """The rows of ``encoded`` with ``decoded``, the text that their ids stand for (null ids: null)."""
+    """The rows of ``encoded`` with ``decoded``, the text that their ids stand for (null ids: null).
+
+    A column that is called ``decoded`` already makes way; all others come back as they were. Repeated
+    rows are decoded each; an empty table gives an empty result.
+    """
+    encoded = encoded.drop("decoded")
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(model_path))
     ids_at = encoded.columns.index("ids")
 

@@ -200,7 +200,8 @@ def test_pipeline_of_odd_rows(spark, tmp_path, monkeypatch):
     prose = lambda n: " ".join(rng.choice(["stone", "river", "green", "house", "under", "light", "paper", "winter", "small", "early"]) + str(rng.randint(0, 9)) for _ in range(n))
     base = prose(60)
     rows = [(1, base), (2, base), (2, prose(40)), (3, base + " end"), (None, prose(30)), (None, base), (4, None), (5, ""), (5, ""), (6, prose(30_000)), (7, f"{prose(20)} api_key = 'x9Kd82LmQpZ4vT7cW1bN' {prose(5)}"), (8, "?!")]
-    table = spark.createDataFrame([(i, t, "en", "src", 0, 1, 2, "k", True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id int, node int, _key string, kept boolean")
+    own = [(i, t, "en", "src", 0, n, -n, f"k{n}", f"one {n}", None, n, bool(n % 2)) for n, (i, t) in enumerate(rows)]
+    table = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, _id int, id int, _key string, _t1 string, t2 int, node int, kept boolean")
     for name, df in (("some", table), ("none", table.where("false"))):
         df.write.parquet(str(tmp_path / name / "documents.parquet"))
         spark.createDataFrame([(1, 1, 0), (1, None, 0), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
@@ -214,6 +215,9 @@ def test_pipeline_of_odd_rows(spark, tmp_path, monkeypatch):
         kept.append(docs)
     assert all(df.columns == table.columns for df in kept[:-1])
     assert kept[0].count() == len(rows)
+    # what stays keeps the values of all columns, whatever their names; only secrets change a text and its length
+    assert all(tuple(r) in set(own) for df in kept[:3] for r in df.collect()) and all(df.dtypes == table.dtypes for df in kept[:-1])
+    assert {tuple(r)[5:] for r in kept[3].collect()} <= {r[5:] for r in own}
     # the largest identifier of each text, null last
     texts = {}
     for i, t in rows:

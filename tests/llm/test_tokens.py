@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from sentrel.llm import packing, sentencepiece_codec
 from sentrel.llm.queries import PIECE_MODEL, byte_tokenizer
 
@@ -173,3 +175,11 @@ def test_pieces_score_best_and_texts_come_back(spark, docs):
         if not row.text:
             assert row.ids == []
     assert sentencepiece_codec.encode(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(spark.createDataFrame([(1, "one two"), (1, "one two"), (2, None)], "doc_id long, text string"), path)
+    found = sentencepiece_codec.decode(encoded.withColumn("decoded", F.lit(5)), path)
+    assert found.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted((r.doc_id, r.decoded) for r in found.where("text is not null").collect()) == [(1, "one two"), (1, "one two")]
