@@ -11,15 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.sources.scratch import Scratch
 
-from .order import quantiles
+from .order import history_quantiles, quantiles
 from .temporal import FEATURES, QUARTILES, robust_scale, scaled_by, vector_columns
 
 TREES, SUBSAMPLE, SEED, CONTAMINATION, OFFSET = 200, 256, 42, 0.05, 0.5
+#: Rows that trees draw from, trees a growing task, and rows a scoring task.
+POOL, GROWN, SCORED = SUBSAMPLE * 64, 25, 50_000
 MINIMUM_TRAINING_ROWS = 8
 
 
@@ -68,8 +70,7 @@ def grow(scaled: DataFrame, trees: int = TREES, seed: int = SEED) -> tuple[list,
     columns = [f"scaled_{x}" for x in FEATURES]
     pool = scaled.select("drug", "event", "quarter", *columns)
     # a pool of hash-smallest rows, bounded whatever the table, from which trees draw
-    most = SUBSAMPLE * 64
-    sample = pool.orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter").limit(most).select(*columns).toPandas().to_numpy(float)
+    sample = pool.orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter").limit(POOL).select(*columns).toPandas().to_numpy(float)
     size = min(SUBSAMPLE, len(sample))
     if size < 2:
         raise ValueError("an isolation forest needs at least two rows")
@@ -107,71 +108,91 @@ def scores(scaled: DataFrame, forest: tuple[list, int]) -> DataFrame:
     return scaled.mapInPandas(scored, "drug string, event string, quarter string, isolation double")
 
 
-def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED, grown: tuple[list, int] | None = None) -> DataFrame:
+def isolation_forest(features: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED, grown: tuple[list, int] | None = None, scaled: DataFrame | None = None) -> DataFrame:
     """drug, event, quarter, anomaly_score (above 0: anomaly), is_anomaly over a whole snapshot.
 
-    The threshold is the score that about ``contamination`` of the rows exceed. A forest that
-    ``grow`` has made of these features can be given.
+    The threshold is the score that about ``contamination`` of the rows exceed. Rows that
+    ``robust_scale`` and a forest that ``grow`` has made of these features can be given.
     """
     store = Scratch(features.sparkSession)
-    scaled = robust_scale(features)
+    scaled = robust_scale(features) if scaled is None else scaled
     found = store.written(scores(scaled, grown or grow(scaled, trees, seed)), "forest-scores")
     cut = quantiles(found, ["isolation"], [1 - contamination]).get((), {}).get("isolation", [0.0])[0]
     score = F.col("isolation") - F.lit(cut)
     return found.select("drug", "event", "quarter", score.alias("anomaly_score"), (score > 0).alias("is_anomaly"))
 
 
+def _pools(rows: DataFrame, fits: DataFrame, sizes: dict[str, int], seed: int, store: Scratch) -> DataFrame:
+    """at, place and scaled features of the POOL rows before each point that have the smallest hashes.
+
+    Rows whose hash is too large for any later point go first: the share of hashes that a history of
+    its size needs, with room for chance, holds a bounded number of rows of every quarter.
+    """
+    spark = rows.sparkSession
+    key = ["drug", "event", "quarter"]
+    hashed = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *key))
+    names = [f"scaled_{x}" for x in FEATURES]
+    for room in (1.2, float("inf")):
+        share = {at: min(1.0, room * POOL / n) for at, n in sizes.items()}
+        limits = spark.createDataFrame([(at, min(int(s * 2**64) - 2**63, 2**63 - 1)) for at, s in share.items()], "at string, _limit long")
+        near = hashed.join(F.broadcast(limits), (F.col("quarter") < F.col("at")) & (F.col("_hash") <= F.col("_limit")))
+        place = F.row_number().over(Window.partitionBy("at").orderBy("_hash", *key))
+        near = near.withColumn("place", place).where(F.col("place") <= POOL).join(F.broadcast(fits), "at")
+        pools = store.written(scaled_by(near, _quartiles(), "at", "place").select("at", "place", *names), "forest-pools")
+        if {r[0]: r[1] for r in pools.groupBy("at").count().collect()} == {at: min(POOL, n) for at, n in sizes.items()}:
+            return pools
+    raise AssertionError("a history has fewer rows than were counted")
+
+
+def _quartiles() -> dict[str, list[Column]]:
+    return {x: [F.col(f"q_{x}")[i] for i in range(3)] for x in FEATURES}
+
+
 def walk_forward(features: DataFrame, minimum_rows: int = MINIMUM_TRAINING_ROWS, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """quarter, drug, event, score: each quarter scored by a forest of strictly earlier rows.
 
     Quarters with too little history have no rows. Scores are those of ``robust_scale``, ``grow`` and
-    ``scores`` round by round; all quarters share one job for the quartiles, one for the pools, one
-    for the trees and one for the scores. The features are read four times: the caller writes or
-    persists them.
+    ``scores`` round by round, but all quarters share one job for the quartiles (of value counts), one
+    for the pools, one for the trees and one for the scores. No feature row is copied for later
+    quarters but the POOL that each forest draws from; pools, trees and scores stay with the tasks. The features are
+    read several times: the caller writes or persists them.
     """
     spark = features.sparkSession
-    names, seen, at = [f"scaled_{x}" for x in FEATURES], 0, []
+    store = Scratch(spark)
+    names, seen, sizes, own = [f"scaled_{x}" for x in FEATURES], 0, {}, {}
     for quarter, n in sorted((r[0], r[1]) for r in features.groupBy("quarter").count().collect()):
         if seen >= max(minimum_rows, 2):
-            at.append(quarter)
+            sizes[quarter], own[quarter] = seen, n
         seen += n
-    if not at:
+    if not sizes:
         return features.select("quarter", "drug", "event", F.lit(0.0).alias("score")).where("false")
     rows = features.select("drug", "event", "quarter", *vector_columns())
-    targets = spark.createDataFrame([(q,) for q in at], "at string")
-    found = quantiles(rows.join(F.broadcast(targets), F.col("quarter") < F.col("at")), FEATURES, QUARTILES, ["at"])
-    fits = spark.createDataFrame([(q, *[found[(q,)][x] for x in FEATURES]) for q in at], "at string, " + ", ".join(f"q_{x} array<double>" for x in FEATURES))  # one row a quarter
-    each = {x: [F.col(f"q_{x}")[i] for i in range(3)] for x in FEATURES}
-    history = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") < F.col("at")), each, "at")
-    order = Window.partitionBy("at").orderBy(F.xxhash64(F.lit(seed), "drug", "event", "quarter"), "drug", "event", "quarter")
-    pooled = history.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBSAMPLE * 64).select("at", "place", *names).toPandas()
-    pools = {q: g.sort_values("place")[names].to_numpy(float) for q, g in pooled.groupby("at")}
-    shared = spark.sparkContext.broadcast([pools[q] for q in at])
-
-    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            out = []
-            for i in g.id:
-                pool, tree = shared.value[int(i) // trees], int(i) % trees
-                rng, size = np.random.default_rng([seed, tree]), min(SUBSAMPLE, len(pool))
-                nodes: list = []
-                _grow(pool[rng.choice(len(pool), size, replace=False)], rng, int(np.ceil(np.log2(size))), nodes)
-                out.append((int(i), np.array(nodes, float).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "nodes"])
-
-    table = spark.range(len(at) * trees).mapInPandas(grown, "id long, nodes binary").toPandas().sort_values("id")
-    forests = {q: (list(table.nodes[table.id // trees == i]), min(SUBSAMPLE, len(pools[q]))) for i, q in enumerate(at)}
-    known = spark.sparkContext.broadcast(forests)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for quarter, part in g.groupby("quarter"):
-                cells, size = known.value[quarter]
-                x, depth = part[names].to_numpy(float), np.zeros(len(part))
-                for cell in cells:
-                    f, cut, low, high, leaf = np.frombuffer(cell).reshape(-1, 5).T
-                    depth = depth + _walked(f.astype(int), cut, low.astype(int), high.astype(int), leaf, x)
-                yield part[["quarter", "drug", "event"]].assign(score=2.0 ** (-depth / len(cells) / float(path_length(size))) - OFFSET)
-
-    current = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") == F.col("at")), each)
-    return current.mapInPandas(scored, "quarter string, drug string, event string, score double")
+    found = history_quantiles(rows, FEATURES, QUARTILES, "quarter", list(sizes))
+    # one row a quarter
+    fits = spark.createDataFrame([(q, n, -(-own[q] // SCORED), *[found[q][x] for x in FEATURES]) for q, n in sizes.items()], "at string, history long, blocks long, " + ", ".join(f"q_{x} array<double>" for x in FEATURES))
+    pools = _pools(rows, fits, sizes, seed, store)
+
+    def grown(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
+        x, out = pool.sort_values("place")[names].to_numpy(float), []
+        size = min(SUBSAMPLE, len(x))
+        for tree in range(int(key[1]) * GROWN, min(int(key[1] + 1) * GROWN, trees)):
+            rng, nodes = np.random.default_rng([seed, tree]), []
+            _grow(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(size))), nodes)
+            out.append((key[0], tree, size, np.array(nodes, float).tobytes()))
+        return pd.DataFrame(out, columns=["at", "tree", "size", "nodes"])
+
+    tasks = pools.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-trees // GROWN) - 1))).alias("block"))
+    forests = store.written(tasks.groupBy("at", "block").applyInPandas(grown, "at string, tree int, size int, nodes binary"), "forest-trees")
+
+    def scored(part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        x, depth = part[names].to_numpy(float), np.zeros(len(part))
+        for cell in forest.sort_values("tree").nodes:
+            f, cut, low, high, leaf = np.frombuffer(cell).reshape(-1, 5).T
+            depth = depth + _walked(f.astype(int), cut, low.astype(int), high.astype(int), leaf, x)
+        whole = depth / trees / float(path_length(forest["size"].iloc[0])) if len(part) else depth
+        return part[["quarter", "drug", "event"]].assign(score=2.0**-whole - OFFSET)
+
+    current = scaled_by(rows.join(F.broadcast(fits), F.col("quarter") == F.col("at")), _quartiles(), "at", "blocks")
+    current = current.withColumn("block", F.pmod(F.xxhash64("drug", "event"), "blocks"))
+    dealt = forests.join(F.broadcast(fits.select("at", "blocks")), "at").select("at", "tree", "size", "nodes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return current.groupBy("at", "block").cogroup(dealt.groupBy("at", "block")).applyInPandas(scored, "quarter string, drug string, event string, score double")

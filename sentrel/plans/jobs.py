@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sentrel.operators import adjusted, backtest, contingency, detectors, evidence, forest, quality, reference, temporal
 from sentrel.operators.serve import safe_identifier
 from sentrel.sources import snapshots
+from sentrel.sources.scratch import written
 
 KEY = ["drug", "event"]
 #: The detectors of a backtest: the statistics and the walk-forward forest.
@@ -75,9 +76,9 @@ def find_changes(spark: SparkSession, root: str, snapshot: str, contamination: f
     store = Store(spark, root, snapshot)
     counts = store.write("analytics", {"features": temporal.quarterly_features(curated_observations(store))})
     features = store.read("analytics", "features")
-    scaled = temporal.robust_scale(features)
+    scaled = written(temporal.robust_scale(features), "scaled-features")
     grown = forest.grow(scaled)
-    found = forest.isolation_forest(features, contamination, grown=grown)
+    found = forest.isolation_forest(features, contamination, grown=grown, scaled=scaled)
     keys = [*KEY, "quarter"]
     rows = features.join(found, keys).join(temporal.change_points(features, minimum_history), keys).join(temporal.contributions(scaled), keys)
     trees = spark.createDataFrame([(t, i, *node) for t, nodes in enumerate(grown[0]) for i, node in enumerate(nodes)], "tree int, node int, feature int, cut double, low long, high long, size long")
