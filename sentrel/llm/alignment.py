@@ -20,13 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import tokenizers
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
 from ._text import raw, slices, strings
 
-MEMO_UNITS, SLICE_BYTES = 400_000, 1 << 20
+MEMO_UNITS, SLICE_BYTES = 300_000, 1 << 20
 #: A space between two characters that are not white space (for Python's wider notion of it).
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -47,6 +48,9 @@ ALIGN = """
 """
 
 
+_aligners: dict[tuple, Aligner] = {}
+
+
 def byte_level() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
 
@@ -64,7 +68,7 @@ class Vocabularies:
     twice the bytes of both vocabularies, whatever the corpus.
     """
 
-    def __init__(self, byte_file: str, piece_file: str):
+    def __init__(self, byte_file: str, piece_file: str, pairs: np.ndarray | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = tokenizers.Tokenizer.from_file(byte_file)
         self.a.encode_special_tokens = True
@@ -74,6 +78,10 @@ class Vocabularies:
         pieces = {i: self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_control(i) or self.b.is_unknown(i))}
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in pieces.items()}
         self.split = all(SPACE not in p.lstrip(SPACE) for p in pieces.values())
+        self.pairs = self.possible() if pairs is None else pairs
+
+    def possible(self) -> np.ndarray:
+        """Sorted pairs of ids of which one's bytes end the other's."""
         found = set()
         for ours, theirs, swap in ((self.bytes_a, self.bytes_b, False), (self.bytes_b, self.bytes_a, True)):
             by: dict[bytes, list[int]] = {}
@@ -82,7 +90,7 @@ class Vocabularies:
             for i, t in ours.items():
                 for k in range(len(t)):
                     found.update(((j, i) if swap else (i, j)) for j in by.get(t[k:], ()))
-        self.pairs = np.array(sorted(a << 32 | b for a, b in found), np.int64)
+        return np.array(sorted(a << 32 | b for a, b in found), np.int64)
 
     def tokens(self, units: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which units (each begins with a space) have tokens of their own bytes; (ids, stops) of both tokenizers over these, joined."""
@@ -104,10 +112,10 @@ class Vocabularies:
 
 
 class Aligner:
-    """Aligned units of one task."""
+    """Aligned units of one worker."""
 
-    def __init__(self, byte_file: str, piece_file: str, memo_units: int):
-        self.words = Vocabularies(byte_file, piece_file)
+    def __init__(self, byte_file: str, piece_file: str, memo_units: int, pairs: np.ndarray | None = None):
+        self.words = Vocabularies(byte_file, piece_file, pairs)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.memo_units = memo_units
         self.clear()
@@ -180,9 +188,13 @@ class Aligner:
             yield a, b, total, hashlib.sha256(b";".join(groups)).hexdigest(), links[places]
 
 
-def _aligned(byte_file: str, piece_file: str, memo_units: int):
+def _aligned(byte_file: str, piece_file: str, memo_units: int, pairs: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_file, piece_file, memo_units)
+        key = (byte_file, piece_file, memo_units)
+        if key not in _aligners:  # a worker keeps what it has learnt for its next task
+            _aligners.clear()
+            _aligners[key] = Aligner(*key, pairs.value)
+        aligner = _aligners[key]
         for batch in batches:
             texts = strings(batch.column(1), lower=False)
             for lo, part in slices(texts, SLICE_BYTES):
@@ -233,9 +245,10 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_i
     vocabularies bound (:class:`Vocabularies`).
     """
     store = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    aligned = store.written(rows.mapInArrow(_aligned(byte_file, piece_file, memo_units), ALIGNED), "aligned")
     words = Vocabularies(byte_file, piece_file)
+    pairs = docs.sparkSession.sparkContext.broadcast(words.pairs)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    aligned = store.written(rows.mapInArrow(_aligned(byte_file, piece_file, memo_units, pairs), ALIGNED), "aligned")
     counts = np.zeros(len(words.pairs), np.int64)
     merged = pair_counts(aligned).toPandas()
     counts[merged["pair"].to_numpy(np.int64)] = merged["count"].to_numpy(np.int64)
