@@ -58,12 +58,17 @@ def quarter_metrics(features: DataFrame, scores: DataFrame, references: DataFram
     return rows.select("quarter", "detector", "available", F.lit(k).alias("k"), "eligible", "hits", "alerts", recall.alias("recall_at_k"), precision.alias("precision_at_k"))
 
 
-def lead_times(scores: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """detector, reference_id, lead_quarters: from the first alert at or before the reference's quarter."""
-    alerts = top_k(scores, k).select("detector", "drug", "event", F.col("quarter").alias("alert_quarter"))
-    joined = alerts.join(references, ["drug", "event"]).where("alert_quarter <= signal_quarter")
-    first = joined.groupBy("detector", "reference_id", "signal_quarter").agg(F.min("alert_quarter").alias("alert_quarter"))
-    return first.select("detector", "reference_id", (quarter_ordinal(F.col("signal_quarter")) - quarter_ordinal(F.col("alert_quarter"))).alias("lead_quarters"))
+def lead_times(scores: DataFrame, references: DataFrame, k: int | None) -> DataFrame:
+    """detector, reference_id, lead_quarters: from the first alert at or before the reference's quarter.
+
+    ``k`` of None takes every scored pair as an alert. A pair's first alert is found before references
+    are looked at (a later one cannot be the first for any), so a pair that alerts in every quarter
+    meets its references once a detector.
+    """
+    alerts = scores if k is None else top_k(scores, k)
+    first = alerts.groupBy("detector", "drug", "event").agg(F.min("quarter").alias("alert_quarter"))
+    joined = first.join(references, ["drug", "event"]).where("alert_quarter <= signal_quarter")
+    return joined.groupBy("detector", "reference_id", "signal_quarter").agg(F.min("alert_quarter").alias("alert_quarter")).select("detector", "reference_id", (quarter_ordinal(F.col("signal_quarter")) - quarter_ordinal(F.col("alert_quarter"))).alias("lead_quarters"))
 
 
 def detector_summary(features: DataFrame, scores: DataFrame, references: DataFrame, k: int, detectors: list[str]) -> DataFrame:

@@ -18,6 +18,9 @@ class BriefProvider(Protocol):
     def __call__(self, pairs: DataFrame, evidence: DataFrame) -> DataFrame: ...
 
 
+#: Different words of pairs that documents are filtered by, and blocks of documents a word is dealt to beyond.
+KNOWN_WORDS, BLOCKS = 4096, 32
+
 #: Fixed patterns: wording that no brief may hold.
 UNSAFE = [r"\bcauses?\b", r"\bproves?\b", r"\bstop taking\b", r"\b(start|change) (a |your )?(dose|treatment)\b", r"\b(is|are) (safe|unsafe)\b"]
 
@@ -26,14 +29,22 @@ def retrieve(documents: DataFrame, pairs: DataFrame, limit: int = TOP) -> DataFr
     """drug, event, rank, document_id, relevance, excerpt: documents that share words with a pair.
 
     Relevance is the share of the pair's words. Words of documents meet words of pairs in one
-    equi-join, so a pair is never held against every document. Documents have document_id, title,
-    content; ties go to the smaller document_id.
+    equi-join, so a pair is never held against every document. Up to KNOWN_WORDS different words of
+    pairs go to the documents, which then hold no other words; beyond, the join is dealt by word and
+    block of documents, so a word of every document lies in BLOCKS tasks. Documents have document_id,
+    title, content; ties go to the smaller document_id.
     """
     queries = pairs.select("drug", "event").distinct().withColumn("words", tokens(F.concat_ws(" ", "drug", "event")))
     wanted = queries.select("drug", "event", F.size("words").alias("n"), F.explode("words").alias("word"))
-    held = documents.select("document_id", F.explode(tokens(F.concat_ws(" ", "title", "content"))).alias("word"))
-    known = held.join(wanted.select("word").distinct(), "word", "left_semi")
-    found = known.join(wanted, "word").groupBy("drug", "event", "document_id").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("relevance"))
+    words = [r.word for r in wanted.select("word").distinct().limit(KNOWN_WORDS + 1).collect()]
+    text = tokens(F.concat_ws(" ", "title", "content"))
+    if len(words) <= KNOWN_WORDS:
+        held = documents.select("document_id", F.explode(F.filter(text, lambda w: w.isin(words))).alias("word"))
+        met = held.join(wanted, "word")
+    else:
+        held = documents.select("document_id", F.pmod(F.xxhash64("document_id"), F.lit(BLOCKS)).alias("block"), F.explode(text).alias("word"))
+        met = held.join(wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))), ["word", "block"])
+    found = met.groupBy("drug", "event", "document_id").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("relevance"))
     place = Window.partitionBy("drug", "event").orderBy(F.desc("relevance"), "document_id")
     best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit)
     return best.join(documents.select("document_id", F.substring("content", 1, EXCERPT).alias("excerpt")), "document_id").select("drug", "event", "rank", "document_id", F.least("relevance", F.lit(1.0)).alias("relevance"), "excerpt")

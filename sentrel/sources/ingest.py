@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .manifests import Manifest
 from .pages import PagedRecords
+from .sink import JsonFiles
 
 PAGES = "skip long, records long, payloads array<string>, sha256 string, manifest_digest string"
 
@@ -80,3 +81,17 @@ def ingest(spark: SparkSession, root: str, manifest: Manifest, url: str, **optio
 def raw_records(pages: DataFrame) -> DataFrame:
     """page, index, payload of every record, as the quality stage takes them."""
     return pages.select(F.format_string("page-%09d", "skip").alias("page"), F.posexplode("payloads").alias("index", "payload")).select("page", F.col("index").cast("long"), "payload")
+
+
+def export_pages(spark: SparkSession, root: str, manifest: Manifest) -> str:
+    """The verified pages of a snapshot as page files (``snapshots.raw_pages`` reads them); their folder.
+
+    A rerun adds what is new; a file whose page changed is refused.
+    """
+    spark.dataSource.register(JsonFiles)
+    base = f"{root.rstrip('/')}/raw/{manifest.source}/{manifest['snapshot_id']}"
+    request = F.struct(F.col("skip"), F.lit(manifest["page_size"]).alias("limit"), F.lit(manifest.digest).alias("manifest_digest"))
+    results = F.concat(F.lit('{"request":'), F.to_json(request), F.lit(',"response":{"results":['), F.array_join("payloads", ","), F.lit("]}}"))
+    pages = verified(stored_pages(spark, f"{base}/pages")).select(F.format_string("page-%09d.json", "skip").alias("name"), results.alias("content"))
+    pages.write.format("json_files").mode("append").save(f"{base}/files")
+    return f"{base}/files"

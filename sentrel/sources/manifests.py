@@ -66,8 +66,8 @@ class Manifest:
 
 
 def canonical(value: Any) -> bytes:
-    """JSON with sorted keys and no spaces."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":")).encode()
+    """JSON with sorted keys, no spaces, characters as themselves, and a closing newline."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode() + b"\n"
 
 
 def manifest(kind: str, given: dict[str, Any]) -> Manifest:

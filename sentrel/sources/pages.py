@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -22,11 +26,16 @@ class Page(InputPartition):
     limit: int
 
 
-def delay(attempt: int, header: str | None, base: float) -> float:
-    """Seconds to wait after a failed attempt: what the server asks for, else doubling."""
-    if header and header.strip().isdigit():
-        return float(header)
-    return base * 2 ** (attempt - 1)
+def delay(attempt: int, header: str | None, base: float, now: dt.datetime | None = None) -> float:
+    """Seconds to wait after a failed attempt: what the server asks for (seconds or a date), else doubling."""
+    asked = float("nan")
+    try:
+        asked = float(header or "nan")
+    except ValueError:
+        with contextlib.suppress(TypeError, ValueError):
+            at = parsedate_to_datetime(header)
+            asked = ((at if at.tzinfo else at.replace(tzinfo=dt.UTC)) - (now or dt.datetime.now(dt.UTC))).total_seconds()
+    return max(0.0, asked) if math.isfinite(asked) else base * 2 ** (attempt - 1)
 
 
 def condition(f: Filter) -> str | None:

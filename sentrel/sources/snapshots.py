@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBSERVATION = "report_id string, received_date date, drug_name string, drug_role string, reaction string, serious boolean, patient_age_group string, patient_sex string"
@@ -24,9 +27,34 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.col("_metadata.file_name").alias("page"), F.posexplode(checked).alias("index", "payload")).select("page", F.col("index").cast("long"), "payload")
 
 
-def observations(spark: SparkSession, path: str) -> DataFrame:
-    """Curated JSON lines as report_id, received_date, drug, event, ... ; a malformed line fails the read."""
-    rows = spark.read.schema(OBSERVATION).option("mode", "FAILFAST").json(path)
+def first_bad_lines(spark: SparkSession, path: str, bad: Column) -> DataFrame:
+    """file, line (from 1), value: the first line of every split of the text files at ``path`` for which ``bad`` (of column value) holds.
+
+    Splits of a file do not know their first line's number: every split counts its lines, and the
+    counts of the splits before are added up. One pass, of which each split leaves one row.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    wrong = F.when(bad, F.col("at"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("at").alias("first"), F.min(wrong).alias("wrong"), F.min_by("value", wrong).alias("value"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return splits.withColumn("line", before + F.col("wrong") - F.col("first") + 1).where("wrong is not null").select("file", "line", "value")
+
+
+def observations(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Curated JSON lines as report_id, received_date, drug, event, ...; empty lines are skipped.
+
+    A line that is no JSON object, holds a value of another kind, or lacks a report, date, drug or
+    event is refused: ``check`` reads the files once more before and names the first one by file and
+    line; without it the read itself fails, on the line's text.
+    """
+    row = F.from_json("value", f"{OBSERVATION}, _wrong string", {"columnNameOfCorruptRecord": "_wrong"})
+    needed = [row["_wrong"].isNotNull(), *[row[c].isNull() for c in ("report_id", "received_date", "drug_name", "reaction")]]
+    bad = (F.col("value") != "") & F.coalesce(reduce(or_, needed), F.lit(True))
+    found = first_bad_lines(spark, path, bad).orderBy("file", "line").first() if check else None
+    if found:
+        raise ValueError(f"invalid curated row at line {found.line} of {found.file}")
+    said = F.when(bad, F.raise_error(F.concat(F.lit("invalid curated row: "), F.substring("value", 1, 200)))).otherwise(F.col("value")).alias("value")
+    rows = spark.read.text(path).where("value <> ''").select(said).select(F.from_json("value", OBSERVATION).alias("r")).select("r.*")
     return rows.withColumnsRenamed({"drug_name": "drug", "reaction": "event", "patient_age_group": "age_group", "patient_sex": "sex"})
 
 

@@ -161,3 +161,13 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     (tmp_path / "out" / "delta" / "n=4").mkdir()  # a batch that was not finished
     assert {(r.report_id, r.version) for r in upsert.current(spark, table).collect()} == {("100", 2), ("200", 3)}
     assert {(r.report_id, r.version) for r in upsert.current(spark, table, upto=1).collect()} == {("100", 2), ("200", 1)}
+
+
+def test_retrieval_is_the_same_for_few_and_many_words(spark, monkeypatch):
+    """Whether documents are filtered by the pairs' words or dealt by word and block; a word may be in every document."""
+    docs = spark.createDataFrame([(i, f"common title {i % 3}", f"common alpha{i % 4} beta{i % 5}") for i in range(60)], "document_id long, title string, content string")
+    pairs = spark.createDataFrame([("common", "alpha1"), ("beta2", "alpha3"), ("none", "such"), ("common", "common")], "drug string, event string")
+    few = sorted(evidence.retrieve(docs, pairs).collect())
+    monkeypatch.setattr(evidence, "KNOWN_WORDS", 2)
+    assert few == sorted(evidence.retrieve(docs, pairs).collect()) and len(few) == 15
+    assert [(r.document_id, r.relevance) for r in few if r.event == "alpha1"] == [(i, 1.0) for i in (1, 5, 9, 13, 17)]
