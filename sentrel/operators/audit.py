@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-DECISIONS = ("accept", "reject", "needs_more_evidence")
+DECISIONS, ROLES, ACTION = ("accept", "reject", "needs_more_evidence"), ("reviewer", "admin"), "signal_reviewed"
 
 
 def event_id(occurred_at: Column, actor: Column, source: Column, snapshot: Column, drug: Column, event: Column, decision: Column) -> Column:
@@ -45,24 +46,42 @@ def chained(events: DataFrame, log: str, order: list[str], line: str) -> DataFra
 
 
 def appended(log: DataFrame, new: DataFrame) -> DataFrame:
-    """Events to append to a log (events in order ``sequence``), with identifier, sequence and previous digest.
+    """Events to append to a log (events in order ``sequence``), with identifier, sequence, line and previous digest.
 
-    ``new`` has occurred_at, actor, source, snapshot_id, drug, event, decision and rationale (strings);
-    the log also event_id, sequence and line (a closed line of JSON text). New events are ordered by time and
-    content. A decision that is unknown, or an actor or rationale that is blank, is refused. One writer appends at a time.
+    ``new`` has occurred_at, actor, role, source, snapshot_id, drug, event, decision and rationale
+    (strings); the log also action, event_id, sequence, line and previous_digest. A line is the event's
+    JSON, keys sorted, with the SHA-256 of all lines before it, so new lines are made one after the
+    other behind those of the log. New events are ordered by time and content. A decision or role that
+    is unknown, or an actor or rationale that is blank, is refused. One writer appends at a time.
     """
-    fields = ["occurred_at", "actor", "source", "snapshot_id", "drug", "event", "decision", "rationale"]
-    bad = new.where(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)) | (F.trim(F.coalesce("actor", F.lit(""))) == "") | (F.trim(F.coalesce("rationale", F.lit(""))) == ""))
-    if not bad.isEmpty():
-        raise ValueError("a review needs a known decision, an actor and a rationale")
+    fields = ["occurred_at", "actor", "role", "source", "snapshot_id", "drug", "event", "decision", "rationale"]
+    known = lambda c, of: F.coalesce(F.col(c).isin(*of), F.lit(False))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    if not new.where(~known("decision", DECISIONS) | ~known("role", ROLES) | blank("actor") | blank("rationale")).isEmpty():
+        raise ValueError("a review needs a known decision and role, an actor and a rationale")
     last = log.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
-    rows = new.select(*[F.upper(c).alias(c) if c in ("drug", "event") else F.col(c) for c in fields])
+    rows = new.select(*[F.upper(c).alias(c) if c in ("drug", "event") else F.col(c) for c in fields], F.lit(ACTION).alias("action"))
     rows = rows.withColumn("event_id", event_id(*[F.col(c) for c in ("occurred_at", "actor", "source", "snapshot_id", "drug", "event", "decision")]))
     rows = rows.withColumn("sequence", F.row_number().over(Window.orderBy("occurred_at", "event_id", "rationale")) + F.lit(last))  # a few reviews
-    rows = rows.withColumn("line", F.concat(F.to_json(F.struct(*sorted([*fields, "event_id"]))), F.lit("\n")))
-    columns = [*fields, "event_id", "sequence", "line"]
-    both = log.select(*columns).unionByName(rows.select(*columns)).withColumn("_log", F.lit(0))
-    return chained(both, "_log", ["sequence"], "line").where(F.col("sequence") > last).drop("_log")
+    kept = [*fields, "action", "event_id"]
+    both = log.select("sequence", "line", *[F.lit(None).cast("string").alias(c) for c in kept]).unionByName(rows.select("sequence", F.lit(None).cast("string").alias("line"), *kept))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, some = hashlib.sha256(), False
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                before, line = running.hexdigest() if some else None, row["line"]
+                if line is None:
+                    line = json.dumps({c: row[c] for c in kept} | {"previous_digest": before}, sort_keys=True, separators=(",", ":")) + "\n"
+                    out.append(row | {"line": line, "previous_digest": before})
+                running.update(line.encode())
+                some = True
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("sequence", pa.int32()), *[(c, pa.string()) for c in ("line", *kept, "previous_digest")]]))
+
+    schema = "sequence int, line string, " + ", ".join(f"{c} string" for c in (*kept, "previous_digest"))
+    found = both.withColumn("sequence", F.col("sequence").cast("int")).repartition(1).sortWithinPartitions("sequence").mapInArrow(linked, schema)
+    return found.select(*kept, "sequence", "line", "previous_digest")
 
 
 def broken_links(events: DataFrame, log: str, order: list[str], line: str) -> DataFrame:

@@ -6,6 +6,8 @@ tell a missing key, a null and a value of the wrong type apart.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SAMPLE = (
 )
 SAMPLE_TEXTS = ("record_id", "site", "state_territory", "source", "sample_id", "pcr_target")
 SAMPLE_FIELDS = ("record_id", "site", "state_territory", "source", "sample_id", "sample_collect_date", "pcr_target", "date_updated")
+REPORT_FIELDS = ("safetyreportid", "receivedate", "patient", "patient.drug", "patient.reaction")
 NO_PAIR = "no_usable_pair"
 THRESHOLD = 0.95
 
@@ -55,9 +58,25 @@ def _present(fields: dict[str, Column]) -> Column:
     return F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in fields.items()]).alias("present")
 
 
-def _shares(told: DataFrame) -> DataFrame:
-    """``completeness`` of the fields that validation has marked as present."""
-    return completeness(told, {n: F.col("present").getField(n) for n in told.schema["present"].dataType.names})
+def _kinds() -> dict[str, Column]:
+    """What the write of told versions counts: those of each kind that are left out."""
+    return {kind: F.count_if(F.col("kind") == kind) for kind in ("followup", "duplicate")}
+
+
+def _seen(fields: Sequence[str]) -> dict[str, Column]:
+    """What the write of a validated table counts: records, valid ones, and those that have each field."""
+    return {"input_records": F.count(F.lit(1)), "valid_records": F.count_if(F.size("reasons") == 0)} | {f"has {n}": F.count_if(F.coalesce(F.col("present").getField(n), F.lit(False))) for n in fields}
+
+
+def _told(seen: dict[str, int]) -> list[Column]:
+    return [F.lit(seen[n]).cast("long").alias(n) for n in ("input_records", "valid_records")]
+
+
+def _complete(seen: dict[str, int], fields: Sequence[str]) -> list[Column]:
+    """completeness by field and its least, of counts that ``_seen`` named; as ``completeness`` rounds them."""
+    total = F.lit(seen["input_records"]).cast("double")
+    shares = [F.round(F.coalesce(F.try_divide(F.lit(seen[f"has {n}"]).cast("double"), total), F.lit(0.0)), 4) for n in sorted(fields)]
+    return [F.map_from_arrays(F.array(*map(F.lit, sorted(fields))), F.array(*shares)).alias("completeness"), F.array_min(F.array(*shares)).alias("least_completeness")]
 
 
 def validate_reports(raw: DataFrame) -> DataFrame:
@@ -120,22 +139,30 @@ def latest(rows: DataFrame, key: str, version: str, order: list[str]) -> DataFra
 def curate_reports(reports: DataFrame) -> DataFrame:
     """One row per different (drug, role, reaction) of a report; the first entry of a drug and role gives the name's source.
 
-    Columns also hold position (of the drug entry). Drugs without any name are left out.
+    Columns also hold position (of the drug entry). Drugs without any name are left out. A report is a
+    row with its drugs in an array, so entries are told apart where they are.
     """
     person = F.col("report.patient")
     years = nz.age_years(person["patientonsetage"], person["patientonsetageunit"])
+
+    def entry(drug: Column, position: Column) -> Column:
+        brand = drug["openfda"]
+        name, source = nz.normalize_drug_name(brand["generic_name"], brand["substance_name"], brand["brand_name"], drug["medicinalproduct"])
+        return F.struct(position.alias("position"), name.alias("drug_name"), source.alias("drug_name_source"), nz.drug_role(drug["drugcharacterization"]).alias("drug_role"))
+
     rows = reports.select(
         "page", "index", "report_id", "version", F.to_date("report.receivedate", "yyyyMMdd").alias("received_date"), nz.serious(F.col("report.serious")).alias("serious"),
         F.round(years, 3).alias("patient_age_years"), nz.age_band(years).alias("patient_age_group"), nz.patient_sex(person["patientsex"]).alias("patient_sex"),
-        F.array_sort(F.array_distinct(F.transform(person["reaction"], lambda r: nz.normalize_term(r["reactionmeddrapt"])))).alias("reactions"), F.posexplode(person["drug"]).alias("position", "entry"),
+        F.array_sort(F.array_distinct(F.transform(person["reaction"], lambda r: nz.normalize_term(r["reactionmeddrapt"])))).alias("reactions"), F.transform(person["drug"], entry).alias("entries"),
     )
-    brand = F.col("entry.openfda")
-    name, source = nz.normalize_drug_name(brand["generic_name"], brand["substance_name"], brand["brand_name"], F.col("entry.medicinalproduct"))
-    rows = rows.select("*", name.alias("drug_name"), source.alias("drug_name_source"), nz.drug_role(F.col("entry.drugcharacterization")).alias("drug_role")).where("drug_name is not null")
-    first = Window.partitionBy("report_id", "drug_name", "drug_role").orderBy("position")
-    fallback = F.col("drug_name_source") == "reported_medicinal_product"
-    rows = rows.withColumns({"place": F.row_number().over(first), "fallbacks": F.count_if(fallback).over(Window.partitionBy("report_id"))})
-    return rows.where("place = 1").withColumn("reaction", F.explode("reactions")).drop("entry", "reactions", "place")
+    rows = rows.withColumn("entries", F.filter("entries", lambda e: e["drug_name"].isNotNull()))
+    rows = rows.withColumns({
+        "fallbacks": F.size(F.filter("entries", lambda e: e["drug_name_source"] == "reported_medicinal_product")).cast("long"),
+        "keys": F.transform("entries", lambda e: F.struct(e["drug_name"], e["drug_role"])),
+    })
+    first = F.filter("entries", lambda e, i: F.array_position("keys", F.struct(e["drug_name"], e["drug_role"])) == i + 1)
+    rows = rows.withColumn("entry", F.explode(first)).withColumn("reaction", F.explode("reactions"))
+    return rows.select(*[c for c in rows.columns if c not in ("entries", "keys", "entry", "reactions", "fallbacks", "reaction")], "entry.*", "fallbacks", "reaction")
 
 
 def curate_samples(samples: DataFrame) -> DataFrame:
@@ -178,47 +205,37 @@ def process_reports(raw: DataFrame, as_of) -> dict[str, DataFrame]:
 
     A selected report that yields no pair is rejected late. ``as_of`` (a date) dates the snapshot.
     """
-    # every record is parsed once, versions are told apart once: the tables below read what was written
+    # every record is parsed once; versions are told apart once, by their keys alone; counts ride on the writes
     store = Scratch(raw.sparkSession)
-    told = store.written(validate_reports(raw), "validated")
-    valid = store.written(classified(told.where("size(reasons) = 0").drop("present"), "report_id", "version", ["page", "index"]), "classified")
-    chosen = valid.where("winner")
-    curated = store.written(curate_reports(chosen), "curated")
-    yielding = curated.select("report_id").distinct()
-    accepted = chosen.join(yielding, "report_id", "left_semi").drop("kind", "winner")
+    told, seen = store.observed(validate_reports(raw), "validated", **_seen(REPORT_FIELDS))
+    valid = told.where("size(reasons) = 0").drop("present")
+    versions, kinds = store.observed(classified(valid.select("page", "index", "report_id", "version"), "report_id", "version", ["page", "index"]), "versions", **_kinds())
+    chosen = valid.join(versions.where("winner").select("page", "index"), ["page", "index"], "left_semi").select(valid.columns)
+    curated, rows = store.observed(curate_reports(chosen.drop("payload")), "curated", curated_rows=F.count(F.lit(1)))
+    yielding = store.written(curated.groupBy("report_id").agg(F.first("fallbacks").alias("fallbacks")), "yielding")
+    accepted = chosen.join(yielding, "report_id", "left_semi")
     late = chosen.join(yielding, "report_id", "left_anti").select("page", "index", "report_id", F.array(F.lit(NO_PAIR)).alias("reasons"), F.sha2("payload", 256).alias("payload_sha256"))
     rejected = told.where("size(reasons) > 0").select("page", "index", "report_id", "reasons", F.sha2("payload", 256).alias("payload_sha256")).unionByName(late)
-    shares = _shares(told)
-    one = lambda df, *aggregates: df.agg(*aggregates)
-    metrics = (
-        one(told, F.count("*").alias("input_records"), F.count_if(F.size("reasons") == 0).alias("valid_records"))
-        .crossJoin(one(rejected, F.count("*").alias("rejected_records")))
-        .crossJoin(one(valid, F.count_if(F.col("kind") == "followup").alias("followups_removed"), F.count_if(F.col("kind") == "duplicate").alias("duplicates_removed")))
-        .crossJoin(one(accepted, F.count("*").alias("accepted_reports"), F.max(F.to_date("report.receivedate", "yyyyMMdd")).alias("newest_date")))
-        .crossJoin(one(curated, F.count("*").alias("curated_rows"), F.count_distinct("drug_name").alias("unique_drugs"), F.count_distinct("reaction").alias("unique_reactions")))
-        .crossJoin(one(curated.select("report_id", "fallbacks").distinct(), F.coalesce(F.sum("fallbacks"), F.lit(0)).alias("drug_name_fallbacks")))
-        .crossJoin(one(shares, F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "share")))).alias("completeness"), F.min("share").alias("least_completeness")))
-        .withColumn("age_days", F.datediff(F.lit(as_of), "newest_date"))
-    )
+    # what no write can take along: reports that yield, different names
+    n = chosen.join(yielding, "report_id", "left").agg(F.count("fallbacks").alias("accepted_reports"), F.count_if(F.col("fallbacks").isNull()).alias("late"), F.max(F.when(F.col("fallbacks").isNotNull(), F.to_date("report.receivedate", "yyyyMMdd"))).alias("newest_date"), F.coalesce(F.sum("fallbacks"), F.lit(0)).alias("drug_name_fallbacks"))
+    unique = curated.agg(F.count_distinct("drug_name").alias("unique_drugs"), F.count_distinct("reaction").alias("unique_reactions"))
+    metrics = n.crossJoin(unique).select(*_told(seen), *[F.lit(kinds[k]).cast("long").alias(f"{to}_removed") for k, to in (("followup", "followups"), ("duplicate", "duplicates"))], (F.lit(seen["input_records"] - seen["valid_records"]) + F.col("late")).alias("rejected_records"), "accepted_reports", "newest_date", F.lit(rows["curated_rows"]).cast("long").alias("curated_rows"), "unique_drugs", "unique_reactions", "drug_name_fallbacks", *_complete(seen, REPORT_FIELDS))
+    metrics = metrics.withColumn("age_days", F.datediff(F.lit(as_of), "newest_date"))
     return {"accepted": accepted, "rejected": rejected, "curated": curated, "metrics": metrics, "checks": checks(metrics)}
 
 
 def process_samples(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     """accepted, rejected, curated, metrics and checks of a raw snapshot of environmental samples."""
     store = Scratch(raw.sparkSession)
-    told = store.written(validate_samples(raw), "validated")
-    valid = store.written(classified(told.where("size(reasons) = 0").drop("present"), "record_id", "updated", ["page", "index"]), "classified")
-    accepted = valid.where("winner").drop("kind", "winner")
+    told, seen = store.observed(validate_samples(raw), "validated", **_seen(SAMPLE_FIELDS))
+    valid = told.where("size(reasons) = 0").drop("present")
+    versions, kinds = store.observed(classified(valid.select("page", "index", "record_id", "updated"), "record_id", "updated", ["page", "index"]), "versions", **_kinds())
+    accepted = valid.join(versions.where("winner").select("page", "index"), ["page", "index"], "left_semi").select(valid.columns)
     curated = curate_samples(accepted)
     rejected = told.where("size(reasons) > 0").select("page", "index", "record_id", "reasons", F.sha2("payload", 256).alias("payload_sha256"))
-    shares = _shares(told)
-    metrics = (
-        told.agg(F.count("*").alias("input_records"), F.count_if(F.size("reasons") == 0).alias("valid_records"), F.count_if(F.size("reasons") > 0).alias("rejected_records"))
-        .crossJoin(valid.agg(F.count_if(F.col("kind") == "followup").alias("superseded_removed"), F.count_if(F.col("kind") == "duplicate").alias("duplicates_removed")))
-        .crossJoin(curated.agg(F.count("*").alias("curated_rows"), F.count_distinct("site_id").alias("unique_sites"), F.count_distinct("state_territory").alias("states_and_territories"), F.count_if(F.col("concentration").isNull()).alias("missing_concentration"), F.max("sample_collect_date").alias("newest_date")))
-        .crossJoin(shares.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "share")))).alias("completeness"), F.min("share").alias("least_completeness")))
-        .withColumn("age_days", F.datediff(F.lit(as_of), "newest_date"))
-    )
+    n = curated.agg(F.count("*").alias("curated_rows"), F.count_distinct("site_id").alias("unique_sites"), F.count_distinct("state_territory").alias("states_and_territories"), F.count_if(F.col("concentration").isNull()).alias("missing_concentration"), F.max("sample_collect_date").alias("newest_date"))
+    metrics = n.select(*_told(seen), F.lit(seen["input_records"] - seen["valid_records"]).cast("long").alias("rejected_records"), *[F.lit(kinds[k]).cast("long").alias(f"{to}_removed") for k, to in (("followup", "superseded"), ("duplicate", "duplicates"))], *n.columns, *_complete(seen, SAMPLE_FIELDS))
+    metrics = metrics.withColumn("age_days", F.datediff(F.lit(as_of), "newest_date"))
     return {"accepted": accepted, "rejected": rejected, "curated": curated, "metrics": metrics, "checks": checks(metrics, curated=False)}
 
 

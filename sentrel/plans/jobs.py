@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.operators import adjusted, backtest, contingency, detectors, evidence, forest, quality, reference, temporal
@@ -40,9 +40,12 @@ class Store:
         return self.spark.read.parquet(self.path(layer, table))
 
     def write(self, layer: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+        counts = {}
         for name, df in tables.items():
-            snapshots.write_snapshot(df, self.path(layer, name))
-        return {name: self.read(layer, name).count() for name in tables}
+            rows = Observation()
+            snapshots.write_snapshot(df.observe(rows, F.count(F.lit(1)).alias("n")), self.path(layer, name))
+            counts[name] = rows.get["n"]
+        return counts
 
 
 def curated_observations(store: Store) -> DataFrame:

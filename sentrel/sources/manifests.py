@@ -61,8 +61,8 @@ class Manifest:
 
     @property
     def digest(self) -> str:
-        """SHA-256 of the canonical JSON of all values, defaults included."""
-        return hashlib.sha256(canonical(self.values)).hexdigest()
+        """SHA-256 of all values, defaults included, as sorted ASCII JSON (without the newline that files end with)."""
+        return hashlib.sha256(json.dumps(self.values, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 def canonical(value: Any) -> bytes:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,12 @@ class Scratch:
         self.tables.append((table, path))
         return table
 
+    def observed(self, df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """``written``, and aggregates of the rows that the write took along."""
+        seen = Observation()
+        table = self.written(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+        return table, seen.get
+
     def bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
         """Like ``written``, dealt by ``column`` into ``buckets`` files a task, so that later groups and joins on it move nothing."""
         table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"

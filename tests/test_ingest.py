@@ -146,16 +146,21 @@ def test_conditions_reach_the_interface(spark, server):
 
 
 def test_reviews_are_appended_to_the_chain(spark):
-    new = "occurred_at string, actor string, source string, snapshot_id string, drug string, event string, decision string, rationale string"
-    none = spark.createDataFrame([], new + ", event_id string, sequence int, line string, previous_digest string")
-    one = audit.appended(none, spark.createDataFrame([("2025-01-02", "ann", "reports", "s1", "a", "x", "accept", "seen"), ("2025-01-01", "bob", "reports", "s1", "a", "x", "reject", "no")], new)).persist()
+    new = "occurred_at string, actor string, role string, source string, snapshot_id string, drug string, event string, decision string, rationale string"
+    none = spark.createDataFrame([], new + ", action string, event_id string, sequence int, line string, previous_digest string")
+    one = audit.appended(none, spark.createDataFrame([("2025-01-02", "ann", "admin", "reports", "s1", "a", "x", "accept", "seen"), ("2025-01-01", "bob", "reviewer", "reports", "s1", "a", "x", "reject", "né")], new)).persist()
     assert [(r.sequence, r.actor, r.drug, r.previous_digest is None) for r in one.orderBy("sequence").collect()] == [(1, "bob", "A", True), (2, "ann", "A", False)]
-    log = one.unionByName(audit.appended(one, spark.createDataFrame([("2025-01-03", "cy", "reports", "s1", "b", "y", "needs_more_evidence", "?")], new)))
+    log = one.unionByName(audit.appended(one, spark.createDataFrame([("2025-01-03", "cy", "reviewer", "reports", "s1", "b", "y", "needs_more_evidence", "?")], new)))
     rows = log.orderBy("sequence").collect()
     assert [r.previous_digest for r in rows] == [None, *[hashlib.sha256("".join(x.line for x in rows[: i + 1]).encode()).hexdigest() for i in range(2)]]
     assert len({r.event_id for r in rows}) == 3 and all(len(r.event_id) == 24 for r in rows)
+    fields = {"action", "actor", "decision", "drug", "event", "event_id", "occurred_at", "previous_digest", "rationale", "role", "snapshot_id", "source"}
+    for r in rows:
+        event = json.loads(r.line)
+        assert set(event) == fields and all(event[c] == r[c] for c in fields) and event["action"] == "signal_reviewed"
+        assert r.line == json.dumps(event, sort_keys=True, separators=(",", ":")) + "\n"
     assert audit.broken_links(log.withColumn("log", F.lit("l")), "log", ["sequence"], "line").count() == 0
-    for bad in (("2025", "a", "s", "s", "d", "e", "maybe", "r"), ("2025", " ", "s", "s", "d", "e", "accept", "r"), ("2025", "a", "s", "s", "d", "e", "accept", None)):
+    for bad in (("2025", "a", "admin", "s", "s", "d", "e", "maybe", "r"), ("2025", " ", "admin", "s", "s", "d", "e", "accept", "r"), ("2025", "a", "admin", "s", "s", "d", "e", "accept", None), ("2025", "a", "other", "s", "s", "d", "e", "accept", "r")):
         with pytest.raises(ValueError):
             audit.appended(none, spark.createDataFrame([bad], new))
 
