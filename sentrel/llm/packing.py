@@ -30,6 +30,8 @@ from ._text import strings
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
+#: Documents in all whose sketches cut the order into partitions.
+CUT_SAMPLE = 200_000
 #: A sketch term occurs in this many documents at least, where a document has such terms: rarer ones gather too few.
 SKETCH_HOLDING = 256
 #: From so many documents of a shard on, a term counts as crowded.
@@ -222,7 +224,8 @@ def _keys(cells: list[bytes], holding: np.ndarray, corpus_docs: int, corpus_toke
 def gathered(tokens: DataFrame, statistics: tuple[np.ndarray, int, int]) -> DataFrame:
     """doc_id and ids, ordered by sketch: each partition holds a range of sketches, in order.
 
-    Ranges are cut at quantiles of a sample of about 400 documents a partition. Rows are shuffled once.
+    Ranges are cut at quantiles of a sample of about 400 documents a partition, CUT_SAMPLE in all at
+    most (with fewer a partition, partitions differ more in size; their shards do not). Rows are shuffled once.
     """
     _, docs, size = statistics
     parts = max(1, -(-docs // (SHARD_DOCS * PART_SHARDS)), -(-size // (SHARD_TOKENS * PART_SHARDS)))
@@ -238,7 +241,7 @@ def gathered(tokens: DataFrame, statistics: tuple[np.ndarray, int, int]) -> Data
 
     schema = "part int, key long, doc_id long, ids binary"
     if parts > 1:
-        sample = tokens.sample(min(1.0, 400 * parts / docs), seed=7).mapInArrow(placed, schema).select("key").toPandas().key.to_numpy()
+        sample = tokens.sample(min(1.0, min(400 * parts, CUT_SAMPLE) / docs), seed=7).mapInArrow(placed, schema).select("key").toPandas().key.to_numpy()
         if len(sample):
             cuts = np.sort(sample)[np.arange(1, parts) * len(sample) // parts]
     rows = tokens.mapInArrow(placed, schema)
