@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.functions import normalize as nz
-from sentrel.operators import adjusted, audit, backtest, cohort, contingency, detectors, evidence, forest, quality, reference, serve, temporal
+from sentrel.operators import adjusted, audit, backtest, bitmaps, cohort, contingency, detectors, evidence, forest, quality, reference, serve, temporal
 
-from sentrel.sources.scratch import written
+from sentrel.sources.scratch import Scratch, written
 
 from .mapping import observations, observations_sql, table
 
@@ -85,6 +85,13 @@ def contingency_cells(spark, sf):
     return contingency.contingency(observations(spark, sf, "brand", "flag"))
 
 
+@query("bitmap_cells", f"WITH {cells_sql(observations_sql('part', 'flag'))} SELECT * FROM t")
+def bitmap_cells(spark, sf):
+    obs = observations(spark, sf, "part", "flag").select("report_id", "drug", "event")
+    store = Scratch(spark)
+    return bitmaps.cells(store.written(bitmaps.built(obs, store), "report-bitmaps"), obs)
+
+
 @query("signals_ror", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM signals WHERE detector = 'ror'")
 def signals_ror(spark, sf):
     return rounded(detectors.reporting_odds_ratio(contingency.contingency(observations(spark, sf))), "score", "lower_bound", "upper_bound", "chi_square")
@@ -366,6 +373,13 @@ def lead_time(spark, sf):
     return backtest.lead_times(scores, refs, K)
 
 
+@query("lead_time_all", f"WITH {BACKTEST} SELECT detector, reference_id, left(signal_quarter, 4)::INT * 4 + right(signal_quarter, 1)::INT - (left(min(quarter), 4)::INT * 4 + right(min(quarter), 1)::INT) AS lead_quarters FROM sc JOIN inw USING (drug, event) WHERE quarter <= signal_quarter GROUP BY detector, reference_id, signal_quarter")
+def lead_time_all(spark, sf):
+    """Every scored pair is an alert, not only the best of its quarter."""
+    _, scores, refs = _scored(spark, sf)
+    return backtest.lead_times(scores, refs, None)
+
+
 @query("detector_summary", f"""WITH {BACKTEST} SELECT q.*, coalesce(l.n, 0) AS detected_with_lead_time, l.median_lead_quarters, CASE WHEN eligible_references > 0 THEN round(hits / eligible_references, 6) END AS recall_at_k, CASE WHEN alert_burden > 0 THEN round(hits / alert_burden, 6) END AS precision_at_k
     FROM (SELECT detector, count(*) AS evaluated_quarters, sum(eligible)::BIGINT AS eligible_references, sum(hits)::BIGINT AS hits, sum(alerts)::BIGINT AS alert_burden FROM qm GROUP BY detector) q LEFT JOIN (SELECT detector, count(*) AS n, median(lead_quarters::DOUBLE) AS median_lead_quarters FROM ld GROUP BY detector) l USING (detector)""")
 def detector_summary(spark, sf):
@@ -443,6 +457,14 @@ def active_comparator(spark, sf):
     return rounded(adjusted.active_comparator(_profiles(spark, sf), sets), "estimate", "lower_bound", "upper_bound")
 
 
+@query("bitmap_comparator", ORACLE["active_comparator"])
+def bitmap_comparator(spark, sf):
+    store = Scratch(spark)
+    obs = observations(spark, sf, "brand", "flag").select("report_id", F.upper("drug").alias("drug"), F.upper("event").alias("event"))
+    sets = spark.createDataFrame([("brand#11", "Brand#12"), ("brand#11", "Brand#13"), ("brand#23", "Brand#24")], "drug string, comparator string")
+    return rounded(bitmaps.active_comparator(store.written(bitmaps.built(obs, store), "report-bitmaps"), sets), "estimate", "lower_bound", "upper_bound")
+
+
 @query("penalized_logistic")
 def penalized_logistic(spark, sf):
     return adjusted.penalized_logistic(_profiles(spark, sf))
