@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +38,66 @@ def quarterly_features(obs: DataFrame) -> DataFrame:
     )
 
 
-def _median(values: Column) -> Column:
-    """Median of a sorted array that isn't empty."""
-    n = F.size(values)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
-    return (F.get(values, low - 1) + F.get(values, high - 1)) / 2.0
+class History:
+    """Median and MAD of a growing list of numbers, which is kept sorted: memory is linear, a look takes logarithmic time."""
+
+    def __init__(self) -> None:
+        self.values: list[float] = []
+
+    def add(self, value: float) -> None:
+        insort(self.values, value)
+
+    def median(self) -> float:
+        v, n = self.values, len(self.values)
+        return (v[(n - 1) // 2] + v[n // 2]) / 2.0
+
+    def _nearest(self, k: int, middle: float, split: int) -> float:
+        """The k-th smallest distance (from 0) to ``middle``: of two sorted runs, those below it from behind and those above."""
+        v, low, high = self.values, max(0, k + 1 - (len(self.values) - split)), min(k + 1, split)
+        while low < high:  # how many of the k + 1 nearest lie below
+            some = (low + high) // 2
+            # one more from below is nearer than the last that is taken from above
+            if k - some >= 0 and middle - v[split - 1 - some] < v[split + k - some] - middle:
+                low = some + 1
+            else:
+                high = some
+        below = middle - v[split - low] if low else -1.0
+        above = v[split + k - low] - middle if k + 1 > low else -1.0
+        return max(below, above)
+
+    def mad(self, middle: float) -> float:
+        n, split = len(self.values), bisect_right(self.values, middle)
+        return (self._nearest((n - 1) // 2, middle, split) + self._nearest(n // 2, middle, split)) / 2.0
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Median, MAD and number of the earlier counts of every row; rows come sorted by pair and quarter."""
+    pair, past = None, History()
+    for batch in batches:
+        middles, mads, sizes = [], [], []
+        for drug, event, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if (drug, event) != pair:
+                pair, past = (drug, event), History()
+            n = len(past.values)
+            middle = past.median() if n else None
+            middles.append(middle)
+            mads.append(past.mad(middle) if n else None)
+            sizes.append(n)
+            past.add(float(count))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(middles, pa.float64()), pa.array(mads, pa.float64()), pa.array(sizes, pa.int64())], names=["drug", "event", "quarter", "report_count", "middle", "mad", "n"])
 
 
 def change_points(features: DataFrame, minimum_history: int = MINIMUM_HISTORY) -> DataFrame:
     """drug, event, quarter, change_score, is_change_point, baseline_quarters.
 
-    The report count against median and MAD of strictly earlier quarters, upward only. A pair has at
-    most one row a quarter, which bounds the window.
+    The report count against median and MAD of strictly earlier quarters, upward only. A pair's
+    quarters are sorted once and its counts carried along in order, so a long history takes memory in
+    proportion to it.
     """
-    earlier = Window.partitionBy("drug", "event").orderBy("quarter").rowsBetween(Window.unboundedPreceding, -1)
-    rows = features.withColumn("past", F.array_sort(F.collect_list(F.col("report_count").cast("double")).over(earlier)))
-    rows = rows.withColumn("middle", _median(F.col("past")))
-    rows = rows.withColumn("mad", _median(F.array_sort(F.transform("past", lambda x: F.abs(x - F.col("middle"))))))
-    score = F.when(F.size("past") >= max(minimum_history, 1), (F.col("report_count") - F.col("middle")) / F.greatest(MAD_SCALE * F.col("mad"), F.lit(1.0))).otherwise(0.0)
-    return rows.select("drug", "event", "quarter", score.alias("change_score"), (score >= CHANGE_CUT).alias("is_change_point"), F.size("past").cast("long").alias("baseline_quarters"))
+    rows = features.select("drug", "event", "quarter", F.col("report_count").cast("long").alias("report_count"))
+    walked = rows.repartition("drug", "event").sortWithinPartitions("drug", "event", "quarter").mapInArrow(_carried, "drug string, event string, quarter string, report_count long, middle double, mad double, n long")
+    score = F.when(F.col("n") >= max(minimum_history, 1), (F.col("report_count") - F.col("middle")) / F.greatest(MAD_SCALE * F.col("mad"), F.lit(1.0))).otherwise(0.0)
+    return walked.select("drug", "event", "quarter", score.alias("change_score"), (score >= CHANGE_CUT).alias("is_change_point"), F.col("n").alias("baseline_quarters"))
 
 
 def vector_columns() -> list[Column]:
