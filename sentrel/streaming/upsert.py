@@ -28,11 +28,12 @@ def _parts(spark: SparkSession, folder: str) -> list[int]:
 
 
 def current(spark: SparkSession, table: str, upto: int | None = None) -> DataFrame:
-    """The winners of all batches (up to a number): the newest base and the batches after it."""
+    """The winners of all batches (up to a number): the newest base and the batches after it; none before the first."""
     held = [n for n in _parts(spark, f"{table}/base") if upto is None or n <= upto]
     after = [n for n in _parts(spark, f"{table}/delta") if (not held or n > held[-1]) and (upto is None or n <= upto)]
     paths = [f"{table}/base/n={n}" for n in held[-1:]] + [f"{table}/delta/n={n}" for n in after]
-    return latest(spark.read.schema(COLUMNS).parquet(*paths), "report_id", "version", ["page", "index"])
+    rows = spark.read.schema(COLUMNS).parquet(*paths) if paths else spark.createDataFrame([], COLUMNS)
+    return latest(rows, "report_id", "version", ["page", "index"])
 
 
 def upsert_latest(pages: DataFrame, table: str, checkpoint: str, compact_every: int = 20) -> StreamingQuery:
