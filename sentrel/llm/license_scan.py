@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from ._text import BASE, mix, raw, slices, strings, words
 
 THRESHOLD = 0.75
-#: Window ends are tried at so many places a template length; templates of no more words are tried at every hit.
-PLACES = 32
 
 #: Licence names and the notices that stand for them.
 TEMPLATES: dict[str, list[str]] = {
@@ -88,40 +87,73 @@ def templates(notices: dict[str, list[str]] | None = None) -> list[tuple[str, in
     return out
 
 
-def _best(pairs: np.ndarray, hits: np.ndarray, size: int, template: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(first bigram, last bigram, Dice) of the best windows of a run of hits, without overlaps, best first.
+class _Run:
+    """Windows of a run of hits of one template: each starts and ends at a hit (moving an end to the next hit inwards only raises Dice).
 
-    A window starts and ends at a hit (moving an end to the next hit inwards only raises Dice). The
-    template has ``size`` bigrams in its text. Ends lie on a grid of ``PLACES`` a template.
+    Every such window of up to twice the longest length that can reach the threshold is weighed: from
+    a start on, a bigram is new if it last occurred before the start, so counts of different and of
+    matching bigrams run along the hits.
     """
-    share, step = threshold / (2 - threshold), max(1, size // PLACES)
-    grid = np.unique(np.append(np.searchsorted(hits, np.arange(hits[0], hits[-1] + 1, step)), len(hits) - 1)) if step > 1 else np.arange(len(hits))
-    need, most, found = share * len(template), size / share, []
-    for i in grid:
-        for j in grid[np.searchsorted(grid, i) :]:
-            a, b = int(hits[i]), int(hits[j])
-            if j - i + 1 < need:
-                continue
-            if b - a + 1 > 2 * most:
-                break
-            window = np.unique(pairs[a : b + 1])
-            if not need <= len(window) <= len(template) / share:
-                continue
-            dice = 2 * len(np.intersect1d(window, template, assume_unique=True)) / (len(window) + len(template))
-            if dice >= threshold:
-                found.append((a, b, dice))
-    return apart(found)
-
 
-def apart(found: list[tuple]) -> list[tuple]:
-    """Of overlapping findings (first, last, Dice, ...) the one with the largest Dice stays, then the longest, then the first."""
-    out: list[tuple] = []
+    def __init__(self, pairs: np.ndarray, hits: np.ndarray, size: int, template: np.ndarray, threshold: float):
+        self.lo, self.reach, self.size = int(hits[0]), int(2 * size * (2 - threshold) / threshold), len(template)
+        part = pairs[self.lo : int(hits[-1]) + 1]
+        before = np.full(len(part) + self.reach, len(part), np.int64)  # where each bigram last occurred; behind the end nothing is new
+        before[: len(part)] = -1
+        order = np.argsort(part, kind="stable")
+        again = part[order][1:] == part[order][:-1]
+        before[order[1:][again]] = order[:-1][again]
+        known = np.zeros(len(part) + self.reach, bool)
+        self.starts = hits - self.lo
+        known[self.starts] = True
+        self.before, self.known = (np.lib.stride_tricks.sliding_window_view(x, self.reach) for x in (before, known))
+
+    def best(self, at: np.ndarray, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Best Dice and its last bigram for each start, of windows that end before ``stop``; the longest of equal ones."""
+        new, mine = self.before[at] < at[:, None], self.known[at]
+        dice = 2 * (new & mine).cumsum(axis=1) / (new.cumsum(axis=1) + self.size)
+        dice[~mine] = 0
+        if stop is not None:
+            dice[at[:, None] + np.arange(self.reach) >= stop - self.lo] = 0
+        end = self.reach - 1 - dice[:, ::-1].argmax(axis=1)
+        return dice[np.arange(len(at)), end], at + end
+
+    def windows(self, threshold: float) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first, last bigram) of the best window of every start that reaches the threshold."""
+        block = max(1, (1 << 18) // self.reach)
+        for k in range(0, len(self.starts), block):
+            at = self.starts[k : k + block]
+            dice, end = self.best(at)
+            take = np.flatnonzero(dice >= threshold)
+            yield from zip(dice[take].tolist(), (at[take] + self.lo).tolist(), (end[take] + self.lo).tolist(), strict=True)
+
+    def again(self, first: int, stop: int) -> tuple[float, int]:
+        dice, end = self.best(np.array([first - self.lo]), stop)
+        return float(dice[0]), int(end[0]) + self.lo
+
+
+def _apart(runs: list[tuple[int, _Run]], threshold: float) -> list[tuple[int, int, float, int]]:
+    """(first, last bigram, Dice, template) of the windows that stay: of those that overlap the one with the largest Dice, then the longest, the first, the template's order.
+
+    Each start gives its best window. Where that one meets a window that was chosen before, the start
+    is looked at again up to there, so the choice is the same as among all windows of all templates.
+    """
+    heap = [(-dice, a - b, a, order, n, b) for n, (order, run) in enumerate(runs) for dice, a, b in run.windows(threshold)]
+    heapify(heap)
     taken: list[tuple[int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[2], f[0] - f[1], *f[:1], *f[3:])):
-        at = bisect_left(taken, (f[0], -1))
-        if (at == len(taken) or taken[at][0] > f[1]) and (not at or taken[at - 1][1] < f[0]):
-            insort(taken, (f[0], f[1]))
-            out.append(f)
+    out = []
+    while heap:
+        minus, _, a, order, n, b = heappop(heap)
+        at = bisect_left(taken, (a, -1))
+        if (at and taken[at - 1][1] >= a) or (at < len(taken) and taken[at][0] == a):
+            continue  # starts inside a window that was chosen
+        if at < len(taken) and taken[at][0] <= b:
+            dice, end = runs[n][1].again(a, taken[at][0])
+            if dice >= threshold:
+                heappush(heap, (-dice, a - end, a, order, n, end))
+            continue
+        insort(taken, (a, b))
+        out.append((a, b, -minus, order))
     return out
 
 
@@ -140,7 +172,7 @@ def find(texts: pa.LargeStringArray, library: list[tuple[str, int, int, np.ndarr
     hit = np.flatnonzero((known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs) & (doc[:-1] == doc[1:]))
     held, owner = pairs[hit], doc[hit]
     share = threshold / (2 - threshold)
-    found: dict[int, list[tuple]] = {}
+    found: dict[int, list[tuple[int, _Run]]] = {}
     for order, (_, _, size, template) in enumerate(library):
         own = np.flatnonzero(template[np.minimum(np.searchsorted(template, held), len(template) - 1)] == held)
         if len(own) < share * len(template):
@@ -151,11 +183,11 @@ def find(texts: pa.LargeStringArray, library: list[tuple[str, int, int, np.ndarr
         for i in np.flatnonzero(last - first >= share * len(template)):
             run = at[first[i] : last[i]]
             if len(np.unique(pairs[run])) >= share * len(template):
-                found.setdefault(int(whose[first[i]]), []).extend((*w, order) for w in _best(pairs, run, size, template, threshold))
+                found.setdefault(int(whose[first[i]]), []).append((order, _Run(pairs, run, size, template, threshold)))
     out = []
-    for d, own in sorted(found.items()):
+    for d, runs in sorted(found.items()):
         start = int(np.searchsorted(doc, d))
-        out += [(d, a - start, b + 2 - start, *library[order][:2], dice) for a, b, dice, order in apart(own)]
+        out += [(d, a - start, b + 2 - start, *library[order][:2], dice) for a, b, dice, order in _apart(runs, threshold)]
     return out
 
 
@@ -164,8 +196,7 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, threshold
 
     Whole texts are searched; positions count words from 0. Of overlapping findings the one with the
     largest Dice coefficient stays (then the longest, then the first); of equal templates the first in
-    the library. Window ends are exact for templates of up to ``PLACES`` words and lie on a grid of that
-    part of the template's length beyond. Null and empty texts have no finding, and a notice of fewer
+    the library. Every window that starts and ends at a known bigram is weighed. Null and empty texts have no finding, and a notice of fewer
     than two words can't be found. Repeated rows and null identifiers give findings of their own.
     Nothing is shuffled; the broadcast library is as large as its notices.
     """

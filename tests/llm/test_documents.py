@@ -260,12 +260,13 @@ def licence_words(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
 
 
-def brute_windows(text, notices, threshold=license_scan.THRESHOLD):
+def brute_windows(text, notices, threshold=license_scan.THRESHOLD, most=60):
     """(first word, end word, licence, notice, Dice) over all windows and templates, by plain sets; the best first, without overlaps."""
     w = licence_words(text)
     pairs = lambda x: set(zip(x, x[1:], strict=False))
     library = [(name, i, pairs(licence_words(t))) for name, ts in notices.items() for i, t in enumerate(ts)]
-    every = [(2 * len(u & t) / (len(u) + len(t)), b - a, -a, -k) for a in range(len(w)) for b in range(a + 2, min(len(w), a + 60) + 1) for u in [pairs(w[a:b])] for k, (_, _, t) in enumerate(library) if (w[a], w[a + 1]) in t and (w[b - 2], w[b - 1]) in t]
+    starts = {p for *_, t in library for p in t}
+    every = [(2 * len(u & t) / (len(u) + len(t)), b - a, -a, -k) for a in range(len(w)) for b in range(a + 2, min(len(w), a + most) + 1) if (w[a], w[a + 1]) in starts and (w[b - 2], w[b - 1]) in starts for u in [pairs(w[a:b])] for k, (_, _, t) in enumerate(library) if (w[a], w[a + 1]) in t and (w[b - 2], w[b - 1]) in t]
     out = []
     for dice, n, a, k in sorted((e for e in every if e[0] >= threshold), reverse=True):
         if all(-a + n <= x or -a >= y for x, y, *_ in out):
