@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from sentrel.plans import jobs
-from sentrel.sources import ingest, manifests
+from sentrel.sources import archives, ingest, manifests
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,10 +52,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--kind", choices=sorted(manifests.KINDS), required=True)
     p.add_argument("--manifest", required=True)
     p.add_argument("--url", required=True)
+    p = job("pages", snapshot=False)
+    p.add_argument("--root", required=True)
+    p.add_argument("--kind", choices=sorted(manifests.KINDS), required=True)
+    p.add_argument("--manifest", required=True)
+    p = job("archives", snapshot=False)
+    p.add_argument("--root", required=True)
+    p.add_argument("--manifest", required=True)
+    p.add_argument("--quarter", action="append", dest="quarters")
+    p.add_argument("--max-bytes", type=int, default=archives.MAX_BYTES)
     job("demo")
     return top
 
 
+def fetched(spark: SparkSession, root: str, manifest: str, quarters: list[str] | None, max_bytes: int) -> dict[str, int]:
+    """Bytes of each archive of a quarterly manifest, fetched or verified one after the other."""
+    with open(manifest, encoding="utf-8") as f:
+        listed = manifests.archives(json.load(f), quarters)
+    return {a["quarter"]: archives.fetch(spark, root, a, max_bytes)["bytes"] for a in listed}
+
+
 def run(arguments: Sequence[str] | None, spark: SparkSession) -> dict:
     a = parser().parse_args(arguments)
     calls = {
@@ -64,6 +80,7 @@ def run(arguments: Sequence[str] | None, spark: SparkSession) -> dict:
         "adjust": lambda: jobs.adjust(spark, a.root, a.snapshot, a.comparator_set), "brief": lambda: jobs.brief(spark, a.root, a.snapshot, [(a.drug, a.event)], a.evidence_set),
         "check-references": lambda: jobs.check_references(spark, a.reference_set, a.quarter, a.output), "export": lambda: jobs.export(spark, a.root, a.snapshot, a.layer, a.table, a.source),
         "ingest": lambda: ingest.ingest(spark, a.root, manifests.load(a.kind, a.manifest), a.url), "demo": lambda: jobs.demo(spark, a.root, a.snapshot),
+        "pages": lambda: ingest.export_pages(spark, a.root, manifests.load(a.kind, a.manifest)), "archives": lambda: fetched(spark, a.root, a.manifest, a.quarters, a.max_bytes),
     }
     return {"job": a.job, "rows": calls[a.job]()}
 
