@@ -80,7 +80,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edge = np.zeros(n + 1, np.int32)  # starts too near the end of their text
     np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - LENGTH + 1), 1)
     np.add.at(edge, offsets[1:], -1)
-    short = np.cumsum(edge[:n]) > 0
+    short = np.cumsum(edge[:n], dtype=np.int32) > 0
     keys, starts, counts = [], [], []
     for lo in range(0, n - LENGTH + 1, BLOCK):
         seg = data[lo : lo + BLOCK + LENGTH - 1]
@@ -204,7 +204,8 @@ class _Chunk:
         self.ids = chunk.column("doc_id").combine_chunks()
         self.docs = self.ids.fill_null(LAST).to_numpy()
         keys, starts, counts = pieces(self.data, self.offsets)
-        known = np.unique(keys)
+        known = np.sort(keys)  # faster than numpy's unique, which hashes
+        known = known[np.concatenate((np.ones(min(1, len(known)), bool), known[1:] != known[:-1]))]
         rows = sorted((r for r in answers.to_pylist() if r["kind"] == 0), key=lambda r: r["bucket"])
         bits = lambda name: np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(r[name], np.uint8))[: r["n"]].astype(bool) for r in rows]])
         shared, hot = bits("first"), bits("second")
@@ -405,7 +406,7 @@ def _removed(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     cover = np.zeros(len(data) + 1, np.int32)
     np.add.at(cover, places, 1)
     np.add.at(cover, places + LENGTH, -1)
-    covered = np.cumsum(cover[:-1]) > 0
+    covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
     opens = covered.copy()
     opens[1:] &= ~covered[:-1]
     opens[offsets[:-1][offsets[:-1] < len(data)]] |= covered[offsets[:-1][offsets[:-1] < len(data)]]
