@@ -6,8 +6,11 @@ tell a missing key, a null and a value of the wrong type apart.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +139,22 @@ def latest(rows: DataFrame, key: str, version: str, order: list[str]) -> DataFra
     return classified(rows, key, version, order).where("winner").drop("kind", "winner")
 
 
+def _digests(payloads: pa.Array) -> pa.Array:
+    out = []
+    for text in payloads.to_pylist():
+        try:
+            data = json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        except (TypeError, ValueError):  # no JSON at all: the text itself
+            data = text
+        out.append(None if data is None else hashlib.sha256(data.encode()).hexdigest())
+    return pa.array(out, pa.string())
+
+
+def payload_digest() -> Column:
+    """SHA-256 of a record as sorted ASCII JSON, so its spacing and the order of its keys do not matter; of rejected records only."""
+    return F.arrow_udf(_digests, "string")("payload").alias("payload_sha256")
+
+
 def curate_reports(reports: DataFrame) -> DataFrame:
     """One row per different (drug, role, reaction) of a report; the first entry of a drug and role gives the name's source.
 
@@ -214,8 +233,8 @@ def process_reports(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     curated, rows = store.observed(curate_reports(chosen.drop("payload")), "curated", curated_rows=F.count(F.lit(1)))
     yielding = store.written(curated.groupBy("report_id").agg(F.first("fallbacks").alias("fallbacks")), "yielding")
     accepted = chosen.join(yielding, "report_id", "left_semi")
-    late = chosen.join(yielding, "report_id", "left_anti").select("page", "index", "report_id", F.array(F.lit(NO_PAIR)).alias("reasons"), F.sha2("payload", 256).alias("payload_sha256"))
-    rejected = told.where("size(reasons) > 0").select("page", "index", "report_id", "reasons", F.sha2("payload", 256).alias("payload_sha256")).unionByName(late)
+    late = chosen.join(yielding, "report_id", "left_anti").select("page", "index", "report_id", F.array(F.lit(NO_PAIR)).alias("reasons"), payload_digest())
+    rejected = told.where("size(reasons) > 0").select("page", "index", "report_id", "reasons", payload_digest()).unionByName(late)
     # what no write can take along: reports that yield, different names
     n = chosen.join(yielding, "report_id", "left").agg(F.count("fallbacks").alias("accepted_reports"), F.count_if(F.col("fallbacks").isNull()).alias("late"), F.max(F.when(F.col("fallbacks").isNotNull(), F.to_date("report.receivedate", "yyyyMMdd"))).alias("newest_date"), F.coalesce(F.sum("fallbacks"), F.lit(0)).alias("drug_name_fallbacks"))
     unique = curated.agg(F.count_distinct("drug_name").alias("unique_drugs"), F.count_distinct("reaction").alias("unique_reactions"))
@@ -232,7 +251,7 @@ def process_samples(raw: DataFrame, as_of) -> dict[str, DataFrame]:
     versions, kinds = store.observed(classified(valid.select("page", "index", "record_id", "updated"), "record_id", "updated", ["page", "index"]), "versions", **_kinds())
     accepted = valid.join(versions.where("winner").select("page", "index"), ["page", "index"], "left_semi").select(valid.columns)
     curated = curate_samples(accepted)
-    rejected = told.where("size(reasons) > 0").select("page", "index", "record_id", "reasons", F.sha2("payload", 256).alias("payload_sha256"))
+    rejected = told.where("size(reasons) > 0").select("page", "index", "record_id", "reasons", payload_digest())
     n = curated.agg(F.count("*").alias("curated_rows"), F.count_distinct("site_id").alias("unique_sites"), F.count_distinct("state_territory").alias("states_and_territories"), F.count_if(F.col("concentration").isNull()).alias("missing_concentration"), F.max("sample_collect_date").alias("newest_date"))
     metrics = n.select(*_told(seen), F.lit(seen["input_records"] - seen["valid_records"]).cast("long").alias("rejected_records"), *[F.lit(kinds[k]).cast("long").alias(f"{to}_removed") for k, to in (("followup", "superseded"), ("duplicate", "duplicates"))], *n.columns, *_complete(seen, SAMPLE_FIELDS))
     metrics = metrics.withColumn("age_days", F.datediff(F.lit(as_of), "newest_date"))

@@ -171,3 +171,14 @@ def test_retrieval_is_the_same_for_few_and_many_words(spark, monkeypatch):
     monkeypatch.setattr(evidence, "KNOWN_WORDS", 2)
     assert few == sorted(evidence.retrieve(docs, pairs).collect()) and len(few) == 15
     assert [(r.document_id, r.relevance) for r in few if r.event == "alpha1"] == [(i, 1.0) for i in (1, 5, 9, 13, 17)]
+
+
+def test_rejected_records_have_the_digest_of_their_content(spark):
+    """Spacing and order of keys do not matter; what is no JSON has the digest of its text."""
+    texts = ['{"b": [1, 2.0],  "a": "é"}', '{"a":"\\u00e9","b":[1,2.0]}', "no JSON", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "payload string").select("payload", quality.payload_digest()).collect()
+    want = hashlib.sha256(b'{"a":"\\u00e9","b":[1,2.0]}').hexdigest()
+    assert [r.payload_sha256 for r in rows] == [want, want, hashlib.sha256(b"no JSON").hexdigest(), None]
+    raw = spark.createDataFrame([("p", 0, '{"z": 1,\n "safetyreportid": "1"}')], "page string, index long, payload string")
+    got = quality.process_reports(raw, dt.date(2025, 1, 1))["rejected"].first()
+    assert got.payload_sha256 == hashlib.sha256(b'{"safetyreportid":"1","z":1}').hexdigest()
