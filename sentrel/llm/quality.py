@@ -161,7 +161,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: dict, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``score`` accepts; nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, that ``score`` accepts; nothing is shuffled.
+
+    Null text is judged as an empty one. Identifiers are not read: rows that repeat one, or lack it, are
+    judged each by their text, so repeated rows stay or go together. A probability that equals ``cut`` is
+    accepted. Whole texts count, however long. An empty table gives an empty table of the same columns.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -320,7 +320,12 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
 
 
 def redact(docs: DataFrame, model: dict, text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
-    """``docs`` with every secret replaced by ``[SECRET:kind]``; rows and other columns stay as they are."""
+    """``docs`` with every secret replaced by ``[SECRET:kind]``; rows and other columns stay as they are.
+
+    Whole texts are searched, as ``scan`` does. Null text stays null and an empty one empty, whatever the
+    identifier, which is not read. Repeated rows are redacted each, to equal texts. A candidate whose
+    score equals ``cut`` is a secret. An empty table gives an empty table of the same columns.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at, path_at = names.index(text_col), names.index(path_col) if path_col in names else None
