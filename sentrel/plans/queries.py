@@ -323,6 +323,14 @@ def isolation_forest(spark, sf):
     return forest.isolation_forest(_features(spark, sf))
 
 
+@query("temporal_anomalies")
+def temporal_anomalies(spark, sf):
+    """Anomalies of one drug in the order of the temporal answers."""
+    features = _features(spark, sf)
+    rows = temporal.change_points(features).join(forest.isolation_forest(features), ["drug", "event", "quarter"])
+    return serve.answers("temporal", rows, 50, drug="brand#11", anomalies=True)
+
+
 @query("walk_forward_forest")
 def walk_forward_forest(spark, sf):
     return forest.walk_forward(_features(spark, sf))

@@ -197,3 +197,13 @@ def test_limits_and_identifiers(twenty):
     with pytest.raises(ValueError):
         serve.safe_identifier("../up")
     assert serve.safe_identifier("demo-2024") == "demo-2024"
+
+
+def test_temporal_anomalies_are_those_of_the_forest(spark):
+    """The query against plain filtering of the forest's rows."""
+    sf = "/root/testdata/sf0.001"
+    found = [(r.quarter, r.event, r.anomaly_score) for r in queries.temporal_anomalies(spark, sf).collect()]
+    scored = queries.isolation_forest(spark, sf).where("drug = 'BRAND#11' and is_anomaly").collect()
+    assert found == sorted((r.quarter, r.event, r.anomaly_score) for r in scored)[:50] and found
+    with pytest.raises(ValueError):
+        serve.answers("temporal", spark.range(1), 0)
