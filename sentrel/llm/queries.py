@@ -138,6 +138,21 @@ ORACLE: dict[str, str] = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS total FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= total * 10 // 100 THEN place END AS rank FROM placed
     """,
+    # positions in hexadecimal digits, two a byte; a span ends where the next removed string does not touch it
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        blocks AS (SELECT r, doc_id, 400 * k AS base, substr(h, 800 * k + 1, 800 + 98) AS block FROM (SELECT *, unnest(range((n + 399) // 400)) AS k FROM d)),
+        w AS (SELECT r, doc_id, base + q AS p, substr(block, 2 * q + 1, 100) AS s FROM (SELECT *, unnest(range(greatest(octet_length(encode(block)) // 2 - 49, 0))) AS q FROM blocks)),
+        g AS (SELECT r, p FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)) USING (s) WHERE least < doc_id),
+        e AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM g),
+        spans AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS k FROM e) GROUP BY r, k),
+        between_spans AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS c FROM spans),
+        left_over AS (
+            SELECT r, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM between_spans JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN left_over USING (r)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
