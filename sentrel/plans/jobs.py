@@ -84,7 +84,7 @@ def find_changes(spark: SparkSession, root: str, snapshot: str, contamination: f
     found = forest.isolation_forest(features, contamination, grown=grown, scaled=scaled)
     keys = [*KEY, "quarter"]
     rows = features.join(found, keys).join(temporal.change_points(features, minimum_history), keys).join(temporal.contributions(scaled), keys)
-    trees = spark.createDataFrame([(t, i, *node) for t, nodes in enumerate(grown[0]) for i, node in enumerate(nodes)], "tree int, node int, feature int, cut double, low long, high long, size long")
+    trees = spark.createDataFrame(grown[0], forest.NODES)
     return counts | store.write("analytics", {"temporal_signals": rows, "forest": trees})
 
 

@@ -318,22 +318,71 @@ def feature_contributions(spark, sf):
     return rows.select("drug", "event", "quarter", F.posexplode("contributions").alias("place", "c")).select("drug", "event", "quarter", "place", "c.name", "c.value")
 
 
-@query("isolation_forest")
+# all rows judged by a forest of all rows, and each quarter by a forest of the quarters before
+WHOLE = f"""fits AS (SELECT 'all' AS point, drug, event, quarter, {VECTOR} FROM features), rows AS (SELECT * FROM fits)"""
+PAST = f"""v AS (SELECT drug, event, quarter, {VECTOR} FROM features),
+    points AS (SELECT DISTINCT x.quarter AS point FROM features x WHERE (SELECT count(*) FROM features y WHERE y.quarter < x.quarter) >= {forest.MINIMUM_TRAINING_ROWS}),
+    fits AS (SELECT point, v.* FROM points JOIN v ON v.quarter < point), rows AS (SELECT point, v.* FROM points JOIN v ON v.quarter = point)"""
+
+
+def forest_sql(rows: str) -> str:
+    """CTEs ending in isolation (point, drug, event, quarter, isolation): trees of ``fits`` are grown level by level, and ``rows`` walk them."""
+    names, levels = temporal.FEATURES, range(8)
+    scaled = ", ".join(f"round(({x} - q_{x}[2]) / CASE WHEN q_{x}[3] = q_{x}[1] THEN 1 ELSE q_{x}[3] - q_{x}[1] END, {forest.PLACES})" for x in names)
+    draw = lambda of, first: f"('0x' || substr(md5('{forest.SEED}:' || {of}), {first}, 8))::BIGINT"
+    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.57721566490153286) - 2 * ({n} - 1) / {n}::DOUBLE END"
+    node = "tree || ':' || node"
+    split = f"""CASE WHEN size > 1 AND len(able) > 0 AND level < depth THEN able[1 + {draw(node, 1)} % len(able)] END"""
+    ends = lambda f: ", ".join(f"{f}(x[{i + 1}])" for i in range(len(names)))
+    below = lambda rows: f"2 * {rows}.node + ({rows}.x[n.feature] > n.cut)::INT"
+    grown = ", ".join(
+        f"""n{i} AS MATERIALIZED (SELECT point, tree, node, size, feature, lo[feature] + ({draw(node, 9)} + 0.5) / 4294967296 * (hi[feature] - lo[feature]) AS cut FROM (
+            SELECT *, {split} AS feature FROM (SELECT *, list_filter(range(1, {len(names) + 1}), lambda f: hi[f] > lo[f]) AS able, {i} AS level FROM (
+            SELECT point, tree, node, count(*) AS size, [{ends('min')}] AS lo, [{ends('max')}] AS hi FROM g{i} GROUP BY ALL) JOIN sizes USING (point)))),
+        g{i + 1} AS MATERIALIZED (SELECT g.point, g.tree, {below('g')} AS node, g.x FROM g{i} g JOIN n{i} n ON n.point = g.point AND n.tree = g.tree AND n.node = g.node WHERE n.feature IS NOT NULL)"""
+        for i in [*levels, 8]
+    )
+    walked = ", ".join(
+        f"""w{i + 1} AS (SELECT w.point, w.drug, w.event, w.quarter, w.tree, w.x, CASE WHEN n.feature IS NULL THEN w.node ELSE {below('w')} END AS node
+            FROM w{i} w LEFT JOIN n{i} n ON n.point = w.point AND n.tree = w.tree AND n.node = w.node)"""
+        for i in levels
+    )
+    return f"""{features_sql()}, {rows},
+    q AS (SELECT point, count(*) AS fitted, {', '.join(f'quantile_cont({x}, [0.25, 0.5, 0.75]) AS q_{x}' for x in names)} FROM fits GROUP BY point),
+    sizes AS (SELECT point, least(fitted, {forest.SUBSAMPLE}) AS drawn, ceil(log2(least(fitted, {forest.SUBSAMPLE}))) AS depth FROM q),
+    pool AS MATERIALIZED (SELECT point, [{scaled}] AS x, row_number() OVER (PARTITION BY point ORDER BY ('0x' || left(md5('{forest.SEED}:' || drug || ':' || event || ':' || quarter), 15))::BIGINT, drug, event, quarter) AS place
+             FROM fits JOIN q USING (point) QUALIFY place <= {forest.POOL}),
+    deals AS (SELECT i AS tree, 1 + {draw('i', 1)} % {forest.PRIME - 1} AS a, {draw('i', 9)} AS b FROM range({forest.TREES}) r(i)),
+    g0 AS MATERIALIZED (SELECT point, tree, 1 AS node, x FROM pool CROSS JOIN deals QUALIFY row_number() OVER (PARTITION BY point, tree ORDER BY (place * a + b) % {forest.PRIME}) <= {forest.SUBSAMPLE}),
+    {grown},
+    nodes AS ({' UNION ALL '.join(f'SELECT point, tree, node, size FROM n{i}' for i in [*levels, 8])}),
+    w0 AS (SELECT point, drug, event, quarter, tree, [{scaled}] AS x, 1 AS node FROM rows JOIN q USING (point) CROSS JOIN deals),
+    {walked},
+    isolation AS (SELECT point, drug, event, quarter, pow(2, -avg(floor(log2(node)) + {path('size')}) / any_value({path('drawn')})) AS isolation FROM w8 JOIN nodes USING (point, tree, node) JOIN sizes USING (point) GROUP BY point, drug, event, quarter)"""
+
+
+# equal rows' means differ in the last bits by the order of DuckDB's sums, so the threshold is compared to nine places
+ANOMALIES = f"""{forest_sql(WHOLE)}, anomalies AS (SELECT drug, event, quarter, round(isolation - cut, 6) + 0 AS anomaly_score, round(isolation, 9) > round(cut, 9) AS is_anomaly
+    FROM isolation CROSS JOIN (SELECT quantile_cont(isolation, {1 - forest.CONTAMINATION}) AS cut FROM isolation))"""
+
+
+@query("isolation_forest", f"WITH {ANOMALIES} SELECT * FROM anomalies")
 def isolation_forest(spark, sf):
-    return forest.isolation_forest(_features(spark, sf))
+    return rounded(forest.isolation_forest(_features(spark, sf)), "anomaly_score")
 
 
-@query("temporal_anomalies")
+@query("temporal_anomalies", f"""WITH {ANOMALIES}, {CHANGES} SELECT drug, event, quarter, round(change_score, 6) AS change_score, change_score >= 3.5 AS is_change_point, baseline_quarters, anomaly_score, is_anomaly
+    FROM changes JOIN anomalies USING (drug, event, quarter) WHERE drug = 'BRAND#11' AND is_anomaly ORDER BY quarter, drug, event LIMIT 50""")
 def temporal_anomalies(spark, sf):
     """Anomalies of one drug in the order of the temporal answers."""
     features = _features(spark, sf)
     rows = temporal.change_points(features).join(forest.isolation_forest(features), ["drug", "event", "quarter"])
-    return serve.answers("temporal", rows, 50, drug="brand#11", anomalies=True)
+    return rounded(serve.answers("temporal", rows, 50, drug="brand#11", anomalies=True), "change_score", "anomaly_score")
 
 
-@query("walk_forward_forest")
+@query("walk_forward_forest", f"WITH {forest_sql(PAST)} SELECT quarter, drug, event, round(isolation - {forest.OFFSET}, 6) + 0 AS score FROM isolation")
 def walk_forward_forest(spark, sf):
-    return forest.walk_forward(_features(spark, sf))
+    return rounded(forest.walk_forward(_features(spark, sf)), "score")
 
 
 # ---- backtest -----------------------------------------------------------------------------------
