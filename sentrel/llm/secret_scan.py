@@ -2,7 +2,8 @@
 
 Patterns find strings that may be credentials. A forest trained on labelled findings then looks at
 length, character transitions, dictionary coverage, path and neighbouring words. The dictionary is
-counted from all documents.
+counted from all documents. What a neighbouring or path word says is learned: words are hashed, and
+each bucket has the log-odds of standing beside a secret among the findings.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 import random
 import re
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -39,26 +41,28 @@ PATTERNS: dict[str, str] = {
     "google_key": r"\b(AIza[0-9A-Za-z_-]{35})",
     "jwt": r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     "assignment": r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[a-z0-9_.-]{0,40}[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?)([^\s\"'`<>,;]{8,})",
+    "connection": r"(?:\b[a-z][a-z0-9+.-]{1,20}://[^\s/@:\"'<>]{0,60}:)([^\s/@\"']{4,}?)(?=@[A-Za-z0-9\[])",
     "opaque": r"(?<![A-Za-z0-9+/_.-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2})(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])",
 }
 #: What every candidate but an opaque one holds, in the simpler language of Arrow's matcher, to choose the texts that are searched.
-PREFILTER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[a-z0-9_.-]{0,40}[\"']?\s{0,3}[:=])"
+PREFILTER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[a-z0-9_.-]{0,40}[\"']?\s{0,3}[:=])|://[^\s/@:\"'<>]{0,60}:[^\s/@\"']{4,}@"
 OPAQUE_CHARS = 24
 OPAQUE = np.zeros(256, bool)
 OPAQUE[list((string.ascii_letters + string.digits + "+/_-").encode())] = True
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 
-#: Fixed words: what stands beside real secrets, beside harmless strings, and in harmless paths.
-NEAR_SECRET = "token secret password passwd pwd key apikey auth bearer credential credentials login private access".split()
-NEAR_HARMLESS = "example sample dummy placeholder test fake checksum sha sha1 sha256 md5 hash digest commit revision uuid guid etag nonce version build".split()
-HARMLESS_PATH = "test tests example examples sample samples fixture fixtures doc docs mock spec readme lock changelog".split()
+#: Fixed words that the dictionary always has: common ones, and what placeholders are made of.
 COMMON = "the and for you your this that with from have are not was but all can has user admin name value change changeme example sample test password secret token key access default string here insert none null true false config local host server client demo dummy placeholder foo bar baz qwerty letmein welcome enter please replace data file path http https www com org net".split()
 
 FEATURES = (
-    "length", "entropy", "transitions", "digits", "upper", "lower", "marks", "hexadecimal", "distinct", "longest_run", "dictionary", "path", "near_secret", "near_harmless", "key_secret", "key_harmless", "reference", "uuid", "separators",
-    "assignment", "opaque", "known_format",
+    "length", "entropy", "transitions", "digits", "upper", "lower", "marks", "hexadecimal", "distinct", "longest_run", "dictionary", "path", "near_most", "near_least", "key_sum", "key_least", "reference", "uuid", "separators",
+    "assignment", "opaque", "known_format", "connection", "inner_digits",
 )
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Words beside a candidate are those of an identifier, too; buckets of their hashes, and findings that a bucket needs to say something.
+NEIGHBOUR = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+SLOTS, BUCKETS, BUCKET_HOLDING = ("key", "near", "path"), 4096, 8
+SHAPES = ("code", "environment", "yaml", "json", "log", "connection", "known", "bare")
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS, text_col: str = "text") -> list[str]:
@@ -111,8 +115,29 @@ def automaton(words: Sequence[str]) -> ahocorasick.Automaton:
     return found
 
 
-def features(value: str, kind: str, left: str, right: str, path: str, words: ahocorasick.Automaton) -> list[float]:
-    """Numbers that describe a candidate, its path and the words on either side (20 characters or more are given)."""
+def neighbours(left: str, right: str, path: str) -> dict[str, list[int]]:
+    """Buckets of the three words before a candidate, of the others within 40 characters, and of its path."""
+    buckets = lambda words: [zlib.crc32(w.lower().encode()) % BUCKETS for w in words]
+    before = NEIGHBOUR.findall(left[-40:])
+    return {"key": buckets(before[-3:]), "near": buckets(before[:-3] + NEIGHBOUR.findall(right[:40])), "path": buckets(NEIGHBOUR.findall(path))}
+
+
+def log_odds(findings: Sequence[tuple]) -> dict[str, np.ndarray]:
+    """For each slot and bucket: log-odds of a secret among the findings whose neighbours fall there; 0 where they are few."""
+    out = {}
+    near = [(neighbours(*f[2:5]), f[5]) for f in findings]
+    for slot in SLOTS:
+        seen = np.zeros((2, BUCKETS))
+        for words, secret in near:
+            seen[secret, list(set(words[slot]))] += 1
+        total = np.maximum(np.bincount([f[5] for f in findings], minlength=2), 1)[:, None]
+        share = (seen + 1) / (total + 2)
+        out[slot] = np.where(seen.sum(axis=0) >= BUCKET_HOLDING, np.log(share[1] / share[0]), 0.0)
+    return out
+
+
+def features(value: str, kind: str, left: str, right: str, path: str, words: ahocorasick.Automaton, odds: dict[str, np.ndarray]) -> list[float]:
+    """Numbers that describe a candidate, its path and the words on either side (40 characters or more are given)."""
     n = max(len(value), 1)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in value]
     count = {k: kinds.count(k) / n for k in "dulm"}
@@ -124,79 +149,99 @@ def features(value: str, kind: str, left: str, right: str, path: str, words: aho
     covered = np.zeros(n, bool)
     for end, size in words.iter(value.lower()[:n]):
         covered[end + 1 - size : end + 1] = True
-    before, after = (re.findall(r"[a-z0-9]+", t) for t in (left[-40:].lower(), right[:40].lower()))
-    near = [*before, *after]
-    key = "".join(before[-3:])
-    parts = re.findall(r"[a-z0-9]+", path.lower())
+    said = {slot: odds[slot][found] if found else np.zeros(1) for slot, found in neighbours(left, right, path).items()}
+    inner = sum(kinds[i] == "d" and set(kinds[i + 1 :]) & {"u", "l"} != set() for i in range(len(kinds)))
     return [
         float(n), -sum(f * math.log2(f) for f in freq), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, count["d"], count["u"], count["l"], count["m"],
-        float(all(c in string.hexdigits for c in value)), len(set(value)) / n, longest / n, float(covered.mean()), float(any(p in HARMLESS_PATH for p in parts)),
-        float(sum(any(k in w for k in NEAR_SECRET) for w in near)), float(sum(w in NEAR_HARMLESS for w in near)), float(any(k in key for k in NEAR_SECRET)), float(any(w in NEAR_HARMLESS for w in before[-3:])),
-        float(value[:1] in "$<{[%(") + float("(" in value), float(UUID.fullmatch(value) is not None), float(value.count("/") + value.count(".")) / n, float(kind == "assignment"), float(kind == "opaque"), float(kind not in ("assignment", "opaque")),
+        float(all(c in string.hexdigits for c in value)), len(set(value)) / n, longest / n, float(covered.mean()), float(said["path"].sum()),
+        float(said["near"].max()), float(said["near"].min()), float(said["key"].sum()), float(said["key"].min()),
+        float(value[:1] in "$<{[%(") + float("(" in value), float(UUID.fullmatch(value) is not None), float(value.count("/") + value.count(".")) / n, float(kind == "assignment"), float(kind == "opaque"), float(kind not in ("assignment", "opaque", "connection")), float(kind == "connection"), inner / n,
     ]
 
 
-def labelled_findings(rows: int = 6000, seed: int = 7, words: Sequence[str] = ()) -> list[tuple[str, str, str, str, str, int]]:
+def labelled_findings(rows: int = 6000, seed: int = 7, words: Sequence[str] = (), shapes: Sequence[str] = SHAPES) -> list[tuple[str, str, str, str, str, int]]:
     """(value, kind, left, right, path, is secret): labelled findings made by rule from a seed.
 
     The tables hold no labelled findings, so these stand in; ``train`` takes any others. Secrets are
-    random strings beside key words and in known formats. Harmless are random strings that are no
-    secrets (checksums, revisions, UUIDs, cache names, even where a key word is near) and values of key
-    words that are not random (placeholders, references to variables, calls, phrases, identifiers,
-    paths, counting and repeated characters). ``words`` (the dictionary) are what phrases are made of.
+    random strings, pass phrases and passwords as people make them, in ``shapes`` where such stand, and
+    known formats. Harmless are random strings that are no secrets (checksums, revisions, UUIDs, cache
+    names, even where a key word is near) and values of key words that are not random (placeholders,
+    references to variables, calls, phrases, identifiers, paths, counting and repeated characters).
+    ``words`` (the dictionary) are what phrases are made of.
     """
     rng = random.Random(seed)
     of = lambda chars, lo, hi: "".join(rng.choices(chars, k=rng.randint(lo, hi)))
     alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     pool = [*("the river moved under old stone and cloud north value result error handler service account update".split()), *list(words)[:2000]]
     some = lambda lo, hi: [rng.choice(pool) for _ in range(rng.randint(lo, hi))]
-    given = lambda: rng.choice([" = ", ": ", "=", ' = "', '": "', ":", " := ", "='"])
-    key_words = ["token", "secret", "password", "api_key", "TOKEN", "access_key", "client_secret", "DB_PASSWORD", "authToken", "private_key", "passwd", "SECRET_KEY", "credential"]
+    spoken = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) + rng.choice(["", "r", "n", "t", "s"])
+    name = lambda: rng.choice([spoken(), spoken(), rng.choice(pool)])
+    key_words = ["token", "secret", "password", "api_key", "access_key", "client_secret", "db_password", "auth_token", "private_key", "passwd", "secret_key", "credential", "pwd", "apikey", "app.password", "smtp_pass_secret"]
+    harmless_keys = ["commit", "sha256", "sha1", "checksum", "md5", "uuid", "etag", "digest", "revision", "build", "hash", "integrity", "nonce", "guid", "version"]
     random_values = [
-        lambda: of(hexes, 32, 64), lambda: of(hexes, 20, 32), lambda: of(alnum, 16, 48), lambda: of(hexes.upper(), 40, 40), lambda: of(alnum + "!@#$%^&*", 10, 24), lambda: of(alnum + "+/", 40, 88), lambda: of(alnum + "-_", 20, 64),
-        lambda: of(string.ascii_uppercase + string.digits, 16, 32), lambda: "-".join(of(alnum, 4, 6) for _ in range(rng.randint(3, 6))), lambda: rng.choice(["sk", "pk", "rk"]) + "_" + rng.choice(["live", "prod"]) + "_" + of(alnum, 20, 32),
+        lambda: of(hexes, 32, 64), lambda: of(hexes, 20, 32), lambda: of(alnum, 16, 48), lambda: of(hexes.upper(), 40, 40), lambda: of(alnum + "!@#$%^&*", 10, 24), lambda: of(alnum + "+/", 40, 88), lambda: of(alnum + "-_", 20, 64), lambda: of(alnum, 10, 16),
+        lambda: of(string.ascii_uppercase + string.digits, 16, 32), lambda: "-".join(of(alnum, 4, 6) for _ in range(rng.randint(3, 6))), lambda: vendor(),
     ]
+    vendor = lambda: rng.choice(["-", "_"]).join([rng.choice(["sk", "pk", "rk", "pat", "key", "tok"]), *rng.choice([[], ["live"], ["prod"], ["proj"], ["v1"]]), of(alnum, 18, 40)])
+    leet = str.maketrans("aeios", "43105")
+    made_values = [
+        lambda: "-".join([name(), name().capitalize()]) + of(string.digits, 1, 2) + name() + rng.choice("!?#$&"), lambda: (name() + of(string.digits, 1, 3)) * 2, lambda: name().capitalize().translate(leet) + name().capitalize().translate(leet) + of(string.digits + "!#", 0, 2),
+        lambda: name().capitalize() + of("!#$%&", 1, 1) + of(string.digits, 2, 4) + name(), lambda: of(string.digits, 1, 3) + name().capitalize() + of(string.digits, 1, 3) + name(), lambda: name().capitalize() + name().capitalize() + of(string.digits, 1, 2) + of("!@#$", 1, 2),
+    ]
+    holders = ["changeme", "your_token_here", "EXAMPLEKEY", "placeholder", "password123", "insert-key-here", "none_value", "default_password", "<your-api-key>", "REPLACE_ME", "xxxxxxxx", "not-a-secret", "mysecretpassword", "password", "secret", "your-password", "example"]
     plain_values = [
-        lambda: rng.choice(["changeme", "your_token_here", "EXAMPLEKEY", "placeholder", "password123", "insert-key-here", "none_value", "default_password", "<your-api-key>", "REPLACE_ME", "xxxxxxxx", "not-a-secret", "mysecretpassword"]) + of("0123456789x", 0, 3),
-        lambda: rng.choice("xX*0.-") * rng.randint(8, 40), lambda: "-".join(w.lower() for w in some(2, 5)) + of(string.digits, 0, 2), lambda: "${" + "_".join(w.upper() for w in some(2, 3)) + "}", lambda: "{{" + ".".join(some(2, 3)) + "}}",
+        lambda: rng.choice(holders) + of("0123456789x", 0, 3), lambda: rng.choice("xX*0.-") * rng.randint(8, 40), lambda: "-".join(w.lower() for w in some(2, 5)) + of(string.digits, 0, 2), lambda: "${" + "_".join(w.upper() for w in some(2, 3)) + "}", lambda: "{{" + ".".join(some(2, 3)) + "}}",
         lambda: "0123456789abcdef"[: rng.randint(8, 16)] * rng.randint(1, 3), lambda: "abcdefghijklmnopqrstuvwxyz"[: rng.randint(8, 26)], lambda: rng.choice(["os.environ[", "getenv(", "config.get(", "process.env.", "settings.", "self._"]) + "_".join(some(1, 2)),
         lambda: "_".join(some(2, 7)) + rng.choice(["", "_v2", "_id"]), lambda: "".join(w.capitalize() for w in some(2, 5)), lambda: "/".join(["", *some(2, 4)]) + rng.choice(["", ".txt", ".pem"]), lambda: "https://" + ".".join(some(2, 3)) + "/" + some(1, 1)[0],
     ]
-    digests = [lambda: of(hexes, 40, 40), lambda: of(hexes, 64, 64), lambda: of(hexes, 32, 32), lambda: f"{of(hexes, 8, 8)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 12, 12)}", lambda: of(alnum + "+/", 43, 43) + "="]
-    harmless_keys = ["commit", "sha256", "sha1", "checksum", "md5", "uuid", "etag", "digest", "revision", "build", "hash", "integrity", "nonce", "guid", "version"]
+    digests = [lambda: of(hexes, 40, 40), lambda: of(hexes, 64, 64), lambda: of(hexes, 32, 32), lambda: f"{of(hexes, 8, 8)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 4, 4)}-{of(hexes, 12, 12)}", lambda: of(alnum + "+/", 43, 43) + "=", lambda: "sha512-" + of(alnum + "+/", 80, 86)]
+    known = [
+        lambda: ("aws_key_id", "AKIA" + of(string.ascii_uppercase + string.digits, 16, 16)), lambda: ("github_token", "ghp_" + of(alnum, 36, 36)), lambda: ("slack_token", "xoxb-" + of(string.digits, 10, 12) + "-" + of(alnum, 24, 24)), lambda: ("google_key", "AIza" + of(alnum, 35, 35)),
+        lambda: ("jwt", f"eyJ{of(alnum, 20, 40)}.eyJ{of(alnum, 30, 80)}.{of(alnum, 30, 43)}"),
+    ]
+    before = {
+        "code": lambda k: rng.choice(["", "const ", "self.", "let "]) + rng.choice([k, re.sub(r"_(.)", lambda m: m[1].upper(), k)]) + rng.choice([' = "', " = '", " := ", ' => "']), "environment": lambda k: rng.choice(["export ", "", "ENV ", "set "]) + re.sub(r"\W", "_", k).upper() + rng.choice(["=", "='", '="']),
+        "yaml": lambda k: "  " * rng.randint(0, 3) + k.replace("_", rng.choice("_-.")) + ": ", "json": lambda k: f'"{k}": "', "log": lambda k: rng.choice(["INFO request ", "WARN retry with ", "login ", "args "]) + rng.choice(["", "--", "user=7 "]) + k + "=",
+    }
     paths = ["core/io.c", "web/app.js", "app/settings.py", "deploy/prod.env", "lib/main.go", "", "blog/post", "site7"]
     out = []
     for i in range(rows):
-        left, right, path = " ".join(some(0, 6)), " ".join(some(0, 6)), rng.choice(paths)
-        if i % 2:
-            kind = rng.choice(["assignment", "assignment", "assignment", "opaque", "known"])
-            if kind == "assignment":
-                value = rng.choice(random_values)()
-                left += " " + rng.choice(key_words) + given()
-            elif kind == "opaque":
+        left, right, path, secret = " ".join(some(0, 6)), " ".join(some(0, 6)), rng.choice(paths), i % 2
+        shape, draw = rng.choice(shapes), rng.random()
+        kind = shape if shape == "connection" else "opaque" if shape in ("known", "bare") else "assignment"
+        if shape == "connection":
+            value = rng.choice([*random_values[1:3], *made_values, lambda: of(alnum, 8, 16)])() if secret else rng.choice([lambda: rng.choice([*holders, "pass", "user", "root", "admin"]), *plain_values[3:5], lambda: "<" + some(1, 1)[0] + ">", lambda: rng.choice("x*") * rng.randint(4, 10)])()
+            value = re.sub(r"[/@\"'\s]", "", value)
+            left += " " + rng.choice(["postgres", "mysql", "redis", "amqp", "mongodb", "https", "ftp"]) + "://" + rng.choice(["admin", "app", "root", "user", "svc", ""]) + ":"
+            right = "@" + ".".join(some(1, 3)) + "/" + right
+        elif shape in ("known", "bare"):
+            if secret and shape == "known":
+                kind, value = rng.choice(known)()
+                if draw < 0.2:  # an issuer's format counts, however plain what follows its mark
+                    at = rng.randint(0, 10)
+                    value = value[:4] + rng.choice([(string.ascii_uppercase * 2)[at : at + 16], of(alnum, 2, 4) * 10, string.digits * 2])
+            elif secret and draw < 0.45:
+                value = vendor()
+            elif secret:
                 value, left = rng.choice([lambda: of(alnum + "_-", 28, 60), lambda: of(hexes, 32, 64), lambda: of(alnum, 24, 40)])(), left + " " + rng.choice(["bearer ", "key ", "token ", "secret is ", "Authorization: Bearer ", "password "])
+            elif draw < 0.8:
+                value, near = rng.choice(digests)(), rng.choice([*harmless_keys, "", ""])
+                left, right = (left + " " + near + rng.choice([" ", ": ", "=", ' = "']), right) if rng.random() < 0.7 else (left, f" {near} {right}")
             else:
-                kind, value = rng.choice([("aws_key_id", "AKIA" + of(string.ascii_uppercase + string.digits, 16, 16)), ("github_token", "ghp_" + of(alnum, 36, 36)), ("slack_token", "xoxb-" + of(string.digits, 10, 12) + "-" + of(alnum, 24, 24)), ("google_key", "AIza" + of(alnum, 35, 35)), ("jwt", f"eyJ{of(alnum, 20, 40)}.eyJ{of(alnum, 30, 80)}.{of(alnum, 30, 43)}")])
-            if rng.random() < 0.03:
-                path = rng.choice(["tests/fixtures/keys.txt", "docs/setup.md"])
+                value = rng.choice(plain_values[2:])() + "-".join(some(3, 5)) + of(string.digits, 1, 2)
+        elif secret:
+            value, left = rng.choice(random_values if draw < 0.65 else made_values)(), left + " " + before[shape](rng.choice(key_words))
+        elif draw < 0.7:
+            value, left = rng.choice(plain_values)(), left + " " + before[shape](rng.choice(key_words))
+        elif draw < 0.85:  # a key word is near, the value belongs to a harmless one
+            value, left = rng.choice(digests)(), left + " " + before[shape](rng.choice(["token", "secret", "key"]) + "_" + rng.choice(harmless_keys))
         else:
-            draw = rng.random()
-            if draw < 0.45:
-                kind, value = "assignment", rng.choice(plain_values)()
-                left += " " + rng.choice(key_words) + given()
-            elif draw < 0.85:
-                kind, value = "opaque", rng.choice(digests)()
-                left += " " + rng.choice([*harmless_keys, ""]) + rng.choice([" ", ": ", "=", ' = "'])
-            elif draw < 0.93:
-                kind, value = "opaque", rng.choice(plain_values[2:])() + "-".join(some(3, 5)) + of(string.digits, 1, 2)
-            else:  # a key word is near, the value belongs to a harmless one
-                kind, value = "assignment", rng.choice(digests)()
-                left += " " + rng.choice(["token", "secret", "key"]) + rng.choice(["_", "-", " "]) + rng.choice(harmless_keys) + given()
-            if rng.random() < 0.3:
-                path = rng.choice(["tests/fixtures/keys.txt", "docs/example.md", "package.lock", "samples/config.ini"])
-        if rng.random() < 0.1:
+            kind, value, left = "opaque", rng.choice(digests)(), left + " " + before[shape](rng.choice(harmless_keys))
+        if not secret and shape != "connection" and rng.random() < 0.3 or secret and rng.random() < 0.03:
+            path = rng.choice(["tests/fixtures/keys.txt", "docs/example.md", "package.lock", "samples/config.ini"])
+        if shape != "connection" and rng.random() < 0.1:
             value += rng.choice([")", "]", ".", "!"])
-        out.append((value, kind, left, right, path, i % 2))
+        out.append((value, kind, left, right, path, secret))
     return out
 
 
@@ -230,16 +275,21 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
 
 
 def train(findings: list[tuple] | None = None, words: Sequence[str] = (), trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> dict:
-    """A random forest from labelled findings (bootstrap rows, random features at every split) and the words it knows."""
+    """A random forest from labelled findings (bootstrap rows, random features at every split), the words it knows and what neighbouring words say."""
     rows = labelled_findings(words=words) if findings is None else findings
     known = automaton(words)
-    x, y = np.array([features(*r[:5], known) for r in rows]), np.array([float(r[5]) for r in rows])
+    # what words say to a row that trains is learned from the other half, so that no row's label speaks through its own words
+    halves = [[r for i, r in enumerate(rows) if i // 2 % 2 == h] for h in (0, 1)]
+    said = [log_odds(h) for h in halves]
+    rows = halves[0] + halves[1]
+    x = np.array([features(*r[:5], known, said[1 - h]) for h in (0, 1) for r in halves[h]])
+    y = np.array([float(r[5]) for r in rows])
     forest = []
     for t in range(trees):
         rng = np.random.default_rng([seed, t])
         pick = rng.integers(0, len(y), len(y))
         forest.append(_grow(x[pick], y[pick], rng, depth))
-    return {"forest": forest, "words": list(words)}
+    return {"forest": forest, "words": list(words), "odds": log_odds(rows)}
 
 
 def probability(forest: list, x: list[float]) -> float:
@@ -276,7 +326,7 @@ def _words_of(model: dict) -> ahocorasick.Automaton:
 
 
 def _spans(text: str, path: str, model: dict, known: ahocorasick.Automaton) -> list[tuple[int, int, str, float]]:
-    return [(a, b, kind, probability(model["forest"], features(text[a:b], kind, text[max(0, a - 60) : a], text[b : b + 60], path, known))) for a, b, kind in candidates(text)]
+    return [(a, b, kind, probability(model["forest"], features(text[a:b], kind, text[max(0, a - 60) : a], text[b : b + 60], path, known, model["odds"]))) for a, b, kind in candidates(text)]
 
 
 def _searched(texts: pa.LargeStringArray) -> list[int]:

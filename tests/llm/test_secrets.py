@@ -9,12 +9,17 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sentrel.llm import secret_scan
+from sentrel.llm._text import strings
 
 PROSE = "morning window garden letter market season bridge engine forest doctor winter silver paper answer river stone captain village music station".split()
 
+#: A dictionary that is not what the lines are made of, but for a few words.
+OTHERS = "about after before between country family friend little mother never number people school should through under water where world write station music river".split()
+
 
 def lines(n=1200, seed=99):
     """(text, value, is secret): lines of configuration, code, logs and prose, made apart from the generator that trains."""
@@ -41,7 +46,7 @@ def lines(n=1200, seed=99):
 
 
 def test_precision_and_recall_on_lines_of_another_generator():
-    model, known = secret_scan.train(words=PROSE), secret_scan.automaton(PROSE)
+    model, known = secret_scan.train(words=OTHERS), secret_scan.automaton(OTHERS)
     outcome = Counter()
     for text, value, secret in lines():
         flagged = [text[a:b] for a, b, _, score in secret_scan._spans(text, "", model, known) if score >= secret_scan.CUT]
@@ -58,7 +63,7 @@ def test_precision_and_recall_on_lines_of_another_generator():
 def test_forest_on_new_findings():
     model, known = secret_scan.train(), secret_scan.automaton([])
     rows = secret_scan.labelled_findings(800, seed=123)
-    right = [(secret_scan.probability(model["forest"], secret_scan.features(*r[:5], known)) >= secret_scan.CUT) == bool(r[5]) for r in rows]
+    right = [(secret_scan.probability(model["forest"], secret_scan.features(*r[:5], known, model["odds"])) >= secret_scan.CUT) == bool(r[5]) for r in rows]
     assert np.mean(right) >= 0.95
 
 
@@ -103,3 +108,30 @@ def test_dictionary_counts_every_text(spark, monkeypatch):
     more = df.union(spark.createDataFrame([("beta",)], "text string"))
     assert secret_scan.dictionary(more, most=1) == secret_scan.dictionary(more, most=2) == ["beta"]
     assert secret_scan.dictionary(df.where("false")) == []
+
+
+PROBES = [("db.password=correct-Horse7battery!", "correct-Horse7battery"), ("password = hunter2hunter2", "hunter2hunter2"), ("take sk-proj-Ab3dEf6hIj9lMn2pQr5tUv8x and go", "sk-proj-Ab3d"), ("postgres://admin:S3cr3tP4ss@host/db", "S3cr3tP4ss")]
+
+
+@pytest.mark.parametrize("words", [(), OTHERS])
+def test_secrets_that_people_make(words):
+    model, known = secret_scan.train(words=words), secret_scan.automaton(words)
+    for text, value in PROBES:
+        (found,) = secret_scan._spans(text, "", model, known)
+        print(text, found)
+        assert value in text[found[0] : found[1]] and found[3] >= secret_scan.CUT, text
+        assert secret_scan._searched(strings(pa.array([text]), lower=False)) == [0]
+    for text in ("postgres://admin:${DB_PASS}@host/db", "redis://user:password@localhost", "password = changeme123", "at http://host:8080/a@b"):
+        assert not [f for f in secret_scan._spans(text, "", model, known) if f[3] >= secret_scan.CUT], text
+
+
+@pytest.mark.parametrize("shape", secret_scan.SHAPES[:-2])
+def test_a_shape_that_was_not_learned(shape):
+    """Trained without one shape of line, the forest still tells secrets of that shape apart."""
+    others = [s for s in secret_scan.SHAPES if s != shape]
+    model, known = secret_scan.train(secret_scan.labelled_findings(4000, shapes=others), trees=30), secret_scan.automaton([])
+    rows = secret_scan.labelled_findings(600, seed=321, shapes=[shape])
+    flagged = [secret_scan.probability(model["forest"], secret_scan.features(*r[:5], known, model["odds"])) >= secret_scan.CUT for r in rows]
+    hits = sum(f and r[5] for f, r in zip(flagged, rows, strict=True))
+    print(shape, f"precision {hits / max(sum(flagged), 1):.3f}, recall {hits / 300:.3f}")
+    assert hits / max(sum(flagged), 1) >= 0.85 and hits / 300 >= 0.8
