@@ -46,8 +46,22 @@ def _blank(path: str) -> Column:
     return F.coalesce((_kind(path) != "STRING") | (F.trim(F.regexp_replace(_text(path), nz.SPACES, " ")) == ""), F.lit(True))
 
 
-def _reasons(*checks: tuple[Column, str]) -> Column:
-    return F.filter(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]), lambda r: r.isNotNull())
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with costly columns made once a row: they are a generator's only row, which no condition on them passes.
+
+    Spark would take such a condition (an explode brings one) with all that makes the columns down to
+    the joins below, and parse there for each use.
+    """
+    held = rows.withColumn("_held", F.struct(*[c.alias(n) for n, c in columns.items()])).withColumn("_made", F.explode(F.array("_held")))
+    return held.withColumns({n: F.col(f"_made.{n}") for n in columns}).drop("_held", "_made")
+
+
+def _judged(rows: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
+    """``rows`` with reasons: the names of all checks that hold.
+
+    A set operation takes the nulls out, as checks inside of a higher-order function are not compiled.
+    """
+    return _once(rows, reasons=F.array_except(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]), F.array(F.lit(None).cast("string"))))
 
 
 def _whole(path: str, least: int, absent: bool) -> Column:
@@ -92,7 +106,8 @@ def validate_reports(raw: DataFrame) -> DataFrame:
     reactions = F.try_variant_get("v", "$.patient.reaction", "array<variant>")
     bad_reaction = F.exists(reactions, lambda r: F.coalesce((F.schema_of_variant(F.try_variant_get(r, "$.reactionmeddrapt", "variant")) != "STRING") | (F.trim(F.regexp_replace(F.try_variant_get(r, "$.reactionmeddrapt", "string"), nz.SPACES, " ")) == ""), F.lit(True)))
     rows = raw.withColumn("v", F.try_parse_json("payload"))
-    rows = rows.withColumn("reasons", _reasons(
+    rows = _judged(
+        rows,
         (F.coalesce(~F.schema_of_variant("v").startswith("OBJECT"), F.lit(True)), "record: not an object"),
         (_blank("$.safetyreportid"), "safetyreportid: blank or not a string"),
         (_whole("$.safetyreportversion", 1, absent=True), "safetyreportversion: not a whole number from 1"),
@@ -100,7 +115,7 @@ def validate_reports(raw: DataFrame) -> DataFrame:
         (F.coalesce(~_kind("$.patient").startswith("OBJECT"), F.lit(True)), "patient: missing"),
         (F.coalesce(F.size(F.try_variant_get("v", "$.patient.drug", "array<variant>")) < 1, F.lit(True)), "patient.drug: no entry"),
         (F.coalesce((F.size(reactions) < 1) | bad_reaction, F.lit(True)), "patient.reaction: no entry or a blank one"),
-    ))
+    )
     version = F.coalesce(F.when(_kind("$.safetyreportversion") == "BOOLEAN", F.lit(1)), F.trim(_text("$.safetyreportversion")).try_cast("double").cast("long"), F.lit(1))
     return rows.select(*raw.columns, "reasons", _text("$.safetyreportid").alias("report_id"), F.when(F.size("reasons") == 0, version).cast("long").alias("version"), nested.alias("report"), _present(report_fields()))
 
@@ -111,14 +126,15 @@ def validate_samples(raw: DataFrame) -> DataFrame:
     number = lambda path: _kind(path).isNotNull() & (_kind(path) != "VOID")
     day = F.to_timestamp(F.col("_day"))
     rows = raw.withColumn("v", F.try_parse_json("payload")).withColumn("_day", F.try_to_timestamp(_text("$.sample_collect_date")))
-    rows = rows.withColumn("reasons", _reasons(
+    rows = _judged(
+        rows,
         (F.coalesce(~F.schema_of_variant("v").startswith("OBJECT"), F.lit(True)), "record: not an object"),
         *[(_blank(f"$.{x}"), f"{x}: blank or not a string") for x in SAMPLE_TEXTS],
         (F.coalesce(day != F.date_trunc("day", day), F.lit(True)), "sample_collect_date: not a day"),
         (F.try_to_timestamp(_text("$.date_updated")).isNull(), "date_updated: not a time"),
         (number(people) & _whole(people, 1, absent=True), "population_served: not a whole number from 1"),
         (number("$.pcr_target_avg_conc") & ~F.coalesce((concentration >= 0) & ~F.isnan(concentration), F.lit(False)), "pcr_target_avg_conc: not a number from 0"),
-    ))
+    )
     return rows.select(*raw.columns, "reasons", _text("$.record_id").alias("record_id"), F.try_to_timestamp(_text("$.date_updated")).alias("updated"), F.from_json("payload", SAMPLE).alias("sample"), _present({x: _kind(f"$.{x}").isNotNull() & (_kind(f"$.{x}") != "VOID") & (_text(f"$.{x}") != "") for x in SAMPLE_FIELDS}))
 
 
@@ -180,8 +196,8 @@ def curate_reports(reports: DataFrame) -> DataFrame:
         "keys": F.transform("entries", lambda e: F.struct(e["drug_name"], e["drug_role"])),
     })
     first = F.filter("entries", lambda e, i: F.array_position("keys", F.struct(e["drug_name"], e["drug_role"])) == i + 1)
-    rows = rows.withColumn("entry", F.explode(first)).withColumn("reaction", F.explode("reactions"))
-    return rows.select(*[c for c in rows.columns if c not in ("entries", "keys", "entry", "reactions", "fallbacks", "reaction")], "entry.*", "fallbacks", "reaction")
+    rows = _once(rows, first=first, shown=F.col("reactions")).withColumn("entry", F.explode("first")).withColumn("reaction", F.explode("shown"))
+    return rows.select(*[c for c in rows.columns if c not in ("entries", "keys", "entry", "reactions", "first", "shown", "fallbacks", "reaction")], "entry.*", "fallbacks", "reaction")
 
 
 def curate_samples(samples: DataFrame) -> DataFrame:

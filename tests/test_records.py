@@ -182,3 +182,14 @@ def test_rejected_records_have_the_digest_of_their_content(spark):
     raw = spark.createDataFrame([("p", 0, '{"z": 1,\n "safetyreportid": "1"}')], "page string, index long, payload string")
     got = quality.process_reports(raw, dt.date(2025, 1, 1))["rejected"].first()
     assert got.payload_sha256 == hashlib.sha256(b'{"safetyreportid":"1","z":1}').hexdigest()
+
+
+def test_conditions_do_not_repeat_the_parsing(spark):
+    """Neither a condition on reasons nor an explode of them takes the checks down to where the records come from."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    told = quality.validate_reports(raw(spark, REPORTS))
+    for rows in (told.where("size(reasons) = 0").select("index"), told.select("index", F.explode("reasons").alias("reason"))):
+        assert plan(rows).count("parseJson") == 1
+        assert not [line for line in plan(rows).splitlines() if "Filter" in line and "variant_get" in line]
+    assert not [line for line in plan(quality.curate_reports(told)).splitlines() if "Filter" in line and "regexp_replace" in line]
+    assert sorted((r["index"], r["reason"]) for r in told.select("index", F.explode("reasons").alias("reason")).collect()) == [(3, "patient.drug: no entry"), (3, "patient.reaction: no entry or a blank one"), (3, "patient: missing")]
