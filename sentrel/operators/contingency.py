@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.sources.scratch import written
+
 
 def whole(reports: DataFrame) -> DataFrame:
     """Reports with their sets, read together: a condition on all sets keeps Spark from planning each use of one apart.
@@ -34,6 +36,34 @@ def _pairs(reports: DataFrame, *keep: str) -> DataFrame:
     return reports.select(*keep, F.explode("drugs").alias("drug"), "events").select(*keep, "drug", F.explode("events").alias("event"))
 
 
+def counts(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """[by...], drug, event, k, shown[, marked]: reports of a pair; of a drug (event null), an event (drug null) and all (both null).
+
+    The rows of ``gathered`` are read once: a drug or none meets an event or none, and what a report
+    gives is added up before it is shuffled. ``shown`` and ``marked`` count the reports whose rows show
+    the pair and show it marked. The counts are written to the shared folder.
+    """
+    by = by or []
+    keys = [*by, "drug", "event"]
+    or_none = lambda c: F.explode(F.concat(F.col(c), F.array(F.lit(None))))
+    sets = [c for c in ("shown", "marked") if c in reports.columns]
+    every = F.size("shown") == F.size("drugs") * F.size("events")
+    rows = reports.select(*by, or_none("drugs").alias("drug"), "events", *sets, every.alias("_every")).select(*by, "drug", or_none("events").alias("event"), *sets, "_every")
+    pair = F.col("drug").isNotNull() & F.col("event").isNotNull()
+    # most reports show all their pairs, marked or not as a whole
+    held = {"shown": F.when(F.col("_every"), True).otherwise(F.array_contains("shown", F.struct("drug", "event")))}
+    if "marked" in sets:
+        held["marked"] = F.when(F.size("marked") == 0, False).when(F.size("marked") == F.size("shown"), held["shown"]).otherwise(F.array_contains("marked", F.struct("drug", "event")))
+    return written(rows.groupBy(*keys).agg(F.count("*").alias("k"), *[F.count_if(pair & c).alias(n) for n, c in held.items()]), "report-counts")
+
+
+def parts(counted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows of ``counts``: of pairs (with a), drugs (nd), events (ne) and all (n)."""
+    of = lambda drug, event, name, *drop: counted.where(f"drug is {drug} and event is {event}").withColumnRenamed("k", name).drop("shown", "marked", *drop)
+    pairs = counted.where("drug is not null and event is not null").withColumnRenamed("k", "a")
+    return pairs, of("not null", "null", "nd", "event"), of("null", "not null", "ne", "drug"), of("null", "null", "n", "drug", "event")
+
+
 def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False, minimum: int = 0) -> DataFrame:
     """[by...], drug, event, a, b, c, d, n[, marked] from the rows of ``gathered``.
 
@@ -41,28 +71,31 @@ def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | s
     marginals give the other cells. The pairs are those that rows show ("shown"), those of the same
     report ("report") or a table. Shown pairs are listed for each group in which rows show them, or
     for every group if ``dense``; other pairs for every group. Groups of fewer than ``minimum``
-    reports, or with a null key, are left out before pairs are listed.
+    reports, or with a null key, are left out before pairs are listed. ``counts`` are made here.
     """
     by = by or []
-    grouped = reports.dropna(subset=by) if by else reports
-    both = _pairs(grouped, *by).groupBy(*by, "drug", "event").agg(F.count("*").alias("a"))
-    per_drug = grouped.select(*by, F.explode("drugs").alias("drug")).groupBy(*by, "drug").agg(F.count("*").alias("nd"))
-    per_event = grouped.select(*by, F.explode("events").alias("event")).groupBy(*by, "event").agg(F.count("*").alias("ne"))
-    total = grouped.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= minimum) if by else grouped.agg(F.count("*").alias("n"))
+    extra = ["marked"] if "marked" in reports.columns else []
+    counted = counts(reports, by)
+    both, per_drug, per_event, total = parts(counted.dropna(subset=by) if by else counted)
+    total = total.where(F.col("n") >= minimum) if by else total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    grid = by and (dense or not isinstance(pairs, str) or pairs == "report")
     if isinstance(pairs, DataFrame):
         universe = pairs.select("drug", "event").distinct()
+    elif not grid:
+        universe = None  # the pairs of a group are its rows
+        both = both.where("shown > 0") if pairs != "report" else both
     elif pairs == "report":
-        universe = _pairs(reports).distinct()
+        universe = parts(counted)[0].select("drug", "event").distinct()
+    else:
+        universe = both.where("shown > 0").select("drug", "event").distinct()
+    both = both.drop("shown")
+    if universe is None:
+        out = both
     else:
-        universe = grouped.select(*([] if dense else by), F.explode("shown").alias("p")).select(*([] if dense else by), "p.drug", "p.event").distinct()
-    if by and (dense or not isinstance(pairs, str) or pairs == "report"):
-        universe = universe.crossJoin(total.select(*by))  # with the few groups
-    out = universe.join(both, [*by, "drug", "event"], "left").join(per_drug, [*by, "drug"], "left").join(per_event, [*by, "event"], "left")
-    out = (out.join(total, by) if by else out.crossJoin(total)).na.fill(0, ["a", "nd", "ne"])
-    extra = []
-    if "marked" in reports.columns:
-        marked = grouped.select(*by, F.explode("marked").alias("p")).groupBy(*by, "p.drug", "p.event").agg(F.count("*").alias("marked"))
-        out, extra = out.join(marked, [*by, "drug", "event"], "left").na.fill(0, ["marked"]), ["marked"]
+        universe = universe.crossJoin(total.select(*by)) if by else universe  # with the few groups
+        out = universe.join(both, [*by, "drug", "event"], "left")
+    out = out.join(per_drug, [*by, "drug"], "left").join(per_event, [*by, "event"], "left")
+    out = (out.join(total, by) if by else out.crossJoin(total)).na.fill(0, ["a", "nd", "ne", *extra])
     return out.select(*by, "drug", "event", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n", *extra)
 
 

@@ -6,13 +6,13 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import quarter_end, quarter_label
 
-from .contingency import gathered, tables
+from .contingency import counts, gathered, parts
 from .order import quantiles
 
 MINIMUM_HISTORY, CHANGE_CUT, MAD_SCALE = 3, 3.5, 1.4826
@@ -20,6 +20,27 @@ QUARTILES = (0.25, 0.5, 0.75)
 FEATURES = ("report_count", "reporting_share", "growth", "serious_proportion", "log_ror", "log_prr")
 
 
+def _dense(counted: DataFrame) -> DataFrame:
+    """drug, event, quarter, a, b, c, d, n, marked, before of every shown pair in every quarter; before: a of the last quarter.
+
+    The counts of a pair, a drug and an event are one row each, with a map by quarter. They are joined
+    as they are, and a pair's row is laid out by quarter last, so the grid of pairs and quarters is
+    neither shuffled nor sorted.
+    """
+    pairs, per_drug, per_event, total = parts(counted)
+    by_quarter = lambda *values: F.map_from_entries(F.collect_list(F.struct("quarter", *values)))
+    rows = pairs.groupBy("drug", "event").agg(by_quarter(F.struct("a", "marked")).alias("cells"), F.sum("shown").alias("shown")).where("shown > 0")
+    rows = rows.join(per_drug.groupBy("drug").agg(by_quarter("nd").alias("nds")), "drug").join(per_event.groupBy("event").agg(by_quarter("ne").alias("nes")), "event")
+    # one row: the quarters that have reports
+    rows = rows.crossJoin(F.broadcast(total.agg(F.array_sort(F.collect_list(F.struct("quarter", "n"))).alias("quarters"))))
+    rows = rows.select("drug", "event", "cells", "nds", "nes", "quarters", F.posexplode("quarters").alias("_i", "_q"))
+    at = lambda column, quarter: F.element_at(column, quarter)
+    this, last = F.col("_q.quarter"), F.get("quarters", F.col("_i") - 1)["quarter"]
+    found = {"a": at("cells", this)["a"], "nd": at("nds", this), "ne": at("nes", this), "marked": at("cells", this)["marked"], "before": at("cells", last)["a"]}
+    rows = rows.select("drug", "event", this.alias("quarter"), F.col("_q.n").alias("n"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in found.items()])
+    return rows.select("drug", "event", "quarter", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n", "marked", "before")
+
+
 def quarterly_features(obs: DataFrame) -> DataFrame:
     """Every pair that rows show in every quarter that has reports, quarters without the pair included.
 
@@ -27,9 +48,8 @@ def quarterly_features(obs: DataFrame) -> DataFrame:
     growth is against the quarter before among those with reports (from 0 in the first).
     """
     obs = obs.where("received_date is not null").withColumn("quarter", quarter_label(F.col("received_date")))
-    rows = tables(gathered(obs, ["quarter"], F.col("serious")), ["quarter"], dense=True)
-    history = Window.partitionBy("drug", "event").orderBy("quarter")
-    before = F.lag("a", 1, 0).over(history)
+    rows = _dense(counts(gathered(obs, ["quarter"], F.col("serious")), ["quarter"]))
+    before = F.col("before")
     first_day = F.make_date(F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", -1, 1).cast("int") * 3, F.lit(1))
     return rows.select(
         "drug", "event", "quarter", quarter_end(first_day).alias("quarter_end"), F.col("a").alias("report_count"), F.col("n").alias("total_reports"),

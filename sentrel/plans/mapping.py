@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str, drug: str = "brand", event: str = "segment") -> DataFrame:
     """report_id, received_date, drug (brand or part), event (segment or flag), serious, age_group, sex, year, position."""
     lines, orders, part, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # lines meet their orders last: so they lie by report, and what groups reports moves nothing
     if drug == "brand":
-        rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     name = F.upper("p_brand") if drug == "brand" else F.concat(F.lit("PART "), F.col("l_partkey").cast("string"))
     what = F.col("c_mktsegment") if event == "segment" else F.concat_ws("-", "l_returnflag", "l_linestatus")
     return rows.select(

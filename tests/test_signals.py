@@ -207,3 +207,17 @@ def test_temporal_anomalies_are_those_of_the_forest(spark):
     assert found == sorted((r.quarter, r.event, r.anomaly_score) for r in scored)[:50] and found
     with pytest.raises(ValueError):
         serve.answers("temporal", spark.range(1), 0)
+
+
+def test_reports_are_read_once_and_the_grid_is_not_sorted(spark, quarters):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan(contingency.contingency(quarters)) + plan(temporal.quarterly_features(quarters))
+    assert "Window" not in plan(temporal.quarterly_features(quarters))
+
+
+def test_shown_and_marked_pairs_of_mixed_reports(spark):
+    """A report whose rows show some of its pairs, and mark some of these."""
+    rows = [("r1", "A", "X", "q", True), ("r1", "B", "Y", "q", False), ("r2", "A", "X", "q", False), ("r2", "A", "Y", "q", True), ("r3", "B", "X", "q", True)]
+    df = spark.createDataFrame(rows, "report_id string, drug string, event string, quarter string, serious boolean")
+    cells = contingency.tables(contingency.gathered(df, ["quarter"], F.col("serious")), ["quarter"])
+    assert {(r.drug, r.event): (r.a, r.b, r.c, r.d, r.marked) for r in cells.collect()} == {("A", "X"): (2, 0, 1, 0, 1), ("A", "Y"): (2, 0, 0, 1, 1), ("B", "X"): (2, 0, 1, 0, 1), ("B", "Y"): (1, 1, 1, 0, 0)}
