@@ -87,8 +87,8 @@ def contingency_cells(spark, sf):
 
 @query("bitmap_cells", f"WITH {cells_sql(observations_sql('part', 'flag'))} SELECT * FROM t")
 def bitmap_cells(spark, sf):
-    obs = observations(spark, sf, "part", "flag").select("report_id", "drug", "event")
     store = Scratch(spark)
+    obs = store.written(observations(spark, sf, "part", "flag").select("report_id", "drug", "event"), "bitmap-rows")  # read three times
     return bitmaps.cells(store.written(bitmaps.built(obs, store), "report-bitmaps"), obs)
 
 

@@ -43,3 +43,14 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "report_id long, drug string, event string")
     stored = Scratch(spark).written(bitmaps.built(none, Scratch(spark)), "bitmaps")
     assert stored.count() == 0 and bitmaps.cells(stored, none.select("drug", "event")).count() == 0
+
+
+def test_rare_terms_take_what_their_reports_take(spark):
+    """Rare drugs list their reports; rare and frequent terms meet in one bucket."""
+    obs = spark.range(6_000).selectExpr("id AS report_id", "concat('D', id % 1000) AS drug", "IF(id % 3 = 0, 'often', concat('E', id % 500)) AS event").union(spark.range(6_000).selectExpr("id", "'every'", "'often'"))
+    stored = Scratch(spark).written(bitmaps.built(obs, Scratch(spark)), "bitmaps")
+    assert {r.term for r in stored.where("bitmap is not null").collect()} == {"every", "often", ""}
+    assert stored.where("bitmap is null and size(positions) <= 18 or positions is null").count() == stored.count()
+    columns = ["drug", "event", "a", "b", "c", "d", "n"]
+    want = sorted(tuple(r) for r in contingency.contingency(obs).select(*columns).collect())
+    assert sorted(tuple(r) for r in bitmaps.cells(stored, obs).select(*columns).collect()) == want
