@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import stratum
 
-from .contingency import tables, whole
+from .contingency import tables, unfolded
 
 MINIMUM_STRATUM, PRIOR, DRAWS, SEED = 4, 10.0, 10_000, 42
 
@@ -23,13 +23,12 @@ def profiles(obs: DataFrame) -> DataFrame:
     A report's first row (by ``position``) gives its covariates; missing ones count as unknown. Rows
     without a drug or an event show none.
     """
-    pair = F.struct(F.upper("drug").alias("drug"), F.upper("event").alias("event"))
-    full = lambda x: F.when(F.col("drug").isNotNull() & F.col("event").isNotNull(), x)
+    pair = F.when(F.col("drug").isNotNull() & F.col("event").isNotNull(), F.struct(F.upper("drug").alias("drug"), F.upper("event").alias("event")))
     first = F.min(F.struct("position", "age_group", "sex", "year")).alias("first")
-    rows = obs.where("report_id is not null").groupBy("report_id").agg(F.collect_set(full(pair["drug"])).alias("drugs"), F.collect_set(full(pair["event"])).alias("events"), F.collect_set(full(pair)).alias("shown"), first)
+    rows = obs.where("report_id is not null").groupBy("report_id").agg(F.collect_set(pair).alias("_entries"), first)
     known = lambda c: F.coalesce(f"first.{c}", F.lit("unknown")).alias(c)
-    rows = rows.select("report_id", "drugs", "events", "shown", known("age_group"), known("sex"), "first.year")
-    return whole(rows.withColumn("stratum", stratum(F.col("age_group"), F.col("sex"), F.col("year"))))
+    rows = unfolded(rows, "_entries", "report_id", "first").select("report_id", "drugs", "events", "shown", known("age_group"), known("sex"), "first.year")
+    return rows.withColumn("stratum", stratum(F.col("age_group"), F.col("sex"), F.col("year")))
 
 
 def crude(cells: DataFrame) -> DataFrame:

@@ -25,10 +25,25 @@ def gathered(obs: DataFrame, by: list[str] | None = None, marked: Column | None
     """
     keys = [*(by or []), "report_id", "drug", "event"]
     rows = obs.select(*keys, *([] if marked is None else [marked.alias("_marked")])).dropna(subset=keys)
-    pair = F.struct("drug", "event")
-    sets = [F.collect_set("drug").alias("drugs"), F.collect_set("event").alias("events"), F.collect_set(pair).alias("shown")]
-    sets += [] if marked is None else [F.collect_set(F.when(F.col("_marked"), pair)).alias("marked")]
-    return whole(rows.groupBy(*(by or []), "report_id").agg(*sets))
+    entry = F.struct("drug", "event", *([] if marked is None else [F.coalesce("_marked", F.lit(False)).alias("marked")]))
+    return unfolded(rows.groupBy(*(by or []), "report_id").agg(F.collect_set(entry).alias("_entries")), "_entries", *(by or []), "report_id")
+
+
+def unfolded(reports: DataFrame, entries: str, *keep: str) -> DataFrame:
+    """keep..., drugs, events, shown[, marked] of reports whose ``entries`` are a set of (drug, event[, marked]); without entries they are left out.
+
+    Reports gather one set, as each further one costs as much again; the others are read off it.
+    """
+    e, sets = F.col(entries), {"drugs": F.array_distinct(f"{entries}.drug"), "events": F.array_distinct(f"{entries}.event"), "shown": F.col(entries)}
+    if "marked" in reports.schema[entries].dataType.elementType.names:
+        pair = lambda x: F.struct(x["drug"].alias("drug"), x["event"].alias("event"))
+        some, all_ = F.array_contains(f"{entries}.marked", True), ~F.array_contains(f"{entries}.marked", False)
+        pairs = F.arrays_zip(f"{entries}.drug", f"{entries}.event")
+        # a pair may be there marked and not: in order, the two lie side by side
+        once = lambda a: F.filter(a, lambda x, i: (i == 0) | (pair(x) != pair(F.get(a, i - 1))))
+        sets["shown"] = F.when(~some | all_, pairs).otherwise(F.transform(once(F.array_sort(e)), pair))
+        sets["marked"] = F.when(~some, F.slice(pairs, 1, 0)).when(all_, pairs).otherwise(F.transform(F.filter(e, lambda x: x["marked"]), pair))
+    return reports.where(F.size(entries) > 0).select(*keep, *[c.alias(n) for n, c in sets.items()])
 
 
 def _pairs(reports: DataFrame, *keep: str) -> DataFrame:
@@ -36,25 +51,25 @@ def _pairs(reports: DataFrame, *keep: str) -> DataFrame:
     return reports.select(*keep, F.explode("drugs").alias("drug"), "events").select(*keep, "drug", F.explode("events").alias("event"))
 
 
-def counts(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """[by...], drug, event, k, shown[, marked]: reports of a pair; of a drug (event null), an event (drug null) and all (both null).
+def counts(reports: DataFrame, by: list[str] | None = None, shown: bool = True) -> DataFrame:
+    """[by...], drug, event, k[, shown, marked]: reports of a pair; of a drug (event null), an event (drug null) and all (both null).
 
     The rows of ``gathered`` are read once: a drug or none meets an event or none, and what a report
-    gives is added up before it is shuffled. ``shown`` and ``marked`` count the reports whose rows show
-    the pair and show it marked. The counts are written to the shared folder.
+    gives is added up before it is shuffled. ``shown`` (unless not asked for) and ``marked`` count the
+    reports whose rows show the pair and show it marked. The counts are written to the shared folder.
     """
     by = by or []
     keys = [*by, "drug", "event"]
     or_none = lambda c: F.explode(F.concat(F.col(c), F.array(F.lit(None))))
-    sets = [c for c in ("shown", "marked") if c in reports.columns]
-    every = F.size("shown") == F.size("drugs") * F.size("events")
+    sets = [c for c in ("shown", "marked") if c in reports.columns and (shown or "marked" in reports.columns)]
+    every = F.size("shown") == F.size("drugs") * F.size("events") if sets else F.lit(True)
     rows = reports.select(*by, or_none("drugs").alias("drug"), "events", *sets, every.alias("_every")).select(*by, "drug", or_none("events").alias("event"), *sets, "_every")
     pair = F.col("drug").isNotNull() & F.col("event").isNotNull()
     # most reports show all their pairs, marked or not as a whole
     held = {"shown": F.when(F.col("_every"), True).otherwise(F.array_contains("shown", F.struct("drug", "event")))}
     if "marked" in sets:
         held["marked"] = F.when(F.size("marked") == 0, False).when(F.size("marked") == F.size("shown"), held["shown"]).otherwise(F.array_contains("marked", F.struct("drug", "event")))
-    return written(rows.groupBy(*keys).agg(F.count("*").alias("k"), *[F.count_if(pair & c).alias(n) for n, c in held.items()]), "report-counts")
+    return written(rows.groupBy(*keys).agg(F.count("*").alias("k"), *[F.count_if(pair & c).alias(n) for n, c in held.items() if n in sets]), "report-counts")
 
 
 def parts(counted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -75,7 +90,7 @@ def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | s
     """
     by = by or []
     extra = ["marked"] if "marked" in reports.columns else []
-    counted = counts(reports, by)
+    counted = counts(reports, by, isinstance(pairs, str) and pairs != "report")
     both, per_drug, per_event, total = parts(counted.dropna(subset=by) if by else counted)
     total = total.where(F.col("n") >= minimum) if by else total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     grid = by and (dense or not isinstance(pairs, str) or pairs == "report")

@@ -13,16 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str, drug: str = "brand", event: str = "segment") -> DataFrame:
     """report_id, received_date, drug (brand or part), event (segment or flag), serious, age_group, sex, year, position."""
     lines, orders, part, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "customer"))
-    # lines meet their orders last: so they lie by report, and what groups reports moves nothing
+    # what an order or a part says is worked out before it meets the lines: once each, not once a line
     if drug == "brand":
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    rows = lines.join(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    name = F.upper("p_brand") if drug == "brand" else F.concat(F.lit("PART "), F.col("l_partkey").cast("string"))
-    what = F.col("c_mktsegment") if event == "segment" else F.concat_ws("-", "l_returnflag", "l_linestatus")
-    return rows.select(
-        F.col("l_orderkey").alias("report_id"), F.to_date("o_orderdate").alias("received_date"), name.alias("drug"), what.alias("event"), (F.col("o_orderpriority") == "1-URGENT").alias("serious"),
-        F.col("c_mktsegment").alias("age_group"), F.col("o_orderstatus").alias("sex"), F.year("o_orderdate").alias("year"), F.col("l_linenumber").alias("position"),
+        lines = lines.join(part.select("p_partkey", F.upper("p_brand").alias("drug")), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.col("drug") if drug == "brand" else F.concat(F.lit("PART "), F.col("l_partkey").cast("string"))
+    what = F.lit(None) if event == "segment" else F.concat_ws("-", "l_returnflag", "l_linestatus")
+    lines = lines.select(F.col("l_orderkey").alias("report_id"), name.alias("drug"), what.alias("flag"), F.col("l_linenumber").alias("position"))
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.to_date("o_orderdate").alias("received_date"), (F.col("o_orderpriority") == "1-URGENT").alias("serious"),
+        F.col("c_mktsegment").alias("age_group"), F.col("o_orderstatus").alias("sex"), F.year("o_orderdate").alias("year"),
     )
+    # lines meet their orders last: so they lie by report, and what groups reports moves nothing
+    rows = lines.join(orders, F.col("report_id") == F.col("o_orderkey"))
+    return rows.select("report_id", "received_date", "drug", F.col("age_group" if event == "segment" else "flag").alias("event"), "serious", "age_group", "sex", "year", "position")
 
 
 OBSERVATIONS_SQL = """

@@ -221,3 +221,22 @@ def test_shown_and_marked_pairs_of_mixed_reports(spark):
     df = spark.createDataFrame(rows, "report_id string, drug string, event string, quarter string, serious boolean")
     cells = contingency.tables(contingency.gathered(df, ["quarter"], F.col("serious")), ["quarter"])
     assert {(r.drug, r.event): (r.a, r.b, r.c, r.d, r.marked) for r in cells.collect()} == {("A", "X"): (2, 0, 1, 0, 1), ("A", "Y"): (2, 0, 0, 1, 1), ("B", "X"): (2, 0, 1, 0, 1), ("B", "Y"): (1, 1, 1, 0, 0)}
+
+
+def test_reports_gather_one_set(spark):
+    """What a report shows, marked or not, is read off one set; each further set costs a pass of sorting as well."""
+    rows = [("r1", "A", "X", True), ("r1", "A", "X", False), ("r1", "B", "X", None), ("r1", "A", "Y", False), ("r2", "A", "X", True), ("r2", "B", "Y", True), ("r3", "A", "X", None), ("r4", None, "X", True)]
+    df = spark.createDataFrame(rows, "report_id string, drug string, event string, serious boolean")
+    reports = contingency.gathered(df, marked=F.col("serious"))
+    for gathered in (reports, contingency.gathered(df), adjusted.profiles(df.withColumns({"position": F.lit(1), "age_group": F.lit("a"), "sex": F.lit("s"), "year": F.lit(2000)}))):
+        plan = gathered._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_set(") == 1
+    got = {r.report_id: [sorted(map(tuple, x)) for x in (r.shown, r.marked)] + [sorted(r.drugs), sorted(r.events)] for r in reports.collect()}
+    assert got == {
+        "r1": [[("A", "X"), ("A", "Y"), ("B", "X")], [("A", "X")], ["A", "B"], ["X", "Y"]],
+        "r2": [[("A", "X"), ("B", "Y")], [("A", "X"), ("B", "Y")], ["A", "B"], ["X", "Y"]],
+        "r3": [[("A", "X")], [], ["A"], ["X"]],
+    }
+    counted = {(r.drug, r.event): (r.k, r.shown, r.marked) for r in contingency.counts(reports).collect()}
+    assert counted["A", "X"] == (3, 3, 2) and counted["B", "Y"] == (2, 1, 1) and counted["A", "Y"] == (2, 1, 0) and counted[None, None][0] == 3
+    assert "shown" not in contingency.counts(contingency.gathered(df), shown=False).columns
