@@ -12,22 +12,28 @@ from pyspark.sql import functions as F
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import stratum
 
-from .contingency import tables, unfolded
+from .contingency import Terms, in_bits, listed, tables, unfolded
 
 MINIMUM_STRATUM, PRIOR, DRAWS, SEED = 4, 10.0, 10_000, 42
 
 
-def profiles(obs: DataFrame) -> DataFrame:
+def profiles(obs: DataFrame, terms: Terms | None = None) -> DataFrame:
     """One row a report: report_id, drugs, events, shown (in upper case), age_group, sex, year, stratum.
 
     A report's first row (by ``position``) gives its covariates; missing ones count as unknown. Rows
-    without a drug or an event show none.
+    without a drug or an event show none. With ``terms`` (in upper case) drugs and events of the rows are
+    numbers of these, and a report has the columns of ``contingency.in_bits`` instead of shown pairs.
     """
-    pair = F.when(F.col("drug").isNotNull() & F.col("event").isNotNull(), F.struct(F.upper("drug").alias("drug"), F.upper("event").alias("event")))
     first = F.min(F.struct("position", "age_group", "sex", "year")).alias("first")
-    rows = obs.where("report_id is not null").groupBy("report_id").agg(F.collect_set(pair).alias("_entries"), first)
+    rows = obs.where("report_id is not null").groupBy("report_id")
+    if terms:
+        rows = rows.agg(*in_bits(terms), first).where("drug_bits <> 0").select("*", listed("drug_bits", terms.drugs).alias("drugs"), listed("event_bits", terms.events).alias("events"))
+        sets = [c for c in rows.columns if c not in ("report_id", "first")]
+    else:
+        pair = F.when(F.col("drug").isNotNull() & F.col("event").isNotNull(), F.struct(F.upper("drug").alias("drug"), F.upper("event").alias("event")))
+        rows, sets = unfolded(rows.agg(F.collect_set(pair).alias("_entries"), first), "_entries", "report_id", "first"), ["drugs", "events", "shown"]
     known = lambda c: F.coalesce(f"first.{c}", F.lit("unknown")).alias(c)
-    rows = unfolded(rows, "_entries", "report_id", "first").select("report_id", "drugs", "events", "shown", known("age_group"), known("sex"), "first.year")
+    rows = rows.select("report_id", *sets, known("age_group"), known("sex"), "first.year")
     return rows.withColumn("stratum", stratum(F.col("age_group"), F.col("sex"), F.col("year")))
 
 
@@ -36,9 +42,9 @@ def crude(cells: DataFrame) -> DataFrame:
     return cells.select("drug", "event", "a", "b", "c", "d", st.ror().alias("ror"), lower.alias("lower_bound"), upper.alias("upper_bound"))
 
 
-def stratum_tables(reports: DataFrame) -> DataFrame:
+def stratum_tables(reports: DataFrame, terms: Terms | None = None) -> DataFrame:
     """stratum, drug, event, cells, n of every pair of ``profiles`` in every stratum of at least four reports."""
-    return tables(reports, by=["stratum"], pairs="report", minimum=MINIMUM_STRATUM)
+    return tables(reports, by=["stratum"], pairs="report", minimum=MINIMUM_STRATUM, terms=terms)
 
 
 def mantel_haenszel(cells: DataFrame) -> DataFrame:

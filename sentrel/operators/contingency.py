@@ -2,11 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.sources.scratch import written
 
+#: Bits of a word, and words of pairs that a report may hold.
+BITS, WORDS = 64, 16
+
+
+@dataclass(frozen=True)
+class Terms:
+    """All drugs and events of some observations, few enough for a report to hold each, and their pairs, as bits."""
+
+    drugs: tuple[str, ...]
+    events: tuple[str, ...]
+
+    @staticmethod
+    def of(drugs: DataFrame, events: DataFrame) -> Terms | None:
+        """The different values of two tables of one column; None if a kind has none, or there are too many."""
+        found = [tuple(sorted(r[0] for r in df.dropna().distinct().limit(BITS + 1).collect())) for df in (drugs, events)]
+        few = all(0 < len(x) <= BITS for x in found) and len(found[0]) * len(found[1]) <= BITS * WORDS
+        return Terms(*found) if few else None
+
+    @property
+    def words(self) -> int:
+        return -(-len(self.drugs) * len(self.events) // BITS)
+
+
+def number(term: Column, names: Sequence[str]) -> Column:
+    """The place of a term among ``names``, from 0; null stays null, and a term that is not there raises."""
+    place = F.array_position(F.array(*map(F.lit, names)), term)
+    return F.when(place == 0, F.raise_error(F.concat(F.lit("not among the terms: "), term)).cast("int")).otherwise((place - 1).cast("int"))
+
+
+def _bit(word: str, place: Column) -> Column:
+    return F.call_function("shiftright", F.col(word), place).bitwiseAND(1) == 1
+
+
+def in_bits(terms: Terms, marked: Column | None = None) -> list[Column]:
+    """Aggregates of a report's rows, whose drug and event are numbers: drug_bits, event_bits, and words shown_0... and marked_0... of its pairs.
+
+    Numbers of fixed size are kept in place by a hash aggregate, which neither sorts nor serialises rows as sets of strings do.
+    """
+    bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    pair, there = F.col("drug") * len(terms.events) + F.col("event"), F.col("drug").isNotNull() & F.col("event").isNotNull()
+    held = lambda condition, place, name: F.bit_or(F.when(condition, bit(place)).otherwise(F.lit(0).cast("long"))).alias(name)
+    kinds = {"shown": there, **({} if marked is None else {"marked": there & F.coalesce(marked, F.lit(False))})}
+    words = [held(c & pair.between(BITS * i, BITS * i + BITS - 1), pair - BITS * i, f"{n}_{i}") for n, c in kinds.items() for i in range(terms.words)]
+    return [held(there, F.col("drug"), "drug_bits"), held(there, F.col("event"), "event_bits"), *words]
+
+
+def listed(bits: str, names: Sequence[str]) -> Column:
+    """The names whose bits are set."""
+    return F.filter(F.array(*map(F.lit, names)), lambda _, i: _bit(bits, i))
+
+
+def _told_apart(reports: DataFrame, by: list[str], kinds: list[str], terms: Terms) -> DataFrame:
+    """``counts`` of reports that hold bits, before they are written: numbers are counted, the few results named."""
+    numbers = lambda names: F.explode(F.array(*map(F.lit, range(-1, len(names)))))
+    drug, event = F.col("drug"), F.col("event")
+    rows = reports.select("*", numbers(terms.drugs).alias("drug")).where((drug < 0) | _bit("drug_bits", drug))
+    rows = rows.select("*", numbers(terms.events).alias("event")).where((event < 0) | _bit("event_bits", event))
+    pair = drug * len(terms.events) + event
+    # the first word that reaches so far
+    held = lambda kind: F.coalesce(*[F.when(pair < BITS * i + BITS, _bit(f"{kind}_{i}", pair - BITS * i)) for i in range(terms.words)])
+    sums = rows.groupBy(*by, "drug", "event").agg(F.count("*").alias("k"), *[F.count_if((drug >= 0) & (event >= 0) & held(n)).alias(n) for n in kinds])
+    name = lambda c, names: F.get(F.array(*map(F.lit, names)), F.col(c)).alias(c)
+    return sums.select(*by, name("drug", terms.drugs), name("event", terms.events), "k", *kinds)
+
 
 def whole(reports: DataFrame) -> DataFrame:
     """Reports with their sets, read together: a condition on all sets keeps Spark from planning each use of one apart.
@@ -17,14 +84,17 @@ def whole(reports: DataFrame) -> DataFrame:
     return reports.where(sum((F.size(c) for c in sets), F.lit(0)) > 0)
 
 
-def gathered(obs: DataFrame, by: list[str] | None = None, marked: Column | None = None) -> DataFrame:
+def gathered(obs: DataFrame, by: list[str] | None = None, marked: Column | None = None, terms: Terms | None = None) -> DataFrame:
     """[by...], report_id, drugs, events, shown[, marked]: one row a report with the sets that its rows show.
 
     ``shown`` holds the pairs of its rows, ``marked`` those of its rows that meet a condition. Rows
-    with a null report, drug, event or group are left out.
+    with a null report, drug, event or group are left out. With ``terms`` drugs and events are numbers
+    of these, and a report has the columns of ``in_bits``.
     """
     keys = [*(by or []), "report_id", "drug", "event"]
     rows = obs.select(*keys, *([] if marked is None else [marked.alias("_marked")])).dropna(subset=keys)
+    if terms:
+        return rows.groupBy(*(by or []), "report_id").agg(*in_bits(terms, None if marked is None else F.col("_marked")))
     entry = F.struct("drug", "event", *([] if marked is None else [F.coalesce("_marked", F.lit(False)).alias("marked")]))
     return unfolded(rows.groupBy(*(by or []), "report_id").agg(F.collect_set(entry).alias("_entries")), "_entries", *(by or []), "report_id")
 
@@ -51,15 +121,19 @@ def _pairs(reports: DataFrame, *keep: str) -> DataFrame:
     return reports.select(*keep, F.explode("drugs").alias("drug"), "events").select(*keep, "drug", F.explode("events").alias("event"))
 
 
-def counts(reports: DataFrame, by: list[str] | None = None, shown: bool = True) -> DataFrame:
+def counts(reports: DataFrame, by: list[str] | None = None, shown: bool = True, terms: Terms | None = None) -> DataFrame:
     """[by...], drug, event, k[, shown, marked]: reports of a pair; of a drug (event null), an event (drug null) and all (both null).
 
     The rows of ``gathered`` are read once: a drug or none meets an event or none, and what a report
     gives is added up before it is shuffled. ``shown`` (unless not asked for) and ``marked`` count the
     reports whose rows show the pair and show it marked. The counts are written to the shared folder.
+    Reports that ``terms`` made hold bits instead of arrays.
     """
     by = by or []
     keys = [*by, "drug", "event"]
+    if terms:
+        kinds = [n for n in ("shown", "marked") if f"{n}_0" in reports.columns and (shown or "marked_0" in reports.columns)]
+        return written(_told_apart(reports, by, kinds, terms), "report-counts")
     or_none = lambda c: F.explode(F.concat(F.col(c), F.array(F.lit(None))))
     sets = [c for c in ("shown", "marked") if c in reports.columns and (shown or "marked" in reports.columns)]
     every = F.size("shown") == F.size("drugs") * F.size("events") if sets else F.lit(True)
@@ -79,7 +153,7 @@ def parts(counted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     return pairs, of("not null", "null", "nd", "event"), of("null", "not null", "ne", "drug"), of("null", "null", "n", "drug", "event")
 
 
-def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False, minimum: int = 0) -> DataFrame:
+def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False, minimum: int = 0, terms: Terms | None = None) -> DataFrame:
     """[by...], drug, event, a, b, c, d, n[, marked] from the rows of ``gathered``.
 
     ``a`` counts reports that hold the drug and the event anywhere, not rows that hold both; the
@@ -89,8 +163,8 @@ def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | s
     reports, or with a null key, are left out before pairs are listed. ``counts`` are made here.
     """
     by = by or []
-    extra = ["marked"] if "marked" in reports.columns else []
-    counted = counts(reports, by, isinstance(pairs, str) and pairs != "report")
+    extra = ["marked"] if {"marked", "marked_0"} & set(reports.columns) else []
+    counted = counts(reports, by, isinstance(pairs, str) and pairs != "report", terms)
     both, per_drug, per_event, total = parts(counted.dropna(subset=by) if by else counted)
     total = total.where(F.col("n") >= minimum) if by else total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     grid = by and (dense or not isinstance(pairs, str) or pairs == "report")
@@ -114,9 +188,9 @@ def tables(reports: DataFrame, by: list[str] | None = None, pairs: DataFrame | s
     return out.select(*by, "drug", "event", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n", *extra)
 
 
-def contingency(obs: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False) -> DataFrame:
+def contingency(obs: DataFrame, by: list[str] | None = None, pairs: DataFrame | str = "shown", dense: bool = False, terms: Terms | None = None) -> DataFrame:
     """``tables`` of rows (report_id, drug, event, [by...])."""
-    return tables(gathered(obs, by), by, pairs, dense)
+    return tables(gathered(obs, by, terms=terms), by, pairs, dense, terms=terms)
 
 
 def report_pairs(reports: DataFrame) -> DataFrame:

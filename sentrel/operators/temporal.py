@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import statistics as st
 from sentrel.functions.normalize import quarter_end
 
-from .contingency import counts, gathered, parts
+from .contingency import Terms, counts, gathered, parts
 from .order import quantiles
 
 MINIMUM_HISTORY, CHANGE_CUT, MAD_SCALE = 3, 3.5, 1.4826
@@ -41,17 +41,18 @@ def _dense(counted: DataFrame) -> DataFrame:
     return rows.select("drug", "event", "quarter", "a", (F.col("nd") - F.col("a")).alias("b"), (F.col("ne") - F.col("a")).alias("c"), (F.col("n") - F.col("nd") - F.col("ne") + F.col("a")).alias("d"), "n", "marked", "before")
 
 
-def quarterly_features(obs: DataFrame) -> DataFrame:
+def quarterly_features(obs: DataFrame, terms: Terms | None = None) -> DataFrame:
     """Every pair that rows show in every quarter that has reports, quarters without the pair included.
 
     ``serious_proportion`` divides reports with a serious row of the pair by reports that hold both;
-    growth is against the quarter before among those with reports (from 0 in the first).
+    growth is against the quarter before among those with reports (from 0 in the first). With
+    ``terms`` drugs and events of the rows are numbers of these.
     """
     # until reports are counted, a quarter is a number (4 a year), which is quicker made and told apart than its label
     number = F.year("received_date") * 4 + F.floor((F.month("received_date") - 1) / 3).cast("int")
     label = F.concat(F.floor(F.col("quarter") / 4).cast("string"), F.lit("-Q"), (F.pmod("quarter", F.lit(4)) + 1).cast("string"))
     obs = obs.where("received_date is not null").withColumn("quarter", number)
-    rows = _dense(counts(gathered(obs, ["quarter"], F.col("serious")), ["quarter"]).withColumn("quarter", label))
+    rows = _dense(counts(gathered(obs, ["quarter"], F.col("serious"), terms), ["quarter"], terms=terms).withColumn("quarter", label))
     before = F.col("before")
     first_day = F.make_date(F.substring("quarter", 1, 4).cast("int"), F.substring("quarter", -1, 1).cast("int") * 3, F.lit(1))
     return rows.select(

@@ -12,7 +12,7 @@ from sentrel.operators import adjusted, audit, backtest, bitmaps, cohort, contin
 
 from sentrel.sources.scratch import Scratch, written
 
-from .mapping import observations, observations_sql, table
+from .mapping import numbered, observations, observations_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,9 +80,14 @@ SIGNAL_COLUMNS = "detector, drug, event, round(score, 6) AS score, round(lower_b
 SIGNAL_ORDER = "is_potential_signal DESC, passes_stability_rule DESC, score DESC, detector, drug, event"
 
 
+def _cells(spark, sf, event="segment"):
+    obs, terms = numbered(spark, sf, "brand", event)
+    return contingency.contingency(obs, terms=terms)
+
+
 @query("contingency_cells", f"WITH {cells_sql(observations_sql('brand', 'flag'))} SELECT * FROM t")
 def contingency_cells(spark, sf):
-    return contingency.contingency(observations(spark, sf, "brand", "flag"))
+    return _cells(spark, sf, "flag")
 
 
 @query("bitmap_cells", f"WITH {cells_sql(observations_sql('part', 'flag'))} SELECT * FROM t")
@@ -94,7 +99,7 @@ def bitmap_cells(spark, sf):
 
 @query("signals_ror", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM signals WHERE detector = 'ror'")
 def signals_ror(spark, sf):
-    return rounded(detectors.reporting_odds_ratio(contingency.contingency(observations(spark, sf))), "score", "lower_bound", "upper_bound", "chi_square")
+    return rounded(detectors.reporting_odds_ratio(_cells(spark, sf)), "score", "lower_bound", "upper_bound", "chi_square")
 
 
 @query("signals_prr", f"WITH {cells_sql(observations_sql('part'))}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM signals WHERE detector = 'prr'")
@@ -104,7 +109,7 @@ def signals_prr(spark, sf):
 
 @query("signals_ranked", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM signals")
 def signals_ranked(spark, sf):
-    return rounded(detectors.ranked(detectors.score(contingency.contingency(observations(spark, sf)))), "score", "lower_bound", "upper_bound", "chi_square")
+    return rounded(detectors.ranked(detectors.score(_cells(spark, sf))), "score", "lower_bound", "upper_bound", "chi_square")
 
 
 @query("signals_filtered_topn", f"WITH {cells_sql(observations_sql('part'))}, {SIGNALS} SELECT {SIGNAL_COLUMNS} FROM (SELECT * FROM signals WHERE detector = 'ror' AND event = 'BUILDING' AND is_potential_signal ORDER BY {SIGNAL_ORDER} LIMIT 20)")
@@ -115,12 +120,12 @@ def signals_filtered_topn(spark, sf):
 
 @query("signal_totals", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT count(*) AS scores, count(DISTINCT (drug, event)) AS pairs, count_if(is_potential_signal) AS potential_signals, count_if(passes_stability_rule) AS stable_signals FROM signals")
 def signal_totals(spark, sf):
-    return detectors.totals(detectors.score(contingency.contingency(observations(spark, sf))))
+    return detectors.totals(detectors.score(_cells(spark, sf)))
 
 
 @query("review_queue", f"WITH {cells_sql(observations_sql())}, {SIGNALS} SELECT detector, drug, event, CASE WHEN is_potential_signal THEN 'potential' ELSE 'observed' END AS status FROM signals WHERE (contains(drug, '#1') OR contains(event, '#1') OR contains(upper(detector), '#1')) AND NOT is_potential_signal")
 def review_queue(spark, sf):
-    return serve.queue(detectors.score(contingency.contingency(observations(spark, sf))), "#1", "observed").select("detector", "drug", "event", "status")
+    return serve.queue(detectors.score(_cells(spark, sf)), "#1", "observed").select("detector", "drug", "event", "status")
 
 
 # ---- normalisation and quality ------------------------------------------------------------------
@@ -264,7 +269,7 @@ FLOATS = ["reporting_share", "growth", "serious_proportion", "ror", "prr"]
 
 @query("quarter_features", f"WITH {features_sql()} SELECT drug, event, quarter, quarter_end, report_count, total_reports, {', '.join(f'round({x}, 6) AS {x}' for x in FLOATS)} FROM features")
 def quarter_features(spark, sf):
-    return rounded(temporal.quarterly_features(observations(spark, sf)), *FLOATS)
+    return rounded(temporal.quarterly_features(*numbered(spark, sf)), *FLOATS)
 
 
 @query("dense_zero_quarters", f"WITH {features_sql('part')} SELECT quarter, count(*) AS pairs, count_if(report_count = 0) AS empty_pairs, round(sum(growth), 4) AS growth FROM features GROUP BY quarter")
@@ -282,17 +287,17 @@ CHANGES = """
 
 @query("change_points", f"WITH {features_sql()}, {CHANGES} SELECT drug, event, quarter, round(change_score, 6) AS change_score, change_score >= 3.5 AS is_change_point, baseline_quarters FROM changes")
 def change_points(spark, sf):
-    return rounded(temporal.change_points(temporal.quarterly_features(observations(spark, sf))), "change_score")
+    return rounded(temporal.change_points(temporal.quarterly_features(*numbered(spark, sf))), "change_score")
 
 
 def _features(spark, sf):
     """Quarterly features, made once: what scales, scores and ranks them reads them several times."""
-    return written(temporal.quarterly_features(observations(spark, sf)), "features")
+    return written(temporal.quarterly_features(*numbered(spark, sf)), "features")
 
 
 @query("temporal_filtered", f"WITH {features_sql()}, {CHANGES} SELECT drug, event, quarter, round(change_score, 6) AS change_score, baseline_quarters FROM changes WHERE drug = 'BRAND#11' AND change_score >= 3.5 ORDER BY quarter, drug, event LIMIT 50")
 def temporal_filtered(spark, sf):
-    rows = serve.answers("temporal", temporal.change_points(temporal.quarterly_features(observations(spark, sf))), 50, drug="brand#11", changes=True)
+    rows = serve.answers("temporal", temporal.change_points(temporal.quarterly_features(*numbered(spark, sf))), 50, drug="brand#11", changes=True)
     return rounded(rows, "change_score").select("drug", "event", "quarter", "change_score", "baseline_quarters")
 
 
@@ -457,29 +462,37 @@ BOUNDS = "round(exp(ln({0}) - 1.96 * {1}), 6) AS lower_bound, round(exp(ln({0})
 
 
 def _profiles(spark, sf):
-    return adjusted.profiles(observations(spark, sf, "brand", "flag"))
+    """Reports of brands and flags, and their terms."""
+    obs, terms = numbered(spark, sf, "brand", "flag", upper=True)
+    return adjusted.profiles(obs, terms), terms
+
+
+def _pooled(spark, sf):
+    """Cells of all strata together."""
+    reports, terms = _profiles(spark, sf)
+    return contingency.tables(reports, pairs="report", terms=terms)
 
 
 @query("crude_ror", f"WITH {cells_sql(PROFILE_SQL)} SELECT drug, event, a, b, c, d, round({ROR}, 6) AS ror, {BOUNDS.format(ROR, ROR_SE)} FROM {FIXED.format('t')}")
 def crude_ror(spark, sf):
-    return rounded(adjusted.crude(contingency.tables(_profiles(spark, sf), pairs="report")), "ror", "lower_bound", "upper_bound")
+    return rounded(adjusted.crude(_pooled(spark, sf)), "ror", "lower_bound", "upper_bound")
 
 
 @query("stratum_tables", f"WITH {STRATA} SELECT stratum, drug, event, n AS reports, a AS cases, round({ROR}, 6) AS ror, {BOUNDS.format(ROR, ROR_SE)}, round({PRR}, 6) AS prr FROM {FIXED.format('t')}")
 def stratum_tables(spark, sf):
-    return rounded(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf))), "ror", "lower_bound", "upper_bound", "prr")
+    return rounded(adjusted.stratum_estimates(adjusted.stratum_tables(*_profiles(spark, sf))), "ror", "lower_bound", "upper_bound", "prr")
 
 
 @query("mantel_haenszel", f"""WITH {STRATA}, z AS (SELECT drug, event, a + h AS a, b + h AS b, c + h AS c, d + h AS d, a + b + c + d + 4 * h AS t FROM {FIXED.format('t')}),
     y AS (SELECT drug, event, sum(a * d / t) AS r, sum(b * c / t) AS s, sum((a + d) * a * d / (t * t)) AS x1, sum(((a + d) * b * c + (b + c) * a * d) / (t * t)) AS x2, sum((b + c) * b * c / (t * t)) AS x3 FROM z GROUP BY ALL)
     SELECT drug, event, round(r / s, 6) AS estimate, {BOUNDS.format('(r / s)', 'sqrt(x1 / (2 * r * r) + x2 / (2 * r * s) + x3 / (2 * s * s))')} FROM y""")
 def mantel_haenszel(spark, sf):
-    return rounded(adjusted.mantel_haenszel(adjusted.stratum_tables(_profiles(spark, sf))), "estimate", "lower_bound", "upper_bound")
+    return rounded(adjusted.mantel_haenszel(adjusted.stratum_tables(*_profiles(spark, sf))), "estimate", "lower_bound", "upper_bound")
 
 
 @query("adjusted_filtered", f"WITH {cells_sql(PROFILE_SQL)}, p AS (SELECT drug, event, round({ROR}, 6) AS ror FROM {FIXED.format('t')}) SELECT * FROM p WHERE drug = 'BRAND#23' ORDER BY drug, event LIMIT 10")
 def adjusted_filtered(spark, sf):
-    return rounded(serve.answers("adjusted", adjusted.crude(contingency.tables(_profiles(spark, sf), pairs="report")), 10, drug="Brand#23").select("drug", "event", "ror"), "ror")
+    return rounded(serve.answers("adjusted", adjusted.crude(_pooled(spark, sf)), 10, drug="Brand#23").select("drug", "event", "ror"), "ror")
 
 
 HETEROGENEITY = f"""{STRATA}, w AS (SELECT drug, event, ln({ROR}) AS x, 1 / ({ROR_SE} * {ROR_SE}) AS w FROM {FIXED.format('t')}),
@@ -489,7 +502,7 @@ HETEROGENEITY = f"""{STRATA}, w AS (SELECT drug, event, ln({ROR}) AS x, 1 / ({RO
 
 @query("heterogeneity_q", f"WITH {HETEROGENEITY} SELECT drug, event, CASE WHEN df >= 1 THEN round(q, 5) ELSE 0 END AS q, CASE WHEN df >= 1 THEN df ELSE 0 END AS df FROM het")
 def heterogeneity_q(spark, sf):
-    return adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf)))).withColumn("q", F.round("q", 5))
+    return adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(*_profiles(spark, sf)))).withColumn("q", F.round("q", 5))
 
 
 # the normal distribution's tail by Simpson's rule over 2,000 steps, which is exact to more places than are compared
@@ -497,7 +510,7 @@ def heterogeneity_q(spark, sf):
     pp AS (SELECT drug, event, 0.5 - z / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * z / 2000) * (i * z / 2000) / 2))) / sqrt(2 * pi()) AS p FROM zz)
     SELECT drug, event, CASE WHEN df >= 1 THEN round(q, 5) ELSE 0 END AS q, CASE WHEN df >= 1 THEN df ELSE 0 END AS df, round(least(greatest(p, 0), 1), 6) AS p FROM het LEFT JOIN pp USING (drug, event)""")
 def heterogeneity_p(spark, sf):
-    rows = adjusted.heterogeneity_p(adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(_profiles(spark, sf)))))
+    rows = adjusted.heterogeneity_p(adjusted.heterogeneity(adjusted.stratum_estimates(adjusted.stratum_tables(*_profiles(spark, sf)))))
     return rows.withColumns({"q": F.round("q", 5), "p": F.round("p", 6)})
 
 
@@ -511,7 +524,7 @@ def heterogeneity_p(spark, sf):
     SELECT drug, event, a, b, c, d, reports_used, round({ROR}, 6) AS estimate, {BOUNDS.format(ROR, ROR_SE)} FROM {FIXED.format('t')}""")
 def active_comparator(spark, sf):
     sets = spark.createDataFrame([("brand#11", "Brand#12"), ("brand#11", "Brand#13"), ("brand#23", "Brand#24")], "drug string, comparator string")
-    return rounded(adjusted.active_comparator(_profiles(spark, sf), sets), "estimate", "lower_bound", "upper_bound")
+    return rounded(adjusted.active_comparator(_profiles(spark, sf)[0], sets), "estimate", "lower_bound", "upper_bound")
 
 
 @query("bitmap_comparator", ORACLE["active_comparator"])
@@ -524,12 +537,12 @@ def bitmap_comparator(spark, sf):
 
 @query("penalized_logistic")
 def penalized_logistic(spark, sf):
-    return adjusted.penalized_logistic(_profiles(spark, sf))
+    return adjusted.penalized_logistic(_profiles(spark, sf)[0])
 
 
 @query("beta_binomial")
 def beta_binomial(spark, sf):
-    return adjusted.beta_binomial(contingency.tables(_profiles(spark, sf), pairs="report"))
+    return adjusted.beta_binomial(_pooled(spark, sf))
 
 
 # ---- evidence, references, cohorts, audit -------------------------------------------------------
