@@ -94,13 +94,14 @@ def shared(one: DataFrame, other: DataFrame, names: tuple[str, str], asked: Data
     """names, n: reports that two terms (rows of ``_terms``) share, of all pairs or the asked ones; pairs without any may be missing.
 
     Two bitmaps are compared as they are. Where a side lists its numbers, both sides' numbers meet: such
-    a list is shorter than a bitmap, and a frequent term is spread over its numbers.
+    a list is shorter than a bitmap, and a frequent term is spread over its numbers. Numbers are always
+    shuffled: Spark takes a bitmap's 32,768 numbers for one row and would broadcast them through the driver.
     """
     a, b = names
     long = lambda terms, name: terms.where(F.col(f"{name}_bitmap").isNotNull()).drop("positions")
     left = long(one, a) if asked is None else asked.join(long(one, a), a)
     words = left.join(long(other, b), ["bucket"] if asked is None else [b, "bucket"]).select(a, b, overlap()(f"{a}_bitmap", f"{b}_bitmap").alias("n"))
-    met = _numbers(one, a).join(_numbers(other, b).withColumnRenamed("long", "_long"), ["bucket", "position"]).where("not (long and _long)")
+    met = _numbers(one, a).join(_numbers(other, b).withColumnRenamed("long", "_long").hint("merge"), ["bucket", "position"]).where("not (long and _long)")
     found = met.groupBy(a, b).agg(F.count("*").alias("n"))
     found = found if asked is None else found.join(asked, [a, b], "left_semi")
     return words.unionByName(found).groupBy(a, b).agg(F.sum("n").alias("n"))

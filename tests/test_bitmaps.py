@@ -54,3 +54,26 @@ def test_rare_terms_take_what_their_reports_take(spark):
     columns = ["drug", "event", "a", "b", "c", "d", "n"]
     want = sorted(tuple(r) for r in contingency.contingency(obs).select(*columns).collect())
     assert sorted(tuple(r) for r in bitmaps.cells(stored, obs).select(*columns).collect()) == want
+
+
+def broadcast_rows(df):
+    """Rows of every table that a run of ``df`` sends through the driver to all executors."""
+    df.collect()
+    found, ahead = [], [df._jdf.queryExecution().executedPlan()]
+    while ahead:
+        plan = ahead.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            found.append(plan.metrics().apply("numOutputRows").value())
+        inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+        ahead += [plan.children().apply(i) for i in range(plan.children().size())] if inner is None else [inner]
+    return found
+
+
+def test_numbers_are_not_broadcast(spark):
+    """Listed drugs meet frequent events: bitmaps, pairs and terms may pass through the driver, their reports may not."""
+    obs = spark.range(40_000).selectExpr("id AS report_id", "concat('D', id % 100) AS drug", "concat('E', id % 2) AS event")
+    stored = Scratch(spark).written(bitmaps.built(obs, Scratch(spark)), "bitmaps")
+    assert stored.where("kind = 'drug' and bitmap is null").count() == 200
+    found = broadcast_rows(bitmaps.cells(stored, obs))
+    assert found and max(found) <= stored.count()
