@@ -122,7 +122,9 @@ def arms(bitmaps: DataFrame, comparators: DataFrame) -> DataFrame:
     """drug, arm (own, any), bucket, bitmap: reports of a drug, and of it or any of its comparators (rows drug, comparator)."""
     wanted = comparators.select(F.upper("drug").alias("drug"), F.upper("comparator").alias("comparator"))
     roles = wanted.select("drug", F.col("drug").alias("name"), F.explode(F.array(F.lit("own"), F.lit("any"))).alias("arm")).union(wanted.select("drug", "comparator", F.lit("any"))).distinct()
-    return roles.join(_numbers(_terms(bitmaps, "drug", "name"), "name"), "name").groupBy("drug", "arm", "bucket").agg(F.bitmap_construct_agg("position").alias("bitmap"))
+    taken, of = roles.join(_terms(bitmaps, "drug", "name"), "name"), ["drug", "arm", "bucket"]
+    lists = taken.where("positions is not null").select(*of, F.explode("positions").alias("position")).groupBy(*of).agg(F.bitmap_construct_agg("position").alias("bitmap"))
+    return lists.unionByName(taken.where("name_bitmap is not null").select(*of, F.col("name_bitmap").alias("bitmap"))).groupBy(*of).agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
 def active_comparator(bitmaps: DataFrame, comparators: DataFrame) -> DataFrame:

@@ -530,7 +530,7 @@ def active_comparator(spark, sf):
 @query("bitmap_comparator", ORACLE["active_comparator"])
 def bitmap_comparator(spark, sf):
     store = Scratch(spark)
-    obs = observations(spark, sf, "brand", "flag").select("report_id", F.upper("drug").alias("drug"), F.upper("event").alias("event"))
+    obs = store.written(observations(spark, sf, "brand", "flag").select("report_id", F.upper("drug").alias("drug"), F.upper("event").alias("event")), "bitmap-rows")  # read twice
     sets = spark.createDataFrame([("brand#11", "Brand#12"), ("brand#11", "Brand#13"), ("brand#23", "Brand#24")], "drug string, comparator string")
     return rounded(bitmaps.active_comparator(store.written(bitmaps.built(obs, store), "report-bitmaps"), sets), "estimate", "lower_bound", "upper_bound")
 

@@ -77,3 +77,12 @@ def test_numbers_are_not_broadcast(spark):
     assert stored.where("kind = 'drug' and bitmap is null").count() == 200
     found = broadcast_rows(bitmaps.cells(stored, obs))
     assert found and max(found) <= stored.count()
+
+
+def test_arms_are_not_broadcast_as_numbers(spark):
+    obs = spark.range(40_000).selectExpr("id AS report_id", "concat('D', id % 4) AS drug", "concat('E', id % 50) AS event")
+    stored = Scratch(spark).written(bitmaps.built(obs, Scratch(spark)), "bitmaps")
+    sets = spark.createDataFrame([("D0", "D1"), ("D2", "D3")], "drug string, comparator string")
+    for answer in (bitmaps.arms(stored, sets), bitmaps.active_comparator(stored, sets)):
+        found = broadcast_rows(answer)
+        assert found and max(found) <= stored.count()
